@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from seriesloom.operators.skew import salted_join
 from seriesloom.session import materialize, shuffle_width
 
+# Tables up to this many rows are scanned by one plain window: the size is checked, not assumed.
+SMALL_ROWS = 200_000
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -58,20 +61,26 @@ def running(
     ``df`` must hold at most one row per (keys, order): collapse equal positions
     first, which also removes any hot position.  ``order`` is numeric.  The input is
     materialized, because the split points, the chunk totals and the scan all read it.
+    Passing ``chunks`` forces the chunked form whatever the size.
     """
     df = materialize(df)
     keys = list(keys)
     names = list(aggs)
+    by = F.col(order).desc() if reverse else F.col(order).asc()
+    frame = (Window.unboundedPreceding, 0 if inclusive else -1)
+    if chunks is None and df.count() <= SMALL_ROWS:
+        whole = Window.partitionBy(*keys).orderBy(by).rowsBetween(*frame)
+        plain = [_AGG[kind](col).over(whole).alias(n) for n, (kind, col) in aggs.items()]
+        zero = {n for n in names if aggs[n][0] == "sum"}
+        out = df.select("*", *plain)
+        return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in zero}) if zero else out
     chunks = chunks or shuffle_width(df)
     base = with_chunk(df, order, chunks).select(
         "*",
         *[col.alias(f"_v_{n}") for n, (_, col) in aggs.items()],
     )
     part = keys + ["_chunk"]
-    by = F.col(order).desc() if reverse else F.col(order).asc()
-    local = Window.partitionBy(*part).orderBy(by).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
+    local = Window.partitionBy(*part).orderBy(by).rowsBetween(*frame)
     totals = base.groupBy(*part).agg(*[_AGG[aggs[n][0]](f"_v_{n}").alias(f"_t_{n}") for n in names])
     by_chunk = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
     before = Window.partitionBy(*keys).orderBy(by_chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -144,6 +153,8 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str, chunks: in
     must identify a row.
     """
     df = materialize(df)
+    if chunks is None and df.count() <= SMALL_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     chunks = chunks or shuffle_width(df)
     base = with_chunk(df, order[0], chunks)
     sizes = base.groupBy("_chunk").count()

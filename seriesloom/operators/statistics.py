@@ -143,8 +143,7 @@ def p_adjust(
 
     Equal p-values share their result, so distinct values are counted and scanned and
     the result is joined back by value.  Unless the p-values are ``stable`` (computed
-    from counts only), the input is checkpointed first: sums of doubles may differ in
-    the last bit when a stage is computed twice, and then values would not meet.
+    from counts, hence the same bits every time), the input is materialized first.
     """
     by = list(by)
     if not stable:

@@ -10,6 +10,7 @@ from seriesloom.plans.bindings import Tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_MODULE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None):
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
         _QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        _MODULE[name] = build.__module__.rsplit(".", 1)[-1]
         if sql:
             _SQL[name] = sql
         return build
@@ -49,3 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     load()
     return dict(_SQL)
+
+
+def module_of(name: str) -> str:
+    load()
+    return _MODULE[name]
