@@ -29,10 +29,10 @@ def positional_zip(a: DataFrame, b: DataFrame, order: Sequence[str]) -> DataFram
     return left.join(right, "_i").drop("_i")
 
 
-def concordant_de_join(a: DataFrame, b: DataFrame, alpha: float = 0.01) -> DataFrame:
+def concordant_de_join(a: DataFrame, b: DataFrame, alpha: float = 0.01, column: str = "padj") -> DataFrame:
     """Entities significant in both tables with both fold changes, their gap and whether the signs agree."""
-    left = a.filter(F.col("padj") <= alpha).select("entity", F.col("log2fc").alias("fc_a"))
-    right = b.filter(F.col("padj") <= alpha).select("entity", F.col("log2fc").alias("fc_b"))
+    left = a.filter(F.col(column) <= alpha).select("entity", F.col("log2fc").alias("fc_a"))
+    right = b.filter(F.col(column) <= alpha).select("entity", F.col("log2fc").alias("fc_b"))
     joined = left.join(right, "entity")
     return joined.withColumns(
         {"diff": F.abs(F.col("fc_a") - F.col("fc_b")), "concordant": F.signum("fc_a") == F.signum("fc_b")}

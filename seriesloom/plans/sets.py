@@ -104,11 +104,11 @@ def set_difference(t):
 
 @query(
     "intersect_de_sets",
-    with_("expr_g", "SELECT entity FROM de WHERE padj<=0.9 AND entity IN (SELECT 'G'||lpad(CAST(s_suppkey AS VARCHAR),7,'0') FROM supplier WHERE s_acctbal>0)", **DE_CTES),
+    with_("expr_g", "SELECT entity FROM de WHERE pvalue<=0.3 AND entity IN (SELECT 'G'||lpad(CAST(s_suppkey AS VARCHAR),7,'0') FROM supplier WHERE s_acctbal>0)", **DE_CTES),
 )
 def intersect_de_sets(t):
     listed = t.table("supplier").filter("s_acctbal > 0").select(g_id("s_suppkey").alias("entity"))
-    return de_table(t).filter("padj <= 0.9").select("entity").join(listed, "entity", "left_semi")
+    return de_table(t).filter("pvalue <= 0.3").select("entity").join(listed, "entity", "left_semi")
 
 
 @query(

@@ -166,12 +166,12 @@ CONC = dict(
     with_(
         "expr_g",
         """SELECT x.entity, round(x.log2fc,6) AS fc_a, round(y.log2fc,6) AS fc_b, round(abs(x.log2fc-y.log2fc),6) AS diff,
-           sign(x.log2fc)=sign(y.log2fc) AS concordant FROM de x JOIN e y ON x.entity=y.entity WHERE x.padj<=0.9 AND y.padj<=0.9""",
+           sign(x.log2fc)=sign(y.log2fc) AS concordant FROM de x JOIN e y ON x.entity=y.entity WHERE x.pvalue<=0.3 AND y.pvalue<=0.3""",
         **CONC,
     ),
 )
 def concordant_de_join(t):
-    out = N.concordant_de_join(de_table(t), de_contrast(t.expr_g, "A", "R"), alpha=0.9)
+    out = N.concordant_de_join(de_table(t), de_contrast(t.expr_g, "A", "R"), 0.3, "pvalue")
     return rounded(out, "fc_a", "fc_b", "diff")
 
 
