@@ -61,41 +61,32 @@ def t_quantile_975(df: Column) -> Column:
     return F.when(df < 1, F.lit(None)).when(df <= len(T_975), F.get(table, df.cast("int") - 1)).otherwise(far)
 
 
-def log_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0 by Stirling's series after a shift of eight."""
-    y = x + 8.0
-    shift = x
-    for i in range(1, 8):
-        shift = shift * (x + float(i))
-    inv = 1.0 / y
-    series = inv * (1 / 12.0 - inv * inv * (1 / 360.0 - inv * inv * (1 / 1260.0)))
-    return (y - 0.5) * F.ln(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.ln(shift)
+def log_factorial(n: Column) -> Column:
+    """ln n! for whole n: listed up to 20, Stirling's series beyond."""
+    table = F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(21)])
+    inv = 1.0 / n
+    series = (n + 0.5) * F.ln(n) - n + F.lit(0.5 * math.log(2 * math.pi)) + inv / 12.0
+    series = series - inv * inv * inv * (1 / 360.0 - inv * inv / 1260.0)
+    return F.when(n <= 20, F.get(table, n.cast("int"))).otherwise(series)
 
 
 def log_choose(n: Column, k: Column) -> Column:
-    n, k = n.cast("double"), k.cast("double")
-    return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
-def _hyper_bounds(good: Column, drawn: Column, total: Column) -> tuple[Column, Column, Column, Column]:
-    good, drawn, total = good.cast("double"), drawn.cast("double"), total.cast("double")
-    low = F.greatest(F.lit(0.0), drawn + good - total)
-    high = F.least(drawn, good)
-    mode = F.floor((drawn + 1.0) * (good + 1.0) / (total + 2.0)).cast("double")
-    var = F.coalesce(
-        safe_div(drawn * good * (total - good) * (total - drawn), total * total * (total - 1.0)), F.lit(0.0)
-    )
-    return low, high, mode, F.ceil(12.0 * F.sqrt(var)).cast("double") + 60.0
-
+def hypergeometric_pmf(k: Column, good: Column, drawn: Column, total: Column) -> Column:
+    """P(X = k) when ``drawn`` of ``total`` are taken and ``good`` of them count; all doubles."""
+    return F.exp(log_choose(good, k) + log_choose(total - good, drawn - k) - log_choose(total, drawn))
 
-def _hyper_log_pmf(k: Column, good: Column, drawn: Column, total: Column) -> Column:
-    return log_choose(good, k) + log_choose(total - good, drawn - k) - log_choose(total, drawn)
 
+def walk_tail(
+    start: Column, first: Column, count: Column, good: Column, drawn: Column, total: Column, up: bool, at_most: Column | None = None
+) -> Column:
+    """Sum of ``count`` hypergeometric probabilities from ``start`` on, each from the one before.
 
-def _walk(start: Column, count: Column, good: Column, drawn: Column, total: Column, up: bool) -> Column:
-    """Sum of ``count`` probabilities from ``start`` away from the mode, by their ratio."""
-    good, drawn, total = good.cast("double"), drawn.cast("double"), total.cast("double")
-    first = F.exp(_hyper_log_pmf(start, good, drawn, total))
+    ``first`` is the probability at ``start``; with ``at_most`` only probabilities up to
+    that bound are added.
+    """
 
     def step(acc: Column, i: Column) -> Column:
         k = start + i if up else start - i
@@ -103,8 +94,9 @@ def _walk(start: Column, count: Column, good: Column, drawn: Column, total: Colu
             ratio = (good - k) * (drawn - k) / ((k + 1.0) * (total - good - drawn + k + 1.0))
         else:
             ratio = k * (total - good - drawn + k) / ((good - k + 1.0) * (drawn - k + 1.0))
+        add = acc["p"] if at_most is None else F.when(acc["p"] <= at_most, acc["p"]).otherwise(F.lit(0.0))
         return F.struct(
-            (acc["s"] + acc["p"]).alias("s"), F.when(acc["p"] > 0, acc["p"] * ratio).otherwise(F.lit(0.0)).alias("p")
+            (acc["s"] + add).alias("s"), F.when(acc["p"] > 0, acc["p"] * ratio).otherwise(F.lit(0.0)).alias("p")
         )
 
     init = F.struct(F.lit(0.0).alias("s"), first.alias("p"))
@@ -112,35 +104,6 @@ def _walk(start: Column, count: Column, good: Column, drawn: Column, total: Colu
     return F.when(count < 1, F.lit(0.0)).otherwise(F.aggregate(steps, init, step, lambda acc: acc["s"]))
 
 
-def hypergeometric_sf(hits: Column, good: Column, drawn: Column, total: Column) -> Column:
-    """P(X >= hits) when ``drawn`` of ``total`` are taken and ``good`` of them count.
-
-    The tail away from the mode is summed.  Beyond twelve standard deviations its
-    terms lie below double precision, which bounds the number of steps.
-    """
-    low, high, mode, reach = _hyper_bounds(good, drawn, total)
-    hits = hits.cast("double")
-    above = _walk(hits, F.least(high - hits + 1.0, reach), good, drawn, total, True)
-    below = _walk(hits - 1.0, F.least(hits - low, reach), good, drawn, total, False)
-    tail = F.when(hits > mode, above).otherwise(1.0 - below)
-    return F.when(hits <= low, F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
-
-
-def hypergeometric_two_sided(hits: Column, good: Column, drawn: Column, total: Column) -> Column:
-    """Sum of all outcomes no likelier than the observed one (Fisher's two-sided p)."""
-    low, high, mode, reach = _hyper_bounds(good, drawn, total)
-    hits, good, drawn, total = (c.cast("double") for c in (hits, good, drawn, total))
-    reach = F.abs(hits - mode) + reach
-    first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
-    observed = _hyper_log_pmf(hits, good, drawn, total)
-    ks = F.sequence(first.cast("long"), last.cast("long"))
-    lp = F.transform(ks, lambda k: _hyper_log_pmf(k, good, drawn, total))
-    total_p = F.aggregate(
-        lp, F.lit(0.0), lambda acc, v: acc + F.when(v <= observed + 1e-7, F.exp(v)).otherwise(F.lit(0.0))
-    )
-    return F.least(total_p, F.lit(1.0))
-
-
 def t_two_sided(t: Column, df: Column) -> Column:
     """P(|T| > |t|) for whole degrees of freedom by the finite trigonometric series.
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import (
-    hypergeometric_sf,
-    hypergeometric_two_sided,
+    hypergeometric_pmf,
     normal_sf,
     probit,
     safe_div,
     t_two_sided,
+    walk_tail,
 )
 from seriesloom.operators.intervals import first_per_group, interval_scores, overlap_join
 from seriesloom.operators.scan import global_row_number, running
@@ -128,26 +128,63 @@ def rank_sum(
     )
 
 
+def exact_p(
+    df: DataFrame, hits: Column, good: Column, drawn: Column, total: Column, alternative: str, out: str = "pvalue"
+) -> DataFrame:
+    """Hypergeometric p-value per row: ``greater`` (upper tail) or ``two-sided`` (Fisher).
+
+    Tails are summed away from the mode, where they fall; terms further out than twelve
+    standard deviations lie below double precision, which bounds the number of steps.
+    """
+    k, g, n, t = (F.col(c) for c in ("_k", "_g", "_n", "_t"))
+    d = df.withColumns({"_k": hits.cast("double"), "_g": good.cast("double"), "_n": drawn.cast("double"), "_t": total.cast("double")})
+    var = F.coalesce(safe_div(n * g * (t - g) * (t - n), t * t * (t - 1.0)), F.lit(0.0))
+    d = d.withColumns(
+        {
+            "_lo": F.greatest(F.lit(0.0), n + g - t),
+            "_hi": F.least(n, g),
+            "_mode": F.floor((n + 1.0) * (g + 1.0) / (t + 2.0)).cast("double"),
+            "_reach": F.ceil(12.0 * F.sqrt(var)).cast("double") + 60.0,
+            "_pk": hypergeometric_pmf(k, g, n, t),
+        }
+    )
+    lo, hi, mode, reach, pk = (F.col(c) for c in ("_lo", "_hi", "_mode", "_reach", "_pk"))
+    up = walk_tail(k, pk, F.least(hi - k + 1.0, reach), g, n, t, True)
+    if alternative == "greater":
+        d = d.withColumn("_pb", F.when(k > lo, hypergeometric_pmf(F.greatest(k - 1.0, lo), g, n, t)).otherwise(F.lit(0.0)))
+        below = walk_tail(k - 1.0, F.col("_pb"), F.least(k - lo, reach), g, n, t, False)
+        p = F.when(k <= lo, F.lit(1.0)).when(k > mode, up).otherwise(1.0 - below)
+    elif alternative == "two-sided":
+        d = d.withColumn("_pm", hypergeometric_pmf(mode, g, n, t)).withColumn("_cap", pk * (1.0 + 1e-7))
+        pm, cap = F.col("_pm"), F.col("_cap")
+        down = walk_tail(k, pk, F.least(k - lo + 1.0, reach), g, n, t, False)
+        other_down = walk_tail(mode, pm, F.least(mode - lo + 1.0, reach), g, n, t, False, cap)
+        other_up = walk_tail(mode, pm, F.least(hi - mode + 1.0, reach), g, n, t, True, cap)
+        p = F.when(k > mode, up + other_down).when(k < mode, down + other_up).otherwise(F.lit(1.0))
+    else:
+        raise ValueError("alternative must be 'greater' or 'two-sided'")
+    kept = [c for c in df.columns if c != out]
+    return d.select(*kept, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias(out))
+
+
 def fisher(df: DataFrame, alternative: str = "two-sided") -> DataFrame:
     """Exact test of 2x2 counts a, b, c, d (rows a b / c d) with the sample odds ratio."""
     a, b, c, d = (F.col(x) for x in "abcd")
-    test = hypergeometric_sf if alternative == "greater" else hypergeometric_two_sided
     odds = safe_div(a.cast("double") * d, (b * c).cast("double"))
-    return df.withColumn("odds", odds).withColumn("pvalue", test(a, a + b, a + c, a + b + c + d))
+    return exact_p(df.withColumn("odds", odds), a, a + b, a + c, a + b + c + d, alternative)
 
 
 def p_adjust(
-    df: DataFrame, p: str = "pvalue", method: str = "BH", out: str = "padj", by: Sequence[str] = (), stable: bool = False
+    df: DataFrame, p: str = "pvalue", method: str = "BH", out: str = "padj", by: Sequence[str] = ()
 ) -> DataFrame:
     """Benjamini-Hochberg, Holm or Bonferroni over all rows or per group; null stays null.
 
     Equal p-values share their result, so distinct values are counted and scanned and
-    the result is joined back by value.  Unless the p-values are ``stable`` (computed
-    from counts, hence the same bits every time), the input is materialized first.
+    the result is joined back by value.  The input is materialized first, so that both
+    sides hold the same bits.
     """
     by = list(by)
-    if not stable:
-        df = materialize(df)
+    df = materialize(df)
     counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
 
     def sized(part: DataFrame) -> DataFrame:
@@ -212,8 +249,8 @@ def token_enrichment(pairs: DataFrame, left: DataFrame, right: DataFrame, tokens
     forced = (a + b == 0) | ((a == ta) & (b == tb))
     odds = safe_div(a.cast("double") * (tb - b), (b * (ta - a)).cast("double"))
     per = per.withColumn("odds", F.when(forced, F.lit(1.0)).otherwise(odds))
-    per = per.withColumn("pvalue", hypergeometric_sf(a, a + b, ta, ta + tb))
-    return p_adjust(per, "pvalue", "holm", "qvalue", stable=True)
+    per = exact_p(per, a, a + b, ta, ta + tb, "greater")
+    return p_adjust(per, "pvalue", "holm", "qvalue")
 
 
 def over_representation(
@@ -239,9 +276,8 @@ def over_representation(
     out = out.join(hit_sizes, by) if by else out.withColumn("n_hits", hit_sizes.select("n_hits").scalar())
     out = out.withColumn("n_total", total)
     fold = (F.col("n_hit") / F.col("n_hits")) / (F.col("n_cat") / F.col("n_total"))
-    out = out.withColumn("fold", F.round(fold, 3)).withColumn(
-        "pvalue", hypergeometric_sf(F.col("n_hit"), F.col("n_cat"), F.col("n_hits"), F.col("n_total"))
-    )
+    out = out.withColumn("fold", F.round(fold, 3))
+    out = exact_p(out, F.col("n_hit"), F.col("n_cat"), F.col("n_hits"), F.col("n_total"), "greater")
     if strata is not None:
         layered = strata.select("id", "stratum")
         rate_hits = kept.join(layered, "id").groupBy(*by, "stratum").agg(F.count(F.lit(1)).alias("_h"))
@@ -252,7 +288,7 @@ def over_representation(
             F.sum(F.col("_c") * F.col("_rate")).alias("expected")
         )
         out = out.join(expected, [*by, "category"], "left")
-    return p_adjust(out, "pvalue", "BH", "padj", by=by, stable=True)
+    return p_adjust(out, "pvalue", "BH", "padj", by=by)
 
 
 def category_overlap_test(cluster_pairs: DataFrame, terms: DataFrame, max_q: float | None = 0.01) -> DataFrame:
@@ -277,7 +313,7 @@ def category_overlap_test(cluster_pairs: DataFrame, terms: DataFrame, max_q: flo
         .withColumn("d", universe - F.col("a") - F.col("b") - F.col("c"))
         .drop("_n1", "_n2")
     )
-    out = p_adjust(fisher(table), "pvalue", "BH", "qvalue", stable=True)
+    out = p_adjust(fisher(table), "pvalue", "BH", "qvalue")
     return out if max_q is None else out.filter(F.col("qvalue") < max_q)
 
 

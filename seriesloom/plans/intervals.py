@@ -77,7 +77,7 @@ def merged_sql(src: str, by: str) -> str:
         "iv",
         """SELECT a.id FROM iv a LEFT JOIN mg b ON a.seq=b.seq AND a.strand=b.strand AND a.start<b."end" AND b.start<a."end"
            WHERE a.feature='click' GROUP BY a.id, a.start, a."end"
-           HAVING coalesce(sum(least(a."end",b."end")-greatest(a.start,b.start)),0)/(a."end"-a.start) < 0.75""",
+           HAVING coalesce(sum(CASE WHEN b.start IS NOT NULL THEN least(a."end",b."end")-greatest(a.start,b.start) END),0)/(a."end"-a.start) < 0.75""",
         src="SELECT * FROM iv WHERE feature='purchase'",
         mg=merged_sql("src", "seq, strand"),
     ),

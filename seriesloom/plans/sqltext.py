@@ -47,13 +47,17 @@ def hyper_sql(k: str, good: str, drawn: str, total: str, two_sided: bool = False
 
 
 def t_sql(t: str, df: str) -> str:
-    """P(|T| > |t|) for odd degrees of freedom by the closed series with gamma functions."""
+    """P(|T| > |t|) for whole degrees of freedom by the closed series with gamma functions."""
     th = f"atan(abs({t})/sqrt({df}))"
-    terms = (
-        f"list_sum(list_transform(range(0,CAST(({df}-1)/2 AS BIGINT)), lambda j: pow(cos({th}),2*j+1)"
+    odd = (
+        f"list_sum(list_transform(range(0,CAST(({df}-1)//2 AS BIGINT)), lambda j: pow(cos({th}),2*j+1)"
         f"*exp(lgamma(j+1.0::DOUBLE)+lgamma(1.5::DOUBLE)-lgamma(j+1.5::DOUBLE))))"
     )
-    return f"(1-2/pi()*({th}+sin({th})*coalesce({terms},0)))"
+    even = (
+        f"list_sum(list_transform(range(0,CAST({df}//2 AS BIGINT)), lambda j: pow(cos({th}),2*j)"
+        f"*exp(lgamma(j+0.5::DOUBLE)-lgamma(0.5::DOUBLE)-lgamma(j+1.0::DOUBLE))))"
+    )
+    return f"(CASE WHEN {df}%2=1 THEN 1-2/pi()*({th}+sin({th})*coalesce({odd},0)) ELSE 1-sin({th})*coalesce({even},0) END)"
 
 
 def signif_sql(x: str, digits: int) -> str:

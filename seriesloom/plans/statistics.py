@@ -111,17 +111,17 @@ PVALS = f"SELECT id, {hyper_sql('a', 'a+b', 'a+c', 'a+b+c+d', True)} AS pvalue F
 
 @query("p_adjust_bh", with_("", "SELECT id, round(padj,6) AS padj FROM x", p=PVALS, x=bh_sql("p")))
 def p_adjust_bh(t):
-    return rounded(T.p_adjust(T.fisher(flag_tables(t)), stable=True).select("id", "padj"), "padj")
+    return rounded(T.p_adjust(T.fisher(flag_tables(t))).select("id", "padj"), "padj")
 
 
 @query("p_adjust_holm", with_("", "SELECT id, round(padj,6) AS padj FROM x", p=PVALS, x=holm_sql("p")))
 def p_adjust_holm(t):
-    return rounded(T.p_adjust(T.fisher(flag_tables(t)), method="holm", stable=True).select("id", "padj"), "padj")
+    return rounded(T.p_adjust(T.fisher(flag_tables(t)), method="holm").select("id", "padj"), "padj")
 
 
 @query("p_adjust_bonferroni", with_("", "SELECT id, round(least(1.0::DOUBLE, pvalue*count(*) OVER ()),6) AS padj FROM p", p=PVALS))
 def p_adjust_bonferroni(t):
-    return rounded(T.p_adjust(T.fisher(flag_tables(t)), method="bonferroni", stable=True).select("id", "padj"), "padj")
+    return rounded(T.p_adjust(T.fisher(flag_tables(t)), method="bonferroni").select("id", "padj"), "padj")
 
 
 @query(
