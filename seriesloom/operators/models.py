@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.functions.vectors import unit_series
 from seriesloom.operators.expression import to_series
@@ -163,7 +164,16 @@ def hotelling(df: DataFrame, times: Sequence[int], conditions: Sequence[str], ri
     )
 
 
-@F.pandas_udf("array<struct<component:int,vector:array<double>,share:double>>")
+_COMPONENT = T.StructType(
+    [
+        T.StructField("component", T.IntegerType()),
+        T.StructField("vector", T.ArrayType(T.DoubleType())),
+        T.StructField("share", T.DoubleType()),
+    ]
+)
+
+
+@F.pandas_udf(T.ArrayType(_COMPONENT))
 def _eigen(gram: pd.Series, size: pd.Series) -> pd.Series:
     """Leading eigenvectors of packed symmetric matrices with their share of the trace."""
     out = []
