@@ -22,9 +22,9 @@ def rank_sum_ctes(src: str, pairs: str) -> dict[str, str]:
     return dict(
         src=src,
         pr=pairs,
-        pool="""SELECT c1, c2, cat, value, rank() OVER (PARTITION BY c1,c2 ORDER BY value) + (count(*) OVER (PARTITION BY c1,c2,value)-1)/2.0 AS r,
+        ranked="""SELECT c1, c2, cat, value, rank() OVER (PARTITION BY c1,c2 ORDER BY value) + (count(*) OVER (PARTITION BY c1,c2,value)-1)/2.0 AS r,
                 count(*) OVER (PARTITION BY c1,c2,value) AS tie FROM src JOIN pr ON cat=c1 OR cat=c2""",
-        ag="""SELECT c1, c2, count(*) FILTER (cat=c1) AS n1, count(*) FILTER (cat=c2) AS n2, sum(r) FILTER (cat=c1) AS rs, sum(tie*tie-1.0::DOUBLE) AS ties FROM pool GROUP BY 1,2""",
+        ag="""SELECT c1, c2, count(*) FILTER (cat=c1) AS n1, count(*) FILTER (cat=c2) AS n2, sum(r) FILTER (cat=c1) AS rs, sum(tie*tie-1.0::DOUBLE) AS ties FROM ranked GROUP BY 1,2""",
         st0="""SELECT c1 AS cat1, c2 AS cat2, n1, n2, rs-n1*(n1+1)/2.0 AS w, sqrt(n1/12.0*n2*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1.0)))) AS sg FROM ag""",
     )
 
