@@ -185,7 +185,7 @@ def spliced_length(exons: DataFrame, key: str) -> DataFrame:
 
 def merged_length(exons: DataFrame, key: str) -> DataFrame:
     """Bases covered per entity, shared exons counted once."""
-    return spliced_length(merge_intervals(exons, [key, "seq"]), key)
+    return spliced_length(merge_intervals(exons, list(dict.fromkeys([key, "seq"]))), key)
 
 
 def extents(df: DataFrame, key: str, labels: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.functions.vectors import shifted_dot, total, unit_series
 from seriesloom.operators.expression import to_series
@@ -156,7 +157,7 @@ def covariance_sum_filter(df: DataFrame, times: Sequence[int], quantile: int) ->
     return sums.filter((F.col("cov_sum") > cut) & (F.col("cov_sum") > normal_cut))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _dtw(x: pd.Series, y: pd.Series) -> pd.Series:
     """Dynamic time warping of a batch of pairs at once: |x - y| cost, diagonal steps count twice."""
     if len(x) == 0:

@@ -177,7 +177,7 @@ def spliced_length(t):
     with_("iv", 'SELECT seq, CAST(sum("end"-start) AS BIGINT) AS length FROM mg GROUP BY 1', mg=merged_sql("iv", "seq")),
 )
 def merged_length(t):
-    return V.spliced_length(V.merge_intervals(t.iv, ["seq"]), "seq")
+    return V.merged_length(t.iv, "seq")
 
 
 @query(
