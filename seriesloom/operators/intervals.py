@@ -1,4 +1,4 @@
-"""Interval algebra on half-open ranges ``seq, start, end``.
+"""Interval algebra on half-open ranges ``seq, start, end``; an empty range overlaps nothing.
 
 Joins that must list every overlapping pair cut the axis into bins and join on
 (seq, bin).  Questions that need one answer per interval - is it covered, contained,
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.numeric import safe_div
 from seriesloom.operators.scan import asof_running, running
 from seriesloom.operators.skew import salted_join
 from seriesloom.session import materialize
@@ -64,8 +65,9 @@ def contained_semi(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def overlaps_any(a: DataFrame, b: DataFrame, flag: str | None = None, keys: Sequence[str] = ("seq",)) -> DataFrame:
     """Rows of ``a`` that overlap some interval of ``b``, or all rows with a flag column."""
-    reach = asof_running(a, b, keys, "end", "start", {"_far": ("max", F.col("end"))}, inclusive=False)
-    hit = F.coalesce(F.col("_far") > F.col("start"), F.lit(False))
+    solid = b.filter(F.col("start") < F.col("end"))
+    reach = asof_running(a, solid, keys, "end", "start", {"_far": ("max", F.col("end"))}, inclusive=False)
+    hit = F.coalesce(F.col("_far") > F.col("start"), F.lit(False)) & (F.col("start") < F.col("end"))
     if flag:
         return reach.select(*a.columns, hit.alias(flag))
     return reach.filter(hit).select(*a.columns)
@@ -103,8 +105,8 @@ def subtract_fraction(a: DataFrame, b: DataFrame, fraction: float = 0.75, strand
     merged = materialize(merge_intervals(b, keys))
     out = materialize(covered_bases(a, merged, keys, "end", "_to_end"))
     out = covered_bases(out, merged, keys, "start", "_to_start")
-    share = (F.col("_to_end") - F.col("_to_start")) / (F.col("end") - F.col("start"))
-    return out.filter(share < fraction).select(*a.columns)
+    share = safe_div(F.col("_to_end") - F.col("_to_start"), F.col("end") - F.col("start"))
+    return out.filter(F.coalesce(share, F.lit(0.0)) < fraction).select(*a.columns)
 
 
 def nearest_join(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:

@@ -255,8 +255,8 @@ PEAKS = dict(
     pk="SELECT * FROM iv WHERE feature='purchase'",
     un="SELECT * FROM iv WHERE feature='click' AND value>200",
     mg=merged_sql("un", "seq, strand"),
-    kept="""SELECT a.* FROM pk a LEFT JOIN mg b ON a.seq=b.seq AND a.strand=b.strand AND a.start<b."end" AND b.start<a."end" GROUP BY ALL
-        HAVING coalesce(sum(CASE WHEN b.start IS NOT NULL THEN least(a."end",b."end")-greatest(a.start,b.start) END),0)/(a."end"-a.start) < 0.75""",
+    kept="""SELECT a.* FROM pk a LEFT JOIN mg b ON a.seq=b.seq AND a.strand=b.strand AND greatest(a.start,b.start)<least(a."end",b."end") GROUP BY ALL
+        HAVING coalesce(coalesce(sum(CASE WHEN b.start IS NOT NULL THEN least(a."end",b."end")-greatest(a.start,b.start) END),0)/nullif(a."end"-a.start,0),0) < 0.75""",
     z="""SELECT x.id AS old_id, y.id AS new_id FROM (SELECT id, row_number() OVER (ORDER BY start,id) AS i FROM kept) x JOIN
         (SELECT id, row_number() OVER (ORDER BY start,id) AS i FROM iv WHERE feature='signup') y USING (i)""",
     ft="SELECT * FROM iv WHERE feature='error'",
@@ -270,7 +270,7 @@ PEAKS = dict(
     with_(
         "iv",
         """SELECT l.seq, l.start, l."end", k.id AS peak, least(l."end",k."end")-greatest(l.start,k.start) AS width, round(e.value,6) AS tpm
-           FROM ln l JOIN kept k ON k.seq=l.seq AND k.start<l."end" AND l.start<k."end" JOIN z ON z.old_id=k.id JOIN events e ON e.event_id=z.new_id""",
+           FROM ln l JOIN kept k ON k.seq=l.seq AND greatest(k.start,l.start)<least(k."end",l."end") JOIN z ON z.old_id=k.id JOIN events e ON e.event_id=z.new_id""",
         **PEAKS,
     ),
 )
@@ -291,7 +291,7 @@ def bridge_sample_sql(flag: str) -> str:
     base = BRIDGE
     two = base["two"].replace("FROM reads", f"FROM (SELECT * FROM rd WHERE flag='{flag}')")
     return f"""SELECT s.symbol, '{flag}' AS sample, count(DISTINCT r.qname) AS n FROM (SELECT * FROM seg WHERE p_type='STANDARD') s LEFT JOIN
-       (WITH two AS ({two}), fl AS ({base['fl']}), ok AS ({base['ok']}) SELECT two.* FROM two JOIN ok USING (qname)) r ON r.start<s."end" AND s.start<r."end" GROUP BY 1"""
+       (WITH two AS ({two}), fl AS ({base['fl']}), ok AS ({base['ok']}) SELECT two.* FROM two JOIN ok USING (qname)) r ON greatest(r.start,s.start)<least(r."end",s."end") GROUP BY 1"""
 
 
 @query(
@@ -329,7 +329,7 @@ def bridge_counts(t):
     f"""WITH si AS ({PLACED}), tg AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, substr(o_orderpriority,3,20) AS seq, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s FROM orders),
         ex AS (SELECT id, seq, s AS start, s+100 AS "end" FROM tg UNION ALL SELECT id, seq, s+500, s+600 FROM tg)
         SELECT ex.id AS target, count(*) AS n_sites, count(DISTINCT si.token) AS n_tokens, CAST(sum(least(si."end",ex."end")-greatest(si.start,ex.start)) AS BIGINT) AS bases
-        FROM si JOIN ex ON si.target=ex.id AND si.seq=ex.seq AND si.start<ex."end" AND ex.start<si."end"
+        FROM si JOIN ex ON si.target=ex.id AND si.seq=ex.seq AND greatest(si.start,ex.start)<least(si."end",ex."end")
         WHERE si.token IN (SELECT 'mmu-'||p_partkey FROM part WHERE p_type='SMALL') GROUP BY 1""",
 )
 def site_pipeline(t):

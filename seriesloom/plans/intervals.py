@@ -18,7 +18,7 @@ BIN = 100_000
     with_(
         "iv",
         """SELECT v.id AS site_id, p.id AS feature_id, p.strand AS source FROM iv v JOIN iv p ON v.seq=p.seq AND v.feature='view'
-           AND p.feature='purchase' AND v.start<p."end" AND p.start<v."end\"""",
+           AND p.feature='purchase' AND greatest(v.start,p.start)<least(v."end",p."end")""",
     ),
 )
 def interval_overlap_join(t):
@@ -33,7 +33,7 @@ def interval_overlap_join(t):
         "iv",
         """SELECT v.id AS a_id, v.start AS a_start, v."end" AS a_end, p.id AS b_id, p.start AS b_start, p."end" AS b_end,
            least(v."end",p."end")-greatest(v.start,p.start) AS width FROM iv v JOIN iv p ON v.seq=p.seq AND v.feature='click'
-           AND p.feature='signup' AND v.start<p."end" AND p.start<v."end\"""",
+           AND p.feature='signup' AND greatest(v.start,p.start)<least(v."end",p."end")""",
     ),
 )
 def interval_overlap_width(t):
@@ -58,7 +58,7 @@ def interval_contained_filter(t):
     with_(
         "iv",
         """SELECT id FROM iv v WHERE feature='view' AND EXISTS (SELECT 1 FROM iv p WHERE p.feature='purchase' AND p.seq=v.seq
-           AND v.start<p."end" AND p.start<v."end")""",
+           AND greatest(v.start,p.start)<least(v."end",p."end"))""",
     ),
 )
 def interval_overlaps_any(t):
@@ -75,9 +75,9 @@ def merged_sql(src: str, by: str) -> str:
     "interval_subtract_fraction",
     with_(
         "iv",
-        """SELECT a.id FROM iv a LEFT JOIN mg b ON a.seq=b.seq AND a.strand=b.strand AND a.start<b."end" AND b.start<a."end"
+        """SELECT a.id FROM iv a LEFT JOIN mg b ON a.seq=b.seq AND a.strand=b.strand AND greatest(a.start,b.start)<least(a."end",b."end")
            WHERE a.feature='click' GROUP BY a.id, a.start, a."end"
-           HAVING coalesce(sum(CASE WHEN b.start IS NOT NULL THEN least(a."end",b."end")-greatest(a.start,b.start) END),0)/(a."end"-a.start) < 0.75""",
+           HAVING coalesce(coalesce(sum(CASE WHEN b.start IS NOT NULL THEN least(a."end",b."end")-greatest(a.start,b.start) END),0)/nullif(a."end"-a.start,0),0) < 0.75""",
         src="SELECT * FROM iv WHERE feature='purchase'",
         mg=merged_sql("src", "seq, strand"),
     ),
@@ -227,7 +227,7 @@ def read_pair_bridge(t):
     with_(
         "reads seg",
         """SELECT s.symbol, count(DISTINCT r.qname) AS n_pairs FROM (SELECT * FROM seg WHERE p_type='STANDARD') s
-           LEFT JOIN (SELECT two.* FROM two JOIN ok USING (qname)) r ON r.start<s."end" AND s.start<r."end" GROUP BY 1""",
+           LEFT JOIN (SELECT two.* FROM two JOIN ok USING (qname)) r ON greatest(r.start,s.start)<least(r."end",s."end") GROUP BY 1""",
         **BRIDGE,
     ),
 )

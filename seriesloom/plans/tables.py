@@ -190,7 +190,7 @@ def transcript_to_gene_map(t):
     with_(
         "iv",
         """SELECT x.id AS a_id, y.id AS b_id, e.event_type AS kind, round(e.value,6) AS tpm FROM iv x JOIN iv y ON x.seq=y.seq AND x.feature='view'
-           AND y.feature='purchase' AND x.start<y."end" AND y.start<x."end" JOIN events e ON e.event_id=y.id""",
+           AND y.feature='purchase' AND greatest(x.start,y.start)<least(x."end",y."end") JOIN events e ON e.event_id=y.id""",
     ),
 )
 def tpm_by_interval(t):
