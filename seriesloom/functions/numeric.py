@@ -61,47 +61,45 @@ def t_quantile_975(df: Column) -> Column:
     return F.when(df < 1, F.lit(None)).when(df <= len(T_975), F.get(table, df.cast("int") - 1)).otherwise(far)
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n! for whole n: listed up to 20, Stirling's series beyond."""
-    table = F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(21)])
-    inv = 1.0 / n
-    series = (n + 0.5) * F.ln(n) - n + F.lit(0.5 * math.log(2 * math.pi)) + inv / 12.0
-    series = series - inv * inv * inv * (1 / 360.0 - inv * inv / 1260.0)
-    return F.when(n <= 20, F.get(table, n.cast("int"))).otherwise(series)
+def log_factorial(n: str) -> str:
+    """SQL text of ln n! for a whole double column: listed below 8, Stirling's series from there."""
+    table = ", ".join(f"{math.lgamma(i + 1.0)!r}D" for i in range(8))
+    half_log = repr(0.5 * math.log(2 * math.pi))
+    tail = f"1D/(12*{n}) - 1D/(360*pow({n},3)) + 1D/(1260*pow({n},5)) - 1D/(1680*pow({n},7))"
+    return f"CASE WHEN {n} < 8 THEN get(array({table}), int({n})) ELSE ({n}+0.5D)*ln({n}) - {n} + {half_log}D + {tail} END"
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+def log_choose(n: str, k: str) -> str:
+    rest = f"({n}-{k})"
+    return f"(({log_factorial(n)}) - ({log_factorial(k)}) - ({log_factorial(rest)}))"
 
 
-def hypergeometric_pmf(k: Column, good: Column, drawn: Column, total: Column) -> Column:
-    """P(X = k) when ``drawn`` of ``total`` are taken and ``good`` of them count; all doubles."""
-    return F.exp(log_choose(good, k) + log_choose(total - good, drawn - k) - log_choose(total, drawn))
+def hypergeometric_pmf(k: str, good: str, drawn: str, total: str) -> Column:
+    """P(X = k) when ``drawn`` of ``total`` are taken and ``good`` of them count; double columns."""
+    bad, left = f"({total}-{good})", f"({drawn}-{k})"
+    return F.expr(f"exp({log_choose(good, k)} + {log_choose(bad, left)} - {log_choose(total, drawn)})")
 
 
 def walk_tail(
-    start: Column, first: Column, count: Column, good: Column, drawn: Column, total: Column, up: bool, at_most: Column | None = None
+    start: str, first: str, count: str, good: str, drawn: str, total: str, up: bool, at_most: str | None = None
 ) -> Column:
     """Sum of ``count`` hypergeometric probabilities from ``start`` on, each from the one before.
 
     ``first`` is the probability at ``start``; with ``at_most`` only probabilities up to
-    that bound are added.
+    that bound are added.  All arguments are SQL text over double columns.
     """
-
-    def step(acc: Column, i: Column) -> Column:
-        k = start + i if up else start - i
-        if up:
-            ratio = (good - k) * (drawn - k) / ((k + 1.0) * (total - good - drawn + k + 1.0))
-        else:
-            ratio = k * (total - good - drawn + k) / ((good - k + 1.0) * (drawn - k + 1.0))
-        add = acc["p"] if at_most is None else F.when(acc["p"] <= at_most, acc["p"]).otherwise(F.lit(0.0))
-        return F.struct(
-            (acc["s"] + add).alias("s"), F.when(acc["p"] > 0, acc["p"] * ratio).otherwise(F.lit(0.0)).alias("p")
-        )
-
-    init = F.struct(F.lit(0.0).alias("s"), first.alias("p"))
-    steps = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: i.cast("double"))
-    return F.when(count < 1, F.lit(0.0)).otherwise(F.aggregate(steps, init, step, lambda acc: acc["s"]))
+    if up:
+        k = f"({start}+i)"
+        ratio = f"({good}-{k})*({drawn}-{k})/(({k}+1)*({total}-{good}-{drawn}+{k}+1))"
+    else:
+        k = f"({start}-i)"
+        ratio = f"{k}*({total}-{good}-{drawn}+{k})/(({good}-{k}+1)*({drawn}-{k}+1))"
+    add = "acc.p" if at_most is None else f"CASE WHEN acc.p <= {at_most} THEN acc.p ELSE 0D END"
+    step = f"named_struct('s', acc.s + {add}, 'p', CASE WHEN acc.p > 0 THEN acc.p*{ratio} ELSE 0D END)"
+    return F.expr(
+        f"CASE WHEN {count} < 1 THEN 0D ELSE aggregate(sequence(0, int({count})-1), "
+        f"named_struct('s', 0D, 'p', {first}), (acc, i) -> {step}, acc -> acc.s) END"
+    )
 
 
 def t_two_sided(t: Column, df: Column) -> Column:

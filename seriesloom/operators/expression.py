@@ -135,7 +135,10 @@ def zero_time_backfill(df: DataFrame, source: str, targets: Sequence[str]) -> Da
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
-    """Median of count / geometric mean per sample, over entities seen in every sample."""
+    """Median of count / geometric mean per sample, over entities seen in every sample.
+
+    ``counts`` is read three times; pass a stored table.
+    """
     samples = counts.agg(F.count_distinct("sample")).scalar()
     geo = (
         counts.filter("count > 0")

@@ -37,6 +37,9 @@ def block_pairs(left: DataFrame, right: DataFrame, key: str, same: bool = False,
     side = max(1, math.ceil(math.sqrt(4 * shuffle_width(left))))
     rows, cols = grid or (side, side)
     cells = F.col("_cell")
+    # Few rows go in and many pairs come out, so the number of tasks is fixed here and not
+    # left to the size of the shuffle.
+    tasks = shuffle_width(left)
     if same:
         # Cells at or above the diagonal: a row is left in its block's row and right in its column.
         tagged = left.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(rows)).cast("int"))
@@ -46,7 +49,7 @@ def block_pairs(left: DataFrame, right: DataFrame, key: str, same: bool = False,
         b = tagged.select(F.explode(as_right).alias("_cell"), F.struct(*left.columns).alias("_y"))
         ordered = F.col(f"_x.{key}") <= F.col(f"_y.{key}")
         diagonal = F.floor(cells / rows) == F.pmod(cells, F.lit(rows))
-        met = a.join(b, "_cell").filter(~diagonal | ordered)
+        met = a.repartition(tasks, "_cell").join(b.repartition(tasks, "_cell"), "_cell").filter(~diagonal | ordered)
         low = F.when(ordered, F.col("_x")).otherwise(F.col("_y"))
         high = F.when(ordered, F.col("_y")).otherwise(F.col("_x"))
         return met.select(
@@ -58,7 +61,7 @@ def block_pairs(left: DataFrame, right: DataFrame, key: str, same: bool = False,
     b = right.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda o: o * cols + rb)))
     a = a.select(cells, *[F.col(c).alias(f"a_{c}") for c in left.columns])
     b = b.select(cells, *[F.col(c).alias(f"b_{c}") for c in right.columns])
-    return a.join(b, "_cell").drop("_cell")
+    return a.repartition(tasks, "_cell").join(b.repartition(tasks, "_cell"), "_cell").drop("_cell")
 
 
 def scored_series(df: DataFrame, times: Sequence[int], method: str = "cross") -> tuple[DataFrame, int]:

@@ -19,6 +19,13 @@ from seriesloom.session import materialize, shuffle_width
 # Tables up to this many rows are scanned by one plain window: the size is checked, not assumed.
 SMALL_ROWS = 200_000
 
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether a stored table has at most ``SMALL_ROWS`` rows (answered from file footers)."""
+    return table.count() <= SMALL_ROWS
+
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -68,7 +75,7 @@ def running(
     names = list(aggs)
     by = F.col(order).desc() if reverse else F.col(order).asc()
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-    if chunks is None and df.count() <= SMALL_ROWS:
+    if chunks is None and is_small(df):
         whole = Window.partitionBy(*keys).orderBy(by).rowsBetween(*frame)
         plain = [_AGG[kind](col).over(whole).alias(n) for n, (kind, col) in aggs.items()]
         zero = {n for n in names if aggs[n][0] == "sum"}
@@ -153,7 +160,7 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str, chunks: in
     must identify a row.
     """
     df = materialize(df)
-    if chunks is None and df.count() <= SMALL_ROWS:
+    if chunks is None and is_small(df):
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     chunks = chunks or shuffle_width(df)
     base = with_chunk(df, order[0], chunks)
@@ -184,6 +191,10 @@ def exact_quantiles(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).alias("_n")
     )
+    counts = materialize(counts)
+    if chunks is None and is_small(counts):
+        exact = [F.expr(f"percentile(_x, {float(q)!r}D, _n)").alias(name) for name, q in probs.items()]
+        return counts.groupBy(*keys).agg(F.sum("_n").alias("n"), *exact)
     ranked = running(counts, keys, "_x", {"_cum": ("sum", F.col("_n"))}, chunks=chunks)
     if keys:
         sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import safe_div
 from seriesloom.operators.skew import salted_join
+from seriesloom.session import materialize
 
 
 def intersect_n(df: DataFrame, sources: int, source: str = "source", key: str = "id", extra: Sequence[str] = ()) -> DataFrame:
@@ -67,28 +68,40 @@ def token_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("entity", "token").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
-def _shared_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row per (a, b, token) with the token in both catalogs.
+def _per_entity(pairs: DataFrame, side: str) -> DataFrame:
+    return pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
 
-    Pairs expand by the tokens of ``a`` and meet ``b`` on (b, token), where the catalog
-    is unique: no pairs are formed within a token, however common it is.
+
+def _token_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """The tokens of ``a`` for every pair, met with ``b`` on (b, token).
+
+    The right catalog is unique on (entity, token): no pairs are formed within a token,
+    however common it is, and entities that are in very many pairs are salted.
     """
     la = left.select(F.col("entity").alias("a"), *[c for c in left.columns if c != "entity"])
     rb = right.select(F.col("entity").alias("b"), *[c for c in right.columns if c != "entity"])
-    expanded = salted_join(pairs.select("a", "b"), la, "a")
-    return salted_join(expanded, rb, ["b", "token"])
+    expanded = salted_join(pairs, la, "a", how, key_counts=_per_entity(pairs, "a"))
+    return salted_join(expanded, rb, ["b", "token"], how, key_counts=_per_entity(pairs, "b"))
 
 
 def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Shared and unshared tokens per pair, shares of both sets and the joined list."""
-    shared = _shared_rows(pairs, left, right).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_shared"), F.array_sort(F.collect_list("token")).alias("_tokens")
+    """Shared and unshared tokens per pair, shares of both sets and the joined list.
+
+    One pass over the tokens of ``a`` gives its set size and what it shares.
+    """
+    pairs = materialize(pairs.select("a", "b").distinct())
+    hit = F.col("_in_b").isNotNull()
+    per = (
+        _token_rows(pairs, left, right.withColumn("_in_b", F.lit(1)), "left")
+        .groupBy("a", "b")
+        .agg(
+            F.count("token").alias("size_a"),
+            F.count_if(hit).alias("n_shared"),
+            F.array_sort(F.collect_list(F.when(hit, F.col("token")))).alias("_tokens"),
+        )
     )
-    size_a = left.groupBy(F.col("entity").alias("a")).agg(F.count(F.lit(1)).alias("size_a"))
     size_b = right.groupBy(F.col("entity").alias("b")).agg(F.count(F.lit(1)).alias("size_b"))
-    out = salted_join(pairs.select("a", "b"), size_a, "a", "left")
-    out = salted_join(out, size_b, "b", "left").join(shared, ["a", "b"], "left")
-    out = out.na.fill({"size_a": 0, "size_b": 0, "n_shared": 0})
+    out = salted_join(per, size_b, "b", "left", key_counts=_per_entity(pairs, "b"))
     n = F.col("n_shared")
     return out.select(
         "a",
@@ -97,15 +110,16 @@ def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
         (F.col("size_a") - n).alias("n_unshared"),
         F.coalesce(safe_div(n, F.col("size_a")), F.lit(0.0)).alias("prop_a"),
         F.coalesce(safe_div(n, F.col("size_b")), F.lit(0.0)).alias("prop_b"),
-        F.coalesce(F.array_join(F.transform("_tokens", lambda t: t.cast("string")), ","), F.lit("")).alias("tokens"),
+        F.array_join(F.transform("_tokens", lambda t: t.cast("string")), ",").alias("tokens"),
     )
 
 
 def shared_token_counts(pairs: DataFrame, left_sites: DataFrame, right_sites: DataFrame) -> DataFrame:
     """Sites of each shared token on both entities of a pair."""
+    pairs = materialize(pairs.select("a", "b").distinct())
     left = token_counts(left_sites).withColumnRenamed("n_sites", "sites_a")
     right = token_counts(right_sites).withColumnRenamed("n_sites", "sites_b")
-    return _shared_rows(pairs, left, right).select("a", "b", "token", "sites_a", "sites_b")
+    return _token_rows(pairs, left, right, "inner").select("a", "b", "token", "sites_a", "sites_b")
 
 
 def share_ratios(df: DataFrame) -> DataFrame:

@@ -22,10 +22,10 @@ def salted_join(
     """Equi-join that spreads each hot left key over ``salts`` tasks.
 
     ``right`` is the narrow side.  Without ``key_counts`` every right row is repeated
-    once per salt and the left side is read once.  With ``key_counts`` (columns ``on``
-    and ``_n``, the left rows per key) only the heaviest keys are salted: at most
-    ``MAX_HOT_KEYS`` of them, a bound that makes the list safe to broadcast.  Adaptive
-    skew splitting still applies on top.
+    once per salt and the left side is read once.  With ``key_counts`` (some or all of
+    the columns ``on`` and ``_n``, the left rows per key) only the heaviest keys are
+    salted: at most ``MAX_HOT_KEYS`` of them, a bound that makes the list safe to
+    broadcast.  Adaptive skew splitting still applies on top.
     """
     on = [on] if isinstance(on, str) else list(on)
     # A deterministic salt: a recomputed task must send its rows where it sent them before.
@@ -38,9 +38,10 @@ def salted_join(
         salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
     else:
         hot = key_counts.filter(F.col("_n") > min_hot).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
-        hot = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-        salted_left = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
+        by = [c for c in key_counts.columns if c != "_n"]
+        hot = F.broadcast(hot.select(*by, F.lit(True).alias("_hot")))
+        salted_left = left.join(hot, by, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
         copies = F.when(F.col("_hot"), last).otherwise(0)
-        salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies)))
+        salted_right = right.join(hot, by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies)))
         salted_left, salted_right = salted_left.drop("_hot"), salted_right.drop("_hot")
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")

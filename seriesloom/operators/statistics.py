@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import (
@@ -16,9 +16,9 @@ from seriesloom.functions.numeric import (
     walk_tail,
 )
 from seriesloom.operators.intervals import first_per_group, interval_scores, overlap_join
-from seriesloom.operators.scan import global_row_number, running
+from seriesloom.operators.scan import global_row_number, is_small, running
 from seriesloom.operators.skew import salted_join
-from seriesloom.session import materialize
+from seriesloom.session import materialize, shuffle_width
 
 
 def midrank(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -136,30 +136,28 @@ def exact_p(
     Tails are summed away from the mode, where they fall; terms further out than twelve
     standard deviations lie below double precision, which bounds the number of steps.
     """
-    k, g, n, t = (F.col(c) for c in ("_k", "_g", "_n", "_t"))
     d = df.withColumns({"_k": hits.cast("double"), "_g": good.cast("double"), "_n": drawn.cast("double"), "_t": total.cast("double")})
-    var = F.coalesce(safe_div(n * g * (t - g) * (t - n), t * t * (t - 1.0)), F.lit(0.0))
     d = d.withColumns(
         {
-            "_lo": F.greatest(F.lit(0.0), n + g - t),
-            "_hi": F.least(n, g),
-            "_mode": F.floor((n + 1.0) * (g + 1.0) / (t + 2.0)).cast("double"),
-            "_reach": F.ceil(12.0 * F.sqrt(var)).cast("double") + 60.0,
-            "_pk": hypergeometric_pmf(k, g, n, t),
+            "_lo": F.expr("greatest(0D, _n + _g - _t)"),
+            "_hi": F.expr("least(_n, _g)"),
+            "_mode": F.expr("double(floor((_n + 1) * (_g + 1) / (_t + 2)))"),
+            "_reach": F.expr("60 + ceil(12 * sqrt(coalesce(try_divide(_n * _g * (_t - _g) * (_t - _n), _t * _t * (_t - 1)), 0D)))"),
+            "_pk": hypergeometric_pmf("_k", "_g", "_n", "_t"),
         }
     )
-    lo, hi, mode, reach, pk = (F.col(c) for c in ("_lo", "_hi", "_mode", "_reach", "_pk"))
-    up = walk_tail(k, pk, F.least(hi - k + 1.0, reach), g, n, t, True)
+    law = ("_g", "_n", "_t")
+    up = walk_tail("_k", "_pk", "least(_hi - _k + 1, _reach)", *law, True)
+    k, lo, mode = F.col("_k"), F.col("_lo"), F.col("_mode")
     if alternative == "greater":
-        d = d.withColumn("_pb", F.when(k > lo, hypergeometric_pmf(F.greatest(k - 1.0, lo), g, n, t)).otherwise(F.lit(0.0)))
-        below = walk_tail(k - 1.0, F.col("_pb"), F.least(k - lo, reach), g, n, t, False)
+        d = d.withColumn("_before", F.greatest(k - 1.0, lo)).withColumn("_pb", hypergeometric_pmf("_before", *law))
+        below = walk_tail("_before", "_pb", "least(_k - _lo, _reach)", *law, False)
         p = F.when(k <= lo, F.lit(1.0)).when(k > mode, up).otherwise(1.0 - below)
     elif alternative == "two-sided":
-        d = d.withColumn("_pm", hypergeometric_pmf(mode, g, n, t)).withColumn("_cap", pk * (1.0 + 1e-7))
-        pm, cap = F.col("_pm"), F.col("_cap")
-        down = walk_tail(k, pk, F.least(k - lo + 1.0, reach), g, n, t, False)
-        other_down = walk_tail(mode, pm, F.least(mode - lo + 1.0, reach), g, n, t, False, cap)
-        other_up = walk_tail(mode, pm, F.least(hi - mode + 1.0, reach), g, n, t, True, cap)
+        d = d.withColumns({"_pm": hypergeometric_pmf("_mode", *law), "_cap": F.expr("_pk * (1 + 1e-7D)")})
+        down = walk_tail("_k", "_pk", "least(_k - _lo + 1, _reach)", *law, False)
+        other_down = walk_tail("_mode", "_pm", "least(_mode - _lo + 1, _reach)", *law, False, "_cap")
+        other_up = walk_tail("_mode", "_pm", "least(_hi - _mode + 1, _reach)", *law, True, "_cap")
         p = F.when(k > mode, up + other_down).when(k < mode, down + other_up).otherwise(F.lit(1.0))
     else:
         raise ValueError("alternative must be 'greater' or 'two-sided'")
@@ -174,6 +172,26 @@ def fisher(df: DataFrame, alternative: str = "two-sided") -> DataFrame:
     return exact_p(df.withColumn("odds", odds), a, a + b, a + c, a + b + c + d, alternative)
 
 
+def _adjust_small(df: DataFrame, p: str, method: str, out: str, by: list[str]) -> DataFrame:
+    """The same adjustment by plain windows, for tables of checked size."""
+    value = F.col(p)
+    whole = Window.partitionBy(*by, value.isNull())
+    size = F.count(F.lit(1)).over(whole)
+    if method == "bonferroni":
+        adjusted = df.withColumn("_adj", value * size)
+    elif method == "BH":
+        upto = F.count(F.lit(1)).over(whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+        falling = whole.orderBy(value.desc()).rangeBetween(Window.unboundedPreceding, 0)
+        adjusted = df.withColumn("_raw", value * size / upto).withColumn("_adj", F.min("_raw").over(falling))
+    elif method == "holm":
+        first = F.rank().over(whole.orderBy(value))
+        rising = whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+        adjusted = df.withColumn("_raw", value * (size - first + 1)).withColumn("_adj", F.max("_raw").over(rising))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return adjusted.select(*df.columns, F.when(value.isNotNull(), F.least(F.col("_adj"), F.lit(1.0))).alias(out))
+
+
 def p_adjust(
     df: DataFrame, p: str = "pvalue", method: str = "BH", out: str = "padj", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -185,6 +203,8 @@ def p_adjust(
     """
     by = list(by)
     df = materialize(df)
+    if is_small(df):
+        return _adjust_small(df, p, method, out, by)
     counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
 
     def sized(part: DataFrame) -> DataFrame:
@@ -238,6 +258,7 @@ def token_enrichment(pairs: DataFrame, left: DataFrame, right: DataFrame, tokens
     One-sided exact test per listed token, Holm-adjusted.  Entities count once however
     many pairs they are in.
     """
+    pairs = materialize(pairs.select("a", "b"))
     ent_a, ent_b = pairs.select(F.col("a").alias("entity")).distinct(), pairs.select(F.col("b").alias("entity")).distinct()
     with_a = left.join(ent_a, "entity", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n_a"))
     with_b = right.join(ent_b, "entity", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n_b"))
@@ -334,9 +355,9 @@ def empirical_pvalue(
     hosts of at most 2 * edge bases have a null of 0.  Draws are hashes of (site,
     permutation, draw, seed), so they do not depend on partitioning.
     """
-    observed = interval_scores(sites, track, gaps)
+    observed = materialize(interval_scores(sites, track, gaps))
     site_cols = sites.select("id", "seq", "start", "end")
-    located = first_per_group(
+    hosted = first_per_group(
         overlap_join(site_cols, hosts.select("seq", "start", "end"), host_bin), ["a_id"], ["b_start", "b_end"]
     ).select(
         F.col("a_id").alias("id"),
@@ -348,9 +369,12 @@ def empirical_pvalue(
         F.greatest(F.col("a_start") - F.col("b_start"), F.lit(edge)).alias("m0"),
         F.least(F.col("a_end") - F.col("b_start"), F.col("b_end") - F.col("b_start") - edge + 1).alias("m1"),
     )
+    located = materialize(hosted)
     masked = F.greatest(F.col("m1") - F.col("m0"), F.lit(0))
     room = located.withColumn("masked", masked).withColumn("room", F.col("size") - 2 * edge + 1 - F.col("masked"))
     perm = F.explode(F.sequence(F.lit(1), F.lit(perms)))
+    # The draws multiply the rows; a fixed number of partitions keeps them spread.
+    room = room.repartition(shuffle_width(room), "id")
     drawn = room.filter((F.col("size") > 2 * edge) & (F.col("room") > 0)).select("*", perm.alias("perm")).select(
         "*", F.explode(F.sequence(F.lit(1), F.col("len").cast("int"))).alias("draw")
     )

@@ -63,21 +63,23 @@ class Tables:
     def lines_with_brand(self) -> DataFrame:
         return self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
 
-    def _expression(self, rows: DataFrame, entity: Column) -> DataFrame:
-        return rows.groupBy(
-            entity.alias("entity"),
+    def _expression(self, rows: DataFrame, key: str, entity: Column) -> DataFrame:
+        """Cells grouped by the raw key; ids are formatted once per cell."""
+        cells = rows.groupBy(
+            key,
             F.col("l_returnflag").alias("condition"),
             (F.year("l_shipdate") - FIRST_YEAR).alias("time"),
             F.col("l_linenumber").alias("replicate"),
         ).agg(F.avg("l_quantity").alias("value"))
+        return cells.select(entity.alias("entity"), "condition", "time", "replicate", "value")
 
     @cached_property
     def expr_g(self) -> DataFrame:
-        return self._expression(self.lineitem, g_id("l_suppkey"))
+        return self._expression(self.lineitem, "l_suppkey", g_id("l_suppkey"))
 
     @cached_property
     def expr_l(self) -> DataFrame:
-        return self._expression(self.lines_with_brand, l_id("p_brand"))
+        return self._expression(self.lines_with_brand, "p_brand", l_id("p_brand"))
 
     def mean_g(self, condition: str | None = None) -> DataFrame:
         return self._mean(self.expr_g, condition)
@@ -95,10 +97,11 @@ class Tables:
     @cached_property
     def counts(self) -> DataFrame:
         """Entity x sample counts; a sample is a condition at a time."""
-        return self.lineitem.groupBy(
-            g_id("l_suppkey").alias("entity"),
-            F.concat_ws(".", F.col("l_returnflag"), (F.year("l_shipdate") - FIRST_YEAR).cast("string")).alias("sample"),
-        ).agg(F.sum("l_quantity").alias("count"))
+        cells = self.lineitem.groupBy("l_suppkey", "l_returnflag", (F.year("l_shipdate") - FIRST_YEAR).alias("time")).agg(
+            F.sum("l_quantity").alias("count")
+        )
+        sample = F.concat_ws(".", F.col("l_returnflag"), F.col("time").cast("string"))
+        return cells.select(g_id("l_suppkey").alias("entity"), sample.alias("sample"), "count")
 
     @cached_property
     def site_rows_g(self) -> DataFrame:

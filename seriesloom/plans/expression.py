@@ -9,6 +9,7 @@ from seriesloom.operators.statistics import de_contrast
 from seriesloom.plans.bindings import CONDITIONS, TIMES, Tables, g_clusters, rounded, with_
 from seriesloom.plans.registry import query
 from seriesloom.plans.sqltext import bh_sql, sf_sql
+from seriesloom.session import materialize
 
 LABEL = "concat_ws('.', l_returnflag, CAST(year(l_shipdate)-1995 AS VARCHAR), 'R'||CAST(l_linenumber AS VARCHAR))"
 
@@ -191,11 +192,12 @@ FACTORS = dict(
 
 @query("size_factors", with_("counts", "SELECT sample, round(factor,6) AS factor FROM fac", **FACTORS))
 def size_factors(t):
-    return rounded(X.size_factors(t.counts), "factor")
+    return rounded(X.size_factors(materialize(t.counts)), "factor")
 
 
 def normalised(t: Tables):
-    return X.normalise_counts(t.counts, X.size_factors(t.counts)).select("entity", "sample", "value")
+    counts = materialize(t.counts)
+    return X.normalise_counts(counts, X.size_factors(counts)).select("entity", "sample", "value")
 
 
 @query("size_factor_normalise", with_("counts", "SELECT entity, sample, round(value,6) AS value FROM norm", **FACTORS))
