@@ -79,15 +79,20 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    degrees = materialize(both.groupBy("v").agg(F.count(F.lit(1)).alias("_n")))
     labels = nodes.select(F.col("entity").alias("v"), F.col("entity").alias("label"))
     for _ in range(max_rounds):
         near = (
-            salted_join(both, labels, "v").groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "v")
+            salted_join(both, labels, "v", key_counts=degrees)
+            .groupBy("u")
+            .agg(F.min("label").alias("near"))
+            .withColumnRenamed("u", "v")
         )
         step = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = materialize(step)
         parent = step.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        jumped = salted_join(step, parent, "label", "left").select("v", "old", F.least("label", "up").alias("label"))
+        holders = step.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+        jumped = salted_join(step, parent, "label", "left", key_counts=holders).select("v", "old", F.least("label", "up").alias("label"))
         jumped = materialize(jumped)
         labels = jumped.select("v", "label")
         if jumped.filter("old <> label").isEmpty():
@@ -99,5 +104,5 @@ def threshold_clusters(pairs: DataFrame, nodes: DataFrame, cut: float, min_size:
     """Single-linkage clusters at distance ``cut``; clusters below ``min_size`` become '0'."""
     comp = connected_components(pairs.filter(F.col("distance") <= cut), nodes)
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    out = salted_join(comp, sizes, "component")
+    out = salted_join(comp, sizes, "component", key_counts=sizes.withColumnRenamed("size", "_n"))
     return out.select("entity", F.when(F.col("size") >= min_size, F.col("component")).otherwise("0").alias("cluster"))

@@ -203,13 +203,17 @@ def count_sites_zero_filled(entities: DataFrame, sites: DataFrame, key: str, nam
     return entities.select(key).distinct().join(per, key, "left").na.fill({name: 0})
 
 
-def bridging_pairs(reads: DataFrame, set_j: DataFrame, set_c: DataFrame, pad: int = 1) -> DataFrame:
+def bridging_pairs(
+    reads: DataFrame, set_j: DataFrame, set_c: DataFrame, pad: int = 1, by: Sequence[str] = ("qname",)
+) -> DataFrame:
     """Reads of names with exactly two reads, one touching set J and the other set C.
 
-    Returns both reads of each bridging pair.  ``pad`` widens both sets to the left.
+    Returns both reads of each bridging pair.  ``pad`` widens both sets to the left;
+    ``by`` names a pair (with a sample column, all samples are done at once).
     """
-    pair_names = reads.groupBy("qname").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("qname")
-    two = materialize(reads.join(pair_names, "qname", "left_semi"))
+    by = list(by)
+    pair_names = reads.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(*by)
+    two = materialize(reads.join(pair_names, by, "left_semi"))
 
     def padded(df: DataFrame) -> DataFrame:
         return df.select("seq", (F.col("start") - pad).alias("start"), "end")
@@ -217,23 +221,23 @@ def bridging_pairs(reads: DataFrame, set_j: DataFrame, set_c: DataFrame, pad: in
     in_j = materialize(overlaps_any(two, padded(set_j), "in_j"))
     flagged = overlaps_any(in_j, padded(set_c), "in_c")
     j, c = F.col("in_j").cast("int"), F.col("in_c").cast("int")
-    # One read in J and the other in C: both sets are hit, and not by a single read alone.
-    ok = (
-        flagged.groupBy("qname")
-        .agg(F.sum(j).alias("j"), F.sum(c).alias("c"), F.max(F.greatest(j, c)).alias("m"), F.sum(F.greatest(j, c)).alias("touching"))
-        .filter("j >= 1 AND c >= 1 AND touching = 2")
-        .select("qname")
-    )
-    return two.join(ok, "qname", "left_semi")
+    # One read in J and the other in C: both reads touch a set, and both sets are touched.
+    touched = flagged.groupBy(*by).agg(F.sum(j).alias("j"), F.sum(c).alias("c"), F.sum(F.greatest(j, c)).alias("touching"))
+    return two.join(touched.filter("j >= 1 AND c >= 1 AND touching = 2").select(*by), by, "left_semi")
 
 
-def bridge_counts(reads: DataFrame, set_c: DataFrame, bin_size: int) -> DataFrame:
-    """Bridging pairs overlapping each constant segment symbol, 0 where there is none."""
+def bridge_counts(reads: DataFrame, set_c: DataFrame, bin_size: int, by: Sequence[str] = ("qname",)) -> DataFrame:
+    """Bridging pairs overlapping each constant segment symbol; symbols without any are left out.
+
+    With a sample column in ``by`` the counts are per symbol and sample.
+    """
+    by = list(by)
+    samples = [c for c in by if c != "qname"]
     named = set_c.withColumn("symbol", F.substring_index("transcript_name", "-", 1))
     merged = merge_intervals(named, ["seq", "symbol"]).drop("n")
-    hits = overlap_join(reads.select("qname", "seq", "start", "end"), merged, bin_size)
-    per = hits.select(F.col("b_symbol").alias("symbol"), F.col("a_qname").alias("qname")).distinct()
-    return count_sites_zero_filled(named.select("symbol"), per, "symbol", "n_pairs")
+    hits = overlap_join(reads.select(*by, "seq", "start", "end"), merged, bin_size)
+    per = hits.select(F.col("b_symbol").alias("symbol"), *[F.col(f"a_{c}").alias(c) for c in by]).distinct()
+    return per.groupBy("symbol", *samples).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 def interval_scores(sites: DataFrame, track: DataFrame, gaps: DataFrame | None = None) -> DataFrame:

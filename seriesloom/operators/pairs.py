@@ -325,7 +325,7 @@ def random_matched_pairs(
         "m_lo", "m_hi", "l_lo", "l_hi", "e_lo", "e_hi",
     )
     p = cell(pool).select("entity", "mean", "length", F.col("_m").alias("_pm"), F.col("_l").alias("_pl"))
-    met = materialize(p.join(near, ["_pm", "_pl"]))
+    met = materialize(salted_join(p, near, ["_pm", "_pl"]))
     whole = (
         (F.greatest(F.abs(F.col("mean") - F.col("m_lo")), F.abs(F.col("mean") - F.col("m_hi"))) <= mean_tolerance)
         & (F.greatest(F.abs(F.col("length") - F.col("l_lo")), F.abs(F.col("length") - F.col("l_hi"))) <= length_tolerance)

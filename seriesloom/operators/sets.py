@@ -68,6 +68,9 @@ def token_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("entity", "token").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
+TOKEN_SALTS = 16
+
+
 def _per_entity(pairs: DataFrame, side: str) -> DataFrame:
     return pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -75,12 +78,18 @@ def _per_entity(pairs: DataFrame, side: str) -> DataFrame:
 def _token_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """The tokens of ``a`` for every pair, met with ``b`` on (b, token).
 
-    The right catalog is unique on (entity, token): no pairs are formed within a token,
-    however common it is, and entities that are in very many pairs are salted.
+    Pairs are two ids wide, so they are repeated per slice of tokens: an entity with very
+    many tokens or in very many pairs is spread over the slices.  The right catalog is
+    unique on (entity, token), so no pairs are formed within a token, however common it is.
     """
-    la = left.select(F.col("entity").alias("a"), *[c for c in left.columns if c != "entity"])
+    la = left.select(
+        F.col("entity").alias("a"),
+        F.pmod(F.xxhash64("token"), F.lit(TOKEN_SALTS)).cast("int").alias("_slice"),
+        *[c for c in left.columns if c != "entity"],
+    )
     rb = right.select(F.col("entity").alias("b"), *[c for c in right.columns if c != "entity"])
-    expanded = salted_join(pairs, la, "a", how, key_counts=_per_entity(pairs, "a"))
+    sliced = pairs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))))
+    expanded = sliced.join(la, ["a", "_slice"], how).drop("_slice")
     return salted_join(expanded, rb, ["b", "token"], how, key_counts=_per_entity(pairs, "b"))
 
 

@@ -17,7 +17,7 @@ from seriesloom.operators.models import module_pc1
 from seriesloom.operators.statistics import de_contrast
 from seriesloom.plans.bindings import CONDITIONS, TIMES, Tables, g_id, g_places, l_id, l_places, rounded, with_
 from seriesloom.plans.expression import DE_CTES, RATIO, de_table
-from seriesloom.plans.intervals import BIN, BRIDGE, NULLS, axis_lengths, hourly_sites, merged_sql, scored_sites
+from seriesloom.plans.intervals import BIN, BRIDGE, NULLS, axis_lengths, hourly_sites, merged_sql, scored_sites, symbols
 from seriesloom.plans.modelling import CUT, MIN_SIZE, brand_distances
 from seriesloom.plans.pairs import (
     MAX_SQL,
@@ -240,8 +240,8 @@ def core_entities(t):
     return core.join(concordant.select("entity"), "entity", "left_semi").select("time", "entity")
 
 
-@query("module_pipeline")
-def module_pipeline(t):
+@query("module_partner_report")
+def module_partner_report(t):
     """Brands into modules, one profile per module, and its best correlated supplier."""
     means = materialize(t.mean_l("A"))
     nodes = means.select("entity").distinct()
@@ -314,25 +314,21 @@ def bridge_counts(t):
         (F.col("start") + F.col("l_quantity").cast("long")).alias("end"),
     )
     j, c = t.segments("ECONOMY"), t.segments("STANDARD")
-    per = S.union_tagged(
-        {
-            s: V.bridge_counts(V.bridging_pairs(reads.filter(F.col("sample") == s).drop("sample"), j, c), c, 50)
-            for s in CONDITIONS
-        },
-        "sample",
-    )
-    return combine_tables(per, "symbol", "sample", "n_pairs", CONDITIONS)
+    pair = ["sample", "qname"]
+    per = V.bridge_counts(V.bridging_pairs(reads, j, c, by=pair), c, 50, by=pair)
+    wide = combine_tables(per, "symbol", "sample", "n_pairs", CONDITIONS)
+    return symbols(c).join(wide, "symbol", "left").na.fill(0, CONDITIONS)
 
 
 @query(
-    "site_pipeline",
+    "site_count_report",
     f"""WITH si AS ({PLACED}), tg AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, substr(o_orderpriority,3,20) AS seq, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s FROM orders),
         ex AS (SELECT id, seq, s AS start, s+100 AS "end" FROM tg UNION ALL SELECT id, seq, s+500, s+600 FROM tg)
         SELECT ex.id AS target, count(*) AS n_sites, count(DISTINCT si.token) AS n_tokens, CAST(sum(least(si."end",ex."end")-greatest(si.start,ex.start)) AS BIGINT) AS bases
         FROM si JOIN ex ON si.target=ex.id AND si.seq=ex.seq AND greatest(si.start,ex.start)<least(si."end",ex."end")
         WHERE si.token IN (SELECT 'mmu-'||p_partkey FROM part WHERE p_type='SMALL') GROUP BY 1""",
 )
-def site_pipeline(t):
+def site_count_report(t):
     """Placed sites of the listed tokens on the exons of their own target, counted per target."""
     listed = t.part.filter("p_type = 'SMALL'").select(F.concat(F.lit("mmu-"), F.col("p_partkey").cast("string")).alias("token"))
     sites = site_report(t).join(listed, "token", "left_semi")

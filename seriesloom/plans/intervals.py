@@ -232,7 +232,13 @@ def read_pair_bridge(t):
     ),
 )
 def bridge_isotype_counts(t):
-    return V.bridge_counts(bridging(t), t.segments("STANDARD"), 50)
+    c = t.segments("STANDARD")
+    counted = V.bridge_counts(bridging(t), c, 50)
+    return symbols(c).join(counted, "symbol", "left").na.fill({"n_pairs": 0})
+
+
+def symbols(segments):
+    return segments.select(F.substring_index("transcript_name", "-", 1).alias("symbol")).distinct()
 
 
 # Tracks, hosts and sites on an hourly axis per user.
@@ -303,11 +309,12 @@ def empirical_pvalue_query(t):
     "conservation_summary",
     with_(
         "",
-        """SELECT s.seq, round(avg(score),6) AS mean_score, count(*) AS n_sites, count(*) FILTER (pvalue<0.1) AS n_sig,
+        """SELECT s.seq, round(round(avg(score),9),6) AS mean_score, count(*) AS n_sites, count(*) FILTER (pvalue<0.1) AS n_sig,
            round(100.0*count(*) FILTER (pvalue<0.1)/count(*),6) AS pct_sig FROM pv JOIN site s USING (id) GROUP BY 1""",
         **NULLS,
     ),
 )
 def conservation_summary_query(t):
     scored = scored_sites(t).join(hourly_sites(t).select("id", "seq"), "id")
-    return rounded(conservation_summary(scored, ["seq"], alpha=0.1), "mean_score", "pct_sig")
+    # Means of two-digit decimals often end in an exact 5; nine digits first settle the tie.
+    return rounded(rounded(conservation_summary(scored, ["seq"], alpha=0.1), "mean_score", digits=9), "mean_score", "pct_sig")

@@ -86,11 +86,11 @@ def concordance_metrics(t):
     return rounded(C.concordance(labelled), "rand", "adj_rand", "precision", "recall", "f1", "jaccard")
 
 
-CUT, MIN_SIZE = 0.15, 3
+CUT, MIN_SIZE = 0.25, 3
 THRESHOLD_SQL = with_(
     "z_l",
     """SELECT entity, CASE WHEN count(*) OVER (PARTITION BY label)>=3 THEN label ELSE '0' END AS cluster FROM lab""",
-    ed="""SELECT x.entity AS a, y.entity AS b FROM z_l x JOIN z_l y ON x.time=y.time WHERE x.n=7 AND y.n=7 GROUP BY 1,2 HAVING abs(sum(x.z*y.z)/7-1)<=0.15""",
+    ed="""SELECT x.entity AS a, y.entity AS b FROM z_l x JOIN z_l y ON x.time=y.time WHERE x.n=7 AND y.n=7 GROUP BY 1,2 HAVING abs(sum(x.z*y.z)/7-1)<=0.25""",
     re="SELECT a, b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b=ed.a",
     lab="SELECT a AS entity, min(b) AS label FROM re GROUP BY 1",
 ).replace("WITH ", "WITH RECURSIVE ", 1)

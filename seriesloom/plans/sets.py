@@ -66,6 +66,17 @@ def tagged_values(t: Tables):
     return S.union_tagged(one).withColumn("group", F.when(F.col("cat") == "random", "random").otherwise("tested"))
 
 
+def tagged_in_one_pass(t: Tables):
+    """The same rows as ``tagged_values``, tagged while the join is read once."""
+    rows = t.lineitem.join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cat = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "correlated")
+        .when(F.col("o_orderpriority") == "2-HIGH", "proximal")
+        .when(F.col("o_orderpriority") == "5-LOW", "random")
+    )
+    return rows.select(cat.alias("cat"), F.col("l_quantity").alias("value")).filter("cat IS NOT NULL")
+
+
 TAGGED = """SELECT l_partkey AS id, l_quantity AS value, CASE o_orderpriority WHEN '1-URGENT' THEN 'correlated' WHEN '2-HIGH' THEN 'proximal' ELSE 'random' END AS cat,
    CASE WHEN o_orderpriority='5-LOW' THEN 'random' ELSE 'tested' END AS "group" FROM lineitem JOIN orders ON l_orderkey=o_orderkey
    WHERE o_orderpriority IN ('1-URGENT','2-HIGH','5-LOW')"""

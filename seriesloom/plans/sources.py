@@ -260,11 +260,11 @@ def combine_tables(t):
 
 @query(
     "scan_skip_preamble",
-    "SELECT p_brand AS Name, CAST(sum(p_size) AS DOUBLE) AS Length, CAST(sum(p_size)-1 AS DOUBLE) AS EffectiveLength, round(avg(p_retailprice),4) AS TPM, CAST(count(*) AS DOUBLE) AS NumReads FROM part GROUP BY 1",
+    "SELECT p_brand AS Name, CAST(sum(p_size) AS DOUBLE) AS Length, CAST(sum(p_size)-1 AS DOUBLE) AS EffectiveLength, round(round(avg(p_retailprice),9),4) AS TPM, CAST(count(*) AS DOUBLE) AS NumReads FROM part GROUP BY 1",
 )
 def scan_skip_preamble(t):
     """A quantifier's report: twelve comment lines, then headerless rows."""
-    per = t.part.groupBy("p_brand").agg(F.sum("p_size").alias("l"), F.round(F.avg("p_retailprice"), 4).alias("tpm"), F.count(F.lit(1)).alias("n"))
+    per = t.part.groupBy("p_brand").agg(F.sum("p_size").alias("l"), F.round(F.round(F.avg("p_retailprice"), 9), 4).alias("tpm"), F.count(F.lit(1)).alias("n"))
     lines = per.select(F.concat_ws("\t", "p_brand", F.col("l").cast("string"), (F.col("l") - 1).cast("string"), F.col("tpm").cast("string"), F.col("n").cast("string")).alias("value"))
     preamble = t.spark.range(0, 12, 1, 1).select(F.concat(F.lit("# comment\t"), F.col("id").cast("string")).alias("value"))
     path = scratch_path(t.spark, "quant")

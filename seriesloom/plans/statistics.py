@@ -12,7 +12,7 @@ from seriesloom.operators.scan import exact_quantiles
 from seriesloom.plans.bindings import TIMES, Tables, g_clusters, rounded, with_
 from seriesloom.plans.pairs import brand_profiles, supplier_profiles
 from seriesloom.plans.registry import query
-from seriesloom.plans.sets import TAGGED, tagged_values
+from seriesloom.plans.sets import TAGGED, tagged_in_one_pass
 from seriesloom.plans.sqltext import bh_sql, holm_sql, hyper_sql, sf_sql, t_sql
 from seriesloom.plans.tables import STRONG, TREND0, strong_pairs
 
@@ -37,7 +37,7 @@ GREATER = dict(rank_sum_ctes(TAG_VALUES, TAG_PAIRS), st1="SELECT *, (w-n1*n2/2.0
 
 @query("rank_sum_test", with_("", f"SELECT cat1, cat2, n1, n2, w::DOUBLE AS w, round(z,6) AS z, round({sf_sql('z')},6) AS pvalue FROM st1", **GREATER))
 def rank_sum_test(t):
-    return rounded(T.rank_sum(tagged_values(t), "cat", "value", "greater", PRIORITY), "z", "pvalue")
+    return rounded(T.rank_sum(tagged_in_one_pass(t), "cat", "value", "greater", PRIORITY), "z", "pvalue")
 
 
 TWO = dict(

@@ -76,7 +76,7 @@ def read_skip_preamble(spark: SparkSession, path: str, skip: int, schema: str) -
     last = (
         lines.filter("s = 0").select("f", "i").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == skip)
     )
-    kept = lines.join(F.broadcast(last.select("f", F.col("i").alias("last"))), "f", "left").filter(
+    kept = lines.join(last.select("f", F.col("i").alias("last")), "f", "left").filter(
         (F.col("s") > 0) | F.col("last").isNull() | (F.col("i") > F.col("last"))
     )
     return kept.select(F.from_csv("value", schema, {"sep": "\t"}).alias("r")).select("r.*")

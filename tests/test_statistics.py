@@ -155,6 +155,6 @@ def test_small_filters(spark):
     assert X.net_change_filter(df, "up").count() == 1
     with pytest.raises(ValueError):
         X.net_change_filter(df, "sideways")
-    parts = X.split_sample_label(spark.createDataFrame([("CD40L.3.R2",)], "sample string")).collect()[0]
-    assert (parts["condition"], parts["time"], parts["replicate"]) == ("CD40L", 3, "R2")
+    parts = X.split_sample_label(spark.createDataFrame([("A.3.R2",)], "sample string")).collect()[0]
+    assert (parts["condition"], parts["time"], parts["replicate"]) == ("A", 3, "R2")
     assert X.to_series(df, range(5)).count() == 0 and X.to_series(df, range(4)).count() == 1
