@@ -40,7 +40,7 @@ def with_chunk(df: DataFrame, order: str, chunks: int) -> DataFrame:
     points = [i / chunks for i in range(1, chunks)]
     if not points:
         return df.withColumn("_chunk", F.lit(0))
-    splits = df.agg(F.percentile_approx(order.cast("double"), points, 2000).alias("s")).scalar()
+    splits = df.agg(F.percentile_approx(order.cast("double"), points, max(2000, 10 * chunks)).alias("s")).scalar()
     step, steps = 1, []
     while step < chunks:
         steps.insert(0, step)

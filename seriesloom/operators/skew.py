@@ -37,8 +37,9 @@ def salted_join(
         salted_left = left.withColumn("_salt", spread)
         salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
     else:
-        hot = key_counts.filter(F.col("_n") > min_hot).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
         by = [c for c in key_counts.columns if c != "_n"]
+        # A total order: both sides must agree on which keys are hot.
+        hot = key_counts.filter(F.col("_n") > min_hot).orderBy(F.desc("_n"), *by).limit(MAX_HOT_KEYS)
         hot = F.broadcast(hot.select(*by, F.lit(True).alias("_hot")))
         salted_left = left.join(hot, by, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
         copies = F.when(F.col("_hot"), last).otherwise(0)

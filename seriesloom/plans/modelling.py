@@ -12,6 +12,7 @@ from seriesloom.plans.bindings import CONDITIONS, TIMES, Tables, g_clusters, l_c
 from seriesloom.plans.expression import normalised
 from seriesloom.plans.pairs import supplier_profiles
 from seriesloom.plans.registry import query
+from seriesloom.plans.sqltext import f_tail_sql, quadratic_ctes
 
 
 def quartile_clusters(rows, entity):
@@ -152,13 +153,43 @@ def polynomial_trend(t):
     return rounded(M.polynomial_trend(t.expr_g, 2).select("entity", "condition", "n", "r2"), "r2", digits=5)
 
 
-@query("trend_by_condition")
+@query(
+    "trend_by_condition",
+    with_(
+        "expr_g",
+        f"SELECT entity, n, round(r2,5) AS r2, round(f,5) AS f, round({f_tail_sql('f', '5', '(n-6)')},5) AS pvalue FROM st",
+        # With an own level and slope per condition the residuals are those of separate lines.
+        pc="SELECT entity, condition, regr_syy(value,time)-pow(regr_sxy(value,time),2)/regr_sxx(value,time) AS rss FROM expr_g GROUP BY 1,2",
+        al="SELECT entity, count(*) AS n, var_pop(value)*count(*) AS tss FROM expr_g GROUP BY 1",
+        st="""SELECT entity, n, 1-rss/tss AS r2, ((tss-rss)/5)/(rss/(n-6)) AS f FROM al JOIN (SELECT entity, sum(rss) AS rss FROM pc GROUP BY 1) USING (entity)""",
+    ),
+)
 def trend_by_condition(t):
     out = M.trend_by_condition(t.expr_g, CONDITIONS, "A").select("entity", "n", "r2", "f", "pvalue")
     return rounded(out, "r2", "f", "pvalue", digits=5)
 
 
-@query("hotelling_f")
+SEVEN = range(1, 8)
+
+
+@query(
+    "hotelling_f",
+    with_(
+        "expr_g",
+        f"""SELECT k.entity AS entity, k.c1 AS first, k.c2 AS second, k.n AS n_reps, round(t2,5) AS t2, round(f,5) AS f,
+            round({f_tail_sql('f', '7', 'df2')},5) AS pvalue FROM fs""",
+        dd0="""SELECT x.entity, x.condition AS c1, y.condition AS c2, x.replicate, x.time+1 AS t, x.value-y.value AS d, count(*) OVER (PARTITION BY x.entity, x.condition, y.condition, x.replicate) AS m
+               FROM expr_g x JOIN expr_g y ON x.entity=y.entity AND x.time=y.time AND x.replicate=y.replicate AND x.condition<y.condition""",
+        dd="SELECT * FROM dd0 WHERE m=7",
+        mn="SELECT entity, c1, c2, t, avg(d) AS d, count(*) AS n FROM dd GROUP BY ALL",
+        cv="SELECT x.entity, x.c1, x.c2, x.t AS i, y.t AS j, coalesce(covar_samp(x.d,y.d),0)+max((x.t=y.t)::INT) AS s FROM dd x JOIN dd y ON x.entity=y.entity AND x.c1=y.c1 AND x.c2=y.c2 AND x.replicate=y.replicate AND x.t<=y.t GROUP BY ALL",
+        ms="SELECT entity, c1, c2, " + ", ".join(f"max(CASE WHEN i={i} AND j={j} THEN s END) AS s{i}_{j}" for i in SEVEN for j in SEVEN if i <= j) + " FROM cv GROUP BY ALL",
+        md="SELECT entity, c1, c2, max(n) AS n, " + ", ".join(f"max(CASE WHEN t={i} THEN d END) AS d{i}" for i in SEVEN) + " FROM mn GROUP BY ALL",
+        mt="SELECT {'entity': entity, 'c1': c1, 'c2': c2, 'n': n} AS k, * FROM ms JOIN md USING (entity, c1, c2)",
+        **quadratic_ctes("mt", 7),
+        fs="SELECT k, k.n*q AS t2, (2.0::DOUBLE*k.n*7-8)/((2.0::DOUBLE*k.n*7-2)*7)*k.n*q AS f, 2.0::DOUBLE*k.n*7-8 AS df2 FROM qf",
+    ),
+)
 def hotelling_f(t):
     return rounded(M.hotelling(t.expr_g, TIMES, CONDITIONS), "t2", "f", "pvalue", digits=5)
 

@@ -22,6 +22,7 @@ from seriesloom.plans.bindings import (
     with_,
 )
 from seriesloom.plans.registry import query
+from seriesloom.plans.sqltext import dtw_ctes
 
 # Brands are few and suppliers grow with the data: brands stay in one block.
 WIDE = (1, 64)
@@ -282,12 +283,28 @@ def distance_from_corr(t):
     return rounded(P.distance_from_corr(brand_supplier_pairs(t)).select("a", "b", "distance"), "distance")
 
 
-@query("dtw_distance")
+WARPED = dict(
+    sl="SELECT entity, list(value ORDER BY time) AS s FROM mean_l WHERE condition='A' GROUP BY 1 HAVING count(*)=7",
+    sg="SELECT entity, list(value ORDER BY time) AS s FROM mean_g WHERE condition='A' GROUP BY 1 HAVING count(*)=7",
+    xy="SELECT l.entity AS a, g.entity AS b, l.s AS x, g.s AS y FROM sl l, sg g",
+    **dtw_ctes("xy", 7),
+)
+
+
+@query("dtw_distance", with_("mean_g mean_l", "SELECT a, b, round(d,6) AS distance FROM dw", **WARPED))
 def dtw_distance(t):
     return rounded(P.pair_dtw(t.mean_l("A"), t.mean_g("A"), TIMES, grid=WIDE), "distance")
 
 
-@query("adaptive_dtw")
+@query(
+    "adaptive_dtw",
+    with_(
+        "mean_g mean_l d_g d_l",
+        "SELECT dw.a, dw.b, round(d*2/(1+exp(2*abs(c.value))),6) AS distance FROM dw JOIN ct c ON c.a=dw.a AND c.b=dw.b",
+        **WARPED,
+        ct=TEMPORAL_SQL.replace("round(", "(").replace(",6) AS value", ") AS value"),
+    ),
+)
 def adaptive_dtw(t):
     return rounded(P.pair_dtw(t.mean_l("A"), t.mean_g("A"), TIMES, k=2.0, grid=WIDE), "distance")
 

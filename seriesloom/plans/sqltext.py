@@ -63,3 +63,50 @@ def t_sql(t: str, df: str) -> str:
 def signif_sql(x: str, digits: int) -> str:
     scale = f"pow(10.0::DOUBLE,{digits}-ceil(log10(abs({x}))))"
     return f"(CASE WHEN {x}=0 THEN 0.0 ELSE round({x}*{scale})/{scale} END)"
+
+
+def dtw_ctes(src: str, n: int) -> dict[str, str]:
+    """Warping distance of the list columns ``x`` and ``y`` of ``src``: one CTE per row of the cost table.
+
+    ``dw`` holds the result as ``d``.
+    """
+    out, before = {}, src
+    for i in range(1, n + 1):
+        cells = []
+        for j in range(1, n + 1):
+            c = f"abs(x[{i}]-y[{j}])"
+            steps = [f"p{j}+{c}"] if i > 1 else []
+            if j > 1:
+                steps.append(f"q{j - 1}+{c}")
+            if i > 1 and j > 1:
+                steps.append(f"p{j - 1}+2*{c}")
+            cells.append(f"{f'least({chr(44).join(steps)})' if steps else c} AS q{j}")
+        out[f"w{i}"] = f"SELECT a, b, x, y, {', '.join(cells)} FROM {before}"
+        out[f"v{i}"] = f"SELECT a, b, x, y, {', '.join(f'q{j} AS p{j}' for j in range(1, n + 1))} FROM w{i}"
+        before = f"v{i}"
+    out["dw"] = f"SELECT a, b, p{n} AS d FROM {before}"
+    return out
+
+
+def f_tail_sql(f: str, df1: str, df2: str, steps: int = 4000) -> str:
+    """P(F > f) by Simpson's rule on the incomplete beta integral; smooth for df1 > 2 and df2 > 2."""
+    a, b, x = f"({df2}/2.0::DOUBLE)", f"({df1}/2.0::DOUBLE)", f"({df2}/({df2}+{df1}*{f}))"
+    g = f"pow({x}*i/{steps},{a}-1)*pow(1-{x}*i/{steps},{b}-1)*CASE WHEN i=0 OR i={steps} THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0,{steps + 1}), lambda i: {g}))*{x}/{steps}/3"
+    return f"({area}*exp(lgamma({a}+{b})-lgamma({a})-lgamma({b})))"
+
+
+def quadratic_ctes(src: str, n: int) -> dict[str, str]:
+    """d' S^-1 d by elimination, one CTE per pivot.
+
+    ``src`` has id columns ``k``, the upper triangle ``s<i>_<j>`` and ``d<i>``; the last
+    CTE ``qf`` holds the result as ``q``.
+    """
+    out, before = {}, f"(SELECT *, 0.0::DOUBLE AS q FROM {src})"
+    for k in range(1, n + 1):
+        cols = [f"s{i}_{j}-s{k}_{i}*s{k}_{j}/s{k}_{k} AS s{i}_{j}" for i in range(k + 1, n + 1) for j in range(i, n + 1)]
+        cols += [f"d{i}-d{k}*s{k}_{i}/s{k}_{k} AS d{i}" for i in range(k + 1, n + 1)]
+        out[f"e{k}"] = f"SELECT {', '.join(['k', f'q+d{k}*d{k}/s{k}_{k} AS q', *cols])} FROM {before}"
+        before = f"e{k}"
+    out["qf"] = f"SELECT k, q FROM {before}"
+    return out
