@@ -34,7 +34,7 @@ def replicate_mean(df: DataFrame) -> DataFrame:
 
 def wide_by_time(df: DataFrame, times: Sequence[int], keys: Sequence[str] = ("entity", "condition")) -> DataFrame:
     """One column ``t<time>`` per design time."""
-    return df.groupBy(*keys).agg(*[F.max(F.when(F.col("time") == t, F.col("value"))).alias(f"t{t}") for t in times])
+    return df.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN time = {t!r} THEN value END)").alias(f"t{t}") for t in times])
 
 
 def summary_se(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -54,9 +54,9 @@ def to_series(df: DataFrame, times: Sequence[int], keys: Sequence[str] = ("entit
     The design fixes the number of times, so this is one aggregation with map-side
     combine and no list is collected.
     """
-    cells = [F.max(F.when(F.col("time") == t, F.col("value"))).alias(f"_{i}") for i, t in enumerate(times)]
-    full = df.groupBy(*keys).agg(*cells).dropna(subset=[f"_{i}" for i in range(len(times))])
-    return full.select(*keys, F.array(*[F.col(f"_{i}") for i in range(len(times))]).alias("series"))
+    cells = [F.expr(f"max(CASE WHEN time = {t!r} THEN value END)").alias(f"_{i}") for i, t in enumerate(times)]
+    names = [f"_{i}" for i in range(len(times))]
+    return df.groupBy(*keys).agg(*cells).dropna(subset=names).select(*keys, F.array(*names).alias("series"))
 
 
 def low_signal_filter(df: DataFrame, floor: float = 1.0, fewer_than: int = 5) -> DataFrame:

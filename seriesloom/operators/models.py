@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.functions.vectors import unit_series
+from seriesloom.functions.vectors import mean, unit_series
 from seriesloom.operators.expression import to_series
 
 
@@ -134,11 +134,10 @@ def hotelling(df: DataFrame, times: Sequence[int], conditions: Sequence[str], ri
         for y in range(x + 1, len(conditions))
     ]
     long = wide.select("entity", F.inline(F.array(*diffs))).filter(~F.exists("d", lambda v: v.isNull()))
-    d = [F.col("d")[j] for j in range(p)]
     moments = long.groupBy("entity", "first", "second").agg(
         F.count(F.lit(1)).alias("n_reps"),
-        *[F.sum(d[j]).alias(f"_s{j}") for j in range(p)],
-        *[F.sum(d[i] * d[j]).alias(f"_c{i}_{j}") for i in range(p) for j in range(i, p)],
+        *[F.expr(f"sum(d[{j}])").alias(f"_s{j}") for j in range(p)],
+        *[F.expr(f"sum(d[{i}]*d[{j}])").alias(f"_c{i}_{j}") for i in range(p) for j in range(i, p)],
     )
     packed = moments.select(
         "entity", "first", "second", "n_reps",
@@ -201,10 +200,9 @@ def module_pc1(df: DataFrame, clusters: DataFrame, times: Sequence[int]) -> Data
     n = len(times)
     scaled = unit_series(to_series(df, times), "series", n, "cross", "u")
     joined = scaled.join(clusters, "entity")
-    u = [F.col("u")[i] for i in range(n)]
     sums = joined.groupBy("cluster").agg(
-        *[F.sum(u[i] * u[j]).alias(f"_g{i}_{j}") for i in range(n) for j in range(i, n)],
-        *[F.avg(u[i]).alias(f"_m{i}") for i in range(n)],
+        *[F.expr(f"sum(u[{i}]*u[{j}])").alias(f"_g{i}_{j}") for i in range(n) for j in range(i, n)],
+        *[F.expr(f"avg(u[{i}])").alias(f"_m{i}") for i in range(n)],
     )
     gram = F.array(*[F.col(f"_g{i}_{j}") for i in range(n) for j in range(i, n)])
     first = sums.select(
@@ -226,8 +224,7 @@ def sample_pca(values: DataFrame, samples: Sequence[str], top: int = 500) -> Dat
     """
     s = len(samples)
     series = to_series(values.withColumnRenamed("sample", "time"), samples)
-    mean = sum((F.col("series")[i] for i in range(1, s)), F.col("series")[0]) / float(s)
-    centred = series.withColumn("_m", mean).select("entity", F.transform("series", lambda v: v - F.col("_m")).alias("x"))
+    centred = series.withColumn("_m", mean("series", s)).select("entity", F.transform("series", lambda v: v - F.col("_m")).alias("x"))
     var = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
     chosen = centred.withColumn("_var", var).orderBy(F.desc("_var"), "entity").limit(top).select("x")
     rows, cols = np.triu_indices(s)

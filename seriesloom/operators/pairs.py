@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.functions.vectors import shifted_dot, total, unit_series
+from seriesloom.functions.vectors import mean, shifted_dot, unit_series
 from seriesloom.operators.expression import to_series
 from seriesloom.operators.scan import exact_quantiles, global_row_number
 from seriesloom.operators.skew import salted_join
@@ -102,7 +102,7 @@ def pair_corr(
     else:
         ru, _ = scored_series(right, times, method)
         met = block_pairs(lu, ru, "entity", grid=grid)
-    value = {k: shifted_dot(F.col("a_u"), F.col("b_u"), n, k) for k in lags}
+    value = {k: shifted_dot("a_u", "b_u", n, k) for k in lags}
     ids = [F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), *extra]
     if len(lags) == 1:
         out = met.select(*ids, F.lit(lags[0]).alias("lag"), value[lags[0]].alias("value"))
@@ -133,12 +133,9 @@ def abs_covariance_sums(df: DataFrame, times: Sequence[int]) -> DataFrame:
     """Sum over all entities j of |sample covariance(i, j)|, i itself included."""
     n = len(times)
     series = to_series(df, times)
-    x = [F.col("series")[i] for i in range(n)]
-    centred = series.withColumn("_m", total(x) / float(n)).select(
-        "entity", F.array(*[v - F.col("_m") for v in x]).alias("u")
-    )
+    centred = series.withColumn("_m", mean("series", n)).select("entity", F.expr("transform(series, v -> v - _m)").alias("u"))
     met = block_pairs(centred, centred, "entity", same=True)
-    cov = F.abs(shifted_dot(F.col("a_u"), F.col("b_u"), n) / float(n - 1))
+    cov = F.abs(shifted_dot("a_u", "b_u", n) / float(n - 1))
     scored = met.select(F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), cov.alias("value"))
     return mirror(scored).groupBy(F.col("a").alias("entity")).agg(F.sum("value").alias("cov_sum"))
 
@@ -202,7 +199,7 @@ def pair_dtw(
     met = block_pairs(prepared(left), prepared(right), "entity", grid=grid)
     out = met.withColumn("distance", _dtw("a_series", "b_series"))
     if k is not None:
-        cort = F.abs(shifted_dot(F.col("a_u"), F.col("b_u"), n - 1))
+        cort = F.abs(shifted_dot("a_u", "b_u", n - 1))
         out = out.withColumn("distance", F.col("distance") * 2.0 / (1.0 + F.exp(F.lit(float(k)) * cort)))
     return out.select(F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), "distance")
 
