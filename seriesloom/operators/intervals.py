@@ -44,7 +44,8 @@ def overlap_join(
     )
     left = left.withColumn("_seq", F.col("a_seq"))
     right = right.withColumn("_seq", F.col("b_seq"))
-    met = salted_join(left, right, ["_seq", "_bin"])
+    crowd = left.groupBy("_seq", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    met = salted_join(left, right, ["_seq", "_bin"], key_counts=crowd)
     low, high = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
     keep = (low < high) & (F.col("_bin") == F.floor(low / bin_size))
     if contained:
