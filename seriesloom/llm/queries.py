@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import urls
+from seriesloom.llm import archives, urls
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -22,3 +22,21 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id")
     judged = urls.judge_urls(pages, labelled, URL_RULES, URL_SUPPORT, URL_CONFIDENCE)
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000
+"""
+
+
+@query("op10_zip_warc", OP10_SQL)
+def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archives.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
