@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import archives, urls
+from seriesloom.llm import archives, quality, urls
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -40,3 +40,8 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1
 def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archives.archive_pages(spark, table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_compression_quality")
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
