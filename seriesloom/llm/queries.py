@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import archives, packing, quality, urls
+from seriesloom.llm import archives, packing, pages, quality, urls
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -16,12 +16,12 @@ URL_SUPPORT, URL_CONFIDENCE = 0.01, 0.5
 @query("op7_url_rules")
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last number of a page's path is the id of its document, which has the labels."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
     number = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d+)(?:\.[a-z]+)?/?$", 1)
-    labelled = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id")
-    judged = urls.judge_urls(pages, labelled, URL_RULES, URL_SUPPORT, URL_CONFIDENCE)
+    labelled = rows.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id")
+    judged = urls.judge_urls(rows, labelled, URL_RULES, URL_SUPPORT, URL_CONFIDENCE)
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
@@ -54,3 +54,8 @@ TOKENIZER = "byte_bpe_50k.json"
 @query("op6_best_fit")
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 1024)
+
+
+@query("op4_page_differencing")
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
