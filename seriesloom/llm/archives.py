@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.store import arrow_map, materialize, scratch_path
+from seriesloom.llm.store import arrow_map, materialize, scratch_path, shuffle_width
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A task closes a package once it holds so many bytes, so a writer's memory stays bounded.
@@ -366,7 +366,7 @@ def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
         if out:
             yield _batch(out, payload)
 
-    dealt = index.withColumn("_stretch", F.floor(F.col("offset") / READ_BYTES)).repartition("package", "_stretch")
+    dealt = index.withColumn("_stretch", F.floor(F.col("offset") / READ_BYTES)).repartition(shuffle_width(index), "package", "_stretch")
     return arrow_map(dealt.sortWithinPartitions("package", "offset").select("package", "offset", "length"), work, schema)
 
 
