@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import archives, near, packing, pages, quality, urls
+from seriesloom.llm import archives, decontaminate, near, packing, pages, quality, urls
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -80,3 +80,22 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r G
 @query("op9_ngram_jaccard", OP9_SQL)
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_documents(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM t),
+s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(l) - 3),
+      lambda i: l[i] || ' ' || l[i+1] || ' ' || l[i+2] || ' ' || l[i+3] || ' ' || l[i+4])) AS g FROM w WHERE len(l) >= 5),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY 1),
+c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM s d JOIN s i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(n_found AS BIGINT) AS n_found, CAST(n AS BIGINT) AS n_shingles
+FROM c JOIN n ON n.id = item_id WHERE 10 * n_found >= 8 * n
+"""
+
+
+@query("op8_bm25_decontaminate", OP8_SQL)
+def op8_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_found", "n_shingles")
