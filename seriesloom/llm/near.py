@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.components import node_ids
 from seriesloom.llm.jaccard import Bands, cluster_components, clusters
-from seriesloom.llm.store import materialize
+from seriesloom.llm.store import join_checked, materialize
 from seriesloom.llm.words import Words, column_bytes, mix, shingle_sets, steps
 
 _TEXT_HASH = "xxhash64(text)"
@@ -56,7 +56,7 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Shingles of the rows ``wanted(cluster, node, doc_id, text_hash, n)``, found again in ``docs`` by id and text."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text", F.expr(_TEXT_HASH).alias("_hash"))
-    met = texts.join(wanted, (texts["_hash"] == wanted["text_hash"]) & texts["_id"].eqNullSafe(wanted["doc_id"]))
+    met = join_checked(texts, wanted, (texts["_hash"] == wanted["text_hash"]) & texts["_id"].eqNullSafe(wanted["doc_id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +85,7 @@ def near_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 10
     )
     chosen = table.join(classes.select("node"), "node")
     cluster = clusters(chosen.select("node", "keys"))
-    wanted = table.select("node", "doc_id", "text_hash", "n").join(cluster, "node")
+    wanted = materialize(table.select("node", "doc_id", "text_hash", "n").join(cluster, "node"))
     found = cluster_components(_sets_of(docs, wanted, words), num, den)
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import archives, decontaminate, near, packing, pages, quality, urls
+from seriesloom.llm import archives, decontaminate, near, packing, pages, quality, substrings, urls
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -99,3 +99,8 @@ FROM c JOIN n ON n.id = item_id WHERE 10 * n_found >= 8 * n
 def op8_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_found", "n_shingles")
+
+
+@query("op5_paragraph_minhash")
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

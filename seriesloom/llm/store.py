@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.session import materialize, scratch_path, shuffle_width
 
-__all__ = ["arrow_map", "materialize", "scratch_path", "shuffle_width", "missing_as"]
+__all__ = ["arrow_map", "join_checked", "materialize", "scratch_path", "shuffle_width", "missing_as"]
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -23,5 +23,15 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+#: A side that is counted and has at most so many rows of some dozens of bytes is broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a stored narrow side: broadcast if its counted rows are few, else by a shuffle; the rows are the same."""
+    few = narrow.count() <= BROADCAST_ROWS
+    return wide.join(F.broadcast(narrow) if few else narrow, on, how)
+
+
 def missing_as(column: str, value) -> F.Column:
     return F.coalesce(F.col(column), F.lit(value))

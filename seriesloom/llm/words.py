@@ -92,10 +92,22 @@ class Words:
         self.row = np.repeat(np.arange(len(begin)), np.diff(self.first))
         self.start, self.end = starts - begin[self.row], ends - begin[self.row]
         self.rows = len(begin)
+        self._text, self._at = text, starts
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def lines(self) -> np.ndarray:
+        """The first word of every line that has words; lines end at line feeds and rows."""
+        line = np.concatenate([[0], np.cumsum(self._text == 10)])[self._at]
+        return np.flatnonzero(np.concatenate([[True], (np.diff(line) != 0) | (np.diff(self.row) != 0)])) if len(line) else line
+
+    def sequences(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One hash of the words from each start up to its end, order included."""
+        _grow(len(self.hash) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * _powers[: len(self.hash)], dtype=np.uint64)])
+        return mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, valid): the k words from every word on; not valid where the row ends before."""
         n = len(self.hash)
