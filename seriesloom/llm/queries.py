@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import archives, decontaminate, near, packing, pages, quality, substrings, urls
+from seriesloom.llm import archives, decontaminate, near, packing, pages, quality, substrings, urls, vectors
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -104,3 +104,24 @@ def op8_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_paragraph_minhash")
 def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON n.vec_id = c.vec_id
+"""
+
+
+@query("op2_collision_counting", OP2_SQL)
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
