@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import archives, decontaminate, near, packing, pages, quality, substrings, urls, vectors
+from seriesloom.llm import archives, decontaminate, near, order, packing, pages, quality, substrings, urls, vectors
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -125,3 +125,15 @@ FROM c LEFT JOIN n ON n.vec_id = c.vec_id
 @query("op2_collision_counting", OP2_SQL)
 def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_training_order")
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards as they are read back: per slot its place, its documents in order, and the crc32 of its ids."""
+    tokenizer = public_tokenizers.path(TOKENIZER)
+    index = order.materialise(table(spark, sf_dir, "documents"), tokenizer, 1024)
+    back = order.read_shards(index, tokenizer, 1024)
+    return back.select(
+        "slot", "shard", "row", F.col("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("starts"), F.col("parts.length").alias("lengths"),
+    )
