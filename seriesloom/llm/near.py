@@ -15,7 +15,8 @@ from seriesloom.llm.jaccard import Bands, cluster_components, clusters
 from seriesloom.llm.store import join_checked, materialize
 from seriesloom.llm.words import Words, column_bytes, mix, shingle_sets, steps
 
-_TEXT_HASH = "xxhash64(text)"
+#: Stands for a row by its id and text; rows that agree in both are alike.
+_ROW = "xxhash64(doc_id, text)"
 
 
 def _summary(found: np.ndarray) -> bytes:
@@ -24,8 +25,8 @@ def _summary(found: np.ndarray) -> bytes:
 
 
 def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``node, doc_id, text_hash, n, summary, keys`` per row of ``docs``, stored; a set without shingles has no keys."""
-    schema = "node bigint, doc_id bigint, text_hash bigint, n bigint, summary binary, keys array<bigint>"
+    """``node, doc_id, row_key, n, summary, keys`` per row of ``docs``, stored; a set without shingles has no keys."""
+    schema = "node bigint, doc_id bigint, row_key bigint, n bigint, summary binary, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, bands = TaskContext.get().partitionId(), 0, Bands(num, den)
@@ -42,21 +43,20 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(node_ids(task, seen, b - a)), part.column("doc_id"), part.column("text_hash"),
+                        pa.array(node_ids(task, seen, b - a)), part.column("doc_id"), part.column("row_key"),
                         pa.array(n, pa.int64()), pa.array(summaries, pa.binary()), filed,
                     ],
-                    ["node", "doc_id", "text_hash", "n", "summary", "keys"],
+                    ["node", "doc_id", "row_key", "n", "summary", "keys"],
                 )
                 seen += b - a
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(_TEXT_HASH).alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(_ROW).alias("row_key"))
     return materialize(rows.mapInArrow(run, schema))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Shingles of the rows ``wanted(cluster, node, doc_id, text_hash, n)``, found again in ``docs`` by id and text."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text", F.expr(_TEXT_HASH).alias("_hash"))
-    met = join_checked(texts, wanted, (texts["_hash"] == wanted["text_hash"]) & texts["_id"].eqNullSafe(wanted["doc_id"]))
+    """Shingles of the rows ``wanted(cluster, node, doc_id, row_key, n)``, found again in ``docs`` by id and text."""
+    met = join_checked(docs.select(F.expr(_ROW).alias("row_key"), "text"), wanted.drop("doc_id"), "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,6 +70,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return sets.dropDuplicates(["node"])  # a repeated row is found once for each time it stands there
 
 
+def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(row table, classes): equal sets ``summary, n`` with their ``first`` doc_id, ``rows`` and ``component``, both stored."""
+    table = set_table(docs, words, num, den)
+    classes = materialize(
+        table.filter("n > 0").groupBy("summary", "n").agg(
+            F.min("node").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")
+        )
+    )
+    chosen = table.join(classes.select("node"), "node")
+    cluster = clusters(chosen.select("node", "keys"))
+    wanted = materialize(table.select("node", "row_key", "n").join(cluster, "node"))
+    found = cluster_components(_sets_of(docs, wanted, words), num, den)
+    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return table, materialize(named)
+
+
 def near_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs(doc_id, text)``.
 
@@ -79,20 +95,29 @@ def near_documents(docs: DataFrame, words: int = 3, num: int = 90, den: int = 10
     own id.  Rows with a null doc_id take part in links and get a component, null only where no
     linked row has an id.  Rows that share an id are rows of their own.  Other columns are ignored.
     """
-    table = set_table(docs, words, num, den)
-    classes = materialize(
-        table.filter("n > 0").groupBy("summary", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("first"))
-    )
-    chosen = table.join(classes.select("node"), "node")
-    cluster = clusters(chosen.select("node", "keys"))
-    wanted = materialize(table.select("node", "doc_id", "text_hash", "n").join(cluster, "node"))
-    found = cluster_components(_sets_of(docs, wanted, words), num, den)
-    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named)
+    table, named = _components(docs, words, num, den)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("summary", "n", "component_id")
-    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "summary").join(
-        named.withColumnRenamed("n", "n_shingles"), ["summary", "n_shingles"], "left"
-    )
+    named = named.join(smallest, "component").select("summary", F.col("n").alias("n_shingles"), "component_id")
+    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "summary").join(named, ["summary", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of every group of near-equal texts, that of the smallest doc_id, and all columns.
+
+    A null doc_id comes last; of rows with the same id and text one stays.  Rows without
+    shingles stay.
+    """
+    table, named = _components(docs, words, num, den)
+    groups = named.groupBy("component").agg(F.sum("rows").alias("_n")).filter("_n > 1")
+    crowded = materialize(named.join(groups, "component").select("summary", "n", "component"))
+    rows = materialize(table.select("doc_id", "row_key", "summary", "n").join(crowded, ["summary", "n"]).select("component", "doc_id", "row_key"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    first = rows.groupBy("component").agg(F.min(order)["row_key"].alias("_keep"))
+    fates = rows.join(first, "component").groupBy("row_key").agg(F.min((F.col("row_key") == F.col("_keep")).cast("int")).alias("_stays"))
+    known = docs.withColumn("_row", F.expr(_ROW))
+    met = join_checked(known, materialize(fates.withColumnRenamed("row_key", "_key")), F.col("_row") == F.col("_key"), "left")
+    alone = met.filter("_stays IS NULL")
+    kept = met.filter("_stays = 1").dropDuplicates(["_row"])
+    return alone.unionByName(kept).select(*docs.columns)

@@ -160,6 +160,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all their columns; ``labels`` is the table of labels."""
+    model = fit(docs, learnable(labels))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    weights, means, scales = (np.array(x) for x in (model.weights, model.means, model.scales))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = _Sizes(sent.value)
+        for batch in batches:
+            found = np.array([sizes((t.as_py() or "").encode()) for t in batch.column("text")]).reshape(-1, 3)
+            yield batch.filter(pa.array(weights[0] + ((found - means) / scales) @ weights[1:] >= 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(labels: DataFrame) -> DataFrame:
     """``doc_id, label`` of the quality labels that may be learned from."""
     return labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label"))
