@@ -168,8 +168,9 @@ def _key(host: str, path: str, page: int | None) -> tuple:
 
 
 def _cuts(keys: DataFrame, parts: int) -> list[tuple]:
-    """``parts - 1`` cuts of the order of pages; from a bounded sample, since they only balance work."""
-    sample = keys.orderBy(F.xxhash64("host", "path", "page_id")).limit(100 * parts).collect()
+    """``parts - 1`` cuts of the order of pages, from about 100 hashed keys a part; they only balance work."""
+    every = max(1, keys.count() // (100 * parts))
+    sample = keys.filter(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(every)) == 0).distinct().collect()
     order = sorted({_key(r.host, r.path, r.page_id) for r in sample})
     return sorted({order[len(order) * i // parts] for i in range(1, parts)}) if order else []
 
