@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.components import node_ids
 from seriesloom.llm.jaccard import Bands, cluster_components, clusters
-from seriesloom.llm.store import join_checked, materialize
+from seriesloom.llm.store import fresh, join_checked, materialize
 from seriesloom.llm.words import Words, column_bytes, mix, shingle_sets, steps
 
 #: Stands for a row by its id and text; rows that agree in both are alike.
@@ -116,8 +116,8 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     first = rows.groupBy("component").agg(F.min(order)["row_key"].alias("_keep"))
     fates = rows.join(first, "component").groupBy("row_key").agg(F.min((F.col("row_key") == F.col("_keep")).cast("int")).alias("_stays"))
-    known = docs.withColumn("_row", F.expr(_ROW))
-    met = join_checked(known, materialize(fates.withColumnRenamed("row_key", "_key")), F.col("_row") == F.col("_key"), "left")
-    alone = met.filter("_stays IS NULL")
-    kept = met.filter("_stays = 1").dropDuplicates(["_row"])
-    return alone.unionByName(kept).select(*docs.columns)
+    row, key, stays = fresh(docs, "_row", "_key", "_stays")
+    known = docs.withColumn(row, F.expr(_ROW))
+    met = join_checked(known, materialize(fates.toDF(key, stays)), F.col(row) == F.col(key), "left")
+    kept = met.filter(F.col(stays) == 1).dropDuplicates([row])
+    return met.filter(F.col(stays).isNull()).unionByName(kept).select(*docs.columns)

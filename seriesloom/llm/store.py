@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.session import materialize, scratch_path, shuffle_width
 
-__all__ = ["arrow_map", "join_checked", "materialize", "scratch_path", "shuffle_width", "missing_as"]
+__all__ = ["arrow_map", "fresh", "join_checked", "materialize", "scratch_path", "shuffle_width"]
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -33,5 +33,11 @@ def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner") ->
     return wide.join(F.broadcast(narrow) if few else narrow, on, how)
 
 
-def missing_as(column: str, value) -> F.Column:
-    return F.coalesce(F.col(column), F.lit(value))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.components import node_ids
 from seriesloom.llm.jaccard import cluster_components, clusters
-from seriesloom.llm.store import join_checked, materialize
+from seriesloom.llm.store import fresh, join_checked, materialize
 from seriesloom.llm.words import Words, column_bytes, mix, steps
 
 #: Words of a shingle; the similarity of repeated lines as a fraction of 100.
@@ -269,8 +269,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     parts = lines.unionByName(repeated_segments(texts))
     grouped = parts.groupBy("node").agg(F.collect_list(F.struct("start", "words", "before", "after", "keeper")).alias("_parts"))
     enough = F.aggregate("_parts", zero, lambda n, x: n + x["words"] + x["before"] + x["after"]) >= MIN_WORDS
-    grouped = materialize(grouped.filter(enough).withColumnRenamed("node", "_node"))
-    met = join_checked(docs.withColumn("_key", _NODE), grouped, F.col("_key") == F.col("_node"), "left").drop("_key", "_node")
+    key, node, held = fresh(docs, "_key", "_node", "_parts")
+    grouped = materialize(grouped.filter(enough).select(F.col("node").alias(node), F.col("_parts").alias(held)))
+    met = join_checked(docs.withColumn(key, _NODE), grouped, F.col(key) == F.col(node), "left")
     names = docs.columns
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["words_cut bigint"])
 
@@ -278,7 +279,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, cuts = batch.column("text"), np.zeros(batch.num_rows, dtype=np.int64)
             changed = {}
-            parts = batch.column("_parts")
+            parts = batch.column(held)
             for i in np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 ranges = runs([(x["start"], x["words"], x["before"], x["after"], x["keeper"]) for x in parts[i].as_py()])
                 if ranges:
@@ -291,4 +292,4 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             columns = [texts if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts)], [*names, "words_cut"])
 
-    return met.select(*names, "_parts").mapInArrow(run, schema)
+    return met.select(*names, held).mapInArrow(run, schema)

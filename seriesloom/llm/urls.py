@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.store import materialize, shuffle_width
+from seriesloom.llm.store import fresh, materialize, shuffle_width
 
 #: The item that stands for a bad label in a transaction; no token starts like it.
 BAD = "=bad"
@@ -98,16 +98,18 @@ def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     URLs meet the rules as distinct token sets, so that a host with a third of all pages is
     matched once, and only those rules whose rarest token they hold.
     """
-    marked = pages.withColumn("_tokens", F.array_sort(url_tokens(F.col(url))))
-    sets = marked.groupBy("_tokens").agg(F.count(F.lit(1)).alias("_n")).select("_tokens")
+    tokens, sure = fresh(pages, "_tokens", "_sure")
+    marked = pages.withColumn(tokens, F.array_sort(url_tokens(F.col(url))))
+    sets = marked.groupBy(tokens).agg(F.count(F.lit(1)).alias("_n")).select(F.col(tokens).alias("tokens"))
     hits = (
-        sets.select("_tokens", F.explode("_tokens").alias("_rarest"))
-        .join(rules.select(F.col("rarest").alias("_rarest"), F.col("tokens").alias("_rule"), F.col("confidence").alias("_sure")), "_rarest")
-        .filter(F.size(F.array_except("_rule", "_tokens")) == 0)
-        .groupBy("_tokens")
-        .agg(F.max("_sure").alias("_sure"))
+        sets.select("tokens", F.explode("tokens").alias("rarest"))
+        .join(rules.select("rarest", F.col("tokens").alias("rule"), "confidence"), "rarest")
+        .filter(F.size(F.array_except("rule", "tokens")) == 0)
+        .groupBy("tokens")
+        .agg(F.max("confidence").alias("sure"))
+        .toDF(tokens, sure)
     )
-    return marked.join(hits, "_tokens", "left").select(*pages.columns, F.col("_sure").alias("confidence"))
+    return marked.join(hits, tokens, "left").select(*pages.columns, F.col(sure).alias("confidence"))
 
 
 def explicit_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
