@@ -35,7 +35,7 @@ CONTEXT, MAX_GAP = (3, 7, 13, 22), 8
 #: The chance that two lines of the least similarity share a band, and the most bands.
 RECALL, MAX_BANDS = 0.999, 10
 
-_NODE = F.expr("xxhash64(doc_id, text)")
+_NODE = "xxhash64(doc_id, text)"
 
 
 def tune_bands(similarity: float, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -263,7 +263,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     of which nothing is cut.  Columns of other names are passed on; ``words_cut`` is replaced.
     """
     docs = docs.drop("words_cut")
-    texts = docs.select("doc_id", _NODE.alias("node"), "text").filter("text IS NOT NULL")
+    texts = docs.select("doc_id", F.expr(_NODE).alias("node"), "text").filter("text IS NOT NULL")
     zero = F.lit(0).cast("bigint")
     lines = repeated_lines(texts).select("node", "start", "words", zero.alias("before"), zero.alias("after"), "keeper")
     parts = lines.unionByName(repeated_segments(texts))
@@ -271,7 +271,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     enough = F.aggregate("_parts", zero, lambda n, x: n + x["words"] + x["before"] + x["after"]) >= MIN_WORDS
     key, node, held = fresh(docs, "_key", "_node", "_parts")
     grouped = materialize(grouped.filter(enough).select(F.col("node").alias(node), F.col("_parts").alias(held)))
-    met = join_checked(docs.withColumn(key, _NODE), grouped, F.col(key) == F.col(node), "left")
+    met = join_checked(docs.withColumn(key, F.expr(_NODE)), grouped, F.col(key) == F.col(node), "left")
     names = docs.columns
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["words_cut bigint"])
 
