@@ -73,7 +73,7 @@ class Bands:
             cuts = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
             at = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
             size = np.diff(at)
-            named = np.uint64(band + 1) * np.uint64(0x9FB21C651E98DF25) + np.arange(parts, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            named = np.uint64((band + 1) * 0x9FB21C651E98DF25 % (1 << 64)) + np.arange(parts, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             keys = mix(mix(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64)) ^ mix(named))
             # Linked sets have more equal parts than those spared; if all of them are empty, both sets have so many empty ones.
             out.append(keys[size > 0] if np.count_nonzero(size == 0) <= parts - most - 1 else keys)
