@@ -42,7 +42,7 @@ END64_LOCATOR, END64_LOCATOR_SIZE = b"PK\x06\x07", 20
 END64, END64_SIZE = b"PK\x06\x06", 56
 CENTRAL, CENTRAL_SIZE = b"PK\x01\x02", 46
 LOCAL, LOCAL_SIZE = b"PK\x03\x04", 30
-ZIP64_EXTRA, ALL32, ALL16, COMMENT_MAX = 1, 0xFFFFFFFF, 0xFFFF, 0xFFFF
+ZIP64_EXTRA, ALL32, COMMENT_MAX = 1, 0xFFFFFFFF, 0xFFFF
 STORED = 0
 
 
@@ -71,18 +71,16 @@ def zip_members(file, size: int) -> list[Member]:
         raise ValueError("no ZIP directory")
     _, _, _, count, directory_size, directory_at, _ = struct.unpack_from("<4HIIH", tail, at + 4)
     end_at = size - tail_size + at
-    if ALL16 == count or ALL32 in (directory_size, directory_at):
-        locator = file.read_at(END64_LOCATOR_SIZE, end_at - END64_LOCATOR_SIZE) if end_at >= END64_LOCATOR_SIZE else b""
-        if locator[:4] == END64_LOCATOR:
-            end64_at = struct.unpack_from("<Q", locator, 8)[0]
-            end64 = file.read_at(END64_SIZE, end64_at)
-            if end64[:4] != END64:  # bytes stand before the package
-                end64_at = end_at - END64_LOCATOR_SIZE - END64_SIZE
-                end64 = file.read_at(END64_SIZE, end64_at)
-            if end64[:4] != END64:
-                raise ValueError("no ZIP64 directory end")
-            count, directory_size, directory_at = struct.unpack_from("<3Q", end64, 32)
-            end_at = end64_at
+    wide_at = end_at - END64_LOCATOR_SIZE
+    if wide_at >= END64_SIZE and (locator := file.read_at(END64_LOCATOR_SIZE, wide_at))[:4] == END64_LOCATOR:
+        end_at = struct.unpack_from("<Q", locator, 8)[0]
+        end64 = file.read_at(END64_SIZE, end_at)
+        if end64[:4] != END64:  # bytes stand before the package
+            end_at = wide_at - END64_SIZE
+            end64 = file.read_at(END64_SIZE, end_at)
+        if end64[:4] != END64:
+            raise ValueError("no ZIP64 directory end")
+        count, directory_size, directory_at = struct.unpack_from("<3Q", end64, 32)
     shift = end_at - directory_size - directory_at  # bytes before the package, 0 as a rule
     directory = file.read_at(directory_size, directory_at + shift)
     members, at = [], 0
