@@ -11,11 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Error-function polynomial (Abramowitz & Stegun 7.1.26), |error| < 1.5e-7.
-ERF_P = 0.3275911
-ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-
-# Normal quantile by rational approximation (Abramowitz & Stegun 26.2.23), |error| < 4.5e-4.
+# Normal quantile by rational approximation (Abramowitz & Stegun 26.2.23), |error| < 4.5e-4;
+# where the exact quantile is searched from.
 PROBIT_C = (2.515517, 0.802853, 0.010328)
 PROBIT_D = (1.432788, 0.189269, 0.001308)
 
@@ -25,7 +22,7 @@ T_975 = (
     2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963,
     2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272,
 )
-Z_975 = 1.959964
+Z_975 = 1.959963984540054
 
 
 def safe_div(num: Column, den: Column) -> Column:
@@ -33,30 +30,60 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.when(den != 0, den)
 
 
+def bound(value: Column, build) -> Column:
+    """``build(x)`` with ``x`` evaluated once, however often the result uses it."""
+    return F.get(F.transform(F.array(value.cast("double")), build), F.lit(0))
+
+
+def normal_density(x: Column) -> Column:
+    return F.exp(-x * x / 2.0) / F.lit(math.sqrt(2.0 * math.pi))
+
+
+def _upper_tail(x: Column) -> Column:
+    """P(Z > x) for x >= 0: the power series below 3, the continued fraction from there."""
+    term = lambda acc, k: F.struct(
+        (acc["s"] + acc["t"]).alias("s"), (acc["t"] * x * x / (2.0 * k + 1.0)).alias("t")
+    )
+    head = F.struct(F.lit(0.0).alias("s"), x.alias("t"))
+    near = 0.5 - normal_density(x) * F.aggregate(F.sequence(F.lit(1), F.lit(60)), head, term, lambda acc: acc["s"])
+    far = normal_density(x) / (x + F.aggregate(F.sequence(F.lit(80), F.lit(1)), F.lit(0.0), lambda acc, k: k / (x + acc)))
+    return F.when(x < 3.0, near).otherwise(far)
+
+
 def normal_sf(z: Column) -> Column:
-    """P(Z > z) for a standard normal Z."""
-    x = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = 1.0 / (1.0 + F.lit(ERF_P) * x)
-    a1, a2, a3, a4, a5 = (F.lit(a) for a in ERF_A)
-    poly = t * (a1 + t * (a2 + t * (a3 + t * (a4 + t * a5))))
-    tail = poly * F.exp(-x * x) / 2.0
-    return F.when(z >= 0, tail).otherwise(1.0 - tail)
+    """P(Z > z) for a standard normal Z, to a relative 1e-12 in the upper tail."""
+    return bound(z, lambda x: F.when(x >= 0, _upper_tail(F.abs(x))).otherwise(1.0 - _upper_tail(F.abs(x))))
 
 
 def probit(p: Column) -> Column:
-    """Standard normal quantile of p in (0, 1)."""
-    q = F.least(p, 1.0 - p)
-    t = F.sqrt(-2.0 * F.ln(q))
+    """Standard normal quantile of p in (0, 1): Halley's steps from a rational approximation."""
     c0, c1, c2 = (F.lit(c) for c in PROBIT_C)
     d1, d2, d3 = (F.lit(d) for d in PROBIT_D)
-    x = t - (c0 + t * (c1 + t * c2)) / (1.0 + t * (d1 + t * (d2 + t * d3)))
-    return F.when(p < 0.5, -x).otherwise(x)
+
+    def solve(q: Column) -> Column:
+        t = F.sqrt(-2.0 * F.ln(q))
+        first = F.greatest(t - (c0 + t * (c1 + t * c2)) / (1.0 + t * (d1 + t * (d2 + t * d3))), F.lit(0.0))
+
+        def step(x: Column, _: Column) -> Column:
+            return bound((q - _upper_tail(x)) / normal_density(x), lambda u: x - u / (1.0 + x * u / 2.0))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(3)), first, lambda x, i: F.greatest(step(x, i), F.lit(0.0)))
+
+    return F.when(p < 0.5, -bound(p, solve)).otherwise(bound(1.0 - p, solve))
 
 
 def t_quantile_975(df: Column) -> Column:
-    """Two-sided 95 % t quantile; beyond 30 degrees of freedom the Cornish-Fisher expansion."""
+    """Two-sided 95 % t quantile; beyond 30 degrees of freedom the Cornish-Fisher expansion, which meets the list there."""
     z = Z_975
-    far = F.lit(z) + F.lit((z**3 + z) / 4.0) / df + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96.0) / (df * df)
+    terms = (
+        (z**3 + z) / 4.0,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96.0,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384.0,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160.0,
+    )
+    far = F.lit(z)
+    for i, term in enumerate(terms):
+        far = far + F.lit(term) / F.pow(df.cast("double"), F.lit(i + 1.0))
     table = F.array(*[F.lit(v) for v in T_975])
     return F.when(df < 1, F.lit(None)).when(df <= len(T_975), F.get(table, df.cast("int") - 1)).otherwise(far)
 
@@ -80,6 +107,24 @@ def hypergeometric_pmf(k: str, good: str, drawn: str, total: str) -> Column:
     return F.expr(f"exp({log_choose(good, k)} + {log_choose(bad, left)} - {log_choose(total, drawn)})")
 
 
+def bisect_mode(up: bool, good: str, drawn: str, total: str) -> Column:
+    """The count nearest to ``_mode`` above (below) it whose probability is at most ``_cap``.
+
+    Reads the double columns ``_mode``, ``_lo``, ``_hi`` and ``_cap``; one past the end where
+    there is none.
+    """
+    middle = "floor((s.near + s.far) / 2)"
+    p = f"exp({log_choose(good, 'm')} + {log_choose(f'({total}-{good})', f'({drawn}-m)')} - {log_choose(total, drawn)})"
+    step = (
+        f"CASE WHEN abs(s.far - s.near) <= 1 THEN s ELSE get(transform(array(double({middle})), m -> "
+        f"CASE WHEN {p} <= _cap THEN named_struct('near', s.near, 'far', m) ELSE named_struct('near', m, 'far', s.far) END), 0) END"
+    )
+    end = "_hi + 1" if up else "_lo - 1"
+    return F.expr(
+        f"CASE WHEN _pm <= _cap THEN _mode ELSE aggregate(sequence(1, 50), named_struct('near', _mode, 'far', {end}), (s, i) -> {step}, s -> s.far) END"
+    )
+
+
 def walk_tail(
     start: str, first: str, count: str, good: str, drawn: str, total: str, up: bool, at_most: str | None = None
 ) -> Column:
@@ -102,36 +147,46 @@ def walk_tail(
     )
 
 
-def t_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) for whole degrees of freedom by the finite trigonometric series.
+def _log_gamma_step(a: Column) -> Column:
+    """ln(gamma(a + 1/2) / gamma(a)) for a > 0: the asymptotic series 16 further on, and the steps back."""
+    b = a + 16.0
+    out = 0.5 * F.ln(b) - 1.0 / (8.0 * b) + 1.0 / (192.0 * b * b * b) - 1.0 / (640.0 * F.pow(b, F.lit(5.0)))
+    out = out + 17.0 / (14336.0 * F.pow(b, F.lit(7.0)))
+    for j in range(16):
+        out = out - F.log1p(0.5 / (a + float(j)))
+    return out
 
-    Above 2000 degrees of freedom the normal approximation of A&S 26.7.8 takes over;
-    its error is below 1e-7 there.
-    """
-    n = df.cast("double")
-    theta = F.atan(F.abs(t) / F.sqrt(n))
-    cos2 = n / (n + t * t)
-    odd = (df % 2) == 1
-    terms = F.floor(F.when(odd, (n - 1) / 2).otherwise(n / 2)).cast("int")
-
-    def step(acc: Column, i: Column) -> Column:
-        j = i.cast("double")
-        ratio = F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j)) * cos2
-        return F.struct((acc["s"] + acc["p"]).alias("s"), (acc["p"] * ratio).alias("p"))
-
-    head = F.when(odd, F.sqrt(cos2)).otherwise(F.lit(1.0))
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(terms, F.lit(1))),
-        F.struct(F.lit(0.0).alias("s"), head.alias("p")),
-        step,
-        lambda acc: acc["s"],
-    )
-    total = F.when(terms < 1, F.lit(0.0)).otherwise(total)
-    sin = F.sin(theta)
-    inside = F.when(odd, F.lit(2 / math.pi) * (theta + sin * total)).otherwise(sin * total)
-    z = F.abs(t) * (1.0 - 1.0 / (4.0 * n)) / F.sqrt(1.0 + t * t / (2.0 * n))
-    exact = F.greatest(1.0 - inside, F.lit(0.0))
-    return F.when(n > 2000, 2.0 * normal_sf(z)).otherwise(exact)
+
+def _beta_fraction(x: Column, a: Column, b: Column, steps: Column) -> Column:
+    """The continued fraction of the incomplete beta integral by Lentz's method."""
+
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        d1 = 1.0 / (1.0 + even * acc["d"])
+        c1 = 1.0 + even / acc["c"]
+        d2 = 1.0 / (1.0 + odd * d1)
+        c2 = 1.0 + odd / c1
+        return F.struct(c2.alias("c"), d2.alias("d"), (acc["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+    d = 1.0 / (1.0 - (a + b) * x / (a + 1.0))
+    first = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), steps), first, step, lambda acc: acc["h"])
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) as an incomplete beta integral, to a relative 1e-11; any positive degrees of freedom."""
+
+    def of(n: Column, t2: Column) -> Column:
+        a, b = n / 2.0, F.lit(0.5)
+        x, y = n / (n + t2), t2 / (n + t2)
+        steps = (100 + 2 * F.sqrt(n)).cast("int")
+        front = F.exp(_log_gamma_step(a) - F.lit(0.5 * math.log(math.pi)) - a * F.log1p(t2 / n) + 0.5 * F.ln(y))
+        tail = front * _beta_fraction(x, a, b, steps) / a
+        body = 1.0 - front * _beta_fraction(y, b, a, steps) / b
+        return F.when(t2 == 0, F.lit(1.0)).when(x < (a + 1.0) / (a + 2.5), tail).otherwise(body)
+
+    return bound(df, lambda n: bound(t * t, lambda t2: of(n, t2)))
 
 
 def round_significant(x: Column, digits: int) -> Column:

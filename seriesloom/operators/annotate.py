@@ -23,10 +23,10 @@ def symbol_lookup(df: DataFrame, symbols: DataFrame, key: str, out: str = "symbo
 
 
 def positional_zip(a: DataFrame, b: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Line up row i of ``a`` with row i of ``b`` along an explicit order; extra rows are dropped."""
+    """Line up row i of ``a`` with row i of ``b`` along an explicit order; rows of the longer side meet nulls."""
     left = global_row_number(a, order, "_i").select("_i", *[F.col(c).alias(f"a_{c}") for c in a.columns])
     right = global_row_number(b, order, "_i").select("_i", *[F.col(c).alias(f"b_{c}") for c in b.columns])
-    return left.join(right, "_i").drop("_i")
+    return left.join(right, "_i", "full").drop("_i")
 
 
 def concordant_de_join(a: DataFrame, b: DataFrame, alpha: float = 0.01, column: str = "padj") -> DataFrame:

@@ -70,7 +70,7 @@ def co_occurrence(df: DataFrame, iterations: Sequence, min_fraction: float | Non
     return out if min_fraction is None else out.filter(F.col("fraction") >= min_fraction)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest reachable id per node: ``entity, component``.
 
     Every round takes the smallest label among the neighbours and then follows labels
@@ -81,7 +81,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
     both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     degrees = materialize(both.groupBy("v").agg(F.count(F.lit(1)).alias("_n")))
     labels = nodes.select(F.col("entity").alias("v"), F.col("entity").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         near = (
             salted_join(both, labels, "v", key_counts=degrees)
             .groupBy("u")
@@ -97,7 +97,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
         labels = jumped.select("v", "label")
         if jumped.filter("old <> label").isEmpty():
             return labels.select(F.col("v").alias("entity"), F.col("label").alias("component"))
-    raise RuntimeError("labels did not settle")
 
 
 def threshold_clusters(pairs: DataFrame, nodes: DataFrame, cut: float, min_size: int = 30) -> DataFrame:

@@ -170,13 +170,16 @@ def coverage(df: DataFrame) -> DataFrame:
 def extend_intervals(
     df: DataFrame, lengths: DataFrame, offset: int = 100, five_prime_only: bool = False
 ) -> DataFrame:
-    """Widen intervals within their sequence; ``lengths`` has seq and length (a small dimension)."""
+    """Widen intervals within their sequence; ``lengths`` has seq and length (a small dimension).
+
+    Where a sequence's length is not known its end is no bound.
+    """
     left = F.greatest(F.col("start") - offset, F.lit(0))
-    right = F.least(F.col("end") + offset, F.col("length"))
+    right = F.least(F.col("end") + offset, F.col("length"))  # least skips a null
     if five_prime_only:
         left = F.when(F.col("strand") == "+", left).otherwise(F.col("start"))
         right = F.when(F.col("strand") == "-", right).otherwise(F.col("end"))
-    joined = df.join(lengths, "seq")
+    joined = df.join(lengths, "seq", "left")
     cols = [left.alias("start") if c == "start" else right.alias("end") if c == "end" else F.col(c) for c in df.columns]
     return joined.select(*cols)
 
@@ -242,18 +245,19 @@ def bridge_counts(reads: DataFrame, set_c: DataFrame, bin_size: int, by: Sequenc
 
 
 def interval_scores(sites: DataFrame, track: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
-    """Mean per-base score of each site (``id``); bases without score or in a gap count 0.
+    """Mean per-base score of each site (``id``); bases without score or in a gap count 0, an empty site has none.
 
     Sites are short, so their bases are listed and joined on (seq, pos); a crowded
     sequence spreads by position.
     """
-    bases = sites.select("id", "seq", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    held = F.when(F.col("start") < F.col("end"), F.sequence("start", F.col("end") - 1))
+    bases = sites.select("id", "seq", F.explode_outer(held).alias("pos"))
     values = track.select("seq", "pos", "score")
     if gaps is not None:
         values = values.join(gaps.select("seq", "pos"), ["seq", "pos"], "left_anti")
     joined = bases.join(values, ["seq", "pos"], "left")
     return joined.groupBy("id").agg(
-        (F.sum(F.coalesce("score", F.lit(0.0))) / F.count(F.lit(1))).alias("score")
+        (F.sum(F.when(F.col("pos").isNotNull(), F.coalesce("score", F.lit(0.0)))) / F.count(F.lit(1))).alias("score")
     )
 
 

@@ -216,8 +216,8 @@ def module_pc1(df: DataFrame, clusters: DataFrame, times: Sequence[int]) -> Data
     ).select("cluster", F.get(at, F.col("_i")).alias("time"), (F.col("sg") * F.col("_v")).alias("score"), "var_explained")
 
 
-def sample_pca(values: DataFrame, samples: Sequence[str], top: int = 500) -> DataFrame:
-    """Two leading components of the samples over the ``top`` most variable entities.
+def sample_pca(values: DataFrame, samples: Sequence[str], top: int | None = None) -> DataFrame:
+    """Two leading components of the samples over all entities, or the ``top`` most variable ones.
 
     ``values`` has entity, sample and value.  Each task reduces its entities to one
     samples x samples matrix, which is then summed.
@@ -225,8 +225,10 @@ def sample_pca(values: DataFrame, samples: Sequence[str], top: int = 500) -> Dat
     s = len(samples)
     series = to_series(values.withColumnRenamed("sample", "time"), samples)
     centred = series.withColumn("_m", mean("series", s)).select("entity", F.transform("series", lambda v: v - F.col("_m")).alias("x"))
-    var = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
-    chosen = centred.withColumn("_var", var).orderBy(F.desc("_var"), "entity").limit(top).select("x")
+    chosen = centred.select("x")
+    if top is not None:
+        var = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
+        chosen = centred.withColumn("_var", var).orderBy(F.desc("_var"), "entity").limit(top).select("x")
     rows, cols = np.triu_indices(s)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

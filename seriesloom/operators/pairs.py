@@ -347,7 +347,11 @@ def random_matched_pairs(
         hashed = df.select(F.col("entity").alias(out), F.conv(F.substring(key, 1, 12), 16, 10).cast("long").alias("_h"))
         return global_row_number(hashed, ["_h", out], "_rn")
 
-    return numbered(matched, "a", "pool").join(numbered(others, "b", "other"), "_rn").select("a", "b")
+    # With fewer others than pool entities the others are reused in the same order.
+    there = materialize(numbered(others, "b", "other"))
+    n = F.greatest(there.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    picked = numbered(matched, "a", "pool").withColumn("_rn", F.pmod(F.col("_rn") - 1, n) + 1)
+    return picked.join(there, "_rn").select("a", "b")
 
 
 def partners_per_entity(pairs: DataFrame, by: str, other: str, name: str = "n_partners") -> DataFrame:

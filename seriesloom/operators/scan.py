@@ -13,19 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.skew import salted_join
+from seriesloom.operators.skew import null_safe, salted_join
 from seriesloom.session import materialize, shuffle_width
 
-# Tables up to this many rows are scanned by one plain window: the size is checked, not assumed.
-SMALL_ROWS = 200_000
-
-
-
-def is_small(table: DataFrame) -> bool:
-    """Whether a stored table has at most ``SMALL_ROWS`` rows (answered from file footers)."""
-    return table.count() <= SMALL_ROWS
-
-
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -66,21 +56,15 @@ def running(
     """Add running aggregates ``{name: (sum|max|min, column)}`` along ``order`` within ``keys``.
 
     ``df`` must hold at most one row per (keys, order): collapse equal positions
-    first, which also removes any hot position.  ``order`` is numeric.  The input is
-    materialized, because the split points, the chunk totals and the scan all read it.
-    Passing ``chunks`` forces the chunked form whatever the size.
+    first, which also removes any hot position.  ``order`` is numeric; null keys are a
+    group like others.  The input is materialized, because the split points, the chunk
+    totals and the scan all read it.
     """
     df = materialize(df)
     keys = list(keys)
     names = list(aggs)
     by = F.col(order).desc() if reverse else F.col(order).asc()
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-    if chunks is None and is_small(df):
-        whole = Window.partitionBy(*keys).orderBy(by).rowsBetween(*frame)
-        plain = [_AGG[kind](col).over(whole).alias(n) for n, (kind, col) in aggs.items()]
-        zero = {n for n in names if aggs[n][0] == "sum"}
-        out = df.select("*", *plain)
-        return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in zero}) if zero else out
     chunks = chunks or shuffle_width(df)
     base = with_chunk(df, order, chunks).select(
         "*",
@@ -104,7 +88,7 @@ def running(
             return F.coalesce(here, F.lit(0)) + F.coalesce(prior, F.lit(0))
         return F.greatest(here, prior) if kind == "max" else F.least(here, prior)
 
-    return scanned.join(carry, part).select(*df.columns, *[combined(n).alias(n) for n in names])
+    return null_safe(scanned, carry, part).select(*df.columns, *[combined(n).alias(n) for n in names])
 
 
 def asof_running(
@@ -160,8 +144,6 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str, chunks: in
     must identify a row.
     """
     df = materialize(df)
-    if chunks is None and is_small(df):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     chunks = chunks or shuffle_width(df)
     base = with_chunk(df, order[0], chunks)
     sizes = base.groupBy("_chunk").count()
@@ -192,14 +174,11 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n")
     )
     counts = materialize(counts)
-    if chunks is None and is_small(counts):
-        exact = [F.expr(f"percentile(_x, {float(q)!r}D, _n)").alias(name) for name, q in probs.items()]
-        return counts.groupBy(*keys).agg(F.sum("_n").alias("n"), *exact)
     ranked = running(counts, keys, "_x", {"_cum": ("sum", F.col("_n"))}, chunks=chunks)
     if keys:
         sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
         weights = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = salted_join(ranked, sizes, keys, key_counts=weights)
+        ranked = salted_join(ranked, sizes, keys, key_counts=weights, nulls_meet=True)
     else:
         ranked = ranked.withColumn("_size", counts.agg(F.sum("_n")).scalar())
     aggs = []

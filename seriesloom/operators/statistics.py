@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.numeric import (
+    bisect_mode,
     hypergeometric_pmf,
     normal_sf,
     probit,
@@ -16,7 +17,7 @@ from seriesloom.functions.numeric import (
     walk_tail,
 )
 from seriesloom.operators.intervals import first_per_group, interval_scores, overlap_join
-from seriesloom.operators.scan import global_row_number, is_small, running
+from seriesloom.operators.scan import global_row_number, running
 from seriesloom.operators.skew import salted_join
 from seriesloom.session import materialize, shuffle_width
 
@@ -36,7 +37,8 @@ def ecdf_rank(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     ranked = running(counts, keys, value, {"_cum": ("sum", F.col("_n"))})
     if keys:
         sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-        out = salted_join(ranked, sizes, keys, key_counts=counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+        weights = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        out = salted_join(ranked, sizes, keys, key_counts=weights, nulls_meet=True)
     else:
         out = ranked.withColumn("_size", counts.agg(F.sum("_n")).scalar())
     return out.select(*keys, value, (F.col("_cum") / F.col("_size")).alias("ecdf"))
@@ -133,8 +135,10 @@ def exact_p(
 ) -> DataFrame:
     """Hypergeometric p-value per row: ``greater`` (upper tail) or ``two-sided`` (Fisher).
 
-    Tails are summed away from the mode, where they fall; terms further out than twelve
-    standard deviations lie below double precision, which bounds the number of steps.
+    Tails are summed away from the mode, where they fall: the table's own from its count on, the
+    other one from the first count that is no likelier, found by bisection.  From wherever a tail
+    starts, terms more than twelve standard deviations further out lie below double precision of
+    its first, which bounds the number of steps.
     """
     d = df.withColumns({"_k": hits.cast("double"), "_g": good.cast("double"), "_n": drawn.cast("double"), "_t": total.cast("double")})
     d = d.withColumns(
@@ -156,8 +160,10 @@ def exact_p(
     elif alternative == "two-sided":
         d = d.withColumns({"_pm": hypergeometric_pmf("_mode", *law), "_cap": F.expr("_pk * (1 + 1e-7D)")})
         down = walk_tail("_k", "_pk", "least(_k - _lo + 1, _reach)", *law, False)
-        other_down = walk_tail("_mode", "_pm", "least(_mode - _lo + 1, _reach)", *law, False, "_cap")
-        other_up = walk_tail("_mode", "_pm", "least(_hi - _mode + 1, _reach)", *law, True, "_cap")
+        d = d.withColumns({"_down": bisect_mode(False, *law), "_up": bisect_mode(True, *law)})
+        d = d.withColumns({"_pd": hypergeometric_pmf("_down", *law), "_pu": hypergeometric_pmf("_up", *law)})
+        other_down = walk_tail("_down", "_pd", "least(_down - _lo + 1, _reach)", *law, False)
+        other_up = walk_tail("_up", "_pu", "least(_hi - _up + 1, _reach)", *law, True)
         p = F.when(k > mode, up + other_down).when(k < mode, down + other_up).otherwise(F.lit(1.0))
     else:
         raise ValueError("alternative must be 'greater' or 'two-sided'")
@@ -172,26 +178,6 @@ def fisher(df: DataFrame, alternative: str = "two-sided") -> DataFrame:
     return exact_p(df.withColumn("odds", odds), a, a + b, a + c, a + b + c + d, alternative)
 
 
-def _adjust_small(df: DataFrame, p: str, method: str, out: str, by: list[str]) -> DataFrame:
-    """The same adjustment by plain windows, for tables of checked size."""
-    value = F.col(p)
-    whole = Window.partitionBy(*by, value.isNull())
-    size = F.count(F.lit(1)).over(whole)
-    if method == "bonferroni":
-        adjusted = df.withColumn("_adj", value * size)
-    elif method == "BH":
-        upto = F.count(F.lit(1)).over(whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-        falling = whole.orderBy(value.desc()).rangeBetween(Window.unboundedPreceding, 0)
-        adjusted = df.withColumn("_raw", value * size / upto).withColumn("_adj", F.min("_raw").over(falling))
-    elif method == "holm":
-        first = F.rank().over(whole.orderBy(value))
-        rising = whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-        adjusted = df.withColumn("_raw", value * (size - first + 1)).withColumn("_adj", F.max("_raw").over(rising))
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return adjusted.select(*df.columns, F.when(value.isNotNull(), F.least(F.col("_adj"), F.lit(1.0))).alias(out))
-
-
 def p_adjust(
     df: DataFrame, p: str = "pvalue", method: str = "BH", out: str = "padj", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -199,19 +185,17 @@ def p_adjust(
 
     Equal p-values share their result, so distinct values are counted and scanned and
     the result is joined back by value.  The input is materialized first, so that both
-    sides hold the same bits.
+    sides hold the same bits.  Null group keys are a group like others.
     """
     by = list(by)
     df = materialize(df)
-    if is_small(df):
-        return _adjust_small(df, p, method, out, by)
     counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
 
     def sized(part: DataFrame) -> DataFrame:
         if by:
             sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
             weights = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-            return salted_join(part, sizes, by, key_counts=weights)
+            return salted_join(part, sizes, by, key_counts=weights, nulls_meet=True)
         return part.withColumn("_size", counts.agg(F.sum("_n")).scalar())
 
     if method == "bonferroni":
@@ -227,7 +211,7 @@ def p_adjust(
         else:
             raise ValueError(f"unknown method {method!r}")
     lookup = table.select(*by, p, F.least(F.col("_adj"), F.lit(1.0)).alias(out))
-    return salted_join(df, lookup, by + [p], "left", key_counts=counts).select(*df.columns, out)
+    return salted_join(df, lookup, by + [p], "left", key_counts=counts, nulls_meet=True).select(*df.columns, out)
 
 
 def de_contrast(df: DataFrame, first: str, second: str, group: str = "condition", value: str = "value") -> DataFrame:
@@ -375,7 +359,7 @@ def empirical_pvalue(
     perm = F.explode(F.sequence(F.lit(1), F.lit(perms)))
     # The draws multiply the rows; a fixed number of partitions keeps them spread.
     room = room.repartition(shuffle_width(room), "id")
-    drawn = room.filter((F.col("size") > 2 * edge) & (F.col("room") > 0)).select("*", perm.alias("perm")).select(
+    drawn = room.filter((F.col("size") > 2 * edge) & (F.col("room") > 0) & (F.col("len") > 0)).select("*", perm.alias("perm")).select(
         "*", F.explode(F.sequence(F.lit(1), F.col("len").cast("int"))).alias("draw")
     )
     key = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("perm").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))

@@ -267,7 +267,7 @@ def hourly_gaps(t: Tables):
     return t.table("events").filter("event_type = 'error'").select(F.col("user_id").alias("seq"), hour("ts").alias("pos")).distinct()
 
 
-PERMS, DRAW_SEED = 20, 7
+PERMS, DRAW_SEED = 100, 7
 HOUR = "CAST(floor(epoch(ts)/3600) AS BIGINT)"
 TRACK = dict(
     track=f"SELECT user_id AS seq, {HOUR} AS pos, round(avg(value),9) AS score FROM events GROUP BY 1,2",
@@ -309,8 +309,8 @@ def empirical_pvalue_query(t):
     "conservation_summary",
     with_(
         "",
-        """SELECT s.seq, round(avg(score)+1e-8::DOUBLE,6) AS mean_score, count(*) AS n_sites, count(*) FILTER (pvalue<0.1) AS n_sig,
-           round(100.0*count(*) FILTER (pvalue<0.1)/count(*),6) AS pct_sig FROM pv JOIN site s USING (id) GROUP BY 1""",
+        """SELECT s.seq, round(avg(score)+1e-8::DOUBLE,6) AS mean_score, count(*) AS n_sites, count(*) FILTER (pvalue<0.01) AS n_sig,
+           round(100.0*count(*) FILTER (pvalue<0.01)/count(*),6) AS pct_sig FROM pv JOIN site s USING (id) GROUP BY 1""",
         **NULLS,
     ),
 )
@@ -318,5 +318,5 @@ def conservation_summary_query(t):
     scored = scored_sites(t).join(hourly_sites(t).select("id", "seq"), "id")
     # Means of two-digit decimals often end in an exact 5, which engines round differently;
     # a shift of 1e-8 on both sides settles the tie.
-    out = conservation_summary(scored, ["seq"], alpha=0.1).withColumn("mean_score", F.col("mean_score") + 1e-8)
+    out = conservation_summary(scored, ["seq"], alpha=0.01).withColumn("mean_score", F.col("mean_score") + 1e-8)
     return rounded(out, "mean_score", "pct_sig")

@@ -22,7 +22,7 @@ from seriesloom.plans.bindings import (
     with_,
 )
 from seriesloom.plans.registry import query
-from seriesloom.plans.sqltext import dtw_ctes
+from seriesloom.plans.sqltext import dtw_ctes, quantile_sql
 
 # Brands are few and suppliers grow with the data: brands stay in one block.
 WIDE = (1, 64)
@@ -217,7 +217,7 @@ RANDOM_SQL = dict(
     "xcorr_random_pairs",
     with_(
         "mean_l mean_g class_l pairs",
-        "SELECT ra.a, rb.b, round(p.value,6) AS value FROM ra JOIN rb USING(rn) JOIN pairs p ON p.l_id=ra.a AND p.g_id=rb.b",
+        "SELECT ra.a, rb.b, round(p.value,6) AS value FROM ra JOIN rb ON rb.rn=(ra.rn-1)%(SELECT count(*) FROM rb)+1 JOIN pairs p ON p.l_id=ra.a AND p.g_id=rb.b",
         **RANDOM_SQL,
     ),
 )
@@ -321,9 +321,7 @@ def adaptive_dtw(t):
         n="SELECT count(*) AS n, avg(cov_sum) AS m, stddev_samp(cov_sum) AS sd FROM s",
         pp="""SELECT (i-a)/(n+1-2*a) AS p, m, sd FROM (SELECT row_number() OVER (ORDER BY cov_sum) AS i, n, m, sd,
               CASE WHEN n<=10 THEN 0.375::DOUBLE ELSE 0.5::DOUBLE END AS a FROM s, n)""",
-        tt="SELECT *, sqrt(-2*ln(least(p,1-p))) AS t FROM pp",
-        e="""SELECT abs(m+sd*CASE WHEN p<0.5 THEN -x ELSE x END) AS v FROM (SELECT *, t-(2.515517+t*(0.802853+t*0.010328))
-             /(1+t*(1.432788+t*(0.189269+t*0.001308))) AS x FROM tt)""",
+        e=f"SELECT abs(m+sd*{quantile_sql('p')}) AS v FROM pp",
     ),
 )
 def covariance_sum_filter(t):

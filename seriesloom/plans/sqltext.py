@@ -4,16 +4,28 @@ from __future__ import annotations
 
 
 def sf_sql(z: str) -> str:
-    """P(Z > z) by the same published polynomial; ``z`` is a column name."""
-    t = f"(1.0::DOUBLE/(1+0.3275911::DOUBLE*abs({z})/sqrt(2)))"
-    poly = (
-        f"{t}*(0.254829592::DOUBLE+{t}*(-0.284496736::DOUBLE+{t}*(1.421413741::DOUBLE"
-        f"+{t}*(-1.453152027::DOUBLE+{t}*1.061405429::DOUBLE))))"
+    """P(Z > z): the series of the distribution function below 2, Craig's integral by the midpoint rule from there."""
+    x = f"abs({z})"
+    near = (
+        f"(0.5-exp(-{x}*{x}/2)/sqrt(2*pi())*list_sum(list_transform(range(0,50), lambda k: "
+        f"pow({x},2*k+1)*exp(lgamma(k+1.0::DOUBLE)+k*ln(2.0::DOUBLE)-lgamma(2*k+2.0::DOUBLE)))))"
     )
-    tail = f"({poly}*exp(-{z}*{z}/2)/2)"
+    far = f"(list_sum(list_transform(range(0,200), lambda k: exp(-{x}*{x}/(2*pow(sin((k+0.5::DOUBLE)*pi()/400),2)))))/400)"
+    tail = f"(CASE WHEN {x}<2 THEN {near} ELSE {far} END)"
     return f"(CASE WHEN {z}>=0 THEN {tail} ELSE 1-{tail} END)"
 
 
+def quantile_sql(p: str, steps: int = 60) -> str:
+    """Standard normal quantile of ``p`` in (0, 1): bisection on the tail."""
+    q = f"least({p},1-{p})"
+    tail = sf_sql("(s[1]+s[2])/2")
+    walk = (
+        f"list_reduce(list_prepend([0.0::DOUBLE,40.0::DOUBLE], list_transform(range(0,{steps}), lambda i: [0.0::DOUBLE,0.0::DOUBLE])), "
+        f"lambda s, i: CASE WHEN {tail}>{q} THEN [(s[1]+s[2])/2,s[2]] ELSE [s[1],(s[1]+s[2])/2] END)[1]"
+    )
+    return f"(CASE WHEN {p}<0.5 THEN -1 ELSE 1 END*{walk})"
+
+
 def bh_sql(src: str, p: str = "pvalue", out: str = "padj", by: str = "") -> str:
     part = f"PARTITION BY {by} " if by else ""
     return (

@@ -13,7 +13,7 @@ from seriesloom.plans.bindings import TIMES, Tables, g_clusters, rounded, with_
 from seriesloom.plans.pairs import brand_profiles, supplier_profiles
 from seriesloom.plans.registry import query
 from seriesloom.plans.sets import TAGGED, tagged_in_one_pass
-from seriesloom.plans.sqltext import bh_sql, holm_sql, hyper_sql, sf_sql, t_sql
+from seriesloom.plans.sqltext import bh_sql, holm_sql, hyper_sql, quantile_sql, sf_sql, t_sql
 from seriesloom.plans.tables import STRONG, TREND0, strong_pairs
 
 
@@ -69,9 +69,9 @@ def ecdf_rank(t):
 
 @query(
     "plotting_positions",
-    """WITH r AS (SELECT p_partkey AS id, p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rank, count(*) OVER () AS n FROM part),
-       p AS (SELECT id, rank, (rank-0.5::DOUBLE)/n AS position FROM r), tt AS (SELECT *, sqrt(-2*ln(least(position,1-position))) AS t FROM p)
-       SELECT id, rank, round(position,6) AS position, round(CASE WHEN position<0.5 THEN -1 ELSE 1 END*(t-(2.515517+t*(0.802853+t*0.010328))/(1+t*(1.432788+t*(0.189269+t*0.001308)))),6) AS quantile FROM tt""",
+    f"""WITH r AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rank, count(*) OVER () AS n FROM part),
+       p AS (SELECT id, rank, (rank-0.5::DOUBLE)/n AS position FROM r)
+       SELECT id, rank, round(position,6) AS position, round({quantile_sql('position')},6) AS quantile FROM p""",
 )
 def plotting_positions(t):
     rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("v"))

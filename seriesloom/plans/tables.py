@@ -142,14 +142,15 @@ def symbol_lookup(t):
     "positional_zip",
     with_(
         "iv",
-        """SELECT x.id AS a_id, y.id AS b_id, x.start AS a_start, y.start AS b_start FROM
-           (SELECT *, row_number() OVER (ORDER BY start,id) AS i FROM iv WHERE feature='click') x JOIN
+        """SELECT CAST(x.id AS VARCHAR) AS a_id, CAST(y.id AS VARCHAR) AS b_id, CAST(x.start AS VARCHAR) AS a_start, CAST(y.start AS VARCHAR) AS b_start FROM
+           (SELECT *, row_number() OVER (ORDER BY start,id) AS i FROM iv WHERE feature='click') x FULL JOIN
            (SELECT *, row_number() OVER (ORDER BY start,id) AS i FROM iv WHERE feature='view') y USING (i)""",
     ),
 )
 def positional_zip(t):
     a, b = (t.features(k).select("start", "id") for k in ("click", "view"))
-    return N.positional_zip(a, b, ["start", "id"])
+    zipped = N.positional_zip(a, b, ["start", "id"])
+    return zipped.select(*[F.col(c).cast("string") for c in zipped.columns])
 
 
 CONC = dict(

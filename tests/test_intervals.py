@@ -10,11 +10,10 @@ from seriesloom.operators import scan
 SCHEMA = "id int, seq string, start long, end long, strand string"
 
 
-@pytest.fixture(params=["window", "chunks"])
+@pytest.fixture(params=[1, 7])
 def mode(request, monkeypatch):
-    """Run every scan both as one plain window and in chunks."""
-    if request.param == "chunks":
-        monkeypatch.setattr(scan, "SMALL_ROWS", -1)
+    """Run every scan in one chunk and in several."""
+    monkeypatch.setattr(scan, "shuffle_width", lambda df: request.param)
     return request.param
 
 
@@ -110,3 +109,16 @@ def test_extend_and_scores(spark):
     gaps = spark.createDataFrame([("c", 52)], "seq string, pos long")
     got = {r["id"]: r["score"] for r in V.interval_scores(df, track, gaps).collect()}
     assert got == {1: pytest.approx(0.3), 2: 0.0}
+
+
+def test_empty_site_has_no_score(spark):
+    sites = spark.createDataFrame([(1, "c", 5, 5), (2, "c", 4, 6), (3, "c", 7, 5)], "id int, seq string, start long, end long")
+    track = spark.createDataFrame([("c", p, float(p)) for p in range(10)], "seq string, pos long, score double")
+    assert {r["id"]: r["score"] for r in V.interval_scores(sites, track).collect()} == {1: None, 2: 4.5, 3: None}
+
+
+def test_extension_without_a_known_length(spark):
+    df = spark.createDataFrame([(1, "c", 50, 60, "+"), (2, "x", 50, 60, "+")], SCHEMA)
+    lengths = spark.createDataFrame([("c", 100)], "seq string, length long")
+    got = {r["id"]: (r["start"], r["end"]) for r in V.extend_intervals(df, lengths).collect()}
+    assert got == {1: (0, 100), 2: (0, 160)}

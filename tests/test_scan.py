@@ -80,5 +80,27 @@ def test_salted_join_equals_plain_join(spark, how, counted):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 9}", i) for i in range(300)], "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("k5", 4)], "k string, w int")
     counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("_n")) if counted else None
-    got = salted_join(left, right, "k", how, salts=4, key_counts=counts, min_hot=50)
+    got = salted_join(left, right, "k", how, salts=4, key_counts=counts)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 5])
+def test_null_and_hot_keys_are_groups_like_others(spark, chunks):
+    data = [(None, i) for i in range(30)] + [("hot", i) for i in range(200)] + [("a", 3)]
+    df = spark.createDataFrame(data, "k string, x int")
+    got = running(df, ["k"], "x", {"s": ("sum", F.lit(1))}, chunks=chunks).collect()
+    assert len(got) == len(data) and all(r["s"] == (1 if r["k"] == "a" else r["x"] + 1) for r in got)
+    found = exact_quantiles(df, ["k"], "x", {"m": 0.5}, chunks).collect()
+    assert {r["k"]: (r["n"], r["m"]) for r in found} == {None: (30, 14.5), "hot": (200, 99.5), "a": (1, 3.0)}
+    numbered = global_row_number(df.withColumn("o", F.coalesce("k", F.lit(""))), ["x", "o"], "rn", chunks).collect()
+    assert sorted(r["rn"] for r in numbered) == list(range(1, len(data) + 1))
+
+
+def test_salted_join_of_nulls_and_bare_keys(spark):
+    left = spark.createDataFrame([("h",)] * 90 + [(None,), ("x",)], "k string")
+    right = spark.createDataFrame([("h", 1), (None, 2)], "k string, w int")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    for meets, nulls in ((True, 2), (False, None)):
+        got = salted_join(left, right, "k", "left", key_counts=counts, nulls_meet=meets).collect()
+        assert len(got) == 92 and sum(r["w"] == 1 for r in got) == 90
+        assert [r["w"] for r in got if r["k"] is None] == [nulls]

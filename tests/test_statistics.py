@@ -14,10 +14,9 @@ from seriesloom.operators import sets as S
 from seriesloom.operators import statistics as T
 
 
-@pytest.fixture(params=["window", "chunks"])
+@pytest.fixture(params=[1, 7])
 def mode(request, monkeypatch):
-    if request.param == "chunks":
-        monkeypatch.setattr(scan, "SMALL_ROWS", -1)
+    monkeypatch.setattr(scan, "shuffle_width", lambda df: request.param)
     return request.param
 
 
@@ -158,3 +157,50 @@ def test_small_filters(spark):
     parts = X.split_sample_label(spark.createDataFrame([("A.3.R2",)], "sample string")).collect()[0]
     assert (parts["condition"], parts["time"], parts["replicate"]) == ("A", 3, "R2")
     assert X.to_series(df, range(5)).count() == 0 and X.to_series(df, range(4)).count() == 1
+
+
+def test_tails_keep_their_relative_accuracy(spark):
+    # Literal values to 15 digits.
+    for z, want in ((0.0, 0.5), (1.0, 0.158655253931457), (3.0, 1.34989803163009e-3), (5.0, 2.86651571879194e-7), (8.0, 6.22096057427178e-16), (20.0, 2.75362411860623e-89)):
+        assert one(spark, U.normal_sf(F.lit(z))) == pytest.approx(want, rel=1e-11)
+    assert one(spark, U.normal_sf(F.lit(-8.0))) == 1.0 - 6.22096057427178e-16
+    for p, want in ((0.975, 1.95996398454005), (0.5, 0.0), (0.025, -1.95996398454005), (1e-10, -6.36134090240406), (0.84134474606854, 1.0)):
+        assert one(spark, U.probit(F.lit(p))) == pytest.approx(want, rel=1e-11, abs=1e-12)
+
+
+def exact_t(t, n):
+    """Two-sided tail for even degrees of freedom by the closed series, in 60 digits."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    t, n = Decimal(t), Decimal(n)
+    cos2 = n / (n + t * t)
+    term = total = Decimal(1)
+    for j in range(1, int(n) // 2):
+        term *= cos2 * (2 * j - 1) / (2 * j)
+        total += term
+    return float(1 - (1 - cos2).sqrt() * total)
+
+
+def test_t_tail_far_out_and_with_many_degrees(spark):
+    for t, n in ((30, 20), (60, 40), (2, 10), (1, 2), (4, 2000), (4, 2002), (7, 5000), (0, 6)):
+        assert one(spark, U.t_two_sided(F.lit(float(t)), F.lit(n))) == pytest.approx(exact_t(t, n), rel=1e-9)
+    assert one(spark, U.t_two_sided(F.lit(1.0), F.lit(1))) == pytest.approx(0.5, rel=1e-12)
+
+
+def test_both_tails_of_a_large_table(spark):
+    df = spark.createDataFrame([(700, 300, 300, 700), (300, 700, 700, 300), (5, 5, 5, 5), (10, 0, 0, 10)], "a int, b int, c int, d int")
+    got = [r["pvalue"] for r in T.fisher(df).orderBy(F.desc("a"), "b").collect()]
+    tail = sum(math.comb(1000, k) * math.comb(1000, 1000 - k) for k in range(700, 1001)) / math.comb(2000, 1000)
+    assert got[0] == pytest.approx(2 * tail, rel=1e-9) and got[0] == pytest.approx(3.5208e-73, rel=1e-4)
+    assert got[1] == pytest.approx(2 * tail, rel=1e-9)
+    assert got[2] == pytest.approx(2 / math.comb(20, 10), rel=1e-9) and got[3] == pytest.approx(1.0)
+
+
+def test_adjustment_and_ranks_with_a_null_group(spark, mode):
+    data = [(None, 0.01), (None, 0.02), (None, None), ("a", 0.01), ("a", 0.5)]
+    df = spark.createDataFrame(data, "g string, pvalue double")
+    got = sorted((str(r["g"]), str(r["pvalue"]), r["padj"]) for r in T.p_adjust(df, by=["g"]).collect())
+    assert got == [("None", "0.01", 0.02), ("None", "0.02", 0.02), ("None", "None", None), ("a", "0.01", 0.02), ("a", "0.5", 0.5)]
+    ranks = T.ecdf_rank(df.filter("pvalue IS NOT NULL"), "pvalue", ["g"]).collect()
+    assert sorted((str(r["g"]), r["ecdf"]) for r in ranks) == [("None", 0.5), ("None", 1.0), ("a", 0.5), ("a", 1.0)]
