@@ -77,6 +77,20 @@ class Tables:
     def expr_g(self) -> DataFrame:
         return self._expression(self.lineitem, "l_suppkey", g_id("l_suppkey"))
 
+    @cached_property
+    def effects(self) -> DataFrame:
+        """Replicated quantities per supplier under conditions that matter: classes of quantity, turned by supplier.
+
+        One supplier in four has its return flags for conditions, which do not matter.
+        """
+        size = F.when(F.col("l_quantity") <= 17, 0).when(F.col("l_quantity") <= 34, 1).otherwise(2)
+        turned = F.get(F.array(*map(F.lit, CONDITIONS)), F.pmod(size + F.col("l_suppkey"), F.lit(3)).cast("int"))
+        condition = F.when(F.col("l_suppkey") % 4 == 3, F.col("l_returnflag")).otherwise(turned)
+        cells = self.lineitem.groupBy(
+            "l_suppkey", condition.alias("condition"), (F.year("l_shipdate") - FIRST_YEAR).alias("time"), F.col("l_linenumber").alias("replicate")
+        ).agg(F.avg("l_quantity").alias("value"))
+        return cells.select(g_id("l_suppkey").alias("entity"), "condition", "time", "replicate", "value")
+
     @cached_property
     def expr_l(self) -> DataFrame:
         return self._expression(self.lines_with_brand, "p_brand", l_id("p_brand"))

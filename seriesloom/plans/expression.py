@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import expression as X
 from seriesloom.operators.statistics import de_contrast
-from seriesloom.plans.bindings import CONDITIONS, TIMES, Tables, g_clusters, rounded, with_
+from seriesloom.plans.bindings import CONDITIONS, TIMES, YEAR, G, Tables, g_clusters, rounded, with_
 from seriesloom.plans.registry import query
 from seriesloom.plans.sqltext import bh_sql, sf_sql
 from seriesloom.session import materialize
@@ -131,9 +131,12 @@ def first_difference(t):
 
 
 DE_CTES = dict(
+    expr_x=f"""SELECT {G} AS entity, CASE WHEN l_suppkey%4=3 THEN l_returnflag ELSE ['A','N','R'][CAST((CASE WHEN l_quantity<=17 THEN 0
+        WHEN l_quantity<=34 THEN 1 ELSE 2 END+l_suppkey)%3 AS INTEGER)+1] END AS condition, {YEAR} AS time, l_linenumber AS replicate,
+        avg(l_quantity) AS value FROM lineitem GROUP BY 1,2,3,4""",
     de0="""SELECT entity, avg(value) FILTER (condition='A') AS m1, avg(value) FILTER (condition='N') AS m2,
         var_samp(value) FILTER (condition='A') AS v1, var_samp(value) FILTER (condition='N') AS v2,
-        count(*) FILTER (condition='A') AS n1, count(*) FILTER (condition='N') AS n2 FROM expr_g GROUP BY 1""",
+        count(*) FILTER (condition='A') AS n1, count(*) FILTER (condition='N') AS n2 FROM expr_x GROUP BY 1""",
     de1="SELECT entity, log2(m1/m2) AS log2fc, abs((m1-m2)/nullif(sqrt(v1/n1+v2/n2),0)) AS z FROM de0",
     de2=f"SELECT entity, log2fc, least(1.0::DOUBLE, 2*{sf_sql('z')}) AS pvalue FROM de1",
     de=bh_sql("de2"),
@@ -141,7 +144,7 @@ DE_CTES = dict(
 
 
 def de_table(t: Tables):
-    return de_contrast(t.expr_g, "A", "N")
+    return de_contrast(t.effects, "A", "N")
 
 
 @query(
@@ -156,18 +159,18 @@ def de_contrast_query(t):
     "classify_direction",
     with_(
         "expr_g",
-        """SELECT entity, round(log2fc,6) AS log2fc, CASE WHEN coalesce(pvalue,1)<=0.05 AND log2fc>0 THEN 'Up'
-           WHEN coalesce(pvalue,1)<=0.05 AND log2fc<0 THEN 'Down' ELSE 'NoChange' END AS direction FROM de""",
+        """SELECT entity, round(log2fc,6) AS log2fc, CASE WHEN coalesce(padj,1)<=0.05 AND log2fc>0 THEN 'Up'
+           WHEN coalesce(padj,1)<=0.05 AND log2fc<0 THEN 'Down' ELSE 'NoChange' END AS direction FROM de""",
         **DE_CTES,
     ),
 )
 def classify_direction(t):
-    return rounded(X.classify_direction(de_table(t), padj="pvalue").select("entity", "log2fc", "direction"), "log2fc")
+    return rounded(X.classify_direction(de_table(t)).select("entity", "log2fc", "direction"), "log2fc")
 
 
-@query("significant_count", with_("expr_g", "SELECT count(*) FILTER (pvalue<0.05) AS n_05, count(*) FILTER (pvalue<0.01) AS n_01 FROM de", **DE_CTES))
+@query("significant_count", with_("expr_g", "SELECT count(*) FILTER (padj<0.05) AS n_05, count(*) FILTER (padj<0.01) AS n_01 FROM de", **DE_CTES))
 def significant_count(t):
-    return de_table(t).agg(F.count_if(F.col("pvalue") < 0.05).alias("n_05"), F.count_if(F.col("pvalue") < 0.01).alias("n_01"))
+    return de_table(t).agg(F.count_if(F.col("padj") < 0.05).alias("n_05"), F.count_if(F.col("padj") < 0.01).alias("n_01"))
 
 
 @query(

@@ -115,11 +115,11 @@ def set_difference(t):
 
 @query(
     "intersect_de_sets",
-    with_("expr_g", "SELECT entity FROM de WHERE pvalue<=0.3 AND entity IN (SELECT 'G'||lpad(CAST(s_suppkey AS VARCHAR),7,'0') FROM supplier WHERE s_acctbal>0)", **DE_CTES),
+    with_("expr_g", "SELECT entity FROM de WHERE padj<=0.05 AND entity IN (SELECT 'G'||lpad(CAST(s_suppkey AS VARCHAR),7,'0') FROM supplier WHERE s_acctbal>0)", **DE_CTES),
 )
 def intersect_de_sets(t):
     listed = t.table("supplier").filter("s_acctbal > 0").select(g_id("s_suppkey").alias("entity"))
-    return de_table(t).filter("pvalue <= 0.3").select("entity").join(listed, "entity", "left_semi")
+    return de_table(t).filter("padj <= 0.05").select("entity").join(listed, "entity", "left_semi")
 
 
 @query(
@@ -211,14 +211,14 @@ def shared_token_counts(t):
 BY_DIRECTION = dict(
     st=STRONG,
     sf=SHARED_FULL,
-    di="SELECT entity, CASE WHEN pvalue<=0.5 AND log2fc>0 THEN 'Up' WHEN pvalue<=0.5 AND log2fc<0 THEN 'Down' ELSE 'NoChange' END AS direction FROM de",
+    di="SELECT entity, CASE WHEN padj<=0.05 AND log2fc>0 THEN 'Up' WHEN padj<=0.05 AND log2fc<0 THEN 'Down' ELSE 'NoChange' END AS direction FROM de",
     tk="SELECT DISTINCT direction, unnest(string_split(tokens, ',')) AS token FROM sf JOIN di ON di.entity=sf.b WHERE n_shared>=7",
 )
 
 
 def tokens_by_direction(t: Tables):
     shared = S.shared_tokens(strong_pairs(t), S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g))
-    directions = classify_direction(de_table(t), padj="pvalue", alpha=0.5).select(F.col("entity").alias("b"), "direction")
+    directions = classify_direction(de_table(t)).select(F.col("entity").alias("b"), "direction")
     return S.distinct_tokens_by_group(shared.filter("n_shared >= 7").join(directions, "b"), "direction", "tokens")
 
 

@@ -167,12 +167,12 @@ CONC = dict(
     with_(
         "expr_g",
         """SELECT x.entity, round(x.log2fc,6) AS fc_a, round(y.log2fc,6) AS fc_b, round(abs(x.log2fc-y.log2fc),6) AS diff,
-           sign(x.log2fc)=sign(y.log2fc) AS concordant FROM de x JOIN e y ON x.entity=y.entity WHERE x.pvalue<=0.3 AND y.pvalue<=0.3""",
+           sign(x.log2fc)=sign(y.log2fc) AS concordant FROM de x JOIN e y ON x.entity=y.entity WHERE x.padj<=0.05 AND y.padj<=0.05""",
         **CONC,
     ),
 )
 def concordant_de_join(t):
-    out = N.concordant_de_join(de_table(t), de_contrast(t.expr_g, "A", "R"), 0.3, "pvalue")
+    out = N.concordant_de_join(de_table(t), de_contrast(t.effects, "A", "R"), 0.05, "padj")
     return rounded(out, "fc_a", "fc_b", "diff")
 
 
@@ -310,9 +310,9 @@ def token_id_prefix(t):
     "class_frequency",
     with_(
         "expr_g",
-        "SELECT CASE WHEN pvalue<=0.05 AND log2fc>0 THEN 'Up' WHEN pvalue<=0.05 AND log2fc<0 THEN 'Down' ELSE 'NoChange' END AS direction, count(*) AS n FROM de GROUP BY 1",
+        "SELECT CASE WHEN padj<=0.05 AND log2fc>0 THEN 'Up' WHEN padj<=0.05 AND log2fc<0 THEN 'Down' ELSE 'NoChange' END AS direction, count(*) AS n FROM de GROUP BY 1",
         **DE_CTES,
     ),
 )
 def class_frequency(t):
-    return classify_direction(de_table(t), padj="pvalue").groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
+    return classify_direction(de_table(t)).groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
