@@ -1,6 +1,6 @@
 """Connected components of links between 64-bit node ids, by rounds of contraction.
 
-Every round each node follows its neighbour of the smallest hash, pointers are followed four
+Every round each node follows its neighbour of the smallest hash, pointers are followed two
 steps, and the graph is rewritten on the nodes that are left; hashed order keeps the chains
 short, so a few rounds do whatever the ids look like.  All rounds are tables in the shared folder.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.store import materialize
+from seriesloom.llm.store import materialize, shuffle_width
 
 #: A task contracts so many links at a time on its own before it sends them anywhere.
 LOCAL_LINKS = 400_000
@@ -77,22 +77,22 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Links of a node with itself are left out, so such a node alone does not appear.
     """
-    edges = materialize(contract(links).distinct())
-    steps: list[DataFrame] = []
+    width = shuffle_width(links)
+    # Contracted where the links are, and again where those of a root meet.
+    fewer = lambda some: materialize(contract(contract(some).repartition(width, "b")))
+    edges, steps = fewer(links), []
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         near = both.groupBy("u").agg(F.min(ranked("v")).alias("near"))
         up = materialize(near.select("u", F.least(ranked("u"), "near")["n"].alias("p")))
-        for _ in range(2):  # two doublings: four steps
-            above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            up = up.join(above, "p").select("u", F.col("q").alias("p"))
-        up = materialize(up)
+        above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        up = materialize(up.join(above, "p").select("u", F.col("q").alias("p")))
         steps.append(up)
         moved = edges.join(up.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a")
         moved = moved.join(up.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
-        edges = materialize(contract(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b"))).distinct())
+        edges = fewer(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = steps[-1].select(F.col("u").alias("node"), F.col("p").alias("component"))
