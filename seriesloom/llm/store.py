@@ -23,8 +23,8 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-#: A side that is counted and has at most so many rows of some dozens of bytes is broadcast.
-BROADCAST_ROWS = 400_000
+#: A side that is counted and has at most so many rows, of some hundred bytes at most, is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner") -> DataFrame:

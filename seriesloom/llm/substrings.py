@@ -238,6 +238,26 @@ def runs(parts: list[tuple[int, int, int, int, int]], least: int = MIN_WORDS) ->
     return [(a, b) for a, b, _ in out if b - a >= least]
 
 
+def _ranges_of(parts: DataFrame) -> DataFrame:
+    """``node, ranges`` to cut out of documents of which anything is, from their repeated parts."""
+    zero = F.lit(0).cast("bigint")
+    grouped = parts.groupBy("node").agg(F.collect_list(F.struct("start", "words", "before", "after", "keeper")).alias("parts"))
+    enough = F.aggregate("parts", zero, lambda n, x: n + x["words"] + x["before"] + x["after"]) >= MIN_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        for batch in batches:
+            nodes, out = [], []
+            for node, found in zip(batch.column("node").to_pylist(), batch.column("parts")):
+                ranges = runs([(x["start"], x["words"], x["before"], x["after"], x["keeper"]) for x in found.as_py()])
+                if ranges:
+                    nodes.append(node)
+                    out.append([{"a": a, "b": b} for a, b in ranges])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, kind)], ["node", "ranges"])
+
+    return grouped.filter(enough).mapInArrow(run, "node bigint, ranges array<struct<a:bigint,b:bigint>>")
+
+
 def cut_out(text: bytes, starts: np.ndarray, ends: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     """(text without the words of ``ranges``, words cut); the space around a cut becomes one line feed or space."""
     out, at, cut = b"", 0, 0
@@ -267,11 +287,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     lines = repeated_lines(texts).select("node", "start", "words", zero.alias("before"), zero.alias("after"), "keeper")
     parts = lines.unionByName(repeated_segments(texts))
-    grouped = parts.groupBy("node").agg(F.collect_list(F.struct("start", "words", "before", "after", "keeper")).alias("_parts"))
-    enough = F.aggregate("_parts", zero, lambda n, x: n + x["words"] + x["before"] + x["after"]) >= MIN_WORDS
-    key, node, held = fresh(docs, "_key", "_node", "_parts")
-    grouped = materialize(grouped.filter(enough).select(F.col("node").alias(node), F.col("_parts").alias(held)))
-    met = join_checked(docs.withColumn(key, F.expr(_NODE)), grouped, F.col(key) == F.col(node), "left")
+    key, node, held = fresh(docs, "_key", "_node", "_ranges")
+    ranges = materialize(_ranges_of(parts).toDF(node, held))
+    met = join_checked(docs.withColumn(key, F.expr(_NODE)), ranges, F.col(key) == F.col(node), "left")
     names = docs.columns
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["words_cut bigint"])
 
@@ -279,14 +297,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, cuts = batch.column("text"), np.zeros(batch.num_rows, dtype=np.int64)
             changed = {}
-            parts = batch.column(held)
-            for i in np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                ranges = runs([(x["start"], x["words"], x["before"], x["after"], x["keeper"]) for x in parts[i].as_py()])
-                if ranges:
-                    text = texts[i].as_py().encode()
-                    words = Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
-                    left, cuts[i] = cut_out(text, words.start, words.end, ranges)
-                    changed[i] = left.decode()
+            ranges = batch.column(held)
+            for i in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                text = texts[i].as_py().encode()
+                words = Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+                left, cuts[i] = cut_out(text, words.start, words.end, [(x["a"], x["b"]) for x in ranges[i].as_py()])
+                changed[i] = left.decode()
             if changed:
                 texts = pa.array([changed[i] if i in changed else t for i, t in enumerate(texts.to_pylist())], texts.type)
             columns = [texts if c == "text" else batch.column(c) for c in names]
