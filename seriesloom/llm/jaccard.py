@@ -21,7 +21,7 @@ from seriesloom.llm.store import materialize, shuffle_width
 from seriesloom.llm.words import mix
 
 #: Bytes of shingles that a tile holds on average at most; a set counts with so many bytes more.
-TILE_BYTES, SET_BYTES = 8 << 20, 1024
+TILE_BYTES, SET_BYTES = 2 << 20, 1024
 #: A band spans this power of 1/t in size.
 BAND_POWER = 3
 #: Parts beyond what the pigeonhole needs; sets with so many empty parts file those too.
