@@ -68,47 +68,42 @@ def token_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("entity", "token").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
-TOKEN_SALTS = 16
-
-
 def _per_entity(pairs: DataFrame, side: str) -> DataFrame:
     return pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _token_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """The tokens of ``a`` for every pair, met with ``b`` on (b, token).
+def _shared_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row per pair and token that both its entities have, with the other columns of both catalogs.
 
-    Pairs are two ids wide, so they are repeated per slice of tokens: an entity with very
-    many tokens or in very many pairs is spread over the slices.  The right catalog is
-    unique on (entity, token), so no pairs are formed within a token, however common it is.
+    Only the smaller of a pair's two sets is listed; the other one is looked up by (entity,
+    token).  Catalogs are unique on those, so no pairs form within a token, however common it
+    is, and an entity with very many tokens or pairs is salted.
     """
-    la = left.select(
-        F.col("entity").alias("a"),
-        F.pmod(F.xxhash64("token"), F.lit(TOKEN_SALTS)).cast("int").alias("_slice"),
-        *[c for c in left.columns if c != "entity"],
-    )
-    rb = right.select(F.col("entity").alias("b"), *[c for c in right.columns if c != "entity"])
-    sliced = pairs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))))
-    expanded = sliced.join(la, ["a", "_slice"], how).drop("_slice")
-    return salted_join(expanded, rb, ["b", "token"], how, key_counts=_per_entity(pairs, "b"))
+    sizes = [c.groupBy(F.col("entity").alias(k)).agg(F.count(F.lit(1)).alias(f"_{k}")) for c, k in ((left, "a"), (right, "b"))]
+    sized = salted_join(pairs, sizes[0], "a", key_counts=_per_entity(pairs, "a"))
+    sized = materialize(salted_join(sized, sizes[1], "b", key_counts=_per_entity(pairs, "b")))
 
+    def listed(some: DataFrame, small: DataFrame, large: DataFrame, key: str, other: str) -> DataFrame:
+        some = some.select("a", "b")
+        small = small.withColumnRenamed("entity", key)
+        tokens = salted_join(small, some, key, key_counts=small.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+        return salted_join(tokens, large.withColumnRenamed("entity", other), [other, "token"], key_counts=_per_entity(tokens, other))
 
-def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Shared and unshared tokens per pair, shares of both sets and the joined list.
+    by_a = listed(sized.filter("_a <= _b"), left, right, "a", "b")
+    return by_a.unionByName(listed(sized.filter("_a > _b"), right, left, "b", "a"))
 
-    One pass over the tokens of ``a`` gives its set size and what it shares.
-    """
+
+def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Shared and unshared tokens per pair, shares of both sets and the joined list."""
     pairs = materialize(pairs.select("a", "b").distinct())
-    hit = F.col("_in_b").isNotNull()
-    per = (
-        _token_rows(pairs, left, right.withColumn("_in_b", F.lit(1)), "left")
+    shared = (
+        _shared_rows(pairs, left, right)
         .groupBy("a", "b")
-        .agg(
-            F.count("token").alias("size_a"),
-            F.count_if(hit).alias("n_shared"),
-            F.array_sort(F.collect_list(F.when(hit, F.col("token")))).alias("_tokens"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_shared"), F.array_sort(F.collect_list("token")).alias("_tokens"))
     )
+    size_a = left.groupBy(F.col("entity").alias("a")).agg(F.count(F.lit(1)).alias("size_a"))
+    per = salted_join(pairs, size_a, "a", "left", key_counts=_per_entity(pairs, "a")).join(shared, ["a", "b"], "left")
+    per = per.na.fill({"size_a": 0, "n_shared": 0}).withColumn("_tokens", F.coalesce("_tokens", F.array().cast(shared.schema["_tokens"].dataType)))
     size_b = right.groupBy(F.col("entity").alias("b")).agg(F.count(F.lit(1)).alias("size_b"))
     out = salted_join(per, size_b, "b", "left", key_counts=_per_entity(pairs, "b"))
     n = F.col("n_shared")
@@ -128,7 +123,7 @@ def shared_token_counts(pairs: DataFrame, left_sites: DataFrame, right_sites: Da
     pairs = materialize(pairs.select("a", "b").distinct())
     left = token_counts(left_sites).withColumnRenamed("n_sites", "sites_a")
     right = token_counts(right_sites).withColumnRenamed("n_sites", "sites_b")
-    return _token_rows(pairs, left, right, "inner").select("a", "b", "token", "sites_a", "sites_b")
+    return _shared_rows(pairs, left, right).select("a", "b", "token", "sites_a", "sites_b")
 
 
 def share_ratios(df: DataFrame) -> DataFrame:
