@@ -271,11 +271,11 @@ def derive_density(t):
 
 @query(
     "rank_density",
-    """SELECT l_suppkey AS id, round(count(*)/sum(l_quantity)*1000,6) AS density FROM lineitem WHERE l_returnflag='A'
+    """SELECT l_suppkey AS id, round(count(*)/sum(l_quantity)*1000,6) AS density FROM lineitem
        GROUP BY 1 HAVING count(*)>0 ORDER BY density DESC, id""",
 )
 def rank_density(t):
-    per = t.lineitem.filter("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("id")).agg(
+    per = t.lineitem.groupBy(F.col("l_suppkey").alias("id")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("length")
     )
     ranked = per.filter("n > 0").withColumn("density", X.derive_density(F.col("n"), F.col("length")))

@@ -309,14 +309,12 @@ def empirical_pvalue_query(t):
     "conservation_summary",
     with_(
         "",
-        """SELECT s.seq, round(avg(score)+1e-8::DOUBLE,6) AS mean_score, count(*) AS n_sites, count(*) FILTER (pvalue<0.01) AS n_sig,
+        """SELECT s.seq, round(avg(score),8) AS mean_score, count(*) AS n_sites, count(*) FILTER (pvalue<0.01) AS n_sig,
            round(100.0*count(*) FILTER (pvalue<0.01)/count(*),6) AS pct_sig FROM pv JOIN site s USING (id) GROUP BY 1""",
         **NULLS,
     ),
 )
 def conservation_summary_query(t):
     scored = scored_sites(t).join(hourly_sites(t).select("id", "seq"), "id")
-    # Means of two-digit decimals often end in an exact 5, which engines round differently;
-    # a shift of 1e-8 on both sides settles the tie.
-    out = conservation_summary(scored, ["seq"], alpha=0.01).withColumn("mean_score", F.col("mean_score") + 1e-8)
-    return rounded(out, "mean_score", "pct_sig")
+    out = rounded(conservation_summary(scored, ["seq"], alpha=0.01), "pct_sig")
+    return rounded(out, "mean_score", digits=8)  # means of two-digit decimals end in an exact 5 before that

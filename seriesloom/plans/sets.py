@@ -54,32 +54,31 @@ def union_distinct_background(t):
     return both.filter(F.col("entity").startswith("G")).distinct()
 
 
+TAGS = {"1-URGENT": "correlated", "2-HIGH": "proximal", "3-MEDIUM": "anticorrelated", "4-NOT SPECIFIED": "random", "5-LOW": "random"}
+
+
 def tagged_values(t: Tables):
     """Line quantities tagged by the kind of their order, with a two-level group."""
     rows = t.lineitem.join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    frames = {
-        "correlated": rows.filter("o_orderpriority = '1-URGENT'"),
-        "proximal": rows.filter("o_orderpriority = '2-HIGH'"),
-        "random": rows.filter("o_orderpriority = '5-LOW'"),
+    one = {
+        tag: rows.filter(F.col("o_orderpriority").isin([p for p, x in TAGS.items() if x == tag])).select(
+            F.col("l_partkey").alias("id"), F.col("l_quantity").alias("value")
+        )
+        for tag in dict.fromkeys(TAGS.values())
     }
-    one = {k: df.select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("value")) for k, df in frames.items()}
     return S.union_tagged(one).withColumn("group", F.when(F.col("cat") == "random", "random").otherwise("tested"))
 
 
 def tagged_in_one_pass(t: Tables):
     """The same rows as ``tagged_values``, tagged while the join is read once."""
     rows = t.lineitem.join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    cat = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", "correlated")
-        .when(F.col("o_orderpriority") == "2-HIGH", "proximal")
-        .when(F.col("o_orderpriority") == "5-LOW", "random")
-    )
+    cat = F.coalesce(*[F.when(F.col("o_orderpriority") == p, tag) for p, tag in TAGS.items()])
     return rows.select(cat.alias("cat"), F.col("l_quantity").alias("value")).filter("cat IS NOT NULL")
 
 
-TAGGED = """SELECT l_partkey AS id, l_quantity AS value, CASE o_orderpriority WHEN '1-URGENT' THEN 'correlated' WHEN '2-HIGH' THEN 'proximal' ELSE 'random' END AS cat,
-   CASE WHEN o_orderpriority='5-LOW' THEN 'random' ELSE 'tested' END AS "group" FROM lineitem JOIN orders ON l_orderkey=o_orderkey
-   WHERE o_orderpriority IN ('1-URGENT','2-HIGH','5-LOW')"""
+TAGGED = """SELECT l_partkey AS id, l_quantity AS value, CASE o_orderpriority WHEN '1-URGENT' THEN 'correlated' WHEN '2-HIGH' THEN 'proximal'
+   WHEN '3-MEDIUM' THEN 'anticorrelated' ELSE 'random' END AS cat,
+   CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED','5-LOW') THEN 'random' ELSE 'tested' END AS "group" FROM lineitem JOIN orders ON l_orderkey=o_orderkey"""
 
 
 @query("union_tagged", f'SELECT cat, "group", count(*) AS n, round(sum(value),4) AS total FROM ({TAGGED}) GROUP BY 1,2')

@@ -33,10 +33,10 @@ def scan_headerless(t):
     return tables.read_headerless(t.spark, path, "gene_id long, n_sites long")
 
 
-@query("scan_id_list", "SELECT DISTINCT l_partkey::VARCHAR AS id FROM lineitem WHERE l_quantity>=50")
+@query("scan_id_list", "SELECT DISTINCT l_partkey::VARCHAR AS id FROM lineitem")
 def scan_id_list(t):
     path = scratch_path(t.spark, "ids")
-    ids = t.lineitem.filter("l_quantity >= 50").select(F.col("l_partkey").cast("string").alias("id")).distinct()
+    ids = t.lineitem.select(F.col("l_partkey").cast("string").alias("id")).distinct()
     tables.write_id_list(ids.union(ids.limit(1).select(F.lit("").alias("id"))), path)
     return tables.read_id_list(t.spark, path)
 

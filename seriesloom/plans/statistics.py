@@ -29,8 +29,8 @@ def rank_sum_ctes(src: str, pairs: str) -> dict[str, str]:
     )
 
 
-PRIORITY = ["correlated", "random", "proximal"]
-TAG_PAIRS = "SELECT * FROM (VALUES ('correlated','random'),('correlated','proximal'),('random','proximal')) v(c1,c2)"
+PRIORITY = ["correlated", "random"]
+TAG_PAIRS = "SELECT * FROM (VALUES ('correlated','random'),('correlated','anticorrelated'),('correlated','proximal'),('random','anticorrelated'),('random','proximal'),('anticorrelated','proximal')) v(c1,c2)"
 TAG_VALUES = f"SELECT cat, value FROM ({TAGGED})"
 GREATER = dict(rank_sum_ctes(TAG_VALUES, TAG_PAIRS), st1="SELECT *, (w-n1*n2/2.0-0.5)/sg AS z FROM st0")
 
@@ -203,13 +203,13 @@ def fold_enrichment(t):
 def nation_terms(t: Tables):
     """Suppliers of a nation over-represent the parts they sell: hits per nation, terms are types and brands."""
     clusters = g_clusters(t).select(F.regexp_replace("entity", "^G0*(?=.)", "").cast("long").alias("l_suppkey"), "cluster")
-    sold = t.lineitem.filter("l_quantity > 45").join(clusters, "l_suppkey")
+    sold = t.lineitem.join(clusters, "l_suppkey")
     return T.over_representation(sold.select("cluster", F.col("l_partkey").alias("id")), memberships(t), by=["cluster"])
 
 
 TERMS = dict(
     mem=ORA["mem"],
-    sold="SELECT DISTINCT 'N'||CAST(s_nationkey AS VARCHAR) AS cluster, l_partkey AS id FROM lineitem JOIN supplier ON l_suppkey=s_suppkey WHERE l_quantity>45",
+    sold="SELECT DISTINCT 'N'||CAST(s_nationkey AS VARCHAR) AS cluster, l_partkey AS id FROM lineitem JOIN supplier ON l_suppkey=s_suppkey",
     ct="""SELECT s.cluster, m.category, count(*) AS n_hit, any_value(c.n) AS n_cat, any_value(z.n) AS n_hits, (SELECT count(*) FROM part) AS n_total FROM sold s
           JOIN mem m USING (id) JOIN (SELECT category, count(*) AS n FROM mem GROUP BY 1) c ON c.category=m.category
           JOIN (SELECT cluster, count(*) AS n FROM sold GROUP BY 1) z ON z.cluster=s.cluster GROUP BY 1,2""",
@@ -244,9 +244,9 @@ def top_k_terms(t):
 
 
 def sold_terms(t: Tables):
-    """Terms of a module: the part types and sizes its brands or nations trade in large lines."""
+    """Terms of a module: the part types and sizes its brands or nations trade in."""
     nation = t.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("g"))
-    rows = t.lines_with_brand.filter("l_quantity >= 50").join(nation, "l_suppkey")
+    rows = t.lines_with_brand.join(nation, "l_suppkey")
     term = F.concat_ws("/", "p_type", F.col("p_size").cast("string"))
     both = F.explode(F.array(F.col("g"), F.concat(F.lit("M"), F.right("p_brand", F.lit(1)))))
     return rows.select(both.alias("cluster"), term.alias("term")).distinct()
@@ -258,7 +258,7 @@ def sold_terms(t: Tables):
         "cpairs",
         """SELECT set1, set2, a, b, c, d, round(a*d/nullif((b*c)::DOUBLE,0),6) AS odds, round(pvalue,6) AS pvalue, round(qvalue,6) AS qvalue FROM x WHERE qvalue<0.5""",
         rw="""SELECT p_type||'/'||CAST(p_size AS VARCHAR) AS term, 'N'||CAST(s_nationkey AS VARCHAR) AS g, 'M'||right(p_brand,1) AS l FROM lineitem
-              JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey WHERE l_quantity>=50""",
+              JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey""",
         tm="SELECT DISTINCT g AS cluster, term FROM rw UNION SELECT DISTINCT l, term FROM rw",
         sz="SELECT cluster, count(*) AS n FROM tm GROUP BY 1",
         ct="""SELECT c.set1, c.set2, coalesce(s.n,0) AS a, z2.n-coalesce(s.n,0) AS b, z1.n-coalesce(s.n,0) AS c, (SELECT count(DISTINCT term) FROM tm)-z1.n-z2.n+coalesce(s.n,0) AS d
