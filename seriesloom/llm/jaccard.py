@@ -23,9 +23,7 @@ from seriesloom.llm.words import mix
 #: Bytes of shingles that a tile holds on average at most; a set counts with so many bytes more.
 TILE_BYTES, SET_BYTES = 2 << 20, 1024
 #: A band spans this power of 1/t in size.
-BAND_POWER = 3
-#: Parts beyond what the pigeonhole needs; sets with so many empty parts file those too.
-SPARE_PARTS = 2
+BAND_POWER = 1
 #: Bitmap bits a shingle, and the widest bitmap.
 BITS_EACH, MAX_BITS = 2, 8192
 
@@ -61,15 +59,26 @@ class Bands:
         own = self.of(size)
         return [own] + ([own - 1] if own and size <= self.reach(self.low[own] - 1) else [])
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """Part keys of a sorted set; linked sets have one in common."""
+    def spare(self, most: int) -> int:
+        """Parts beyond what the pigeonhole needs; only a set with more empty parts than that files those too."""
+        return 3 + most // 10 if most else 0
+
+    def keys(self, found: np.ndarray, heavy: np.ndarray | None = None) -> np.ndarray:
+        """Part keys of a sorted set; linked sets have one in common.
+
+        Shingles whose low bits are marked in ``heavy`` are left out of the parts: linked sets
+        differ no more without them, and parts of common shingles alone would be equal by chance.
+        """
         if not len(found):
             return np.zeros(0, dtype=np.uint64)
+        whole = len(found)
+        if heavy is not None:
+            found = found[~heavy[(found & np.uint64(len(heavy) - 1)).astype(np.int64)]]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)])
         out = []
-        for band in self.filed(len(found)):
+        for band in self.filed(whole):
             most = self.differ(band)
-            parts = most + 1 + (SPARE_PARTS if most else 0)
+            parts = most + 1 + self.spare(most)
             cuts = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
             at = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
             size = np.diff(at)

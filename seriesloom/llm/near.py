@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import node_ids
 from seriesloom.llm.jaccard import Bands, cluster_components, clusters
-from seriesloom.llm.store import fresh, join_checked, materialize
+from seriesloom.llm.store import fresh, join_checked, materialize, shuffle_width
 from seriesloom.llm.words import Words, column_bytes, mix, shingle_sets, steps
 
 #: Stands for a row by its id and text; rows that agree in both are alike.
@@ -24,10 +25,51 @@ def _summary(found: np.ndarray) -> bytes:
     return b"".join(int(np.sum(mix(found ^ np.uint64(c)), dtype=np.uint64)).to_bytes(8, "little") for c in (0x1234567, 0xABCDEF89ABCDEF))
 
 
+#: Counters of shingles by their low bits, the slices they are summed in, and how many deviations above the mean is heavy.
+COUNTERS, SLICES, HEAVY = 1 << 20, 64, 6.0
+
+
+def heavy_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Marks of the low bits of shingles that all documents hold far more often than the mean.
+
+    Tasks send their counters compressed and in slices; ``COUNTERS`` sums reach the driver,
+    however many documents there are.
+    """
+    each = COUNTERS // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            for a, b in steps(offsets):
+                grams, valid = Words(data, offsets[a : b + 1]).grams(words)
+                total += np.bincount((grams[valid] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        press = zstandard.ZstdCompressor(level=1)
+        parts = [press.compress(total[k * each : (k + 1) * each].tobytes()) for k in range(SLICES)]
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, sums = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for at, data in zip(batch.column("slice").to_pylist(), batch.column("counts")):
+                some = np.frombuffer(unpack.decompress(data.as_py()), dtype=np.int64)
+                sums[at] = sums[at] + some if at in sums else some
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    sums = docs.select("text").mapInArrow(count, schema).repartition(min(SLICES, shuffle_width(docs)), "slice").mapInArrow(add, schema)
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for r in sums.collect():
+        total[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["counts"], dtype=np.int64)
+    return total > total.mean() + HEAVY * np.sqrt(total.mean()) + HEAVY
+
+
 def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``node, doc_id, row_key, n, summary, keys`` per row of ``docs``, stored; a set without shingles has no keys."""
     schema = "node bigint, doc_id bigint, row_key bigint, n bigint, summary binary, keys array<bigint>"
 
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, bands = TaskContext.get().partitionId(), 0, Bands(num, den)
         for batch in batches:
@@ -37,7 +79,7 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 for found in shingle_sets(Words(data, offsets[a : b + 1]), words):
                     n.append(len(found))
                     summaries.append(_summary(found))
-                    keys.append(bands.keys(found).view(np.int64))
+                    keys.append(bands.keys(found, heavy.value).view(np.int64))
                     at.append(at[-1] + len(keys[-1]))
                 filed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys)))
                 part = batch.slice(a, b - a)
