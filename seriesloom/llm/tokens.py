@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+from array import array
 
 import numpy as np
 import tiktoken
@@ -73,7 +74,7 @@ class Encoder:
         """Little-endian 32-bit ids of a document with its end."""
         ids = self(text)
         ids.append(end)
-        return np.array(ids, dtype="<u4")
+        return np.frombuffer(array("I", ids), dtype="<u4")
 
 
 @functools.lru_cache(maxsize=4)
