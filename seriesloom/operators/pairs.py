@@ -27,19 +27,39 @@ from seriesloom.operators.skew import salted_join
 from seriesloom.session import materialize, shuffle_width
 
 
-def block_pairs(left: DataFrame, right: DataFrame, key: str, same: bool = False, grid: tuple[int, int] | None = None):
+#: Rows of either side that meet in one cell of the grid.
+CELL_ROWS = 2000
+
+
+def _grid(left_rows: int, right_rows: int, tasks: int) -> tuple[int, int]:
+    """Blocks of both sides: cells of at most ``CELL_ROWS`` rows a side, and a cell for every task where rows allow."""
+    rows, cols = (max(1, math.ceil(n / CELL_ROWS)) for n in (left_rows, right_rows))
+    if rows * cols < tasks:
+        if left_rows > right_rows:
+            rows = max(rows, min(left_rows, math.ceil(tasks / cols)))
+        else:
+            cols = max(cols, min(right_rows, math.ceil(tasks / rows)))
+    return rows, cols
+
+
+def block_pairs(left: DataFrame, right: DataFrame, key: str, same: bool = False):
     """Bring every left row together with every right row, as an equi-join on block pairs.
 
-    ``same`` keeps a <= b of one table and half of the grid.  The default grid has
-    about four cells per reduce task; a side that is known to be narrow may be kept
-    in one block by ``grid=(1, n)``.
+    ``same`` keeps a <= b of one table and half of the grid.  The grid follows the rows of
+    both sides, which are stored and counted first, so a cell never grows with the data.
     """
-    side = max(1, math.ceil(math.sqrt(4 * shuffle_width(left))))
-    rows, cols = grid or (side, side)
+    width = shuffle_width(left)
+    left = materialize(left)
+    if same:
+        n = left.count()
+        rows = cols = max(1, math.ceil(n / CELL_ROWS), min(n, math.ceil(math.sqrt(2 * width))))
+    else:
+        right = materialize(right)
+        rows, cols = _grid(left.count(), right.count(), 4 * width)
     cells = F.col("_cell")
-    # Few rows go in and many pairs come out, so the number of tasks is fixed here and not
+    # Few rows go in and many pairs come out, so the number of tasks follows the cells and is not
     # left to the size of the shuffle.
-    tasks = shuffle_width(left)
+    tasks = max(width, rows * cols // 4)
     if same:
         # Cells at or above the diagonal: a row is left in its block's row and right in its column.
         tagged = left.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(rows)).cast("int"))
@@ -80,7 +100,6 @@ def pair_corr(
     pairs: DataFrame | None = None,
     min_value: float | None = None,
     min_abs: float | None = None,
-    grid: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Correlate entities of ``left`` with those of ``right``: ``a, b, lag, value``.
 
@@ -98,10 +117,10 @@ def pair_corr(
         met = salted_join(met, ru.select(F.col("entity").alias("b"), F.col("u").alias("b_u")), "b")
         met = met.select(F.col("a").alias("a_entity"), F.col("b").alias("b_entity"), "a_u", "b_u", *extra)
     elif right is None:
-        met = block_pairs(lu, lu, "entity", same=True, grid=grid)
+        met = block_pairs(lu, lu, "entity", same=True)
     else:
         ru, _ = scored_series(right, times, method)
-        met = block_pairs(lu, ru, "entity", grid=grid)
+        met = block_pairs(lu, ru, "entity")
     value = {k: shifted_dot("a_u", "b_u", n, k) for k in lags}
     ids = [F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), *extra]
     if len(lags) == 1:
@@ -182,7 +201,6 @@ def pair_dtw(
     right: DataFrame,
     times: Sequence[int],
     k: float | None = None,
-    grid: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Warping distance of every pair; with ``k`` it is tuned by the temporal correlation.
 
@@ -196,7 +214,7 @@ def pair_dtw(
             return series
         return unit_series(series, "series", n, "temporal", "u")
 
-    met = block_pairs(prepared(left), prepared(right), "entity", grid=grid)
+    met = block_pairs(prepared(left), prepared(right), "entity")
     out = met.withColumn("distance", _dtw("a_series", "b_series"))
     if k is not None:
         cort = F.abs(shifted_dot("a_u", "b_u", n - 1))

@@ -23,7 +23,6 @@ from seriesloom.plans.pairs import (
     MAX_SQL,
     NEAREST_SQL,
     RANDOM_SQL,
-    WIDE,
     brand_supplier_pairs,
     random_pairs,
 )
@@ -247,7 +246,7 @@ def module_partner_report(t):
     nodes = means.select("entity").distinct()
     clusters = materialize(threshold_clusters(brand_distances(t), nodes, CUT, MIN_SIZE))
     profiles = module_pc1(means, clusters, TIMES).select(F.col("cluster").alias("entity"), "time", F.col("score").alias("value"))
-    scored = P.pair_corr(profiles, t.mean_g("A"), TIMES, grid=WIDE).drop("lag")
+    scored = P.pair_corr(profiles, t.mean_g("A"), TIMES).drop("lag")
     return rounded(P.best_partner(scored, "a", "b", digits=6), "value", digits=5)
 
 

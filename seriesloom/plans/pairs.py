@@ -25,12 +25,11 @@ from seriesloom.plans.registry import query
 from seriesloom.plans.sqltext import dtw_ctes, quantile_sql
 
 # Brands are few and suppliers grow with the data: brands stay in one block.
-WIDE = (1, 64)
 
 
 def brand_supplier_pairs(t: Tables, condition: str = "A", **kw):
     """Brand x supplier scores, a = brand."""
-    return P.pair_corr(t.mean_l(condition), t.mean_g(condition), TIMES, grid=WIDE, **kw)
+    return P.pair_corr(t.mean_l(condition), t.mean_g(condition), TIMES, **kw)
 
 
 def brand_profiles(t: Tables):
@@ -107,8 +106,8 @@ def xcorr_entity_sets(t):
     listed = t.part.select(l_id("p_brand").alias("entity")).union(t.part.select(l_id("p_type").alias("entity"))).distinct()
     left = t.mean_l("A").join(listed, "entity", "left_semi")
     right = t.mean_g("A").join(chosen, "entity", "left_semi")
-    scored = P.pair_corr(left, right, TIMES, grid=WIDE).drop("lag")
-    wanted = P.block_pairs(listed, chosen, "entity", grid=WIDE).select(
+    scored = P.pair_corr(left, right, TIMES).drop("lag")
+    wanted = P.block_pairs(listed, chosen, "entity").select(
         F.col("a_entity").alias("a"), F.col("b_entity").alias("b")
     )
     return rounded(wanted.join(scored, ["a", "b"], "left").na.fill({"value": 0.0}), "value")
@@ -135,7 +134,7 @@ def xcorr_module_profiles(t):
 )
 def xcorr_entity_modules(t):
     """Temporal correlation of module profiles with single suppliers."""
-    return rounded(P.pair_corr(brand_profiles(t), t.mean_g("A"), TIMES, "temporal", grid=WIDE).drop("lag"), "value")
+    return rounded(P.pair_corr(brand_profiles(t), t.mean_g("A"), TIMES, "temporal").drop("lag"), "value")
 
 
 def gated(t):
@@ -293,7 +292,7 @@ WARPED = dict(
 
 @query("dtw_distance", with_("mean_g mean_l", "SELECT a, b, round(d,6) AS distance FROM dw", **WARPED))
 def dtw_distance(t):
-    return rounded(P.pair_dtw(t.mean_l("A"), t.mean_g("A"), TIMES, grid=WIDE), "distance")
+    return rounded(P.pair_dtw(t.mean_l("A"), t.mean_g("A"), TIMES), "distance")
 
 
 @query(
@@ -306,7 +305,7 @@ def dtw_distance(t):
     ),
 )
 def adaptive_dtw(t):
-    return rounded(P.pair_dtw(t.mean_l("A"), t.mean_g("A"), TIMES, k=2.0, grid=WIDE), "distance")
+    return rounded(P.pair_dtw(t.mean_l("A"), t.mean_g("A"), TIMES, k=2.0), "distance")
 
 
 @query(
@@ -360,7 +359,7 @@ def class_corr(t):
     """Per supplier cluster the brands of a class with some correlation above 0.8."""
     listed = l_classes(t).filter("class = 'intergenic'").select("entity")
     left = t.mean_l("A").join(listed, "entity", "left_semi")
-    scored = P.pair_corr(left, t.mean_g("A"), TIMES, grid=WIDE).drop("lag")
+    scored = P.pair_corr(left, t.mean_g("A"), TIMES).drop("lag")
     by_cluster = scored.join(g_clusters(t).withColumnRenamed("entity", "b"), "b")
     return P.any_exceeds(by_cluster, ["cluster", "a"], 0.8, "positive")
 
@@ -420,7 +419,7 @@ def filter_pairs(t):
 )
 def filter_abs_threshold(t):
     """Supplier x module correlations of at least 0.7 either way, widened with 0 elsewhere."""
-    scored = P.pair_corr(brand_profiles(t), t.mean_g("A"), TIMES, grid=WIDE).drop("lag")
+    scored = P.pair_corr(brand_profiles(t), t.mean_g("A"), TIMES).drop("lag")
     kept = P.filter_pairs(rounded(scored, "value"), 0.7, "abs")
     cells = [F.max(F.when(F.col("a") == f"M{i}", F.col("value"))).alias(f"M{i}") for i in range(10)]
     return kept.groupBy(F.col("b").alias("entity")).agg(*cells).na.fill(0.0)
