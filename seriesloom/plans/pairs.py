@@ -24,8 +24,6 @@ from seriesloom.plans.bindings import (
 from seriesloom.plans.registry import query
 from seriesloom.plans.sqltext import dtw_ctes, quantile_sql
 
-# Brands are few and suppliers grow with the data: brands stay in one block.
-
 
 def brand_supplier_pairs(t: Tables, condition: str = "A", **kw):
     """Brand x supplier scores, a = brand."""
