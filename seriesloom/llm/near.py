@@ -38,12 +38,18 @@ def heavy_shingles(docs: DataFrame, words: int) -> np.ndarray:
     each = COUNTERS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total, held, size = np.zeros(COUNTERS, dtype=np.int64), [], 0
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             for a, b in steps(offsets):
                 grams, valid = Words(data, offsets[a : b + 1]).grams(words)
-                total += np.bincount((grams[valid] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                held.append((grams[valid] & np.uint64(COUNTERS - 1)).astype(np.int64))
+                size += len(held[-1])
+                if size >= COUNTERS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
         press = zstandard.ZstdCompressor(level=1)
         parts = [press.compress(total[k * each : (k + 1) * each].tobytes()) for k in range(SLICES)]
         yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one step of NumPy work takes at most, unless one text is longer.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,14 +43,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(data, offsets) of a string or binary column; nulls are empty."""
-    column = column.cast(pa.large_binary())
+    """(data, offsets) of a string or binary column, not copied; nulls are empty."""
     if column.null_count:
-        column = column.fill_null(b"")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, dtype=np.int64 if wide else np.int32) if at is not None and at.size else np.zeros(column.offset + 1, np.int64)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
