@@ -55,4 +55,4 @@ def oracle_sql() -> dict[str, str]:
 
 def module_of(name: str) -> str:
     load()
-    return _MODULE[name]
+    return _MODULE.get(name, "llm")
