@@ -24,6 +24,8 @@ from seriesloom.llm.words import mix
 TILE_BYTES, SET_BYTES = 8 << 20, 1024
 #: A band spans this power of 1/t in size.
 BAND_POWER = 1
+#: Size bands that the tiles of a large cluster span.
+TILE_BANDS = 6
 #: Bitmap bits a shingle, and the widest bitmap.
 BITS_EACH, MAX_BITS = 2, 8192
 
@@ -128,8 +130,8 @@ def links_in_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
     goes = F.when(F.col("own") == 0, F.array(pair(zero, zero, zero, zero))).otherwise(
         F.concat(
             F.transform(upto(count("own")), lambda s: pair(band, F.least(s, at), band, F.greatest(s, at))),
-            F.transform(upto(count("after")), lambda s: pair(band, at, band + 1, s)),
-            F.transform(upto(count("before")), lambda s: pair(band - 1, s, band, at)),
+            F.transform(upto(F.when(F.col("_above"), count("after")).otherwise(0)), lambda s: pair(band, at, band + 1, s)),
+            F.transform(upto(F.when(F.col("_below"), count("before")).otherwise(0)), lambda s: pair(band - 1, s, band, at)),
         )
     )
     # Which side of a pair of tiles a row is on: 0 and 1, or 2 where both are the same.
@@ -159,11 +161,18 @@ def links_in_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _with_band(sets: DataFrame, bands: Bands) -> DataFrame:
-    """The size band as an expression: bands are geometric, so a few dozen bounds cover all sizes."""
+    """``band`` of tiles, and whether a set's partners may lie in the band ``_above`` or ``_below``.
+
+    Bands are geometric, so a few dozen bounds cover all sizes; a band of tiles spans several of
+    them, and only sets near its ends meet the next one.
+    """
     bands._grow(1 << 40)
-    n = F.col("n")
-    lows = F.array(*[F.lit(x).cast("bigint") for x in bands.low])
-    return sets.withColumn("band", (F.size(F.filter(lows, lambda x: x <= n)) - 1).cast("int"))
+    n, lows = F.col("n"), bands.low[::TILE_BANDS]
+    band = (F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in lows]), lambda x: x <= n)) - 1).cast("int")
+    after = F.get(F.array(*[F.lit(x).cast("bigint") for x in [*lows[1:], 1 << 62]]), F.col("band"))
+    reached = F.get(F.array(*[F.lit(bands.reach(x - 1)).cast("bigint") for x in lows]), F.col("band"))
+    above = F.expr(f"n * {bands.den} div {bands.num}") >= after
+    return sets.withColumn("band", band).withColumns({"_above": above, "_below": n <= reached})
 
 
 def _compare(held: list[tuple[int, int, np.ndarray]], num: int, den: int, out: tuple[list, list]) -> None:

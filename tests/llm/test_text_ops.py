@@ -133,15 +133,17 @@ def test_near_documents_equal_brute_force(spark, words, num):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(blank + firsts)
 
 
-def test_many_near_copies_over_several_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("bands", [1, 6])
+def test_many_near_copies_over_several_tiles(spark, monkeypatch, bands):
     from seriesloom.llm import jaccard
 
+    monkeypatch.setattr(jaccard, "TILE_BANDS", bands)
     monkeypatch.setattr(jaccard, "TILE_BYTES", 20_000)
     rng = random.Random(8)
     base = prose(rng, 120).split()
     texts = []
     for i in range(150):
-        w = list(base) + [f"n{i}"] * (i % 9)
+        w = list(base) + [f"n{j}" for j in range(i % 30)]
         w[rng.randrange(len(w))] = f"u{i}"
         texts.append((i, " ".join(w)))
     sets = [shingles(t, 3) for _, t in texts]
