@@ -1,10 +1,10 @@
 """Main text of web pages: what a page shares with the page of the nearest URL on its host is not its own.
 
 Pages of a host stand in order of their path; a page's partner is the neighbour with the
-longer common path prefix.  Lines are aligned by a longest common subsequence and shared ones
-are deleted.  Markup has the last word: lines inside an article or main element are content
-even where a copy shares them, and menus, adverts, forms, comments and the like are not content
-even where no other page has them.
+longer common path prefix, or the other one where that is a copy.  Lines are aligned by a longest
+common subsequence and shared ones are deleted, inside and outside article and main elements alike.
+Markup has two says: menus, adverts, forms, comments and the like are not content even where no
+other page has them, and where a page's article is a copy of its partner's, its lines stay.
 """
 
 from __future__ import annotations
@@ -47,9 +47,11 @@ MARKS = frozenset(
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _MARKED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Marks of articles are whole names, maybe numbered: a theme's "has-sidebar" or "comments-open" says nothing about the article.
+_NAME = re.compile(r"(?:^|(?<=\s))([a-z]+)(?:[-_]?\d+)?(?=\s|$)")
 
 BOILERPLATE, BODY, CONTENT = 0, 1, 2
-#: Where pages share at least this part of their body lines, they are copies and say nothing about each other's frame.
+#: Where pages share at least this part of their lines, they are copies and say nothing about each other's frame; so do articles.
 COPY_SHARE = 0.8
 
 
@@ -57,13 +59,14 @@ def _set_apart(name: str, attributes: str) -> bool:
     """Whether an element's name or marks say that it holds no main text."""
     if name in ASIDE:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body"):
         return False
     for key, a, b, c in _MARKED.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
-        if key in ("class", "id", "role") and not MARKS.isdisjoint(_WORD.findall(value)):
+        names = () if name == "main" else (_NAME if name == "article" else _WORD).findall(value)
+        if key in ("class", "id", "role") and not MARKS.isdisjoint(names):
             return True
     return False
 
@@ -151,16 +154,22 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> set[int]:
     return shared
 
 
-def own_lines(regions: bytes, lines: Sequence[int], partner: tuple[bytes, Sequence[int]] | None) -> list[int]:
-    """Positions of the lines that are main text, given the regions and line hashes of a page and its partner."""
-    deleted: set[int] = set()
-    if partner is not None:
-        shared = common_lines(lines, partner[1])
-        body = [i for i, r in enumerate(regions) if r == BODY]
-        if len(shared.intersection(body)) < COPY_SHARE * len(body) or CONTENT in regions:
-            deleted = {i for i in shared if regions[i] != CONTENT}
-    wanted = CONTENT if CONTENT in regions else BODY
-    return [i for i, r in enumerate(regions) if r == wanted and i not in deleted]
+def own_lines(regions: bytes, lines: Sequence[int], partners: Sequence[tuple[bytes, Sequence[int]]]) -> list[int]:
+    """Positions of the lines that are main text, given the regions and line hashes of a page and of its partners, best first.
+
+    The first partner that is no copy decides; without one, all lines that are not set apart stay.
+    """
+    open_ = {i for i, r in enumerate(regions) if r != BOILERPLATE}
+    for _, other in partners:
+        shared = common_lines(lines, other) & open_
+        if len(shared) >= COPY_SHARE * len(open_):
+            continue
+        content = {i for i in open_ if regions[i] == CONTENT}
+        # An article copy has its article in common and little else of its own: a teaser beside a longer text is none.
+        if len(shared & content) >= COPY_SHARE * len(content) and len(open_ - content - shared) <= len(content):
+            shared -= content
+        return sorted(open_ - shared)
+    return sorted(open_)
 
 
 def _key(host: str, path: str, page: int | None) -> tuple:
@@ -200,9 +209,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``.
 
     Null and empty html gives an empty text; a null URL has an empty host and path, so such
-    pages are each other's neighbours; a page alone on its host goes by markup only.  Repeated
-    rows are neighbours with all lines in common and keep their content.  Other columns are
-    ignored.
+    pages are each other's neighbours; a page alone on its host, or between copies only, goes by
+    the elements and marks that set text apart.  Other columns are ignored.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     keys = rows.select("host", "path", "page_id")
@@ -234,8 +242,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 found = page_lines(source.as_py() or "")
                 regions = bytes(r for _, r in found)
                 lines = np.array([xxhash.xxh3_64_intdigest(t) for t, _ in found], dtype=np.uint64).tobytes()
-                wanted = CONTENT if CONTENT in regions else BODY
-                texts = press.compress("\n".join(t if r == wanted else "" for t, r in found).encode())
+                texts = press.compress("\n".join("" if r == BOILERPLATE else t for t, r in found).encode())
                 key = _key(host, path, page)
                 out.append((bisect_right(cuts, key), False, host, path, page, url, lines, regions, texts))
                 out += [(p, True, host, path, page, None, lines, regions, None) for p in neighbours.get(key, ())]
@@ -259,9 +266,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
         def finished(row, before, after) -> tuple:
             near = [x for x in (before, after) if x and (x["part"], x["host"]) == (row["part"], row["host"])]
-            best = max(near, key=lambda x: _prefix(x["path"], row["path"]), default=None)
+            near.sort(key=lambda x: -_prefix(x["path"], row["path"]))
             hashes = lambda x: np.frombuffer(x["lines"], dtype=np.uint64).tolist()
-            kept = own_lines(row["regions"], hashes(row), best and (best["regions"], hashes(best)))
+            kept = own_lines(row["regions"], hashes(row), [(x["regions"], hashes(x)) for x in near])
             texts = unpack.decompress(row["texts"]).decode().split("\n") if kept else []
             text = "\n\n".join(texts[i] for i in kept)
             return row["page_id"], row["url"], text, len(text)

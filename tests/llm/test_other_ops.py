@@ -253,6 +253,22 @@ def test_main_text(spark):
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+def test_differencing_decides_inside_and_outside_articles(spark):
+    frame = "<div>Our site</div><article class=teaser>Buy our book</article><div>Text {0} a</div><div>Text {0} b</div><div>Imprint</div>"
+    inside = "<article class='post has-sidebar'><p>Share it</p><h1>Head {0}</h1><p>Text {0}</p></article>"
+    copied = "<div>{0}</div><article><p>One</p><p>Two</p></article><div>Site</div>"
+    rows = [(i, f"http://a.example/{i}", frame.format(i)) for i in range(10)]
+    rows += [(20 + i, f"http://b.example/{i}", inside.format(i)) for i in range(10)]
+    rows += [(40 + i, f"http://c.example/{i}", copied.format(i)) for i in range(2)]
+    rows += [(60, "http://d.example/", "<p>Own</p><article id=comment-7 class=comment>First!</article>")]
+    rows += [(70, "http://e.example/1", frame.format(1))] * 3
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Text {i} a\n\nText {i} b" for i in range(10))
+    assert all(got[20 + i] == f"Head {i}\n\nText {i}" for i in range(10))
+    assert all(got[40 + i] == f"{i}\n\nOne\n\nTwo" for i in range(2))
+    assert got[60] == "Own" and "Text 1 b" in got[70]
+
+
 # URLs --------------------------------------------------------------------------------------
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
