@@ -10,7 +10,8 @@ from seriesloom.llm import archives, decontaminate, near, order, packing, pages,
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-URL_SUPPORT, URL_CONFIDENCE = 0.01, 0.5
+#: The least bad URLs of a mined rule, its least confidence, and the deviations by which that is above the share of bad URLs.
+URL_BAD, URL_CONFIDENCE, URL_DEVIATIONS = 3, 0.5, 3.29
 
 
 @query("op7_url_rules")
@@ -21,7 +22,7 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
     number = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d+)(?:\.[a-z]+)?/?$", 1)
     labelled = rows.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id")
-    judged = urls.judge_urls(rows, labelled, URL_RULES, URL_SUPPORT, URL_CONFIDENCE)
+    judged = urls.judge_urls(rows, labelled, URL_RULES, min_confidence=URL_CONFIDENCE, min_bad=URL_BAD, deviations=URL_DEVIATIONS)
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 

@@ -65,22 +65,31 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+def mine_rules(
+    labelled: DataFrame, min_support: float, min_confidence: float, min_bad: int | None = None, deviations: float | None = None
+) -> DataFrame:
     """Rules ``tokens -> bad``: ``tokens, size, confidence, rarest`` from ``labelled(url, bad)``.
 
-    Support is the share of labelled URLs that hold all tokens and are bad.  The number of
-    rules is bounded by the support, not by the data.  ``rarest`` is the rule's token with the
-    fewest URLs; the inverted index files the rule there.
+    Support is the share of labelled URLs that hold all tokens and are bad; ``min_bad``, if
+    given, is their least number instead, whatever the number of labelled URLs.  With
+    ``deviations``, the confidence must be above the share of bad URLs among all by more than
+    chance: the lower end of its Wilson interval of so many deviations is compared.  ``rarest``
+    is the rule's token with the fewest URLs; the inverted index files the rule there.
     """
+    whole = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad")).first()
+    if min_bad is not None:
+        min_support = min(1.0, (min_bad - 0.5) / whole.n)  # half a URL less: FP-growth rounds up
     items = F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
     baskets = labelled.select(items.alias("items"))
     mined = FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=shuffle_width(labelled)
     ).fit(baskets)
-    rules = mined.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence"
-    )
-    rules = materialize(rules)
+    rules = mined.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    if deviations is not None:
+        p, n, z = F.col("confidence"), F.col("support") * whole.n / F.col("confidence"), deviations
+        low = (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+        rules = rules.filter(low > whole.bad / whole.n)
+    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence"))
     seen = mined.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = (
         rules.select("tokens", F.explode("tokens").alias("token"))
@@ -134,11 +143,13 @@ def judge_urls(
     rules: Sequence[tuple[str, str, str]],
     min_support: float = 0.005,
     min_confidence: float = 0.6,
+    min_bad: int | None = None,
+    deviations: float | None = None,
 ) -> DataFrame:
     """Add ``host, path, rule, verdict, confidence`` to ``pages(url, ...)``.
 
     The verdict is that of the longest explicit rule; without one, ``block`` if a mined rule
-    fits, else ``allow``.  Null URLs and such without ``://`` have an empty host and path and no
+    fits, else ``allow``; limits are those of ``mine_rules``.  Null URLs and such without ``://`` have an empty host and path and no
     explicit rule.  Repeated rows are judged alike; no labels or no rules mean ``allow``.
     Columns of ``pages`` with the names of the results are replaced.
     """
@@ -147,7 +158,7 @@ def judge_urls(
     if labelled.isEmpty():
         judged = pages.withColumn("confidence", F.lit(None).cast("double"))
     else:
-        judged = match_rules(pages, mine_rules(labelled, min_support, min_confidence))
+        judged = match_rules(pages, mine_rules(labelled, min_support, min_confidence, min_bad, deviations))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = explicit_rule(host, path, rules)
     mined = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")

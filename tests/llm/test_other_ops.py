@@ -317,6 +317,20 @@ def test_urls_against_brute_force(spark):
     assert urls.judge_urls(frame.limit(0), labelled, RULES).count() == 0
 
 
+def test_bad_hosts_with_few_labelled_pages_become_rules(spark, tmp_path):
+    from seriesloom.llm import queries
+
+    hosts = ["cheap-pills.com"] * 4 + ["free-bets.com"] * 7 + [f"h{i % 40}.com" for i in range(1500)]
+    rows = [(i, f"http://{h}/x/{i}.html") for i, h in enumerate(hosts)]
+    labels = [(i, int(i >= 11 and i // 40 % 5 > 0), 0) for i in range(len(hosts))]  # bad: all pages of the two, a fifth of the others
+    rows += [(9000, "http://www.cheap-pills.com/new"), (9001, "http://free-bets.com/"), (9002, "http://h7.com/")]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: (r.verdict, r.confidence) for r in queries.op7_url_rules(spark, str(tmp_path)).collect()}
+    assert got[9000] == got[9001] == got[0] == got[10] == ("block", 1.0)
+    assert all(got[i] == ("allow", None) for i in [9002, *range(11, len(hosts))])
+
+
 # Archives ----------------------------------------------------------------------------------
 
 
