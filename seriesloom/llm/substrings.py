@@ -5,7 +5,7 @@ threshold, colliding lines verified by exact Jaccard, linked lines clustered by
 Passages inside lines have no line breaks to go by, so documents are also cut at content-defined
 places (the least hash of every run of ``WINDOW`` words), where a passage is cut alike wherever
 it stands; such a segment has the single band of its whole word sequence, and what stands
-before and after it is compared with its first occurrence through short hashes.  Runs of
+before and after it is compared with all earlier occurrences through short hashes.  Runs of
 repeated segments and repeated lines go if they have ``MIN_WORDS`` words.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import node_ids
@@ -200,28 +200,46 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, sequence bigint, node bigint, start bigint, size bigint, before bigint, after bigint")
 
 
-def _agree(a: str, b: str) -> F.Column:
-    """How many words of context agree: the longest of the compared lengths up to which all hashes do."""
-    piece = lambda c, k: F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF))
-    same = F.lit(0)
-    for k in reversed(range(len(CONTEXT))):
-        longer = F.lit(CONTEXT[k]) if k == len(CONTEXT) - 1 else F.greatest(F.lit(CONTEXT[k]), same)
-        same = F.when((piece(a, k) == piece(b, k)) & (piece(a, k) != 0), longer).otherwise(0)
-    return same.cast("bigint")
+def _keys() -> F.Column:
+    """Keys that a segment shares with equal ones: its words alone, and with the words beside it up to each compared length."""
+    out = [F.struct(F.lit(0).alias("side"), F.lit(0).alias("agree"), F.xxhash64("sequence").alias("key"))]
+    for side, column in ((1, "before"), (2, "after")):
+        for k, n in enumerate(CONTEXT):
+            bits = F.lit((1 << 16 * (k + 1)) - 1 if k + 1 < len(CONTEXT) else -1).cast("bigint")
+            key = F.xxhash64("sequence", F.lit(side * 16 + k), F.col(column).bitwiseAND(bits))
+            there = F.shiftrightunsigned(F.col(column), 16 * k).bitwiseAND(F.lit(0xFFFF)) != 0
+            out.append(F.when(there, F.struct(F.lit(side).alias("side"), F.lit(n).alias("agree"), key.alias("key"))))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
 def repeated_segments(docs: DataFrame) -> DataFrame:
-    """``node, start, words, before, after, keeper``: segments that stand in another document first, with the words around that agree."""
-    order = Window.partitionBy("sequence").orderBy("doc", "node", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = lambda c: F.first(c).over(order).alias(f"_{c}")
-    found = segment_rows(docs).select("*", first("node"), first("before"), first("after")).filter("node <> _node")
+    """``node, start, words, before, after, keeper``: segments that stand in another document first, with the words around that agree.
+
+    Every document that has the segment counts: on each side, the words are the longest compared
+    length up to which any earlier document agrees, not only the first one that has the segment.
+    """
+    rows = materialize(segment_rows(docs))
+    several = F.min("node") != F.max("node")
+    shared = rows.groupBy("sequence").agg(several.alias("_several")).filter("_several").select("sequence")
+    held = materialize(join_checked(rows, materialize(shared), "sequence"))
+    keyed = held.select("doc", "node", "start", "size", F.explode(_keys()).alias("k")).select("doc", "node", "start", "size", "k.*")
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc", "node", "start")).alias("first"), several.alias("_several"))
+    first = materialize(first.filter("_several").select("key", F.col("first.node").alias("keeper")))
+    best = lambda side: F.max(F.when(F.col("side") == side, F.struct("agree", "keeper")))
+    found = (
+        join_checked(keyed.drop("doc"), first, "key")
+        .filter("node <> keeper")
+        .groupBy("node", "start", "size")
+        .agg(best(0).alias("alone"), best(1).alias("b"), best(2).alias("a"))
+    )
+    agreed = lambda side: F.coalesce(F.col(f"{side}.agree"), F.lit(0)).cast("bigint")
     return found.select(
         "node",
         "start",
         F.shiftright("size", 6).alias("words"),
-        F.least(_agree("before", "_before"), "start").alias("before"),
-        F.least(_agree("after", "_after"), F.col("size").bitwiseAND(F.lit(63).cast("bigint"))).alias("after"),
-        F.col("_node").alias("keeper"),
+        F.least(agreed("b"), "start").alias("before"),
+        F.least(agreed("a"), F.col("size").bitwiseAND(F.lit(63).cast("bigint"))).alias("after"),
+        F.greatest("alone", "b", "a")["keeper"].alias("keeper"),
     )
 
 

@@ -210,6 +210,23 @@ def test_repeats_are_cut_and_clean_documents_stay(spark):
     assert substrings.cut_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_passages_around_a_line_that_stands_in_earlier_documents(spark):
+    rng = random.Random(21)
+    own = lambda: prose(rng, 30, 10**6)
+    texts, pairs = {}, []
+    for p in range(120):
+        line = prose(rng, 24, 10**6)
+        texts[p] = f"{own()} {line} {own()}"
+        passage = f"{prose(rng, 14, 10**6)} {line} {prose(rng, 14, 10**6)}"
+        for d in (1000 + 2 * p, 1001 + 2 * p):
+            texts[d] = f"{own()} {passage} {own()}"
+        pairs.append((set(passage.split()), 1000 + 2 * p, 1001 + 2 * p))
+    found = {r.doc_id: (r.text, r.words_cut) for r in substrings.cut_repeats(docs_of(spark, texts.items())).collect()}
+    assert all(found[d] == (t, 0) for d, t in texts.items() if d < 1000 or d % 2 == 0)
+    for passage, _, second in pairs:
+        assert len(passage & set(found[second][0].split())) <= 0.3 * len(passage)
+
+
 def test_test_items_are_found_like_by_brute_force(spark):
     rng = random.Random(13)
     items = [(k, prose(rng, rng.randrange(5, 70), 300) + ". " + prose(rng, 4, 300)) for k in range(30)]
