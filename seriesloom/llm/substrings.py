@@ -26,7 +26,7 @@ from seriesloom.llm.words import Words, column_bytes, mix, steps
 
 #: Words of a shingle; the similarity of repeated lines as a fraction of 100.
 SHINGLE, SIMILARITY = 5, 80
-#: The least words of a repeated line or run of segments that is cut out.
+#: The least words of a run of repeated lines and segments that is cut out.
 MIN_WORDS = 30
 #: A segment ends at the least hash of every so many words; shorter ones than this stand for nothing.
 WINDOW, MIN_SEGMENT = 23, 4
@@ -65,7 +65,7 @@ def band_keys(grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands: i
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Lines of ``docs(doc_id, node, text)`` with at least ``MIN_WORDS`` words, stored: ``unit, doc, node, start, words, sequence, keys``."""
+    """Lines of ``docs(doc_id, node, text)`` with at least ``SHINGLE`` words, stored: ``unit, doc, node, start, words, sequence, keys``."""
     bands, rows = tune_bands(SIMILARITY / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 words = Words(data, offsets[a : b + 1])
                 first = words.lines()
                 size = np.diff(np.append(first, len(words.hash)))
-                first, size = first[size >= MIN_WORDS], size[size >= MIN_WORDS]
+                first, size = first[size >= SHINGLE], size[size >= SHINGLE]
                 if not len(first):
                     continue
                 keys = band_keys(words.grams(SHINGLE)[0], first, size - SHINGLE + 1, bands, rows).view(np.int64)

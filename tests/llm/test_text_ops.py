@@ -227,6 +227,21 @@ def test_passages_around_a_line_that_stands_in_earlier_documents(spark):
         assert len(passage & set(found[second][0].split())) <= 0.3 * len(passage)
 
 
+def test_passages_of_short_lines_that_are_nearly_equal(spark):
+    rng = random.Random(22)
+    texts = {d: "\n".join(prose(rng, 40, 10**6) for _ in range(3)) for d in range(40)}
+    clean, passages = dict(texts), []
+    for d in range(0, 40, 2):
+        lines = [prose(rng, 20, 10**6).split() for _ in range(3)]
+        passages.append((d, {w for x in lines for w in x[1:-1]}))
+        texts[d] += "\n" + "\n".join(map(" ".join, lines))
+        changed = [["new", *x[1:]] if k % 2 else [*x[:-1], "new"] for k, x in enumerate(lines)]
+        texts[d + 1] += "\n" + "\n".join(map(" ".join, changed))
+    found = {r.doc_id: (r.text, r.words_cut) for r in substrings.cut_repeats(docs_of(spark, texts.items())).collect()}
+    for d, middle in passages:
+        assert found[d] == (texts[d], 0) and found[d + 1] == (clean[d + 1], 60)
+
+
 def test_test_items_are_found_like_by_brute_force(spark):
     rng = random.Random(13)
     items = [(k, prose(rng, rng.randrange(5, 70), 300) + ". " + prose(rng, 4, 300)) for k in range(30)]
