@@ -1,11 +1,12 @@
 """Passages of a test set inside training documents: BM25 over an inverted index of the test items.
 
-Every passage of every document is a query.  The score an item must reach is what is left of
+Every document is a query.  The score an item must reach is what is left of
 its own score when as many of its best terms are missing as verification would forgive, so no
-passage that would be verified falls short.  A passage is scored like block-max WAND does:
+document that would be verified falls short.  A document is scored like block-max WAND does:
 only items of which it holds enough essential terms are pivots; their block is skipped where
 the sum of its terms' block maxima stays below the threshold; the others are scored in full.
-Survivors are verified by the shingles they share with the item, its question and its answer.
+Survivors are verified by the shingles they share with the item, anywhere in the document; the
+shares of its question and its answer are only reported.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from seriesloom.llm.words import Words, column_bytes, steps
 
 K1, B = 1.2, 0.75
-#: Words of a shingle, and the share of an item's shingles that a passage must hold.
+#: Words of a shingle, and the share of an item's shingles that a document must hold.
 SHINGLE, OVERLAP = 5, 0.8
-#: Distinct essential terms that a passage must hold of an item beyond those it may lack.
+#: Distinct essential terms that a document must hold of an item beyond those it may lack.
 PIVOT_TERMS = 4
 #: Items of similar length that share block maxima.
 BLOCK_ITEMS = 8
@@ -51,7 +52,6 @@ class Index(NamedTuple):
     block_max: dict[int, dict[int, float]]  # block -> term -> impact
     essential_at: np.ndarray  # term -> first posting
     essential: np.ndarray  # item of each posting
-    half: int  # words of half a passage
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -114,21 +114,21 @@ def build_index(rows: list[tuple[int, str]]) -> Index | None:
     present = np.zeros(1 << 18, dtype=bool)
     present[(vocabulary & np.uint64(len(present) - 1)).astype(np.int64)] = True
     at = np.searchsorted(listed[:, 0], np.arange(len(vocabulary) + 1))
-    return Index(vocabulary, present, items, blocks, block_needed, block_max, at, listed[:, 1], int(lengths.max()))
+    return Index(vocabulary, present, items, blocks, block_needed, block_max, at, listed[:, 1])
 
 
 class Match(NamedTuple):
     row: int
     item: int
-    start: int  # first word of the passage
+    start: int  # first word of the first shingle that the item shares
     score: float
-    found: int  # shingles of the item in the passage
+    found: int  # shingles of the item in the document
     question: float
     answer: float
 
 
 def matches(index: Index, words: Words) -> Iterator[Match]:
-    """Passages of the rows of ``words`` that hold test items, overlapping by half so that no item is cut."""
+    """Test items that the rows of ``words`` hold, wherever in a row their shingles stand."""
     if not len(words.hash):
         return
     terms = np.full(len(words.hash), -1, dtype=np.int64)
@@ -137,33 +137,26 @@ def matches(index: Index, words: Words) -> Iterator[Match]:
     at[at == len(index.vocabulary)] = 0
     same = index.vocabulary[at] == words.hash[maybe]
     terms[maybe[same]] = at[same]
-    # Halves are numbered through all rows; the passage of a half is it and the next one of its row.
-    halves = -(-words.count() // index.half)
-    before = np.cumsum(halves) - halves
-    within = np.arange(len(terms)) - words.first[:-1][words.row]
-    half = before[words.row] + within // index.half
     hit = np.flatnonzero(terms >= 0)
     hit = hit[index.essential_at[terms[hit] + 1] > index.essential_at[terms[hit]]]
     if not len(hit):
         return
     n_terms, n_items = len(index.vocabulary), len(index.items)
-    again = hit[within[hit] >= index.half]
-    passage = np.concatenate([half[hit], half[again] - 1])
-    pairs = np.unique(passage * n_terms + np.concatenate([terms[hit], terms[again]]))
-    passage, term = pairs // n_terms, pairs % n_terms
-    first, size = index.essential_at[term], index.essential_at[term + 1] - index.essential_at[term]
-    posting = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    found, held = np.unique(np.repeat(passage, size) * n_items + index.essential[posting], return_counts=True)
-    enough = held >= np.array([x.pivots for x in index.items])[found % n_items]
-    found = found[enough]
-    grams = None
-    for passage in np.unique(found // n_items).tolist():
-        row = int(np.searchsorted(before + halves, passage, side="right"))
-        start = words.first[row] + (passage - before[row]) * index.half
-        end = min(start + 2 * index.half, words.first[row + 1])
+    pairs = np.unique(words.row[hit].astype(np.int64) * n_terms + terms[hit])
+    grams = words.grams(SHINGLE)[0]
+    least = np.array([x.pivots for x in index.items])
+    for row in np.unique(pairs // n_terms).tolist():
+        low, high = np.searchsorted(pairs, [row * n_terms, (row + 1) * n_terms])
+        term = pairs[low:high] % n_terms
+        first, size = index.essential_at[term], index.essential_at[term + 1] - index.essential_at[term]
+        posting = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        pivots = np.flatnonzero(np.bincount(index.essential[posting], minlength=n_items) >= least)
+        start, end = int(words.first[row]), int(words.first[row + 1])
+        if not len(pivots) or end - start < SHINGLE:
+            continue
         own = np.unique(terms[start:end])
         own = own[own >= 0]
-        pivots = found[found // n_items == passage] % n_items
+        here, places = np.unique(grams[start : end - SHINGLE + 1], return_index=True)
         for block in np.unique(index.blocks[pivots]).tolist():
             maxima = index.block_max[block]
             if sum(maxima.get(t, 0.0) for t in own.tolist()) < index.block_needed[block]:
@@ -173,14 +166,11 @@ def matches(index: Index, words: Words) -> Iterator[Match]:
                 score = float(item.impacts[np.isin(item.terms, own, assume_unique=True)].sum())
                 if score < item.needed:
                     continue
-                if grams is None:
-                    grams, valid = words.grams(SHINGLE)
-                last = max(min(end, words.first[row + 1] - SHINGLE + 1), start)
-                here = grams[start:last]
-                shared = int(np.isin(item.shingles, here).sum())
-                if shared >= OVERLAP * len(item.shingles):
+                at = np.minimum(np.searchsorted(here, item.shingles), len(here) - 1)
+                shared = here[at] == item.shingles
+                if shared.sum() >= OVERLAP * len(item.shingles):
                     share = lambda part: float(np.isin(part, here).mean()) if len(part) else 1.0
-                    yield Match(row, k, int(start - words.first[row]), score, shared, share(item.question), share(item.answer))
+                    yield Match(row, k, int(places[at[shared]].min()), score, int(shared.sum()), share(item.question), share(item.answer))
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
@@ -197,8 +187,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, score, n_found, n_shingles, question, answer`` of every test item a document holds.
 
-    One row per row of ``docs(doc_id, text)`` and item, for the passage that holds most of it:
-    a passage holds an item if it has at least ``OVERLAP`` of its distinct ``SHINGLE``-word
+    One row per row of ``docs(doc_id, text)`` and item: a document holds an item if it has at least ``OVERLAP`` of its distinct ``SHINGLE``-word
     shingles.  Null and empty texts hold nothing, repeated rows are reported each, no items mean
     no rows; other columns are ignored.
     """
@@ -213,15 +202,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-def _best(index: Index, words: Words) -> dict[tuple[int, int], Match]:
-    best: dict[tuple[int, int], Match] = {}
-    for m in matches(index, words):
-        key = (m.row, m.item)
-        if key not in best or (m.found, -m.start) > (best[key].found, -best[key].start):
-            best[key] = m
-    return best
-
-
 def _reporter(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -233,7 +213,7 @@ def _reporter(sent):
             for a, b in steps(offsets):
                 out = [
                     (ids[a + m.row].as_py(), index.items[m.item].item_id, m.start, m.score, m.found, len(index.items[m.item].shingles), m.question, m.answer)
-                    for m in _best(index, Words(data, offsets[a : b + 1])).values()
+                    for m in matches(index, Words(data, offsets[a : b + 1]))
                 ]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)

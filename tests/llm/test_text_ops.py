@@ -275,6 +275,20 @@ def test_test_items_are_found_like_by_brute_force(spark):
     assert decontaminate.contaminated(docs_of(spark, []), tests).count() == 0
 
 
+def test_items_that_stand_in_parts_are_found(spark):
+    rng = random.Random(14)
+    items = [(k, prose(rng, 59, 10**6)) for k in range(8)]
+    texts = []
+    for k, (_, x) in enumerate(items):
+        w = x.split()
+        for gap in (20, 500):
+            texts.append((len(texts), " ".join([prose(rng, 7 * k + 1), *w[:30], prose(rng, gap), *w[30:], prose(rng, 90)])))
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_found) for r in decontaminate.contaminated(docs_of(spark, texts), tests).collect()}
+    assert got == {(d, d // 2, 51) for d in range(16)}
+    assert decontaminate.decontaminate(docs_of(spark, texts), tests).count() == 0
+
+
 def test_block_maxima_bound_every_score():
     rng = random.Random(2)
     index = decontaminate.build_index([(k, prose(rng, 40, 200)) for k in range(40)])
