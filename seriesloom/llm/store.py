@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.session import materialize, scratch_path, shuffle_width
@@ -23,13 +23,17 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-#: A side that is counted and has at most so many rows, of some hundred bytes at most, is broadcast.
-BROADCAST_ROWS = 100_000
+#: A side that is counted and has at most so many rows, and so many values in its arrays, is broadcast.
+BROADCAST_ROWS, BROADCAST_VALUES = 100_000, 1_000_000
 
 
-def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a stored narrow side: broadcast if its counted rows are few, else by a shuffle; the rows are the same."""
-    few = narrow.count() <= BROADCAST_ROWS
+def join_checked(wide: DataFrame, narrow: DataFrame, on, how: str = "inner", values: Column | None = None) -> DataFrame:
+    """Join with a stored narrow side: broadcast if it is counted as small, else by a shuffle; the rows are the same.
+
+    ``values`` is how many values the arrays of a narrow row hold; without it its columns are single values.
+    """
+    rows, held = narrow.agg(F.count(F.lit(1)), F.sum(F.lit(0) if values is None else values)).first()
+    few = rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_VALUES
     return wide.join(F.broadcast(narrow) if few else narrow, on, how)
 
 
