@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import archives, decontaminate, lines, near, order, packing, pages, quality, substrings, urls, vectors
+from seriesloom.llm import archives, decontaminate, lines, near, order, packing, pages, quality, repair, substrings, urls, vectors
 from seriesloom.llm.registry import query, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -157,3 +157,94 @@ FROM m GROUP BY doc_id
 def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _repair_sql() -> str:
+    """A row's step over the least ``cost || audit`` of every state, costs in nine digits; the crc32 goes by a table of 256 bytes."""
+
+    def plus(value: str, cost: str, edits: str) -> str:
+        return f"lpad(CAST(CAST({value}[1:9] AS INTEGER) + {cost} AS VARCHAR), 9, '0') || {value}[10:] || '{edits}'"
+
+    def least(*values: str) -> str:
+        return f"least({', '.join(values)})"
+
+    def closed(v: str) -> list[str]:
+        """With insertions before the next row."""
+        v0, v1, v2, v3 = (f"{v}{k}" for k in range(4))
+        return [
+            v0, v1, least(v2, *[plus(x, "3", "I") for x in (v0, v1, v3)]), least(v3, plus(v2, "3", "I"), *[plus(x, "6", "II") for x in (v0, v1)])
+        ]
+
+    may = "CASE WHEN NOT gone AND initial = '{}' THEN {} END"
+    kept = [
+        plus("w0", "4", "D"),
+        least(plus("w1", "4", "D"), may.format("s", plus("w0", "more", "K"))),
+        least(plus("w2", "4", "D"), *[may.format("u", plus(w, "more", "K")) for w in ("w0", "w1", "w3")],
+              *[f"CASE WHEN NOT gone THEN {plus(w, '3 + more', 'R')} END" for w in ("w0", "w1", "w3")]),
+        least(plus("w3", "4", "D"), may.format("a", plus("w2", "more", "K")), f"CASE WHEN NOT gone THEN {plus('w2', '3 + more', 'R')} END"),
+    ]
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+             || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM base WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos,
+         CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS cut FROM d),
+f AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM o),
+g AS (SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS more FROM f),
+r AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3
+  FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL
+  SELECT conv_id, pos, {', '.join(kept)} FROM (
+    SELECT g.conv_id, g.pos, g.initial, g.gone, g.more, {', '.join(f'{x} AS w{k}' for k, x in enumerate(closed('r.v')))}
+    FROM r JOIN g ON g.conv_id = r.conv_id AND g.pos = r.pos + 1)),
+s AS (
+  SELECT conv_id, gaps, blank, duplicate, truncated, illegal, n FROM (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+           count(*) FILTER (WHERE again) AS duplicate, count(*) FILTER (WHERE more = 3) AS truncated,
+           count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM g GROUP BY 1)),
+b AS (
+  SELECT s.*, least(w0, w3) AS best FROM s JOIN (SELECT conv_id, pos, {', '.join(f'{x} AS w{k}' for k, x in enumerate(closed('v')))} FROM r) e
+  ON e.conv_id = s.conv_id AND e.pos = s.n),
+a AS (SELECT *, CAST(best[1:9] AS BIGINT) AS cost, best[10:] AS audit FROM b),
+e AS (
+  SELECT conv_id, nth, edit, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS pos,
+         sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS place
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS nth FROM a WHERE audit <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+h AS (
+  SELECT e.conv_id, nth, edit, place, CASE WHEN edit <> 'I' THEN g.role END AS role, CASE WHEN edit = 'I' THEN '' ELSE g.text END AS text,
+         max(CASE WHEN place = 1 AND edit = 'K' AND g.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM e LEFT JOIN g ON g.conv_id = e.conv_id AND g.pos = e.pos),
+t AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+         chr(10) ORDER BY nth) FILTER (WHERE edit <> 'D') AS whole FROM h GROUP BY 1)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a ON a.conv_id = c.conv_id LEFT JOIN t ON t.conv_id = c.conv_id
+"""
+
+
+OP13_SQL = _repair_sql()
+
+
+@query("op13_lightest_repair", OP13_SQL)
+def op13_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
