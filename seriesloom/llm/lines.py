@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.store import join_checked, materialize, scratch_path, shuffle_width
+from seriesloom.llm.store import materialize, scratch_path, shuffle_width
 from seriesloom.operators.skew import salted_join
 
 #: Batches a table is cut into, and runs of a level that are merged into one of the next.
@@ -144,7 +144,7 @@ def drop_lines(
     # Lines are cut below the join, so that what is taken from them by place is cut once.
     cut = docs.select("doc_id", _text_mark().alias("mark"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
-    met = join_checked(cut, materialize(gone), same, "left", values=F.size("_gone"))
+    met = cut.join(gone, same, "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.array_join("lines", "\n")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
