@@ -99,9 +99,16 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels.select(F.col("v").alias("entity"), F.col("label").alias("component"))
 
 
-def threshold_clusters(pairs: DataFrame, nodes: DataFrame, cut: float, min_size: int = 30) -> DataFrame:
-    """Single-linkage clusters at distance ``cut``; clusters below ``min_size`` become '0'."""
-    comp = connected_components(pairs.filter(F.col("distance") <= cut), nodes)
+def threshold_clusters(pairs: DataFrame, nodes: DataFrame, cut: float, min_size: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """Single-linkage clusters at distance ``cut``, per value of ``by``; clusters below ``min_size`` become '0'."""
+    by = list(by)
+    near = pairs.filter(F.col("distance") <= cut)
+    if by:  # an entity under another value of ``by`` is another node
+        node = lambda c: F.struct(*by, F.col(c).alias("entity"))
+        near, nodes = near.select(node("a").alias("a"), node("b").alias("b")), nodes.select(node("entity").alias("entity"))
+    comp = connected_components(near, nodes)
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     out = salted_join(comp, sizes, "component", key_counts=sizes.withColumnRenamed("size", "_n"))
-    return out.select("entity", F.when(F.col("size") >= min_size, F.col("component")).otherwise("0").alias("cluster"))
+    label = F.col("component.entity") if by else F.col("component")
+    own = [F.col(f"entity.{c}").alias(c) for c in [*by, "entity"]] if by else ["entity"]
+    return out.select(*own, F.when(F.col("size") >= min_size, label).otherwise("0").alias("cluster"))

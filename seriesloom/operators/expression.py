@@ -175,9 +175,10 @@ def variance_stabilise(values: DataFrame) -> DataFrame:
     return values.withColumn("vst", F.ln(inner / (4 * a0)) / F.ln(F.lit(2.0)))
 
 
-def module_mean_profile(df: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Mean series per cluster; ``clusters`` has entity and cluster."""
-    return df.join(clusters, "entity").groupBy("cluster", "time").agg(F.avg("value").alias("value"))
+def module_mean_profile(df: DataFrame, clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean series per cluster and value of ``by``; ``clusters`` has entity and cluster, and may have columns of ``by``."""
+    on = ["entity", *[c for c in by if c in clusters.columns]]
+    return df.join(clusters, on).groupBy(*by, "cluster", "time").agg(F.avg("value").alias("value"))
 
 
 def describe_groups(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:

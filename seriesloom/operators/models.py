@@ -190,30 +190,30 @@ def _eigen(gram: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def module_pc1(df: DataFrame, clusters: DataFrame, times: Sequence[int]) -> DataFrame:
-    """First principal component over time per cluster: ``cluster, time, score, var_explained``.
+def module_pc1(df: DataFrame, clusters: DataFrame, times: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """First principal component over time per cluster: ``by, cluster, time, score, var_explained``.
 
     Series are standardised per entity.  Only the times x times cross products of a
     cluster are aggregated, so a cluster of any size becomes one small matrix.  The sign
     follows the mean profile.
     """
     n = len(times)
-    scaled = unit_series(to_series(df, times), "series", n, "cross", "u")
-    joined = scaled.join(clusters, "entity")
-    sums = joined.groupBy("cluster").agg(
+    scaled = unit_series(to_series(df, times, ["entity", *by]), "series", n, "cross", "u")
+    joined = scaled.join(clusters, ["entity", *[c for c in by if c in clusters.columns]])
+    sums = joined.groupBy(*by, "cluster").agg(
         *[F.expr(f"sum(u[{i}]*u[{j}])").alias(f"_g{i}_{j}") for i in range(n) for j in range(i, n)],
         *[F.expr(f"avg(u[{i}])").alias(f"_m{i}") for i in range(n)],
     )
     gram = F.array(*[F.col(f"_g{i}_{j}") for i in range(n) for j in range(i, n)])
     first = sums.select(
-        "cluster", F.array(*[F.col(f"_m{i}") for i in range(n)]).alias("m"), _eigen(gram, F.lit(n))[0].alias("e")
+        *by, "cluster", F.array(*[F.col(f"_m{i}") for i in range(n)]).alias("m"), _eigen(gram, F.lit(n))[0].alias("e")
     )
     dot = F.aggregate(F.zip_with("m", F.col("e.vector"), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    signed = first.select("cluster", F.when(dot < 0, -1.0).otherwise(1.0).alias("sg"), "e")
+    signed = first.select(*by, "cluster", F.when(dot < 0, -1.0).otherwise(1.0).alias("sg"), "e")
     at = F.array(*[F.lit(t) for t in times])
     return signed.select(
-        "cluster", F.col("e.share").alias("var_explained"), "sg", F.posexplode("e.vector").alias("_i", "_v")
-    ).select("cluster", F.get(at, F.col("_i")).alias("time"), (F.col("sg") * F.col("_v")).alias("score"), "var_explained")
+        *by, "cluster", F.col("e.share").alias("var_explained"), "sg", F.posexplode("e.vector").alias("_i", "_v")
+    ).select(*by, "cluster", F.get(at, F.col("_i")).alias("time"), (F.col("sg") * F.col("_v")).alias("score"), "var_explained")
 
 
 def sample_pca(values: DataFrame, samples: Sequence[str], top: int | None = None) -> DataFrame:

@@ -84,10 +84,11 @@ def _shared_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     sized = materialize(salted_join(sized, sizes[1], "b", key_counts=_per_entity(pairs, "b")))
 
     def listed(some: DataFrame, small: DataFrame, large: DataFrame, key: str, other: str) -> DataFrame:
-        some = some.select("a", "b")
-        small = small.withColumnRenamed("entity", key)
-        tokens = salted_join(small, some, key, key_counts=small.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
-        return salted_join(tokens, large.withColumnRenamed("entity", other), [other, "token"], key_counts=_per_entity(tokens, other))
+        # The rows to come follow from the stored sizes: a key's own, and the sum of its partners'.
+        own = some.groupBy(key).agg(F.any_value(f"_{key}").alias("_n"))
+        expanded = some.groupBy(other).agg(F.sum(f"_{key}").alias("_n"))
+        tokens = salted_join(small.withColumnRenamed("entity", key), some.select("a", "b"), key, key_counts=own)
+        return salted_join(tokens, large.withColumnRenamed("entity", other), [other, "token"], key_counts=expanded)
 
     by_a = listed(sized.filter("_a <= _b"), left, right, "a", "b")
     return by_a.unionByName(listed(sized.filter("_a > _b"), right, left, "b", "a"))
@@ -131,7 +132,8 @@ def share_ratios(df: DataFrame) -> DataFrame:
     return df.withColumn("ratio_shared", safe_div(s, u)).withColumn("prop_shared", safe_div(s, s + u))
 
 
-def distinct_tokens_by_group(df: DataFrame, group: str, token_list: str) -> DataFrame:
+def distinct_tokens_by_group(df: DataFrame, group: str | Sequence[str], token_list: str) -> DataFrame:
     """Distinct tokens per group from a comma-joined list column."""
-    exploded = df.select(group, F.explode(F.split(F.col(token_list), ",")).alias("token"))
+    group = [group] if isinstance(group, str) else group
+    exploded = df.select(*group, F.explode(F.split(F.col(token_list), ",")).alias("token"))
     return exploded.filter("token <> ''").distinct()

@@ -18,7 +18,7 @@ from seriesloom.functions.numeric import (
 )
 from seriesloom.operators.intervals import first_per_group, interval_scores, overlap_join
 from seriesloom.operators.scan import global_row_number, running
-from seriesloom.operators.skew import salted_join
+from seriesloom.operators.skew import null_safe, salted_join
 from seriesloom.session import materialize, shuffle_width
 
 
@@ -44,6 +44,12 @@ def ecdf_rank(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return out.select(*keys, value, (F.col("_cum") / F.col("_size")).alias("ecdf"))
 
 
+def normal_positions(rank: Column, n: Column) -> Column:
+    """Normal quantile of the plotting position (i - a) / (n + 1 - 2a); a is 3/8 up to n = 10, else 1/2."""
+    a = F.when(n <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
+    return probit((rank - a) / (n + 1 - 2 * a))
+
+
 def plotting_positions(df: DataFrame, value: str, key: str) -> DataFrame:
     """Plotting position (i - a) / (n + 1 - 2a) by rank and its normal quantile; a is 3/8 up to n = 10, else 1/2."""
     numbered = global_row_number(df.select(key, value), [value, key], "rank")
@@ -85,8 +91,9 @@ def rank_sum(
     value: str = "value",
     alternative: str = "greater",
     first: Sequence[str] = (),
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Wilcoxon rank-sum for every pair of categories, normal approximation.
+    """Wilcoxon rank-sum for every pair of categories of a value of ``by``, normal approximation.
 
     W counts the pairs (x, y) with x > y, ties half; tie and continuity correction as
     usual.  ``first`` lists categories that lead a pair in that order, the rest follow
@@ -97,22 +104,25 @@ def rank_sum(
     for i, name in enumerate(first):
         rank = F.when(F.col(category) == name, i).otherwise(rank)
     named = df.filter(F.col(value).isNotNull()).withColumn("_cat", F.concat(F.lpad(rank.cast("string"), 4, "0"), F.col(category)))
-    counts = named.groupBy("_cat", F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = named.groupBy(*by, "_cat", F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     mine = F.filter(F.col("_pairs"), lambda p: (p["first"] == F.col("_cat")) | (p["second"] == F.col("_cat")))
     counts = materialize(counts)
+    pair = [*by, "first", "second"]
     listed = counts.withColumn("_pairs", label_pairs(counts, "_cat"))
-    paired = listed.select("_cat", "_v", "_n", F.inline(mine)).groupBy("first", "second", "_v").agg(
+    paired = listed.select(*by, "_cat", "_v", "_n", F.inline(mine)).groupBy(*pair, "_v").agg(
         F.sum(F.when(F.col("_cat") == F.col("first"), F.col("_n")).otherwise(0)).alias("nx"),
         F.sum(F.when(F.col("_cat") == F.col("second"), F.col("_n")).otherwise(0)).alias("ny"),
     )
-    below = running(paired, ["first", "second"], "_v", {"_ycum": ("sum", F.col("ny"))})
+    below = running(paired, pair, "_v", {"_ycum": ("sum", F.col("ny"))})
     t = (F.col("nx") + F.col("ny")).cast("double")
-    stats = below.groupBy("first", "second").agg(
+    stats = below.groupBy(*pair).agg(
         F.sum("nx").alias("n1"),
         F.sum("ny").alias("n2"),
         F.sum(F.col("nx") * (F.col("_ycum") - F.col("ny") / 2)).alias("w"),
         F.sum(t * t * t - t).alias("_ties"),
     )
+    if by:  # a value of ``by`` need not have all categories
+        stats = stats.filter("n1 > 0 AND n2 > 0")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     sigma = F.sqrt(n1 * n2 / 12.0 * (n + 1.0 - safe_div(F.col("_ties"), n * (n - 1.0))))
@@ -126,7 +136,7 @@ def rank_sum(
     else:
         raise ValueError("alternative must be 'greater' or 'two-sided'")
     return stats.withColumn("z", z).select(
-        F.substring("first", 5, 1 << 20).alias("cat1"), F.substring("second", 5, 1 << 20).alias("cat2"), "n1", "n2", "w", "z", p.alias("pvalue")
+        *by, F.substring("first", 5, 1 << 20).alias("cat1"), F.substring("second", 5, 1 << 20).alias("cat2"), "n1", "n2", "w", "z", p.alias("pvalue")
     )
 
 
@@ -236,26 +246,34 @@ def de_contrast(df: DataFrame, first: str, second: str, group: str = "condition"
     return p_adjust(out, "pvalue", "BH", "padj")
 
 
-def token_enrichment(pairs: DataFrame, left: DataFrame, right: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Per token: is it commoner among the left than among the right entities of the pairs?
+def token_enrichment(pairs: DataFrame, left: DataFrame, right: DataFrame, tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per value of ``by`` and token: is it commoner among the left than among the right entities of the pairs?
 
-    One-sided exact test per listed token, Holm-adjusted.  Entities count once however
+    One-sided exact test per listed token, Holm-adjusted within ``by``.  Entities count once however
     many pairs they are in.
     """
-    pairs = materialize(pairs.select("a", "b"))
-    ent_a, ent_b = pairs.select(F.col("a").alias("entity")).distinct(), pairs.select(F.col("b").alias("entity")).distinct()
-    with_a = left.join(ent_a, "entity", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n_a"))
-    with_b = right.join(ent_b, "entity", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n_b"))
-    t_a = ent_a.agg(F.count(F.lit(1))).scalar()
-    t_b = ent_b.agg(F.count(F.lit(1))).scalar()
-    per = tokens.select("token").distinct().join(with_a, "token", "left").join(with_b, "token", "left")
-    per = per.na.fill({"n_a": 0, "n_b": 0}).withColumns({"t_a": t_a, "t_b": t_b})
+    by = list(by)
+    pairs = materialize(pairs.select(*by, "a", "b"))
+    sides = []
+    for side, catalog, n, t in (("a", left, "n_a", "t_a"), ("b", right, "n_b", "t_b")):
+        chosen = materialize(pairs.select(*by, F.col(side).alias("entity")).distinct())
+        holders = salted_join(catalog, chosen, "entity", key_counts=catalog.groupBy("entity").agg(F.count(F.lit(1)).alias("_n")))
+        sides.append((holders.groupBy(*by, "token").agg(F.count(F.lit(1)).alias(n)), chosen.groupBy(*by).agg(F.count(F.lit(1)).alias(t))))
+    (with_a, t_a), (with_b, t_b) = sides
+    listed = tokens.select("token").distinct()
+    if by:
+        # Every token is tested under every value of ``by``; these are design levels, so the array is short.
+        totals = null_safe(t_a, t_b, by).agg(F.collect_list(F.struct(*by, "t_a", "t_b"))).scalar()
+        per = listed.withColumn("_totals", totals).select("token", F.inline("_totals"))
+    else:
+        per = listed.withColumns({"t_a": t_a.scalar(), "t_b": t_b.scalar()})
+    per = null_safe(null_safe(per, with_a, [*by, "token"], "left"), with_b, [*by, "token"], "left").na.fill({"n_a": 0, "n_b": 0})
     a, b, ta, tb = F.col("n_a"), F.col("n_b"), F.col("t_a"), F.col("t_b")
     forced = (a + b == 0) | ((a == ta) & (b == tb))
     odds = safe_div(a.cast("double") * (tb - b), (b * (ta - a)).cast("double"))
     per = per.withColumn("odds", F.when(forced, F.lit(1.0)).otherwise(odds))
     per = exact_p(per, a, a + b, ta, ta + tb, "greater")
-    return p_adjust(per, "pvalue", "holm", "qvalue")
+    return p_adjust(per, "pvalue", "holm", "qvalue", by)
 
 
 def over_representation(
@@ -296,15 +314,20 @@ def over_representation(
     return p_adjust(out, "pvalue", "BH", "padj", by=by)
 
 
-def category_overlap_test(cluster_pairs: DataFrame, terms: DataFrame, max_q: float | None = 0.01) -> DataFrame:
-    """Do the term sets of two clusters overlap more than expected?  Two-sided, BH over pairs.
+def category_overlap_test(
+    cluster_pairs: DataFrame, terms: DataFrame, max_q: float | None = 0.01, by: Sequence[str] = ()
+) -> DataFrame:
+    """Do the term sets of two clusters overlap more than expected?  Two-sided, BH over the pairs of a value of ``by``.
 
-    ``cluster_pairs`` has set1 and set2; ``terms`` has cluster and term.
+    ``cluster_pairs`` has ``by``, set1 and set2; ``terms`` has cluster and term.  A pair that several
+    values of ``by`` list is counted once.
     """
     terms = terms.select("cluster", "term").distinct()
     sizes = terms.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     universe = terms.select("term").distinct().agg(F.count(F.lit(1))).scalar()
-    pairs = cluster_pairs.select("set1", "set2").filter("set1 <> set2")
+    listed = cluster_pairs.select(*by, "set1", "set2").filter("set1 <> set2")
+    listed = materialize(listed) if by else listed
+    pairs = listed.select("set1", "set2").distinct() if by else listed
     first = salted_join(pairs, terms.select(F.col("cluster").alias("set1"), "term"), "set1")
     both = salted_join(first, terms.select(F.col("cluster").alias("set2"), "term"), ["set2", "term"])
     shared = both.groupBy("set1", "set2").agg(F.count(F.lit(1)).alias("a"))
@@ -318,7 +341,10 @@ def category_overlap_test(cluster_pairs: DataFrame, terms: DataFrame, max_q: flo
         .withColumn("d", universe - F.col("a") - F.col("b") - F.col("c"))
         .drop("_n1", "_n2")
     )
-    out = p_adjust(fisher(table), "pvalue", "BH", "qvalue")
+    tested = fisher(table)
+    if by:
+        tested = listed.join(tested, ["set1", "set2"])
+    out = p_adjust(tested, "pvalue", "BH", "qvalue", by)
     return out if max_q is None else out.filter(F.col("qvalue") < max_q)
 
 

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 TIMES = list(range(7))
 CONDITIONS = ["A", "N", "R"]
+#: Pairs, profiles and clusters belong to a condition.
+BY = ["condition"]
 FIRST_YEAR = 1995
-EMBEDDING_LENGTH = 64
 
 
 def g_id(col: str) -> Column:
@@ -176,18 +177,18 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                "avg(l_quantity) AS value FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3,4"),
     "mean_g": (("expr_g",), "SELECT entity, condition, time, avg(value) AS value FROM expr_g GROUP BY 1,2,3"),
     "mean_l": (("expr_l",), "SELECT entity, condition, time, avg(value) AS value FROM expr_l GROUP BY 1,2,3"),
-    # z-scored series of condition A, entities complete over all seven times
-    "z_g": (("mean_g",), """SELECT entity, time, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z,
-              value, count(*) OVER w AS n FROM mean_g WHERE condition='A' WINDOW w AS (PARTITION BY entity)"""),
-    "z_l": (("mean_l",), """SELECT entity, time, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z,
-              value, count(*) OVER w AS n FROM mean_l WHERE condition='A' WINDOW w AS (PARTITION BY entity)"""),
-    "pairs": (("z_g", "z_l"), """SELECT l.entity AS l_id, g.entity AS g_id, sum(l.z*g.z)/7 AS value
-              FROM z_l l JOIN z_g g ON l.time=g.time WHERE l.n=7 AND g.n=7 AND l.z IS NOT NULL AND g.z IS NOT NULL
-              GROUP BY 1,2"""),
-    "d_g": (("mean_g",), """SELECT * FROM (SELECT entity, time, lead(value) OVER w - value AS d, count(*) OVER (PARTITION BY entity) AS n
-              FROM mean_g WHERE condition='A' WINDOW w AS (PARTITION BY entity ORDER BY time)) WHERE d IS NOT NULL AND n=7"""),
-    "d_l": (("mean_l",), """SELECT * FROM (SELECT entity, time, lead(value) OVER w - value AS d, count(*) OVER (PARTITION BY entity) AS n
-              FROM mean_l WHERE condition='A' WINDOW w AS (PARTITION BY entity ORDER BY time)) WHERE d IS NOT NULL AND n=7"""),
+    # z-scored series per condition; n tells whether they are complete over all seven times
+    "z_g": (("mean_g",), """SELECT entity, condition, time, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z,
+              value, count(*) OVER w AS n FROM mean_g WINDOW w AS (PARTITION BY entity, condition)"""),
+    "z_l": (("mean_l",), """SELECT entity, condition, time, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z,
+              value, count(*) OVER w AS n FROM mean_l WINDOW w AS (PARTITION BY entity, condition)"""),
+    "pairs": (("z_g", "z_l"), """SELECT l.condition, l.entity AS l_id, g.entity AS g_id, sum(l.z*g.z)/7 AS value
+              FROM z_l l JOIN z_g g ON l.time=g.time AND l.condition=g.condition WHERE l.n=7 AND g.n=7 AND l.z IS NOT NULL AND g.z IS NOT NULL
+              GROUP BY 1,2,3"""),
+    "d_g": (("mean_g",), """SELECT * FROM (SELECT entity, condition, time, lead(value) OVER w - value AS d, count(*) OVER (PARTITION BY entity, condition) AS n
+              FROM mean_g WINDOW w AS (PARTITION BY entity, condition ORDER BY time)) WHERE d IS NOT NULL AND n=7"""),
+    "d_l": (("mean_l",), """SELECT * FROM (SELECT entity, condition, time, lead(value) OVER w - value AS d, count(*) OVER (PARTITION BY entity, condition) AS n
+              FROM mean_l WINDOW w AS (PARTITION BY entity, condition ORDER BY time)) WHERE d IS NOT NULL AND n=7"""),
     "counts": ((), f"SELECT {G} AS entity, l_returnflag||'.'||CAST({YEAR} AS VARCHAR) AS sample, "
                "sum(l_quantity) AS count FROM lineitem GROUP BY 1,2"),
     "sites_g": ((), f"SELECT {G} AS entity, l_partkey AS token FROM lineitem"),
@@ -282,10 +283,10 @@ CTES.update({
         CAST(floor(s_acctbal) AS BIGINT)+1000 AS start, CAST(floor(s_acctbal) AS BIGINT)+1050 AS "end" FROM supplier"""),
     "place_l": ((), """SELECT 'L_'||p_brand AS id, 'locus' AS seq, CAST(regexp_extract(p_brand,'(\\d+)$',1) AS BIGINT)*400 AS start,
         CAST(regexp_extract(p_brand,'(\\d+)$',1) AS BIGINT)*400+count(*) AS "end" FROM part GROUP BY p_brand"""),
-    "prof_g": (("mean_g", "clu_g"), """SELECT cluster, time, avg(value) AS value FROM mean_g JOIN clu_g USING(entity)
-        WHERE condition='A' GROUP BY 1,2"""),
-    "prof_l": (("mean_l", "clu_l"), """SELECT cluster, time, avg(value) AS value FROM mean_l JOIN clu_l USING(entity)
-        WHERE condition='A' GROUP BY 1,2"""),
-    "cpairs": (("prof_g", "prof_l"), """SELECT l.cluster AS set1, g.cluster AS set2, corr(l.value,g.value) AS value
-        FROM prof_l l JOIN prof_g g ON l.time=g.time GROUP BY 1,2"""),
+    "prof_g": (("mean_g", "clu_g"), """SELECT condition, cluster, time, avg(value) AS value FROM mean_g JOIN clu_g USING(entity)
+        GROUP BY 1,2,3"""),
+    "prof_l": (("mean_l", "clu_l"), """SELECT condition, cluster, time, avg(value) AS value FROM mean_l JOIN clu_l USING(entity)
+        GROUP BY 1,2,3"""),
+    "cpairs": (("prof_g", "prof_l"), """SELECT l.condition, l.cluster AS set1, g.cluster AS set2, corr(l.value,g.value) AS value
+        FROM prof_l l JOIN prof_g g ON l.time=g.time AND l.condition=g.condition GROUP BY 1,2,3"""),
 })

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import expression as X
 from seriesloom.operators.statistics import de_contrast
-from seriesloom.plans.bindings import CONDITIONS, TIMES, YEAR, G, Tables, g_clusters, rounded, with_
+from seriesloom.plans.bindings import BY, CONDITIONS, TIMES, YEAR, G, Tables, g_clusters, rounded, with_
 from seriesloom.plans.registry import query
 from seriesloom.plans.sqltext import bh_sql, sf_sql
 from seriesloom.session import materialize
@@ -225,10 +225,10 @@ def variance_stabilise(t):
 
 @query(
     "module_mean_profile",
-    with_("prof_g", "SELECT cluster, time, round(value,6) AS value FROM prof_g"),
+    with_("prof_g", "SELECT condition, cluster, time, round(value,6) AS value FROM prof_g"),
 )
 def module_mean_profile(t):
-    return rounded(X.module_mean_profile(t.mean_g("A"), g_clusters(t)), "value")
+    return rounded(X.module_mean_profile(t.mean_g(), g_clusters(t), BY), "value")
 
 
 @query(

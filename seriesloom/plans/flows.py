@@ -15,7 +15,7 @@ from seriesloom.operators import statistics as T
 from seriesloom.operators.clustering import threshold_clusters
 from seriesloom.operators.models import module_pc1
 from seriesloom.operators.statistics import de_contrast
-from seriesloom.plans.bindings import CONDITIONS, TIMES, Tables, g_id, g_places, l_id, l_places, rounded, with_
+from seriesloom.plans.bindings import BY, CONDITIONS, TIMES, Tables, g_id, g_places, l_id, l_places, rounded, with_
 from seriesloom.plans.expression import DE_CTES, RATIO, de_table
 from seriesloom.plans.intervals import BIN, BRIDGE, NULLS, axis_lengths, hourly_sites, merged_sql, scored_sites, symbols
 from seriesloom.plans.modelling import CUT, MIN_SIZE, brand_distances
@@ -41,9 +41,9 @@ CANDIDATES = dict(
     st=STRONG,
     sh=SHARED_N,
     dense="SELECT 'L_'||p_brand AS a FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1 HAVING count(*)/sum(l_quantity)*1000>39",
-    pk="SELECT entity, max(value) AS peak FROM mean_g WHERE condition='A' AND time BETWEEN 1 AND 7 GROUP BY 1 HAVING max(value)>28",
-    cand=f"""SELECT s.a, s.b, coalesce(n.s_name, s.b) AS symbol, s.value, h.n_shared, k.peak FROM st s JOIN sh h ON h.a=s.a AND h.b=s.b
-        JOIN dense d ON d.a=s.a JOIN pk k ON k.entity=s.b LEFT JOIN (SELECT {GID} AS id, s_name FROM supplier WHERE s_acctbal>0) n ON n.id=s.b WHERE h.n_shared>=5""",
+    pk="SELECT condition, entity, max(value) AS peak FROM mean_g WHERE time BETWEEN 1 AND 7 GROUP BY 1,2 HAVING max(value)>28",
+    cand=f"""SELECT s.condition, s.a, s.b, coalesce(n.s_name, s.b) AS symbol, s.value, h.n_shared, k.peak FROM st s JOIN sh h ON h.a=s.a AND h.b=s.b
+        JOIN dense d ON d.a=s.a JOIN pk k ON k.entity=s.b AND k.condition=s.condition LEFT JOIN (SELECT {GID} AS id, s_name FROM supplier WHERE s_acctbal>0) n ON n.id=s.b WHERE h.n_shared>=5""",
 )
 
 
@@ -57,14 +57,15 @@ def candidates(t: Tables) -> DataFrame:
     pairs = materialize(strong_pairs(t).join(dense, "a", "left_semi"))
     sharing = shared_of(t, pairs).filter("n_shared >= 5").select("a", "b", "n_shared")
     kept = pairs.join(sharing, ["a", "b"])
-    peaks = X.peak_filter(t.mean_g("A"), 28.0).select(F.col("entity").alias("b"), "peak")
-    enriched = N.inner_enrich(kept, peaks, "b", ["a", "b"], [F.desc("peak")])
-    return N.symbol_lookup(enriched, rich_symbols(t), "b").select("a", "b", "symbol", "value", "n_shared", "peak")
+    # One peak per condition and partner, so the join alone leaves one row per pair.
+    peaks = X.peak_filter(t.mean_g(), 28.0).select(*BY, F.col("entity").alias("b"), "peak")
+    enriched = kept.join(peaks, [*BY, "b"])
+    return N.symbol_lookup(enriched, rich_symbols(t), "b").select(*BY, "a", "b", "symbol", "value", "n_shared", "peak")
 
 
 @query(
     "candidate_pairs",
-    with_("pairs mean_g cat_g cat_l", "SELECT a, b, symbol, round(value,6) AS value, n_shared, round(peak,6) AS peak FROM cand", **CANDIDATES),
+    with_("pairs mean_g cat_g cat_l", "SELECT condition, a, b, symbol, round(value,6) AS value, n_shared, round(peak,6) AS peak FROM cand", **CANDIDATES),
 )
 def candidate_pairs(t):
     return rounded(candidates(t), "value", "peak")
@@ -74,41 +75,42 @@ def candidate_pairs(t):
     "annotate_candidates",
     with_(
         "pairs mean_g cat_g cat_l place_l",
-        "SELECT c.b AS gene_id, c.symbol, p.seq, p.start, p.\"end\", c.a AS lnc_id, round(c.value,6) AS value, c.n_shared FROM cand c JOIN place_l p ON p.id=c.a ORDER BY gene_id, seq, lnc_id",
+        "SELECT c.condition, c.b AS gene_id, c.symbol, p.seq, p.start, p.\"end\", c.a AS lnc_id, round(c.value,6) AS value, c.n_shared FROM cand c JOIN place_l p ON p.id=c.a ORDER BY condition, gene_id, seq, lnc_id",
         **CANDIDATES,
     ),
 )
 def annotate_candidates(t):
     places = V.extents(l_places(t), "id", ["seq"]).withColumnRenamed("id", "a")
     out = candidates(t).join(places, "a").select(
-        F.col("b").alias("gene_id"), "symbol", "seq", "start", "end", F.col("a").alias("lnc_id"), "value", "n_shared"
+        *BY, F.col("b").alias("gene_id"), "symbol", "seq", "start", "end", F.col("a").alias("lnc_id"), "value", "n_shared"
     )
-    return rounded(out, "value").orderBy("gene_id", "seq", "lnc_id")
+    return rounded(out, "value").orderBy(*BY, "gene_id", "seq", "lnc_id")
 
 
 @query(
     "upregulated_candidates",
     with_(
         "pairs mean_g cat_g cat_l",
-        """SELECT c.a, c.b, m.time, round(m.value,6) AS expr FROM cand c JOIN (SELECT entity FROM r WHERE condition='A' AND time BETWEEN 1 AND 6 GROUP BY 1 HAVING avg(ratio)>=1) u
-           ON u.entity=c.b JOIN mean_g m ON m.entity=c.b AND m.condition='A'""",
+        """SELECT c.condition, c.a, c.b, m.time, round(m.value,6) AS expr FROM cand c
+           JOIN (SELECT condition, entity FROM r WHERE time BETWEEN 1 AND 6 GROUP BY 1,2 HAVING avg(ratio)>=1) u ON u.entity=c.b AND u.condition=c.condition
+           JOIN mean_g m ON m.entity=c.b AND m.condition=c.condition""",
         r=RATIO,
         **CANDIDATES,
     ),
 )
 def upregulated_candidates(t):
-    means = t.mean_g("A")
-    rising = X.net_change_filter(means, "up").select(F.col("entity").alias("b"))
-    expr = means.select(F.col("entity").alias("b"), "time", F.col("value").alias("expr"))
-    out = candidates(t).join(rising, "b", "left_semi").join(expr, "b")
-    return rounded(out.select("a", "b", "time", "expr"), "expr")
+    means = t.mean_g()
+    rising = X.net_change_filter(means, "up").select(*BY, F.col("entity").alias("b"))
+    expr = means.select(*BY, F.col("entity").alias("b"), "time", F.col("value").alias("expr"))
+    out = candidates(t).join(rising, [*BY, "b"], "left_semi").join(expr, [*BY, "b"])
+    return rounded(out.select(*BY, "a", "b", "time", "expr"), "expr")
 
 
 @query(
     "annotate_pair_list",
     with_(
         "pairs place_l",
-        f"""SELECT s.g_id AS gene_id, coalesce(n.s_name, s.g_id) AS gene_symbol, p.seq AS contig, p.start, p."end", s.l_id AS lnc_id, round(s.value,6) AS correlation
+        f"""SELECT s.condition, s.g_id AS gene_id, coalesce(n.s_name, s.g_id) AS gene_symbol, p.seq AS contig, p.start, p."end", s.l_id AS lnc_id, round(s.value,6) AS correlation
             FROM pairs s LEFT JOIN (SELECT {GID} AS id, s_name FROM supplier WHERE s_acctbal>0) n ON n.id=s.g_id LEFT JOIN place_l p ON p.id=s.l_id WHERE s.value<=-0.6""",
     ),
 )
@@ -117,7 +119,7 @@ def annotate_pair_list(t):
     named = N.symbol_lookup(oriented, rich_symbols(t), "gene_id", "gene_symbol")
     places = l_places(t).select(F.col("id").alias("lnc_id"), F.col("seq").alias("contig"), "start", "end")
     out = named.join(places, "lnc_id", "left").withColumnRenamed("value", "correlation")
-    return rounded(out.select("gene_id", "gene_symbol", "contig", "start", "end", "lnc_id", "correlation"), "correlation")
+    return rounded(out.select(*BY, "gene_id", "gene_symbol", "contig", "start", "end", "lnc_id", "correlation"), "correlation")
 
 
 # Pair sets: correlated, proximal, random and anticorrelated partners of the brands.
@@ -130,33 +132,34 @@ PAIR_SETS = dict(
     best=MAX_SQL,
     worst=MAX_SQL.replace("DESC", "ASC"),
     near=NEAREST_SQL,
-    ps="""SELECT 'correlated' AS cat, l_id AS a, g_id AS b FROM best UNION ALL SELECT 'anticorrelated', l_id, g_id FROM worst
-        UNION ALL SELECT 'proximal', id, closest_id FROM near UNION ALL SELECT 'random', ra.a, rb.b FROM ra JOIN rb USING (rn)""",
+    ps="""SELECT 'correlated' AS cat, condition, l_id AS a, g_id AS b FROM best UNION ALL SELECT 'anticorrelated', condition, l_id, g_id FROM worst
+        UNION ALL SELECT 'proximal', condition, id, closest_id FROM near, (SELECT DISTINCT condition FROM mean_l)
+        UNION ALL SELECT 'random', condition, a, b FROM rp""",
 )
 SET_DEPS = "pairs place_l place_g mean_l mean_g class_l"
 
 
 def pair_sets(t: Tables) -> DataFrame:
-    scored = materialize(brand_supplier_pairs(t).drop("lag"))
-    near = V.nearest_join(l_places(t), g_places(t)).select(F.col("id").alias("a"), F.col("closest_id").alias("b"))
-    return materialize(
-        S.union_tagged(
-            {
-                "correlated": P.best_partner(scored, "a", "b").select("a", "b"),
-                "anticorrelated": P.best_partner(scored, "a", "b", "min").select("a", "b"),
-                "proximal": near,
-                "random": random_pairs(t),
-            }
-        )
+    """Four sets of pairs per condition; nearest pairs count for all conditions."""
+    # Both extremes come from one aggregation of the scores, which are never written.
+    v = F.round("value", 9)
+    extreme = lambda rank: F.min(F.struct(rank.alias("rank"), "b"))["b"]
+    ends = brand_supplier_pairs(t).groupBy(*BY, "a").agg(extreme(-v).alias("correlated"), extreme(v).alias("anticorrelated"))
+    named = F.explode(F.create_map(F.lit("correlated"), F.col("correlated"), F.lit("anticorrelated"), F.col("anticorrelated"))).alias("cat", "b")
+    near = V.nearest_join(l_places(t), g_places(t)).select(
+        F.explode(F.array(*map(F.lit, CONDITIONS))).alias("condition"), F.col("id").alias("a"), F.col("closest_id").alias("b")
     )
+    tagged = S.union_tagged({"proximal": near, "random": random_pairs(t)})
+    return materialize(ends.select(*BY, "a", named).unionByName(tagged))
 
 
-def compared(df: DataFrame) -> DataFrame:
+def compared(df: DataFrame, by: list[str] = BY) -> DataFrame:
     """Rank sums over the four sets; the correlated pairs lead, then random, then the rest by name."""
-    return rounded(T.rank_sum(df, "cat", "value", "greater", ["correlated", "random"]), "z", "pvalue")
+    return rounded(T.rank_sum(df, "cat", "value", "greater", ["correlated", "random"], by), "z", "pvalue")
 
 
 COMPARED = f"SELECT cat1, cat2, n1, n2, w::DOUBLE AS w, round(z,6) AS z, round({sf_sql('z')},6) AS pvalue FROM st1"
+COMPARED_EACH = COMPARED.replace("SELECT cat1", "SELECT condition, cat1", 1)
 GREATER_Z = dict(st1="SELECT *, (w-n1*n2/2.0-0.5)/nullif(sg,0) AS z FROM st0")
 
 
@@ -164,10 +167,10 @@ GREATER_Z = dict(st1="SELECT *, (w-n1*n2/2.0-0.5)/nullif(sg,0) AS z FROM st0")
     "density_comparison",
     with_(
         SET_DEPS,
-        COMPARED,
+        COMPARED_EACH,
         **PAIR_SETS,
         de="SELECT 'G'||lpad(CAST(l_suppkey AS VARCHAR),7,'0') AS b, round(count(*)/sum(l_quantity)*1000,9) AS value FROM lineitem GROUP BY 1",
-        **rank_sum_ctes("SELECT DISTINCT cat, b, value FROM ps JOIN de USING (b)", FOUR_PAIRS),
+        **rank_sum_ctes("SELECT DISTINCT condition, cat, b, value FROM ps JOIN de USING (b)", FOUR_PAIRS, "condition"),
         **GREATER_Z,
     ),
 )
@@ -176,17 +179,17 @@ def density_comparison(t):
     density = t.lineitem.groupBy(g_id("l_suppkey").alias("b")).agg(
         F.round(X.derive_density(F.count(F.lit(1)), F.sum("l_quantity")), 9).alias("value")
     )
-    return compared(pair_sets(t).select("cat", "b").distinct().join(density, "b"))
+    return compared(pair_sets(t).select(*BY, "cat", "b").distinct().join(density, "b"))
 
 
 @query(
     "shared_comparison",
     with_(
         SET_DEPS + " cat_g cat_l",
-        COMPARED,
+        COMPARED_EACH,
         **PAIR_SETS,
-        sn="""SELECT p.cat, p.a, p.b, count(y.token) AS value FROM ps p LEFT JOIN cat_g x ON x.entity=p.b LEFT JOIN cat_l y ON y.entity=p.a AND y.token=x.token GROUP BY 1,2,3""",
-        **rank_sum_ctes("SELECT cat, value FROM sn", FOUR_PAIRS),
+        sn="""SELECT p.condition, p.cat, p.a, p.b, count(y.token) AS value FROM ps p LEFT JOIN cat_g x ON x.entity=p.b LEFT JOIN cat_l y ON y.entity=p.a AND y.token=x.token GROUP BY 1,2,3,4""",
+        **rank_sum_ctes("SELECT condition, cat, value FROM sn", FOUR_PAIRS, "condition"),
         **GREATER_Z,
     ),
 )
@@ -216,7 +219,7 @@ def conservation_comparison(t):
     cats = t.table("events").groupBy(F.col("user_id").alias("seq")).agg(
         F.when(F.max("value") > 400, "correlated").otherwise("random").alias("cat")
     )
-    return compared(per.join(cats, "seq"))
+    return compared(per.join(cats, "seq"), [])
 
 
 @query(
@@ -241,13 +244,13 @@ def core_entities(t):
 
 @query("module_partner_report")
 def module_partner_report(t):
-    """Brands into modules, one profile per module, and its best correlated supplier."""
-    means = materialize(t.mean_l("A"))
-    nodes = means.select("entity").distinct()
-    clusters = materialize(threshold_clusters(brand_distances(t), nodes, CUT, MIN_SIZE))
-    profiles = module_pc1(means, clusters, TIMES).select(F.col("cluster").alias("entity"), "time", F.col("score").alias("value"))
-    scored = P.pair_corr(profiles, t.mean_g("A"), TIMES).drop("lag")
-    return rounded(P.best_partner(scored, "a", "b", digits=6), "value", digits=5)
+    """Per condition brands into modules, one profile per module, and its best correlated supplier."""
+    means = materialize(t.mean_l())
+    nodes = means.select(*BY, "entity").distinct()
+    clusters = materialize(threshold_clusters(brand_distances(t), nodes, CUT, MIN_SIZE, BY))
+    profiles = module_pc1(means, clusters, TIMES, BY).select(*BY, F.col("cluster").alias("entity"), "time", F.col("score").alias("value"))
+    scored = P.pair_corr(profiles, t.mean_g(), TIMES, by=BY).drop("lag")
+    return rounded(P.best_partner(scored, [*BY, "a"], "b", digits=6), "value", digits=5)
 
 
 PEAKS = dict(
@@ -368,24 +371,29 @@ DE_SITES = dict(
     "de_site_report",
     with_(
         "pairs cat_g cat_l expr_g",
-        f"""SELECT cat1, cat2, n1, n2, round(z,6) AS z, round(least(1.0::DOUBLE,2*{sf_sql('az')}),6) AS pvalue, t1.n AS tokens1, t2.n AS tokens2 FROM st2
-            LEFT JOIN tn t1 ON t1.direction=cat1 LEFT JOIN tn t2 ON t2.direction=cat2""",
+        f"""SELECT k.condition, cat1, cat2, n1, n2, round(z,6) AS z, round(least(1.0::DOUBLE,2*{sf_sql('az')}),6) AS pvalue, t1.n AS tokens1, t2.n AS tokens2
+            FROM st2 CROSS JOIN (SELECT DISTINCT condition FROM tn) k LEFT JOIN tn t1 ON t1.direction=cat1 AND t1.condition=k.condition
+            LEFT JOIN tn t2 ON t2.direction=cat2 AND t2.condition=k.condition""",
         **DE_CTES,
         **DE_SITES,
-        tn="SELECT direction, count(*) AS n FROM tk WHERE token<>'' GROUP BY 1",
+        tn="SELECT condition, direction, count(*) AS n FROM tk WHERE token<>'' GROUP BY 1,2",
         **rank_sum_ctes("SELECT cat, value FROM dn", "SELECT * FROM (VALUES ('Down','NoChange'),('Down','Up'),('NoChange','Up')) v(c1,c2)"),
         st1="SELECT *, (w-n1*n2/2.0-sign(w-n1*n2/2.0)*0.5)/nullif(sg,0) AS z FROM st0",
         st2="SELECT *, abs(z) AS az FROM st1",
     ),
 )
 def de_site_report(t):
-    """Site density of rising, falling and unchanged suppliers compared, with their shared tokens."""
+    """Site density of rising, falling and unchanged suppliers compared, with their shared tokens under each condition."""
     directions = X.classify_direction(de_table(t)).select("entity", "direction")
     density = t.lineitem.groupBy(g_id("l_suppkey").alias("entity")).agg(
         F.round(X.derive_density(F.count(F.lit(1)), F.sum("l_quantity")), 9).alias("value")
     )
     tested = T.rank_sum(directions.join(density, "entity"), "direction", "value", "two-sided")
-    tokens = materialize(tokens_by_direction(t).groupBy("direction").agg(F.count(F.lit(1)).alias("n")))
-    out = tested.join(tokens.select(F.col("direction").alias("cat1"), F.col("n").alias("tokens1")), "cat1", "left")
-    out = out.join(tokens.select(F.col("direction").alias("cat2"), F.col("n").alias("tokens2")), "cat2", "left")
-    return rounded(out.select("cat1", "cat2", "n1", "n2", "z", "pvalue", "tokens1", "tokens2"), "z", "pvalue")
+    tokens = materialize(tokens_by_direction(t).groupBy(*BY, "direction").agg(F.count(F.lit(1)).alias("n")))
+    # Conditions are design levels; every test is shown beside the tokens of each.
+    known = tokens.agg(F.array_sort(F.collect_set("condition"))).scalar()
+    out = tested.withColumn("_known", known).select(F.explode("_known").alias("condition"), "cat1", "cat2", "n1", "n2", "z", "pvalue")
+    for k in ("1", "2"):
+        side = tokens.select(*BY, F.col("direction").alias(f"cat{k}"), F.col("n").alias(f"tokens{k}"))
+        out = out.join(side, [*BY, f"cat{k}"], "left")
+    return rounded(out.select(*BY, "cat1", "cat2", "n1", "n2", "z", "pvalue", "tokens1", "tokens2"), "z", "pvalue")

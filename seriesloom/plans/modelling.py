@@ -8,7 +8,7 @@ from seriesloom.operators import clustering as C
 from seriesloom.operators import models as M
 from seriesloom.operators.pairs import distance_from_corr, pair_corr
 from seriesloom.operators.scan import exact_quantiles
-from seriesloom.plans.bindings import CONDITIONS, TIMES, Tables, g_clusters, l_classes, l_id, rounded, with_
+from seriesloom.plans.bindings import BY, CONDITIONS, TIMES, Tables, g_clusters, l_classes, l_id, rounded, with_
 from seriesloom.plans.expression import normalised
 from seriesloom.plans.pairs import supplier_profiles
 from seriesloom.plans.registry import query
@@ -90,22 +90,23 @@ def concordance_metrics(t):
 CUT, MIN_SIZE = 0.25, 3
 THRESHOLD_SQL = with_(
     "z_l",
-    """SELECT entity, CASE WHEN count(*) OVER (PARTITION BY label)>=3 THEN label ELSE '0' END AS cluster FROM lab""",
-    ed="""SELECT x.entity AS a, y.entity AS b FROM z_l x JOIN z_l y ON x.time=y.time WHERE x.n=7 AND y.n=7 GROUP BY 1,2 HAVING abs(sum(x.z*y.z)/7-1)<=0.25""",
-    re="SELECT a, b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b=ed.a",
-    lab="SELECT a AS entity, min(b) AS label FROM re GROUP BY 1",
+    """SELECT condition, entity, CASE WHEN count(*) OVER (PARTITION BY condition, label)>=3 THEN label ELSE '0' END AS cluster FROM lab""",
+    ed="""SELECT x.condition, x.entity AS a, y.entity AS b FROM z_l x JOIN z_l y ON x.time=y.time AND x.condition=y.condition WHERE x.n=7 AND y.n=7
+          GROUP BY 1,2,3 HAVING abs(sum(x.z*y.z)/7-1)<=0.25""",
+    re="SELECT condition, a, b FROM ed UNION SELECT re.condition, re.a, ed.b FROM re JOIN ed ON re.b=ed.a AND re.condition=ed.condition",
+    lab="SELECT condition, a AS entity, min(b) AS label FROM re GROUP BY 1,2",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def brand_distances(t: Tables):
     """Distances up to the cut; farther pairs never leave the join."""
-    return distance_from_corr(pair_corr(t.mean_l("A"), None, TIMES, min_value=1.0 - CUT))
+    return distance_from_corr(pair_corr(t.mean_l(), None, TIMES, min_value=1.0 - CUT, by=BY))
 
 
 @query("threshold_clusters", THRESHOLD_SQL)
 def threshold_clusters(t):
-    nodes = t.mean_l("A").select("entity").distinct()
-    return C.threshold_clusters(brand_distances(t), nodes, CUT, MIN_SIZE)
+    nodes = t.mean_l().select(*BY, "entity").distinct()
+    return C.threshold_clusters(brand_distances(t), nodes, CUT, MIN_SIZE, BY)
 
 
 @query(
@@ -125,17 +126,18 @@ def cluster_size_median(t):
     "best_expr_class_profile",
     with_(
         "z_l prof_g class_l",
-        """SELECT class, module, sign, count(DISTINCT entity) AS n FROM (SELECT l.entity, c.class, z.cluster AS module, CASE WHEN sum(l.z*z.z)/7>0 THEN 'positive' ELSE 'negative' END AS sign
-           FROM z_l l JOIN z ON l.time=z.time JOIN class_l c ON c.entity=l.entity WHERE l.n=7 GROUP BY 1,2,3 HAVING abs(sum(l.z*z.z)/7)>=0.5) GROUP BY 1,2,3""",
-        z="SELECT cluster, time, (value-avg(value) OVER w)/nullif(stddev_pop(value) OVER w,0) AS z FROM prof_g WINDOW w AS (PARTITION BY cluster)",
+        """SELECT condition, class, module, sign, count(DISTINCT entity) AS n FROM (SELECT l.condition, l.entity, c.class, z.cluster AS module,
+           CASE WHEN sum(l.z*z.z)/7>0 THEN 'positive' ELSE 'negative' END AS sign FROM z_l l JOIN z ON l.time=z.time AND l.condition=z.condition
+           JOIN class_l c ON c.entity=l.entity WHERE l.n=7 GROUP BY 1,2,3,4 HAVING abs(sum(l.z*z.z)/7)>=0.5) GROUP BY 1,2,3,4""",
+        z="SELECT condition, cluster, time, (value-avg(value) OVER w)/nullif(stddev_pop(value) OVER w,0) AS z FROM prof_g WINDOW w AS (PARTITION BY condition, cluster)",
     ),
 )
 def best_expr_class_profile(t):
-    """Distinct brands per class with a strong positive or negative module correlation."""
-    scored = pair_corr(t.mean_l("A"), supplier_profiles(t), TIMES, min_abs=0.5)
+    """Distinct brands per condition and class with a strong positive or negative module correlation."""
+    scored = pair_corr(t.mean_l(), supplier_profiles(t), TIMES, min_abs=0.5, by=BY)
     signed = scored.withColumn("sign", F.when(F.col("value") > 0, "positive").otherwise("negative"))
     named = signed.join(l_classes(t).select(F.col("entity").alias("a"), "class"), "a")
-    return named.groupBy("class", F.col("b").alias("module"), "sign").agg(F.count_distinct("a").alias("n"))
+    return named.groupBy(*BY, "class", F.col("b").alias("module"), "sign").agg(F.count_distinct("a").alias("n"))
 
 
 DEGREE2 = with_(
@@ -196,7 +198,7 @@ def hotelling_f(t):
 
 @query("module_pc1")
 def module_pc1(t):
-    return rounded(M.module_pc1(t.mean_g("A"), g_clusters(t), TIMES), "score", "var_explained", digits=5)
+    return rounded(M.module_pc1(t.mean_g(), g_clusters(t), TIMES, BY), "score", "var_explained", digits=5)
 
 
 @query("sample_pca")

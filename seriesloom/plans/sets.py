@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import sets as S
 from seriesloom.operators.expression import classify_direction
-from seriesloom.plans.bindings import CONDITIONS, Tables, g_id, l_id, rounded, with_
+from seriesloom.plans.bindings import BY, CONDITIONS, Tables, g_id, l_id, rounded, with_
 from seriesloom.plans.expression import DE_CTES, de_table
 from seriesloom.plans.registry import query
-from seriesloom.plans.tables import SHARED_N, STRONG, strong_pairs
+from seriesloom.plans.tables import SHARED_N, STRONG, strong_pairs, strong_shared
+from seriesloom.session import materialize
 
 PARTS_BY_FLAG = "SELECT DISTINCT l_returnflag AS source, l_orderkey AS id FROM lineitem"
 
@@ -125,23 +126,22 @@ def intersect_de_sets(t):
     "intersect_three_criteria",
     with_(
         "pairs cat_g cat_l",
-        """SELECT DISTINCT s.a AS entity FROM st s JOIN sh h ON h.a=s.a AND h.b=s.b WHERE h.n_shared>=5 AND s.value>=0.75
+        """SELECT DISTINCT s.condition, s.a AS entity FROM st s JOIN sh h ON h.a=s.a AND h.b=s.b WHERE h.n_shared>=5 AND s.value>=0.75
            AND s.a IN (SELECT 'L_'||p_brand FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1 HAVING count(*)/sum(l_quantity)*1000>39)""",
         st=STRONG,
         sh=SHARED_N,
     ),
 )
 def intersect_three_criteria(t):
-    """Brands that are dense, share tokens with a partner and correlate highly with it."""
-    listed = strong_pairs(t)
+    """Per condition the brands that are dense, share tokens with a partner and correlate highly with it."""
+    listed, shared = strong_shared(t)
     dense = (
         t.lines_with_brand.groupBy(l_id("p_brand").alias("a"))
         .agg((F.count(F.lit(1)) / F.sum("l_quantity") * 1000).alias("density"))
         .filter("density > 39")
     )
-    shared = S.shared_tokens(listed, S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g)).filter("n_shared >= 5")
-    kept = listed.filter("value >= 0.75").join(shared, ["a", "b"], "left_semi").join(dense, "a", "left_semi")
-    return kept.select(F.col("a").alias("entity")).distinct()
+    kept = listed.filter("value >= 0.75").join(shared.filter("n_shared >= 5"), ["a", "b"], "left_semi").join(dense, "a", "left_semi")
+    return kept.select(*BY, F.col("a").alias("entity")).distinct()
 
 
 VENN = f"""SELECT mask, count(*) AS n FROM (SELECT id, CAST(bit_or(CASE source WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END) AS INTEGER) AS mask
@@ -172,9 +172,9 @@ def token_counts(t):
     return S.token_counts(t.site_rows_l)
 
 
-SHARED_FULL = """SELECT s.a, s.b, coalesce(h.n,0) AS n_shared, coalesce(za.n,0)-coalesce(h.n,0) AS n_unshared, coalesce(coalesce(h.n,0)/nullif(za.n,0),0) AS prop_a,
+SHARED_FULL = """SELECT s.condition, s.a, s.b, coalesce(h.n,0) AS n_shared, coalesce(za.n,0)-coalesce(h.n,0) AS n_unshared, coalesce(coalesce(h.n,0)/nullif(za.n,0),0) AS prop_a,
    coalesce(coalesce(h.n,0)/nullif(zb.n,0),0) AS prop_b, coalesce(h.tokens,'') AS tokens FROM st s
-   LEFT JOIN (SELECT s.a, s.b, count(*) AS n, string_agg(CAST(x.token AS VARCHAR), ',' ORDER BY x.token) AS tokens FROM st s JOIN cat_l x ON x.entity=s.a
+   LEFT JOIN (SELECT s.a, s.b, count(*) AS n, string_agg(CAST(x.token AS VARCHAR), ',' ORDER BY x.token) AS tokens FROM (SELECT DISTINCT a, b FROM st) s JOIN cat_l x ON x.entity=s.a
       JOIN cat_g y ON y.entity=s.b AND y.token=x.token GROUP BY 1,2) h ON h.a=s.a AND h.b=s.b
    LEFT JOIN (SELECT entity, count(*) AS n FROM cat_l GROUP BY 1) za ON za.entity=s.a
    LEFT JOIN (SELECT entity, count(*) AS n FROM cat_g GROUP BY 1) zb ON zb.entity=s.b"""
@@ -184,56 +184,62 @@ SHARED_FULL = """SELECT s.a, s.b, coalesce(h.n,0) AS n_shared, coalesce(za.n,0)-
     "shared_tokens",
     with_(
         "pairs cat_g cat_l",
-        "SELECT a, b, n_shared, n_unshared, round(prop_a,6) AS prop_a, round(prop_b,6) AS prop_b, tokens FROM sf",
+        "SELECT condition, a, b, n_shared, n_unshared, round(prop_a,6) AS prop_a, round(prop_b,6) AS prop_b, tokens FROM sf",
         st=STRONG,
         sf=SHARED_FULL,
     ),
 )
 def shared_tokens(t):
-    out = S.shared_tokens(strong_pairs(t), S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g))
-    return rounded(out, "prop_a", "prop_b")
+    listed, shared = strong_shared(t)
+    return rounded(listed.select(*BY, "a", "b").join(shared, ["a", "b"]), "prop_a", "prop_b")
 
 
 @query(
     "shared_token_counts",
     with_(
         "pairs sites_g sites_l",
-        """SELECT s.a, s.b, x.token, x.n AS sites_a, y.n AS sites_b FROM st s JOIN (SELECT entity, token, count(*) AS n FROM sites_l GROUP BY 1,2) x ON x.entity=s.a
+        """SELECT s.condition, s.a, s.b, x.token, x.n AS sites_a, y.n AS sites_b FROM st s JOIN (SELECT entity, token, count(*) AS n FROM sites_l GROUP BY 1,2) x ON x.entity=s.a
            JOIN (SELECT entity, token, count(*) AS n FROM sites_g GROUP BY 1,2) y ON y.entity=s.b AND y.token=x.token""",
         st=STRONG,
     ),
 )
 def shared_token_counts(t):
-    return S.shared_token_counts(strong_pairs(t), t.site_rows_l, t.site_rows_g)
+    listed = materialize(strong_pairs(t))
+    counted = S.shared_token_counts(listed, t.site_rows_l, t.site_rows_g)
+    return listed.select(*BY, "a", "b").join(counted, ["a", "b"])
 
 
 BY_DIRECTION = dict(
     st=STRONG,
     sf=SHARED_FULL,
     di="SELECT entity, CASE WHEN padj<=0.05 AND log2fc>0 THEN 'Up' WHEN padj<=0.05 AND log2fc<0 THEN 'Down' ELSE 'NoChange' END AS direction FROM de",
-    tk="SELECT DISTINCT direction, unnest(string_split(tokens, ',')) AS token FROM sf JOIN di ON di.entity=sf.b WHERE n_shared>=7",
+    tk="SELECT DISTINCT condition, direction, unnest(string_split(tokens, ',')) AS token FROM sf JOIN di ON di.entity=sf.b WHERE n_shared>=7",
 )
 
 
 def tokens_by_direction(t: Tables):
-    shared = S.shared_tokens(strong_pairs(t), S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g))
+    """Distinct tokens per condition of the pairs and direction of the partner."""
+    listed, shared = strong_shared(t)
     directions = classify_direction(de_table(t)).select(F.col("entity").alias("b"), "direction")
-    return S.distinct_tokens_by_group(shared.filter("n_shared >= 7").join(directions, "b"), "direction", "tokens")
+    rows = listed.select(*BY, "a", "b").join(shared.filter("n_shared >= 7"), ["a", "b"]).join(directions, "b")
+    return S.distinct_tokens_by_group(rows, [*BY, "direction"], "tokens")
 
 
 @query(
     "distinct_tokens_by_group",
     with_(
         "pairs cat_g cat_l expr_g",
-        """SELECT direction, count(*) AS n_tokens FROM tk WHERE token<>'' GROUP BY 1 UNION ALL
-           SELECT 'both', count(*) FROM (SELECT token FROM tk WHERE direction='Up' AND token<>'' INTERSECT SELECT token FROM tk WHERE direction='Down')""",
+        """SELECT condition, direction, count(*) AS n_tokens FROM tk WHERE token<>'' GROUP BY 1,2 UNION ALL
+           SELECT condition, 'both', count(*) FROM (SELECT condition, token FROM tk WHERE direction='Up' AND token<>'' INTERSECT
+              SELECT condition, token FROM tk WHERE direction='Down') GROUP BY 1""",
         **DE_CTES,
         **BY_DIRECTION,
     ),
 )
 def distinct_tokens_by_group(t):
-    """Distinct shared tokens per direction of the partner, and those of Up and Down alike."""
-    tokens = tokens_by_direction(t)
-    per = tokens.groupBy("direction").agg(F.count(F.lit(1)).alias("n_tokens"))
-    common = S.intersect_n(tokens.filter("direction IN ('Up', 'Down')"), 2, "direction", "token")
-    return per.unionByName(common.agg(F.count(F.lit(1)).alias("n_tokens")).select(F.lit("both").alias("direction"), "n_tokens"))
+    """Distinct shared tokens per condition and direction of the partner, and those of Up and Down alike."""
+    tokens = materialize(tokens_by_direction(t))
+    per = tokens.groupBy(*BY, "direction").agg(F.count(F.lit(1)).alias("n_tokens"))
+    common = S.intersect_n(tokens.filter("direction IN ('Up', 'Down')"), 2, "direction", "token", extra=BY)
+    both = common.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_tokens"))
+    return per.unionByName(both.select(*BY, F.lit("both").alias("direction"), "n_tokens"))

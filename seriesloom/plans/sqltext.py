@@ -34,10 +34,11 @@ def bh_sql(src: str, p: str = "pvalue", out: str = "padj", by: str = "") -> str:
     )
 
 
-def holm_sql(src: str, p: str = "pvalue", out: str = "padj") -> str:
+def holm_sql(src: str, p: str = "pvalue", out: str = "padj", by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
     return (
-        f"SELECT * EXCLUDE (raw_), least(1.0::DOUBLE, max(raw_) OVER (ORDER BY {p})) AS {out} FROM "
-        f"(SELECT *, {p}*(count(*) OVER ()-rank() OVER (ORDER BY {p})+1) AS raw_ FROM {src})"
+        f"SELECT * EXCLUDE (raw_), least(1.0::DOUBLE, max(raw_) OVER ({part}ORDER BY {p})) AS {out} FROM "
+        f"(SELECT *, {p}*(count(*) OVER ({part})-rank() OVER ({part}ORDER BY {p})+1) AS raw_ FROM {src})"
     )
 
 
@@ -77,7 +78,7 @@ def signif_sql(x: str, digits: int) -> str:
     return f"(CASE WHEN {x}=0 THEN 0.0 ELSE round({x}*{scale})/{scale} END)"
 
 
-def dtw_ctes(src: str, n: int) -> dict[str, str]:
+def dtw_ctes(src: str, n: int, keys: str = "a, b") -> dict[str, str]:
     """Warping distance of the list columns ``x`` and ``y`` of ``src``: one CTE per row of the cost table.
 
     ``dw`` holds the result as ``d``.
@@ -93,10 +94,10 @@ def dtw_ctes(src: str, n: int) -> dict[str, str]:
             if i > 1 and j > 1:
                 steps.append(f"p{j - 1}+2*{c}")
             cells.append(f"{f'least({chr(44).join(steps)})' if steps else c} AS q{j}")
-        out[f"w{i}"] = f"SELECT a, b, x, y, {', '.join(cells)} FROM {before}"
-        out[f"v{i}"] = f"SELECT a, b, x, y, {', '.join(f'q{j} AS p{j}' for j in range(1, n + 1))} FROM w{i}"
+        out[f"w{i}"] = f"SELECT {keys}, x, y, {', '.join(cells)} FROM {before}"
+        out[f"v{i}"] = f"SELECT {keys}, x, y, {', '.join(f'q{j} AS p{j}' for j in range(1, n + 1))} FROM w{i}"
         before = f"v{i}"
-    out["dw"] = f"SELECT a, b, p{n} AS d FROM {before}"
+    out["dw"] = f"SELECT {keys}, p{n} AS d FROM {before}"
     return out
 
 

@@ -9,7 +9,7 @@ from seriesloom.operators import sets as S
 from seriesloom.operators import statistics as T
 from seriesloom.operators.pairs import filter_pairs, pair_corr
 from seriesloom.operators.scan import exact_quantiles
-from seriesloom.plans.bindings import TIMES, Tables, g_clusters, rounded, with_
+from seriesloom.plans.bindings import BY, TIMES, Tables, g_clusters, rounded, with_
 from seriesloom.plans.pairs import brand_profiles, supplier_profiles
 from seriesloom.plans.registry import query
 from seriesloom.plans.sets import TAGGED, tagged_in_one_pass
@@ -17,15 +17,18 @@ from seriesloom.plans.sqltext import bh_sql, holm_sql, hyper_sql, quantile_sql,
 from seriesloom.plans.tables import STRONG, TREND0, strong_pairs
 
 
-def rank_sum_ctes(src: str, pairs: str) -> dict[str, str]:
-    """Rank sums by pooled mid-ranks; ``pairs`` lists (c1, c2)."""
+def rank_sum_ctes(src: str, pairs: str, by: str = "") -> dict[str, str]:
+    """Rank sums by pooled mid-ranks; ``pairs`` lists (c1, c2).  ``by`` is a column of ``src`` that values are kept apart by."""
+    k = f"{by}, " if by else ""
+    some = " WHERE n1>0 AND n2>0" if by else ""
     return dict(
         src=src,
         pr=pairs,
-        ranked="""SELECT c1, c2, cat, value, rank() OVER (PARTITION BY c1,c2 ORDER BY value) + (count(*) OVER (PARTITION BY c1,c2,value)-1)/2.0 AS r,
-                count(*) OVER (PARTITION BY c1,c2,value) AS tie FROM src JOIN pr ON cat=c1 OR cat=c2""",
-        ag="""SELECT c1, c2, count(*) FILTER (cat=c1) AS n1, count(*) FILTER (cat=c2) AS n2, sum(r) FILTER (cat=c1) AS rs, sum(tie*tie-1.0::DOUBLE) AS ties FROM ranked GROUP BY 1,2""",
-        st0="""SELECT c1 AS cat1, c2 AS cat2, n1, n2, rs-n1*(n1+1)/2.0 AS w, sqrt(n1/12.0*n2*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1.0)))) AS sg FROM ag""",
+        ranked=f"""SELECT {k}c1, c2, cat, value, rank() OVER (PARTITION BY {k}c1,c2 ORDER BY value) + (count(*) OVER (PARTITION BY {k}c1,c2,value)-1)/2.0 AS r,
+                count(*) OVER (PARTITION BY {k}c1,c2,value) AS tie FROM src JOIN pr ON cat=c1 OR cat=c2""",
+        ag=f"""SELECT {k}c1, c2, count(*) FILTER (cat=c1) AS n1, count(*) FILTER (cat=c2) AS n2, sum(r) FILTER (cat=c1) AS rs, sum(tie*tie-1.0::DOUBLE) AS ties
+               FROM ranked GROUP BY {k}c1, c2""",
+        st0=f"""SELECT {k}c1 AS cat1, c2 AS cat2, n1, n2, rs-n1*(n1+1)/2.0 AS w, sqrt(n1/12.0*n2*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1.0)))) AS sg FROM ag{some}""",
     )
 
 
@@ -128,20 +131,22 @@ def p_adjust_bonferroni(t):
     "token_enrichment",
     with_(
         "pairs cat_g cat_l",
-        "SELECT token, n_a, n_b, t_a, t_b, round(odds,6) AS odds, round(pvalue,6) AS pvalue, round(qvalue,6) AS qvalue FROM x",
+        "SELECT condition, token, n_a, n_b, t_a, t_b, round(odds,6) AS odds, round(pvalue,6) AS pvalue, round(qvalue,6) AS qvalue FROM x",
         st=STRONG,
-        ta="SELECT count(DISTINCT a) AS t_a, count(DISTINCT b) AS t_b FROM st",
-        ct="""SELECT p.p_partkey AS token, coalesce(x.n,0) AS n_a, coalesce(y.n,0) AS n_b, t_a, t_b FROM part p
-              LEFT JOIN (SELECT token, count(*) AS n FROM cat_l WHERE entity IN (SELECT a FROM st) GROUP BY 1) x ON x.token=p.p_partkey
-              LEFT JOIN (SELECT token, count(*) AS n FROM cat_g WHERE entity IN (SELECT b FROM st) GROUP BY 1) y ON y.token=p.p_partkey, ta""",
+        ta="SELECT condition, count(DISTINCT a) AS t_a, count(DISTINCT b) AS t_b FROM st GROUP BY 1",
+        ct="""SELECT ta.condition, p.p_partkey AS token, coalesce(x.n,0) AS n_a, coalesce(y.n,0) AS n_b, t_a, t_b FROM part p CROSS JOIN ta
+              LEFT JOIN (SELECT condition, token, count(*) AS n FROM cat_l JOIN (SELECT DISTINCT condition, a FROM st) ON entity=a GROUP BY 1,2) x
+                ON x.token=p.p_partkey AND x.condition=ta.condition
+              LEFT JOIN (SELECT condition, token, count(*) AS n FROM cat_g JOIN (SELECT DISTINCT condition, b FROM st) ON entity=b GROUP BY 1,2) y
+                ON y.token=p.p_partkey AND y.condition=ta.condition""",
         pv=f"""SELECT *, CASE WHEN n_a+n_b=0 OR (n_a=t_a AND n_b=t_b) THEN 1.0 ELSE n_a*(t_b-n_b)/nullif((n_b*(t_a-n_a))::DOUBLE,0) END AS odds,
                {hyper_sql('n_a', 'n_a+n_b', 't_a', 't_a+t_b')} AS pvalue FROM ct""",
-        x=holm_sql("pv", out="qvalue"),
+        x=holm_sql("pv", out="qvalue", by="condition"),
     ),
 )
 def token_enrichment(t):
     listed = t.part.select(F.col("p_partkey").alias("token"))
-    out = T.token_enrichment(strong_pairs(t), S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g), listed)
+    out = T.token_enrichment(strong_pairs(t), S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g), listed, BY)
     return rounded(out, "odds", "pvalue", "qvalue")
 
 
@@ -256,22 +261,22 @@ def sold_terms(t: Tables):
     "category_overlap_test",
     with_(
         "cpairs",
-        """SELECT set1, set2, a, b, c, d, round(a*d/nullif((b*c)::DOUBLE,0),6) AS odds, round(pvalue,6) AS pvalue, round(qvalue,6) AS qvalue FROM x WHERE qvalue<0.5""",
+        """SELECT condition, set1, set2, a, b, c, d, round(a*d/nullif((b*c)::DOUBLE,0),6) AS odds, round(pvalue,6) AS pvalue, round(qvalue,6) AS qvalue FROM x WHERE qvalue<0.5""",
         rw="""SELECT p_type||'/'||CAST(p_size AS VARCHAR) AS term, 'N'||CAST(s_nationkey AS VARCHAR) AS g, 'M'||right(p_brand,1) AS l FROM lineitem
               JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey""",
         tm="SELECT DISTINCT g AS cluster, term FROM rw UNION SELECT DISTINCT l, term FROM rw",
         sz="SELECT cluster, count(*) AS n FROM tm GROUP BY 1",
-        ct="""SELECT c.set1, c.set2, coalesce(s.n,0) AS a, z2.n-coalesce(s.n,0) AS b, z1.n-coalesce(s.n,0) AS c, (SELECT count(DISTINCT term) FROM tm)-z1.n-z2.n+coalesce(s.n,0) AS d
+        ct="""SELECT c.condition, c.set1, c.set2, coalesce(s.n,0) AS a, z2.n-coalesce(s.n,0) AS b, z1.n-coalesce(s.n,0) AS c, (SELECT count(DISTINCT term) FROM tm)-z1.n-z2.n+coalesce(s.n,0) AS d
               FROM cpairs c JOIN sz z1 ON z1.cluster=c.set1 JOIN sz z2 ON z2.cluster=c.set2 LEFT JOIN (SELECT x.cluster AS k1, y.cluster AS k2, count(*) AS n FROM tm x JOIN tm y USING (term) GROUP BY 1,2) s
               ON s.k1=c.set1 AND s.k2=c.set2 WHERE c.value>=0.3""",
         pv=f"SELECT *, {hyper_sql('a', 'a+b', 'a+c', 'a+b+c+d', True)} AS pvalue FROM ct",
-        x=bh_sql("pv", out="qvalue"),
+        x=bh_sql("pv", out="qvalue", by="condition"),
     ),
 )
 def category_overlap_test(t):
-    scored = pair_corr(brand_profiles(t), supplier_profiles(t), TIMES)
-    pairs = filter_pairs(scored.select(F.col("a").alias("set1"), F.col("b").alias("set2"), "value"), 0.3)
-    return rounded(T.category_overlap_test(pairs, sold_terms(t), max_q=0.5), "odds", "pvalue", "qvalue")
+    scored = pair_corr(brand_profiles(t), supplier_profiles(t), TIMES, by=BY)
+    pairs = filter_pairs(scored.select(*BY, F.col("a").alias("set1"), F.col("b").alias("set2"), "value"), 0.3)
+    return rounded(T.category_overlap_test(pairs, sold_terms(t), max_q=0.5, by=BY), "odds", "pvalue", "qvalue")
 
 
 @query(

@@ -11,11 +11,12 @@ from seriesloom.operators import sets as S
 from seriesloom.operators.expression import classify_direction
 from seriesloom.operators.intervals import extents, first_per_group, overlap_join
 from seriesloom.operators.statistics import de_contrast, linear_trend
-from seriesloom.plans.bindings import Tables, g_id, l_places, rounded, with_
+from seriesloom.plans.bindings import BY, Tables, g_id, l_places, rounded, with_
 from seriesloom.plans.expression import DE_CTES, de_table
 from seriesloom.plans.pairs import brand_supplier_pairs
 from seriesloom.plans.registry import query
 from seriesloom.plans.sqltext import bh_sql, sf_sql, signif_sql
+from seriesloom.session import materialize
 
 GID = "'G'||lpad(CAST(s_suppkey AS VARCHAR),7,'0')"
 
@@ -24,26 +25,32 @@ def strong_pairs(t: Tables, floor: float = 0.7):
     return brand_supplier_pairs(t, min_value=floor).drop("lag")
 
 
-STRONG = "SELECT l_id AS a, g_id AS b, value FROM pairs WHERE value>=0.7"
+def strong_shared(t: Tables):
+    """(strong pairs per condition, stored; the tokens that each distinct one of them shares)."""
+    listed = materialize(strong_pairs(t))
+    return listed, S.shared_tokens(listed, S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g))
+
+
+STRONG = "SELECT condition, l_id AS a, g_id AS b, value FROM pairs WHERE value>=0.7"
 
 
 @query(
     "inner_enrich_expr",
     with_(
         "pairs mean_g",
-        """SELECT a, b, round(value,6) AS value, condition, time, round(expr,6) AS expr FROM (SELECT s.a, s.b, s.value, m.condition, m.time,
-           m.value AS expr, row_number() OVER (PARTITION BY s.a, s.b ORDER BY m.condition DESC, m.time DESC) AS rn
+        """SELECT condition, a, b, round(value,6) AS value, shown, time, round(expr,6) AS expr FROM (SELECT s.condition, s.a, s.b, s.value, m.condition AS shown, m.time,
+           m.value AS expr, row_number() OVER (PARTITION BY s.condition, s.a, s.b ORDER BY m.condition DESC, m.time DESC) AS rn
            FROM st s JOIN mean_g m ON m.entity=s.b) WHERE rn=1""",
         st=STRONG,
     ),
 )
 def inner_enrich_expr(t):
-    rows = t.mean_g().select(F.col("entity").alias("b"), "condition", "time", F.col("value").alias("expr"))
-    out = N.inner_enrich(strong_pairs(t), rows, "b", ["a", "b"], [F.desc("condition"), F.desc("time")])
+    rows = t.mean_g().select(F.col("entity").alias("b"), F.col("condition").alias("shown"), "time", F.col("value").alias("expr"))
+    out = N.inner_enrich(strong_pairs(t), rows, "b", [*BY, "a", "b"], [F.desc("shown"), F.desc("time")])
     return rounded(out, "value", "expr")
 
 
-SHARED_N = """SELECT s.a, s.b, count(y.token) AS n_shared FROM st s JOIN cat_g x ON x.entity=s.b
+SHARED_N = """SELECT s.a, s.b, count(y.token) AS n_shared FROM (SELECT DISTINCT a, b FROM st) s JOIN cat_g x ON x.entity=s.b
    LEFT JOIN cat_l y ON y.entity=s.a AND y.token=x.token GROUP BY 1,2"""
 
 
@@ -51,16 +58,15 @@ SHARED_N = """SELECT s.a, s.b, count(y.token) AS n_shared FROM st s JOIN cat_g x
     "multi_key_join_shared",
     with_(
         "pairs cat_g cat_l",
-        "SELECT DISTINCT s.a, s.b, round(s.value,6) AS value, h.n_shared FROM st s JOIN sh h ON h.a=s.a AND h.b=s.b WHERE h.n_shared>0",
+        "SELECT DISTINCT s.condition, s.a, s.b, round(s.value,6) AS value, h.n_shared FROM st s JOIN sh h ON h.a=s.a AND h.b=s.b WHERE h.n_shared>0",
         st=STRONG,
         sh=SHARED_N,
     ),
 )
 def multi_key_join_shared(t):
-    listed = strong_pairs(t)
-    shared = S.shared_tokens(listed, S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g))
+    listed, shared = strong_shared(t)
     joined = listed.join(shared.select("a", "b", "n_shared"), ["a", "b"]).filter("n_shared > 0")
-    return rounded(joined, "value").dropDuplicates(["a", "b", "value"])
+    return rounded(joined, "value").dropDuplicates([*BY, "a", "b", "value"])
 
 
 def rich_symbols(t: Tables):
@@ -72,7 +78,7 @@ def rich_symbols(t: Tables):
     "left_annotate",
     with_(
         "pairs place_l",
-        f"""SELECT s.a, s.b, round(s.value,6) AS value, n.s_name AS symbol, p.seq, p.start, p."end" FROM st s
+        f"""SELECT s.condition, s.a, s.b, round(s.value,6) AS value, n.s_name AS symbol, p.seq, p.start, p."end" FROM st s
             LEFT JOIN (SELECT {GID} AS id, s_name FROM supplier WHERE s_acctbal>0) n ON n.id=s.b LEFT JOIN place_l p ON p.id=s.a""",
         st=STRONG,
     ),
@@ -80,15 +86,15 @@ def rich_symbols(t: Tables):
 def left_annotate(t):
     places = extents(l_places(t), "id", ["seq"]).select(F.col("id").alias("a"), "seq", "start", "end")
     named = strong_pairs(t).join(rich_symbols(t).withColumnRenamed("id", "b"), "b", "left")
-    return rounded(named.join(places, "a", "left").select("a", "b", "value", "symbol", "seq", "start", "end"), "value")
+    return rounded(named.join(places, "a", "left").select(*BY, "a", "b", "value", "symbol", "seq", "start", "end"), "value")
 
 
 @query(
     "order_columns_annotated",
     with_(
         "pairs place_l",
-        f"""SELECT s.b AS gene_id, coalesce(n.s_name, s.b) AS gene_symbol, p.seq AS contig, p.start, p."end", s.a AS lnc_id, round(s.value,6) AS correlation
-            FROM st s LEFT JOIN (SELECT {GID} AS id, s_name FROM supplier WHERE s_acctbal>0) n ON n.id=s.b LEFT JOIN place_l p ON p.id=s.a ORDER BY gene_id, contig, lnc_id""",
+        f"""SELECT s.condition, s.b AS gene_id, coalesce(n.s_name, s.b) AS gene_symbol, p.seq AS contig, p.start, p."end", s.a AS lnc_id, round(s.value,6) AS correlation
+            FROM st s LEFT JOIN (SELECT {GID} AS id, s_name FROM supplier WHERE s_acctbal>0) n ON n.id=s.b LEFT JOIN place_l p ON p.id=s.a ORDER BY condition, gene_id, contig, lnc_id""",
         st=STRONG,
     ),
 )
@@ -98,9 +104,9 @@ def order_columns_annotated(t):
     named = N.symbol_lookup(oriented, rich_symbols(t), "gene_id", "gene_symbol")
     places = l_places(t).select(F.col("id").alias("lnc_id"), F.col("seq").alias("contig"), "start", "end")
     out = named.join(places, "lnc_id", "left").select(
-        "gene_id", "gene_symbol", "contig", "start", "end", "lnc_id", F.col("value").alias("correlation")
+        *BY, "gene_id", "gene_symbol", "contig", "start", "end", "lnc_id", F.col("value").alias("correlation")
     )
-    return rounded(out, "correlation").orderBy("gene_id", "contig", "lnc_id")
+    return rounded(out, "correlation").orderBy(*BY, "gene_id", "contig", "lnc_id")
 
 
 TREND0 = """SELECT entity, condition, count(*) AS n, covar_pop(time,value)/var_pop(time) AS slope,
@@ -111,15 +117,15 @@ TREND0 = """SELECT entity, condition, count(*) AS n, covar_pop(time,value)/var_p
     "right_merge_stats",
     with_(
         "expr_g",
-        """SELECT d.entity, round(f.slope,6) AS slope, round(f.r2,6) AS r2, round(d.pvalue,6) AS pvalue
-           FROM (SELECT entity, slope, r2 FROM tr WHERE condition='A' AND r2>=0.01) f RIGHT JOIN de d ON d.entity=f.entity""",
+        """SELECT d.entity, f.condition, round(f.slope,6) AS slope, round(f.r2,6) AS r2, round(d.pvalue,6) AS pvalue
+           FROM (SELECT entity, condition, slope, r2 FROM tr WHERE r2>=0.01) f RIGHT JOIN de d ON d.entity=f.entity""",
         tr=TREND0,
         **DE_CTES,
     ),
 )
 def right_merge_stats(t):
-    """Coefficients of the better fits joined to all p-values."""
-    fits = linear_trend(t.expr_g, min_r2=0.01).filter("condition = 'A'").select("entity", "slope", "r2")
+    """Coefficients of the better fits of all conditions joined to all p-values."""
+    fits = linear_trend(t.expr_g, min_r2=0.01).select("entity", "condition", "slope", "r2")
     return rounded(fits.join(de_table(t).select("entity", "pvalue"), "entity", "right"), "slope", "r2", "pvalue")
 
 
@@ -258,15 +264,16 @@ def project_cut(t):
     "share_ratios",
     with_(
         "pairs cat_g cat_l",
-        """SELECT h.a, h.b, round(n_shared/nullif(size_a-n_shared,0),6) AS ratio_shared, round(n_shared/nullif(size_a,0),6) AS prop_shared
-           FROM sh h JOIN (SELECT entity, count(*) AS size_a FROM cat_l GROUP BY 1) z ON z.entity=h.a""",
+        """SELECT s.condition, h.a, h.b, round(n_shared/nullif(size_a-n_shared,0),6) AS ratio_shared, round(n_shared/nullif(size_a,0),6) AS prop_shared
+           FROM st s JOIN sh h ON h.a=s.a AND h.b=s.b JOIN (SELECT entity, count(*) AS size_a FROM cat_l GROUP BY 1) z ON z.entity=h.a""",
         st=STRONG,
         sh=SHARED_N,
     ),
 )
 def share_ratios(t):
-    shared = S.shared_tokens(strong_pairs(t), S.token_catalog(t.site_rows_l), S.token_catalog(t.site_rows_g))
-    return rounded(S.share_ratios(shared).select("a", "b", "ratio_shared", "prop_shared"), "ratio_shared", "prop_shared")
+    listed, shared = strong_shared(t)
+    ratios = S.share_ratios(shared).select("a", "b", "ratio_shared", "prop_shared")
+    return rounded(listed.select(*BY, "a", "b").join(ratios, ["a", "b"]), "ratio_shared", "prop_shared")
 
 
 @query(

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.operators import clustering as C
 from seriesloom.operators import models as M
@@ -219,3 +220,74 @@ def test_sample_pca_matches_svd(spark):
         rows = sorted((r["sample"], r["score"], r["var_explained"]) for r in out if r["component"] == k)
         assert [r[1] for r in rows] == pytest.approx(list(v), abs=1e-6)
         assert rows[0][2] == pytest.approx(s[k - 1] ** 2 / (s**2).sum())
+
+
+# Pairs within the values of a column --------------------------------------------------------
+
+
+def keyed_rows(seed=6):
+    """Condition A holds nine tenths of the entities, one condition is null, one has a single entity."""
+    rng = np.random.default_rng(seed)
+    named = [("A", 90), ("N", 6), (None, 3), ("R", 1)]
+    return [(c, f"e{k:03d}", t, float(rng.normal())) for c, n in named for k in range(n) for t in TIMES]
+
+
+def by_condition(rows):
+    out = {}
+    for c, e, t, v in rows:
+        out.setdefault(c, {}).setdefault(e, [0.0] * len(TIMES))[t] = v
+    return out
+
+
+@pytest.mark.parametrize("cell", [4, 2000])
+def test_keyed_pairs_are_those_of_every_condition(spark, monkeypatch, cell):
+    monkeypatch.setattr(P, "CELL_ROWS", cell)
+    rows = keyed_rows()
+    df = spark.createDataFrame(rows, "condition string, entity string, time int, value double")
+    other = df.filter("entity < 'e005'")
+    want = {}
+    for c, series in by_condition(rows).items():
+        for a, x in series.items():
+            for b, y in series.items():
+                if b < "e005":
+                    want[c, a, b] = np.corrcoef(x, y)[0, 1]
+    got = {(r["condition"], r["a"], r["b"]): r["value"] for r in P.pair_corr(df, other, TIMES, by=["condition"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    half = P.pair_corr(df, None, TIMES, by=["condition"]).collect()
+    assert len(half) == sum(n * (n + 1) // 2 for n in (90, 6, 3, 1)) and len({(r["condition"], r["a"], r["b"]) for r in half}) == len(half)
+    assert all(r["a"] <= r["b"] for r in half)
+
+
+def test_grids_follow_the_rows_of_their_key(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELL_ROWS", 10)
+    df = spark.createDataFrame(sorted({r[:2] for r in keyed_rows()}, key=str), "condition string, entity string")
+    found = {r["condition"]: r for r in P._grids(df, df, ["condition"], False, 16).collect()}
+    assert len({r["_grid"] for r in found.values()}) == 4
+    assert {c: (r["_rows"], r["_cols"]) for c, r in found.items()} == {"A": (9, 9), "N": (1, 1), None: (1, 1), "R": (1, 1)}
+    # Where cells are fewer than tasks, the value with most pairs is cut further, the others are not.
+    wide = {r["condition"]: r["_rows"] * r["_cols"] for r in P._grids(df, df, ["condition"], False, 400).collect()}
+    assert wide["A"] >= 390 and wide["N"] <= 6 and wide["R"] == 1
+
+
+def test_listed_pairs_without_the_key_count_for_every_condition(spark):
+    df = spark.createDataFrame(keyed_rows(), "condition string, entity string, time int, value double")
+    listed = spark.createDataFrame([("e000", "e001"), ("e002", "e089")], "a string, b string")
+    got = P.pair_corr(df, df, TIMES, pairs=listed, by=["condition"]).collect()
+    assert sorted((str(r["condition"]), r["a"], r["b"]) for r in got) == [("A", "e000", "e001"), ("A", "e002", "e089"), ("N", "e000", "e001"), ("None", "e000", "e001")]
+
+
+def test_keyed_clusters_and_covariances_equal_those_of_each_condition(spark):
+    from seriesloom.operators.clustering import threshold_clusters
+
+    df = spark.createDataFrame([r for r in keyed_rows(9) if r[0] in ("A", "N")], "condition string, entity string, time int, value double")
+    near = lambda some, **kw: P.distance_from_corr(P.pair_corr(some, None, TIMES, min_value=0.6, **kw))
+    whole = threshold_clusters(near(df, by=["condition"]), df.select("condition", "entity").distinct(), 0.4, 2, ["condition"])
+    whole = sorted(map(tuple, whole.collect()))
+    kept = sorted(map(tuple, P.covariance_sum_filter(df, TIMES, 3, ["condition"]).collect()))
+    each, cov = [], []
+    for c in "AN":
+        some = df.filter(F.col("condition") == c)
+        each += [(c, *r) for r in threshold_clusters(near(some), some.select("entity").distinct(), 0.4, 2).collect()]
+        cov += [(c, *r) for r in P.covariance_sum_filter(some, TIMES, 3).collect()]
+    assert whole == sorted(each)
+    assert [r[:2] for r in kept] == [r[:2] for r in sorted(cov)] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(kept, sorted(cov)))
