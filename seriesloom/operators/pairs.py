@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.vectors import mean, shifted_dot, unit_series
 from seriesloom.operators.expression import to_series
+from seriesloom.operators.pruned import pruned_pairs
 from seriesloom.operators.scan import exact_quantiles, running
 from seriesloom.operators.skew import null_safe, salted_join
 from seriesloom.session import materialize, shuffle_width
@@ -141,6 +142,10 @@ def pair_corr(
         met = salted_join(pairs, lu.withColumnsRenamed({"entity": "a", "u": "a_u"}), ["a", *listed], nulls_meet=True)
         met = salted_join(met, ru.withColumnsRenamed({"entity": "b", "u": "b_u"}), ["b", *by], nulls_meet=True)
         met = met.select(F.col("a").alias("a_entity"), F.col("b").alias("b_entity"), "a_u", "b_u", *extra)
+    elif list(lags) == [0] and (min_value or min_abs or 0):
+        # Pairs that cannot reach the threshold are mostly never scored.
+        ru = None if right is None else scored_series(right, times, method, by)[0]
+        met = pruned_pairs(lu, ru, n, min_abs or min_value, min_abs is not None and min_value is None, by)
     elif right is None:
         met = block_pairs(lu, lu, "entity", same=True, by=by)
     else:

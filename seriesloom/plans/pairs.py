@@ -366,7 +366,7 @@ def class_corr(t):
     """Per condition and supplier cluster the brands of a class with some correlation above 0.8."""
     listed = l_classes(t).filter("class = 'intergenic'").select("entity")
     left = t.mean_l().join(listed, "entity", "left_semi")
-    scored = P.pair_corr(left, t.mean_g(), TIMES, by=BY).drop("lag")
+    scored = P.pair_corr(left, t.mean_g(), TIMES, min_value=0.8, by=BY).drop("lag")
     by_cluster = scored.join(g_clusters(t).withColumnRenamed("entity", "b"), "b")
     return P.any_exceeds(by_cluster, [*BY, "cluster", "a"], 0.8, "positive")
 
@@ -426,14 +426,14 @@ def filter_pairs(t):
 )
 def filter_abs_threshold(t):
     """Supplier x module correlations of at least 0.7 either way, widened with 0 elsewhere; a column for every module that has one."""
-    scored = P.pair_corr(brand_profiles(t), t.mean_g(), TIMES, by=BY).drop("lag")
+    scored = P.pair_corr(brand_profiles(t), t.mean_g(), TIMES, min_abs=0.699, by=BY).drop("lag")
     kept = materialize(P.filter_pairs(rounded(scored, "value"), 0.7, "abs"))
     return kept.groupBy(*BY, F.col("b").alias("entity")).pivot("a").agg(F.max("value")).na.fill(0.0)
 
 
 @query("filter_abs_then_pos", with_("pairs", PAIR_SELECT + "value>=0.7"))
 def filter_abs_then_pos(t):
-    return rounded(P.filter_pairs(brand_supplier_pairs(t).drop("lag"), 0.7, "pos"), "value")
+    return rounded(P.filter_pairs(brand_supplier_pairs(t, min_value=0.7).drop("lag"), 0.7, "pos"), "value")
 
 
 @query(
