@@ -103,15 +103,14 @@ def clusters(keyed: DataFrame) -> DataFrame:
     return connected_components(links).withColumnRenamed("component", "cluster")
 
 
-def links_in_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``a, b`` that connect all sets of a cluster whose similarity is ``num / den`` or more.
+def in_tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``rows(cluster, node, n, ...)`` once for every ``tile`` of their cluster they go to, with the ``side`` they are on.
 
-    ``sets(cluster, node, n, shingles)``: ``shingles`` are ``n`` sorted distinct 64-bit values as
-    bytes, nodes are unique.  Every pair of a cluster is either compared or known to be connected.
+    Tiles are placed by the sizes ``n`` alone.  Every pair of a cluster that can link has a tile in common.
     """
     bands = Bands(num, den)
     bytes_each = F.col("n") * 8 + SET_BYTES
-    banded = _with_band(sets, bands)
+    banded = _with_band(rows, bands)
     weights = banded.groupBy("cluster", "band").agg(F.sum(bytes_each).alias("w"))
     whole = F.sum("w").over(Window.partitionBy("cluster"))  # as many rows as a cluster has size bands
     tiles = weights.select(
@@ -138,8 +137,18 @@ def links_in_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
     one = (F.col("tile.b1") == F.col("tile.b2")) & (F.col("tile.s1") == F.col("tile.s2"))
     left = (F.col("tile.b1") == band) & (F.col("tile.s1") == at)
     side = F.when((F.col("own") == 0) | one, 2).when(left, 0).otherwise(1)
-    dealt = placed.withColumn("_salt", salt).withColumn("tile", F.explode(goes)).select("cluster", "tile", side.alias("side"), "node", "n", "shingles")
-    dealt = dealt.repartition(shuffle_width(sets), "cluster", "tile").sortWithinPartitions("cluster", "tile", "n", "node")
+    return placed.withColumn("_salt", salt).withColumn("tile", F.explode(goes)).select(*rows.columns, "tile", side.alias("side"))
+
+
+def links_in_tiles(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` that connect all sets of a cluster whose similarity is ``num / den`` or more.
+
+    ``dealt(cluster, tile, side, node, n, shingles)``: ``shingles`` are ``n`` sorted distinct 64-bit
+    values as bytes; a node that comes to a tile more than once counts once.  Every pair of a
+    cluster is either compared or known to be connected.
+    """
+    dealt = dealt.select("cluster", "tile", "side", "node", "n", "shingles")
+    dealt = dealt.repartition(shuffle_width(dealt), "cluster", "tile").sortWithinPartitions("cluster", "tile", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], ([], [])
@@ -151,7 +160,8 @@ def links_in_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
                 if (here := (names[i], tuple(tiles[i].values()))) != key:
                     _compare(held, num, den, out)
                     key, held = here, []
-                held.append((sides[i], nodes[i], np.frombuffer(columns[4][i].as_py(), dtype=np.uint64)))
+                if not held or held[-1][1] != nodes[i]:
+                    held.append((sides[i], nodes[i], np.frombuffer(columns[4][i].as_py(), dtype=np.uint64)))
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
             out = ([], [])
         _compare(held, num, den, out)
@@ -219,5 +229,10 @@ def _compare(held: list[tuple[int, int, np.ndarray]], num: int, den: int, out: t
 
 
 def cluster_components(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``node, component`` of sets that are linked with others."""
-    return connected_components(materialize(links_in_clusters(sets, num, den)))
+    """``node, component`` of the sets ``cluster, node, n, shingles`` that are linked with others."""
+    return tile_components(in_tiles(sets, num, den), num, den)
+
+
+def tile_components(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """``node, component`` of sets in tiles that are linked with others."""
+    return connected_components(materialize(links_in_tiles(dealt, num, den)))

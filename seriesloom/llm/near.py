@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.components import node_ids
-from seriesloom.llm.jaccard import Bands, cluster_components, clusters
+from seriesloom.llm.jaccard import Bands, clusters, in_tiles, tile_components
 from seriesloom.llm.store import fresh, join_checked, materialize, shuffle_width
 from seriesloom.llm.words import Words, column_bytes, mix, shingle_sets, steps
 
+#: Rows of sets that a task sends on at a time.
+STEP_ROWS = 256
 #: Stands for a row by its id and text; rows that agree in both are alike.
 _ROW = "xxhash64(doc_id, text)"
 
@@ -103,19 +106,29 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Shingles of the rows ``wanted(cluster, node, doc_id, row_key, n)``, found again in ``docs`` by id and text."""
-    met = join_checked(docs.select(F.expr(_ROW).alias("row_key"), "text"), wanted.drop("doc_id"), "row_key")
+    """Shingles of the rows ``wanted(cluster, tile, side, node, row_key, n)`` for every tile, found again in ``docs`` by id and text.
+
+    A repeated row is found once for each time it stands there.
+    """
+    names = ["cluster", "tile", "side", "node", "n"]
+    goes = materialize(wanted.groupBy("row_key").agg(F.collect_list(F.struct(*names)).alias("goes")))
+    met = join_checked(docs.select(F.expr(_ROW).alias("row_key"), "text"), goes, "row_key", values=F.size("goes")).select("text", "goes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             for a, b in steps(offsets):
+                goes = batch.column("goes").slice(a, b - a)
                 found = [s.tobytes() for s in shingle_sets(Words(data, offsets[a : b + 1]), words)]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("cluster", "node", "n")], pa.array(found, pa.binary())], ["cluster", "node", "n", "shingles"])
+                each = goes.flatten()
+                shingles = np.repeat(np.arange(b - a), pc.list_value_length(goes).to_numpy()).tolist()
+                columns = [pc.struct_field(each, name) for name in names]
+                for at in range(0, len(each), STEP_ROWS):  # a set that goes to many tiles stands in many rows
+                    some = pa.array([found[k] for k in shingles[at : at + STEP_ROWS]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, STEP_ROWS) for c in columns], some], [*names, "shingles"])
 
-    sets = met.select("text", "cluster", "node", "n").mapInArrow(run, "cluster bigint, node bigint, n bigint, shingles binary")
-    return sets.dropDuplicates(["node"])  # a repeated row is found once for each time it stands there
+    tile = "struct<b1:int,s1:int,b2:int,s2:int>"
+    return met.mapInArrow(run, f"cluster bigint, tile {tile}, side int, node bigint, n bigint, shingles binary")
 
 
 def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +142,7 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     chosen = table.join(classes.select("node"), "node")
     cluster = clusters(chosen.select("node", "keys"))
     wanted = materialize(table.select("node", "row_key", "n").join(cluster, "node"))
-    found = cluster_components(_sets_of(docs, wanted, words), num, den)
+    found = tile_components(_sets_of(docs, in_tiles(wanted, num, den), words), num, den)
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return table, materialize(named)
 
