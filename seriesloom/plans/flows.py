@@ -226,7 +226,7 @@ def conservation_comparison(t):
     "core_entities",
     with_(
         "expr_g mean_g",
-        """SELECT time, entity FROM up WHERE entity IN (SELECT x.entity FROM de x JOIN e y ON x.entity=y.entity WHERE x.padj<=0.05 AND y.padj<=0.05 AND sign(x.log2fc)=sign(y.log2fc))
+        """SELECT time, entity FROM up WHERE entity IN (SELECT x.entity FROM de x JOIN e y ON x.entity=y.entity WHERE x.padj<=0.01 AND y.padj<=0.01 AND sign(x.log2fc)=sign(y.log2fc))
            GROUP BY 1,2 HAVING count(DISTINCT condition)=3""",
         **CONC,
         up="SELECT time, entity, condition FROM (SELECT *, avg(value) OVER (PARTITION BY entity, condition) AS m FROM mean_g) WHERE value>m",
@@ -234,7 +234,7 @@ def conservation_comparison(t):
 )
 def core_entities(t):
     """Concordant suppliers above their own mean under all conditions, per time."""
-    concordant = N.concordant_de_join(de_table(t), de_contrast(t.effects, "A", "R"), 0.05, "padj").filter("concordant")
+    concordant = N.concordant_de_join(de_table(t), de_contrast(t.effects, "A", "R"), 0.01, "padj").filter("concordant")
     means = t.mean_g()
     own = means.groupBy("entity", "condition").agg(F.avg("value").alias("m"))
     up = means.join(own, ["entity", "condition"]).filter("value > m")

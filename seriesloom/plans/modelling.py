@@ -8,6 +8,7 @@ from seriesloom.operators import clustering as C
 from seriesloom.operators import models as M
 from seriesloom.operators.pairs import distance_from_corr, pair_corr
 from seriesloom.operators.scan import exact_quantiles
+from seriesloom.operators.statistics import p_adjust
 from seriesloom.plans.bindings import BY, CONDITIONS, TIMES, Tables, g_clusters, l_classes, l_id, rounded, with_
 from seriesloom.plans.expression import normalised
 from seriesloom.plans.pairs import supplier_profiles
@@ -178,8 +179,8 @@ SEVEN = range(1, 8)
     "hotelling_f",
     with_(
         "expr_g",
-        f"""SELECT k.entity AS entity, k.c1 AS first, k.c2 AS second, k.n AS n_reps, round(t2,5) AS t2, round(f,5) AS f,
-            round({f_tail_sql('f', '7', 'df2')},5) AS pvalue FROM fs""",
+        """SELECT k.entity AS entity, k.c1 AS first, k.c2 AS second, k.n AS n_reps, round(t2,5) AS t2, round(f,5) AS f,
+            round(p,5) AS pvalue, round(least(1.0::DOUBLE, p*count(*) OVER (PARTITION BY k.c1, k.c2)),4) AS padj FROM ft""",
         dd0="""SELECT x.entity, x.condition AS c1, y.condition AS c2, x.replicate, x.time+1 AS t, x.value-y.value AS d, count(*) OVER (PARTITION BY x.entity, x.condition, y.condition, x.replicate) AS m
                FROM expr_g x JOIN expr_g y ON x.entity=y.entity AND x.time=y.time AND x.replicate=y.replicate AND x.condition<y.condition""",
         dd="SELECT * FROM dd0 WHERE m=7",
@@ -190,10 +191,13 @@ SEVEN = range(1, 8)
         mt="SELECT {'entity': entity, 'c1': c1, 'c2': c2, 'n': n} AS k, * FROM ms JOIN md USING (entity, c1, c2)",
         **quadratic_ctes("mt", 7),
         fs="SELECT k, k.n*q AS t2, (2.0::DOUBLE*k.n*7-8)/((2.0::DOUBLE*k.n*7-2)*7)*k.n*q AS f, 2.0::DOUBLE*k.n*7-8 AS df2 FROM qf",
+        ft=f"SELECT *, {f_tail_sql('f', '7', 'df2')} AS p FROM fs",
     ),
 )
 def hotelling_f(t):
-    return rounded(M.hotelling(t.expr_g, TIMES, CONDITIONS), "t2", "f", "pvalue", digits=5)
+    """Paired time courses, Bonferroni over the entities of a pair of conditions."""
+    tested = p_adjust(M.hotelling(t.expr_g, TIMES, CONDITIONS), "pvalue", "bonferroni", "padj", ["first", "second"])
+    return rounded(rounded(tested, "t2", "f", "pvalue", digits=5), "padj", digits=4)
 
 
 @query("module_pc1")

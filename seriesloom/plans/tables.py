@@ -173,12 +173,12 @@ CONC = dict(
     with_(
         "expr_g",
         """SELECT x.entity, round(x.log2fc,6) AS fc_a, round(y.log2fc,6) AS fc_b, round(abs(x.log2fc-y.log2fc),6) AS diff,
-           sign(x.log2fc)=sign(y.log2fc) AS concordant FROM de x JOIN e y ON x.entity=y.entity WHERE x.padj<=0.05 AND y.padj<=0.05""",
+           sign(x.log2fc)=sign(y.log2fc) AS concordant FROM de x JOIN e y ON x.entity=y.entity WHERE x.padj<=0.01 AND y.padj<=0.01""",
         **CONC,
     ),
 )
 def concordant_de_join(t):
-    out = N.concordant_de_join(de_table(t), de_contrast(t.effects, "A", "R"), 0.05, "padj")
+    out = N.concordant_de_join(de_table(t), de_contrast(t.effects, "A", "R"), 0.01, "padj")
     return rounded(out, "fc_a", "fc_b", "diff")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,21 +62,19 @@ def combine_tables(long: DataFrame, key: str, sample: str, value: str, samples:
 def read_skip_preamble(spark: SparkSession, path: str, skip: int, schema: str) -> DataFrame:
     """Drop the first ``skip`` lines of each file and read the rest under a fixed header.
 
-    The preamble is found by a line's place in its file: only the split that starts at
-    byte 0 can hold it, and within a split lines keep their order.
+    A line's place in its file is its place in its split and the lines of the splits before, so a
+    preamble may reach over any number of splits.  Only splits that begin within it are looked at
+    line by line.
     """
-    from pyspark.sql import Window
-
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"),
         F.monotonically_increasing_id().alias("i"),
     )
-    # The first rows of each file, found with a bounded top-n, give the last preamble id.
-    w = Window.partitionBy("f").orderBy("i")
-    last = (
-        lines.filter("s = 0").select("f", "i").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == skip)
-    )
-    kept = lines.join(last.select("f", F.col("i").alias("last")), "f", "left").filter(
-        (F.col("s") > 0) | F.col("last").isNull() | (F.col("i") > F.col("last"))
+    # One row per split; the lines of a split have consecutive numbers.
+    splits = lines.groupBy("f", "s").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    held = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(F.col("before") < skip)
+    kept = lines.join(held.select("f", "s", "first", "before"), ["f", "s"], "left").filter(
+        F.col("first").isNull() | (F.col("before") + F.col("i") - F.col("first") >= skip)
     )
     return kept.select(F.from_csv("value", schema, {"sep": "\t"}).alias("r")).select("r.*")
