@@ -19,9 +19,25 @@ from seriesloom.operators.skew import salted_join
 from seriesloom.session import materialize
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    first = F.floor(start / width)
-    return F.sequence(first, F.greatest(F.floor((end - 1) / width), first))
+#: Bins of a level are so many times (as a power of two) as wide as those of the one below, and there are so many levels at most.
+LEVEL_BITS, LEVELS = 3, 14
+
+
+def _level(start: Column, end: Column, bin_size: int) -> Column:
+    """The first level whose bins are no narrower than the interval."""
+    return sum((((end - start) > bin_size << LEVEL_BITS * k).cast("int") for k in range(1, LEVELS)), ((end - start) > bin_size).cast("int"))
+
+
+def _filed(df: DataFrame, side: str, levels: Column, bin_size: int) -> DataFrame:
+    """``df`` once for every bin ``_level, _bin`` that it touches on each of ``levels``: one or two a level from its own on."""
+    start, end = F.col(f"{side}_start"), F.col(f"{side}_end")
+
+    def bins(level: Column) -> Column:
+        width = F.lit(bin_size) * F.pow(F.lit(1 << LEVEL_BITS), level)
+        first = F.floor(start / width)
+        return F.transform(F.sequence(first, F.greatest(F.floor((end - 1) / width), first)), lambda b: F.struct(level.alias("_level"), b.alias("_bin")))
+
+    return df.select("*", F.inline(F.flatten(F.transform(levels, bins))))
 
 
 def overlap_join(
@@ -33,26 +49,41 @@ def overlap_join(
 ) -> DataFrame:
     """All overlapping pairs: columns ``a_*``, ``b_*`` and the overlap ``width``.
 
-    ``contained`` keeps pairs with a inside b.  A pair met in several bins is kept only
-    in the bin where the later of both starts lies.  Crowded bins are salted.
+    ``contained`` keeps pairs with a inside b.  Bins have levels, each ``2**LEVEL_BITS`` times as wide
+    as the one before.  An interval's own level is the first with bins as wide as itself, so it lies in
+    at most two of them; a pair meets on the higher one of both levels, and shorter intervals
+    are filed on the levels that the other side has above them.  So the copies of an interval do not
+    grow with its length.  A pair met in two bins is kept only in the one where the later of both
+    starts lies.  Crowded bins are salted.
     """
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).withColumn(
-        "_bin", F.explode(_bins(F.col("a_start"), F.col("a_end"), bin_size))
-    )
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn(
-        "_bin", F.explode(_bins(F.col("b_start"), F.col("b_end"), bin_size))
-    )
-    left = left.withColumn("_seq", F.col("a_seq"))
-    right = right.withColumn("_seq", F.col("b_seq"))
-    crowd = left.groupBy("_seq", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    met = salted_join(left, right, ["_seq", "_bin"], key_counts=crowd)
+    key = ["_seq", "_level", "_bin"]
+
+    def solid(df: DataFrame, side: str) -> DataFrame:
+        named = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]).filter(F.col(f"{side}_start") < F.col(f"{side}_end"))
+        own = _level(F.col(f"{side}_start"), F.col(f"{side}_end"), bin_size)
+        return named.withColumns({"_seq": F.col(f"{side}_seq"), f"_{side}": own})
+
+    left, right = solid(a, "a"), solid(b, "b")
+    have = {c: sorted(df.agg(F.collect_set(c)).first()[0]) for df, c in ((left, "_a"), (right, "_b"))}  # at most LEVELS + 1 numbers
+
+    def above(levels: list[int], own: str, least: int) -> Column:
+        return F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda m: m >= F.col(own) + least)
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        crowd = x.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        return salted_join(x, y, key, key_counts=crowd)
+
+    # Left intervals on their own level meet right ones up to it; then right ones on their own level meet shorter left ones.
+    pairs = met(_filed(left, "a", F.array("_a"), bin_size), _filed(right, "b", above(have["_a"], "_b", 0), bin_size))
+    if have["_a"] and have["_b"] and have["_b"][-1] > have["_a"][0]:
+        pairs = pairs.unionByName(met(_filed(left, "a", above(have["_b"], "_a", 1), bin_size), _filed(right, "b", F.array("_b"), bin_size)))
     low, high = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    keep = (low < high) & (F.col("_bin") == F.floor(low / bin_size))
+    keep = (low < high) & (F.col("_bin") == F.floor(low / (F.lit(bin_size) * F.pow(F.lit(1 << LEVEL_BITS), F.col("_level")))))
     if contained:
         keep = keep & (F.col("a_start") >= F.col("b_start")) & (F.col("a_end") <= F.col("b_end"))
     if stranded:
         keep = keep & (F.col("a_strand") == F.col("b_strand"))
-    return met.filter(keep).withColumn("width", high - low).drop("_bin", "_seq")
+    return pairs.filter(keep).withColumn("width", high - low).drop(*key, "_a", "_b")
 
 
 def contained_semi(a: DataFrame, b: DataFrame) -> DataFrame:

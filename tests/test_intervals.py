@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.operators import intervals as V
 from seriesloom.operators import scan
@@ -122,3 +123,32 @@ def test_extension_without_a_known_length(spark):
     lengths = spark.createDataFrame([("c", 100)], "seq string, length long")
     got = {r["id"]: (r["start"], r["end"]) for r in V.extend_intervals(df, lengths).collect()}
     assert got == {1: (0, 100), 2: (0, 160)}
+
+
+def levelled_rows(seed, n, longest):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        start = rng.randrange(-50_000, 4_000_000)
+        rows.append((i, rng.choice(["x", "y"]), start, start + int(longest ** rng.random()) - rng.choice([0, 0, 1])))
+    return rows + [(n, "x", -50_000, 5_000_000), (n + 1, "y", 10, 10), (n + 2, None, 0, 4_000_000), (n + 3, "x", 0, 1_000_000_000)]
+
+
+@pytest.mark.parametrize("bin_size", [1, 100, 7000])
+@pytest.mark.parametrize("left, right", [(4_000_000, 4_000_000), (500, 4_000_000), (2_000_000, 300)])
+def test_levelled_bins_list_every_overlap_once(spark, bin_size, left, right):
+    a, b = levelled_rows(1, 120, left), levelled_rows(2, 110, right)
+    schema = "id long, seq string, start long, end long"
+    got = V.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), bin_size)
+    want = [(x[0], y[0], min(x[3], y[3]) - max(x[2], y[2])) for x in a for y in b if x[1] == y[1] and x[1] and max(x[2], y[2]) < min(x[3], y[3])]
+    assert sorted((r["a_id"], r["b_id"], r["width"]) for r in got.collect()) == sorted(want)
+
+
+def test_a_sequence_long_interval_has_few_copies(spark):
+    rows = [(i, "x", 100 * i, 100 * i + 90) for i in range(500)] + [(500, "x", 0, 3_000_000_000)]
+    df = spark.createDataFrame(rows, "id long, seq string, start long, end long").selectExpr("id AS a_id", "seq AS a_seq", "start AS a_start", "end AS a_end")
+    leveled = df.withColumn("_a", V._level(F.col("a_start"), F.col("a_end"), 100))
+    every = F.filter(F.sequence(F.lit(0), F.lit(V.LEVELS)), lambda m: m >= F.col("_a"))
+    copies = {r["a_id"]: r["n"] for r in V._filed(leveled, "a", every, 100).groupBy("a_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(copies.values()) <= 2 * (V.LEVELS + 1) and copies[500] <= 16
+    assert V.overlap_join(df.toDF("id", "seq", "start", "end"), df.toDF("id", "seq", "start", "end"), 100).count() == 500 + 2 * 500 + 1
