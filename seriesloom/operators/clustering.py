@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +60,35 @@ def concordance_metrics(df: DataFrame) -> DataFrame:
 def co_occurrence(df: DataFrame, iterations: Sequence, min_fraction: float | None = None) -> DataFrame:
     """Share of iterations in which two entities fall into one cluster (a <= b).
 
-    Entities carry their labels as one short array and meet on a grid of blocks, so a
-    cluster that holds a third of the entities does not become one huge group.
+    Entities carry their labels as one short array.  Without a least share all pairs meet on a grid
+    of blocks, since all of them are the result.  With one, entities may differ in so many iterations
+    at most; the iterations are cut into one group more than that, and by the pigeonhole
+    principle a pair agrees throughout some group.  So entities meet by their labels in a group, on a grid
+    of their own for every such key, and a pair counts at the first group it agrees in.
     """
     n = len(iterations)
     cells = [F.max(F.when(F.col("iteration") == it, F.col("cluster"))).alias(f"_{i}") for i, it in enumerate(iterations)]
     labels = df.groupBy("entity").agg(*cells).select("entity", F.array(*[F.col(f"_{i}") for i in range(n)]).alias("labels"))
-    met = block_pairs(labels, labels, "entity", same=True)
-    same = sum((F.when(F.col("a_labels")[i] == F.col("b_labels")[i], 1).otherwise(0) for i in range(n)), F.lit(0))
-    out = met.select(F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), (same / F.lit(n)).alias("fraction"))
-    return out if min_fraction is None else out.filter(F.col("fraction") >= min_fraction)
+    equal = [F.coalesce(F.col("a_labels")[i] == F.col("b_labels")[i], F.lit(False)) for i in range(n)]
+    share = (sum((F.when(e, 1).otherwise(0) for e in equal), F.lit(0)) / F.lit(n)).alias("fraction")
+    pair = [F.col("a_entity").alias("a"), F.col("b_entity").alias("b")]
+    needed = 0 if min_fraction is None else math.ceil(min_fraction * n - 1e-9)
+    if needed <= 0:
+        return block_pairs(labels, labels, "entity", same=True).select(*pair, share)
+    if needed > n:
+        return block_pairs(labels.filter("false"), labels, "entity", same=True).select(*pair, share)
+    groups = [list(g) for g in np.array_split(np.arange(n), n - needed + 1)]
+    keys = [F.struct(F.lit(k).alias("_group"), F.array(*[F.col("labels")[int(i)].cast("string") for i in g]).alias("_same")) for k, g in enumerate(groups)]
+    filed = labels.select("entity", "labels", F.inline(F.array(*keys))).filter(~F.exists("_same", lambda x: x.isNull()))
+    met = block_pairs(filed, filed, "entity", same=True, by=["_group", "_same"])
+    first = F.lit(None).cast("int")
+    for k in reversed(range(len(groups))):
+        agrees = F.lit(True)
+        for i in groups[k]:
+            agrees = agrees & equal[int(i)]
+        first = F.when(agrees, k).otherwise(first)
+    scored = met.filter(first == F.col("_group")).select(*pair, share)
+    return scored.filter(F.col("fraction") >= needed / n - 1e-9)
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

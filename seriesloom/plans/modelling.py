@@ -48,6 +48,43 @@ def co_occurrence(t):
     return rounded(C.co_occurrence(quartile_clusters(t.lines_with_brand, l_id("p_brand")), TIMES), "fraction")
 
 
+CUT, MIN_SIZE = 0.25, 3
+AGREED = 5 / 7
+AGREEMENT = dict(
+    quartile_sql("l_suppkey", "lineitem"),
+    ag="""SELECT x.entity AS a, y.entity AS b, count(*) FILTER (x.cluster=y.cluster)/7.0::DOUBLE AS fraction FROM it x JOIN it y
+          ON x.iteration=y.iteration AND x.entity<=y.entity GROUP BY 1,2 HAVING count(*) FILTER (x.cluster=y.cluster)>=5""",
+)
+
+
+def agreeing_suppliers(t: Tables):
+    return C.co_occurrence(quartile_clusters(t.lineitem, F.col("l_suppkey")), TIMES, AGREED)
+
+
+@query("agreement_pairs", with_("", "SELECT a, b, round(fraction,6) AS fraction FROM ag", **AGREEMENT))
+def agreement_pairs(t):
+    """Suppliers that fall into one cluster in at least five of seven years."""
+    return rounded(agreeing_suppliers(t), "fraction")
+
+
+@query(
+    "agreement_clusters",
+    with_(
+        "",
+        """SELECT entity, CASE WHEN count(*) OVER (PARTITION BY label)>=3 THEN label ELSE '0' END AS cluster FROM lab""",
+        **AGREEMENT,
+        ed="SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM ag UNION SELECT CAST(b AS VARCHAR), CAST(a AS VARCHAR) FROM ag",
+        re="SELECT a, b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b=ed.a",
+        lab="SELECT e.entity, coalesce(min(b), e.entity) AS label FROM (SELECT DISTINCT CAST(entity AS VARCHAR) AS entity FROM it) e LEFT JOIN re ON re.a=e.entity GROUP BY 1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def agreement_clusters(t):
+    """Clusters of suppliers by the share of years in which they do not fall into one cluster."""
+    rows = quartile_clusters(t.lineitem, F.col("l_suppkey").cast("string"))
+    near = C.co_occurrence(rows, TIMES, AGREED).withColumn("distance", 1 - F.col("fraction"))
+    return C.threshold_clusters(near, rows.select("entity").distinct(), 1 - AGREED + 1e-9, MIN_SIZE)
+
+
 CONCORDANCE = dict(
     ce="""SELECT c1, c2, k1, k2, count(*) AS n FROM (SELECT x.clustering AS c1, y.clustering AS c2, x.cluster AS k1, y.cluster AS k2 FROM cl x JOIN cl y
           ON x.entity=y.entity AND x.clustering<y.clustering) GROUP BY 1,2,3,4""",
@@ -88,7 +125,6 @@ def concordance_metrics(t):
     return rounded(C.concordance(labelled), "rand", "adj_rand", "precision", "recall", "f1", "jaccard")
 
 
-CUT, MIN_SIZE = 0.25, 3
 THRESHOLD_SQL = with_(
     "z_l",
     """SELECT condition, entity, CASE WHEN count(*) OVER (PARTITION BY condition, label)>=3 THEN label ELSE '0' END AS cluster FROM lab""",

@@ -291,3 +291,27 @@ def test_keyed_clusters_and_covariances_equal_those_of_each_condition(spark):
         cov += [(c, *r) for r in P.covariance_sum_filter(some, TIMES, 3).collect()]
     assert whole == sorted(each)
     assert [r[:2] for r in kept] == [r[:2] for r in sorted(cov)] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(kept, sorted(cov)))
+
+
+# Agreement of clusterings -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 5 / 7, 1.0, 1.2])
+def test_agreement_equals_all_pairs(spark, monkeypatch, share):
+    monkeypatch.setattr(P, "CELL_ROWS", 8)
+    rng = random.Random(11)
+    # A third of the entities always fall into one cluster; some miss iterations.
+    rows = [(f"e{e:03d}", i, "big" if e % 3 == 0 else rng.choice("abcd")) for e in range(75) for i in range(7) if e % 10 or rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "entity string, iteration int, cluster string")
+    labels = {}
+    for e, i, c in rows:
+        labels.setdefault(e, {})[i] = c
+    want = {}
+    for a in labels:
+        for b in labels:
+            same = sum(labels[a].get(i) == c for i, c in labels[b].items())
+            if a <= b and same / 7 >= share - 1e-9:
+                want[a, b] = same / 7
+    found = C.co_occurrence(df, range(7), share)
+    got = found.collect()
+    assert {(r["a"], r["b"]): pytest.approx(r["fraction"]) for r in got} == want and len(got) == len(want)
