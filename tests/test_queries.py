@@ -37,13 +37,15 @@ def test_registry_is_consistent():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["a", "b", "value"] and df.count() > 0
+    assert df.columns == ["condition", "a", "b", "value"]
+    assert {r["condition"] for r in df.collect()} == {"A", "N", "R"}
 
 
 SAMPLE = [
     "xcorr_lag_k", "temporal_corr", "summary_se", "size_factors", "inner_enrich_expr", "shared_tokens", "nearest_feature",
     "stranded_coverage", "empirical_pvalue", "rank_sum_test", "fisher_2x2", "token_enrichment", "trend_test",
     "concordance_metrics", "scan_gtf", "scan_aligner_report", "scan_maf_blocks", "site_count_report", "annotate_pair_list",
+    "filter_abs_threshold", "agreement_clusters",
 ]
 
 
