@@ -200,16 +200,32 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, sequence bigint, node bigint, start bigint, size bigint, before bigint, after bigint")
 
 
-def _keys() -> F.Column:
-    """Keys that a segment shares with equal ones: its words alone, and with the words beside it up to each compared length."""
-    out = [F.struct(F.lit(0).alias("side"), F.lit(0).alias("agree"), F.xxhash64("sequence").alias("key"))]
-    for side, column in ((1, "before"), (2, "after")):
-        for k, n in enumerate(CONTEXT):
-            bits = F.lit((1 << 16 * (k + 1)) - 1 if k + 1 < len(CONTEXT) else -1).cast("bigint")
-            key = F.xxhash64("sequence", F.lit(side * 16 + k), F.col(column).bitwiseAND(bits))
-            there = F.shiftrightunsigned(F.col(column), 16 * k).bitwiseAND(F.lit(0xFFFF)) != 0
-            out.append(F.when(there, F.struct(F.lit(side).alias("side"), F.lit(n).alias("agree"), key.alias("key"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def _key(sequence, side, context, level: int) -> F.Column:
+    """A key of segments of equal words that agree in ``context`` up to the length ``CONTEXT[level]``; null where no word is left."""
+    bits = F.lit((1 << 16 * (level + 1)) - 1 if level + 1 < len(CONTEXT) else -1).cast("bigint")
+    there = F.shiftrightunsigned(context, 16 * level).bitwiseAND(F.lit(0xFFFF)) != 0
+    return F.when(there, F.xxhash64(sequence, side, F.lit(level), F.col(context).bitwiseAND(bits)))
+
+
+def _sides(rows: DataFrame, *names: str) -> DataFrame:
+    """``names`` and ``sequence, side, context`` of segments: side 1 with the words before, side 2 with those after."""
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("context")) for side, c in ((1, "before"), (2, "after"))])
+    return rows.select(*names, "sequence", F.inline(both))
+
+
+def _at_levels(sides: DataFrame, levels: range, *names: str) -> DataFrame:
+    """``names`` and ``side, agree, key`` for every compared length of ``levels`` that a side has words for."""
+    keys = F.array(*[F.struct(F.lit(CONTEXT[k]).alias("agree"), _key("sequence", "side", "context", k).alias("key")) for k in levels])
+    return sides.select(*names, "side", F.inline(keys)).filter("key IS NOT NULL")
+
+
+def _first_of(held: DataFrame, levels: range) -> DataFrame:
+    """``key, first``, stored: the document that has the segments of a key first, where more than one segment has it."""
+    place = ("doc", "node", "start")
+    keyed = _at_levels(_sides(held, *place), levels, *place)
+    firsts = keyed.groupBy("key").agg(F.min(F.struct(*place)).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # Stored, so that the join reads both sides from shuffles of their own and a key with very many rows is split.
+    return materialize(firsts.select("key", F.col("first.node").alias("first")))
 
 
 def repeated_segments(docs: DataFrame) -> DataFrame:
@@ -217,21 +233,39 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
 
     Every document that has the segment counts: on each side, the words are the longest compared
     length up to which any earlier document agrees, not only the first one that has the segment.
+    A segment of the first document of all is the first at every length, so it is not looked up;
+    nor are shorter lengths where the longest one agrees.  Segments are found twice, which is
+    cheaper than to store those that stand in one document only.
     """
-    rows = materialize(segment_rows(docs))
-    several = F.min("node") != F.max("node")
-    shared = rows.groupBy("sequence").agg(several.alias("_several")).filter("_several").select("sequence")
-    held = materialize(join_checked(rows, materialize(shared), "sequence"))
-    keyed = held.select("doc", "node", "start", "size", F.explode(_keys()).alias("k")).select("doc", "node", "start", "size", "k.*")
-    first = keyed.groupBy("key").agg(F.min(F.struct("doc", "node", "start")).alias("first"), several.alias("_several"))
-    first = materialize(first.filter("_several").select("key", F.col("first.node").alias("keeper")))
-    best = lambda side: F.max(F.when(F.col("side") == side, F.struct("agree", "keeper")))
+    rows = segment_rows(docs)
+    places = rows.groupBy("sequence").agg(F.min(F.struct("doc", "node", "start")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = materialize(places.filter("low <> high").select("sequence", F.col("first.node").alias("keeper")))
+    held = materialize(join_checked(rows, shared, "sequence"))
+    later = held.filter("node <> keeper")
+    last = len(CONTEXT) - 1
+
+    sides = _sides(later, "node", "start").withColumn("key", _key("sequence", "side", "context", last))
+    # A side without so many words has a key of its own, so that those rows do not meet in one task.
+    alone = F.coalesce("key", F.xxhash64("node", "start", "side"))
+    longest = join_checked(sides.withColumn("key", alone), _first_of(held, range(last, last + 1)), "key", "left")
+    agrees = F.coalesce(F.col("first") != F.col("node"), F.lit(False))
+    longest = materialize(
+        longest.select(
+            "node", "start", "side", F.when(agrees, F.col("first")).alias("keeper"),
+            F.when(~agrees, F.col("sequence")).alias("sequence"), F.when(~agrees, F.col("context")).alias("context"),
+        )
+    )
+    rest = _at_levels(longest.filter("keeper IS NULL"), range(last), "node", "start")
+    shorter = join_checked(rest, _first_of(held, range(last)), "key").filter("node <> first")
+
+    none = F.lit(0).cast("bigint")
     found = (
-        join_checked(keyed.drop("doc"), first, "key")
-        .filter("node <> keeper")
-        .groupBy("node", "start", "size")
-        .agg(best(0).alias("alone"), best(1).alias("b"), best(2).alias("a"))
+        later.select("node", "start", "size", F.lit(0).alias("side"), F.lit(0).alias("agree"), "keeper")
+        .unionByName(longest.filter("keeper IS NOT NULL").select("node", "start", none.alias("size"), "side", F.lit(CONTEXT[last]).alias("agree"), "keeper"))
+        .unionByName(shorter.select("node", "start", none.alias("size"), "side", "agree", F.col("first").alias("keeper")))
     )
+    best = lambda side: F.max(F.when(F.col("side") == side, F.struct("agree", "keeper")))
+    found = found.groupBy("node", "start").agg(F.max("size").alias("size"), best(0).alias("alone"), best(1).alias("b"), best(2).alias("a"))
     agreed = lambda side: F.coalesce(F.col(f"{side}.agree"), F.lit(0)).cast("bigint")
     return found.select(
         "node",
@@ -301,7 +335,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     of which nothing is cut.  Columns of other names are passed on; ``words_cut`` is replaced.
     """
     docs = docs.drop("words_cut")
-    texts = docs.select("doc_id", F.expr(_NODE).alias("node"), "text").filter("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(_NODE).alias("node"), "text").filter("text IS NOT NULL")
     zero = F.lit(0).cast("bigint")
     lines = repeated_lines(texts).select("node", "start", "words", zero.alias("before"), zero.alias("after"), "keeper")
     parts = lines.unionByName(repeated_segments(texts))
