@@ -275,21 +275,58 @@ def bridge_counts(reads: DataFrame, set_c: DataFrame, bin_size: int, by: Sequenc
     return per.groupBy("symbol", *samples).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-def interval_scores(sites: DataFrame, track: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+def _runs(df: DataFrame, *more: str) -> DataFrame:
+    """``seq, start, end`` and ``more`` of a table of runs, or of one of single bases ``seq, pos``."""
+    if "pos" in df.columns:
+        df = df.select("seq", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), *more)
+    return df.select("seq", "start", "end", *more).filter(F.col("start") < F.col("end"))
+
+
+def _score_before(points: DataFrame, runs: DataFrame, at: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the bases of disjoint ``runs`` to the left of a position."""
+    upto = asof_running(
+        points,
+        runs,
+        ["seq"],
+        at,
+        "start",
+        {"_sum": ("sum", F.col("value") * (F.col("end") - F.col("start"))), "_last": ("max", F.struct("start", "end", "value"))},
+        inclusive=False,
+    )
+    # Only the last run can reach beyond the position.
+    beyond = F.greatest(F.col("_last.end") - F.col(at), F.lit(0)) * F.col("_last.value")
+    return upto.withColumn(out, F.coalesce(F.col("_sum") - beyond, F.lit(0))).drop("_sum", "_last")
+
+
+def interval_scores(sites: DataFrame, track: DataFrame, gaps: DataFrame | None = None, digits: int = 9, bin_size: int = 1000) -> DataFrame:
     """Mean per-base score of each site (``id``); bases without score or in a gap count 0, an empty site has none.
 
-    Sites are short, so their bases are listed and joined on (seq, pos); a crowded
-    sequence spreads by position.
+    ``track`` and ``gaps`` hold single bases ``seq, pos`` or runs ``seq, start, end``; runs of the
+    track do not overlap each other.  A site's sum is the difference of two running sums along
+    its sequence, so no bases are listed however long sites and runs are.  Scores are rounded to
+    ``digits`` decimals and summed as whole numbers: differences of sums far along a sequence are
+    exact, and a sum beyond 64 bits is an error.  Null and non-finite scores count 0.
     """
-    held = F.when(F.col("start") < F.col("end"), F.sequence("start", F.col("end") - 1))
-    bases = sites.select("id", "seq", F.explode_outer(held).alias("pos"))
-    values = track.select("seq", "pos", "score")
+    scaled = F.round(F.col("score") * F.lit(10.0**digits)).try_cast("long")
+    scored = track.withColumn("value", scaled)
+    if gaps is not None and "pos" in track.columns and "pos" in gaps.columns:
+        scored, gaps = scored.join(gaps.select("seq", "pos"), ["seq", "pos"], "left_anti"), None
+    runs = _runs(scored, "value").filter(F.col("value") != 0)
+    solid = sites.filter(F.col("start") < F.col("end"))
+    ends = F.array(F.struct(F.lit(-1).alias("sign"), F.col("start").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("end").alias("at")))
+    points = solid.select("id", "seq", F.inline(ends))
+    whole = F.col("_whole")
     if gaps is not None:
-        values = values.join(gaps.select("seq", "pos"), ["seq", "pos"], "left_anti")
-    joined = bases.join(values, ["seq", "pos"], "left")
-    return joined.groupBy("id").agg(
-        (F.sum(F.when(F.col("pos").isNotNull(), F.coalesce("score", F.lit(0.0)))) / F.count(F.lit(1))).alias("score")
-    )
+        runs = materialize(runs)
+        cut = overlap_join(runs, merge_intervals(_runs(gaps)).drop("n"), bin_size)
+        inside = cut.select(
+            F.col("a_seq").alias("seq"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), F.col("a_value").alias("value")
+        )
+        points = materialize(_score_before(points, inside, "at", "_gone"))
+        whole = whole - F.col("_gone")
+    sums = _score_before(points, runs, "at", "_whole").groupBy("id").agg(F.sum(F.col("sign") * whole).alias("_sum"))
+    sizes = sites.groupBy("id").agg(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("_size"))
+    return sizes.join(sums, "id", "left").select("id", safe_div(F.col("_sum") / F.lit(10.0**digits), F.col("_size")).alias("score"))
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -152,3 +152,52 @@ def test_a_sequence_long_interval_has_few_copies(spark):
     copies = {r["a_id"]: r["n"] for r in V._filed(leveled, "a", every, 100).groupBy("a_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert max(copies.values()) <= 2 * (V.LEVELS + 1) and copies[500] <= 16
     assert V.overlap_join(df.toDF("id", "seq", "start", "end"), df.toDF("id", "seq", "start", "end"), 100).count() == 500 + 2 * 500 + 1
+
+
+def _brute_scores(sites, runs, gaps):
+    """Mean score base by base."""
+    out = {}
+    for i, seq, a, b in sites:
+        held = [0.0 if any(g[0] == seq and g[1] <= p < g[2] for g in gaps) else sum(v or 0 for s, x, y, v in runs if s == seq and x <= p < y) for p in range(a, b)]
+        out[i] = sum(held) / len(held) if held else None
+    return out
+
+
+@pytest.mark.parametrize("form", ["runs", "bases", "mixed"])
+def test_scores_of_runs_and_gaps_like_base_by_base(spark, form):
+    rng = random.Random(3)
+    runs, gaps = [], []
+    for seq in ("c", "d"):
+        at = 0
+        while at < 400:
+            at, size = at + rng.randrange(0, 9), rng.randrange(1, 30)
+            runs.append((seq, at, at + size, rng.choice([None, 0.0, -1.25, 0.1, 2.5, 100.001])))
+            at += size
+        gaps += [(seq, g, g + rng.randrange(1, 12)) for g in rng.sample(range(400), 12)]  # gaps may overlap
+    sites = [(i, rng.choice("cde"), a, a + rng.randrange(0, 90)) for i, a in enumerate(rng.sample(range(450), 60))]
+    track = spark.createDataFrame(runs, "seq string, start long, end long, score double")
+    holes = spark.createDataFrame(gaps, "seq string, start long, end long")
+    bases = lambda df: df.select("*", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).drop("start", "end").distinct()
+    got = V.interval_scores(
+        spark.createDataFrame(sites, "id long, seq string, start long, end long"),
+        track if form == "runs" else bases(track),
+        bases(holes) if form == "bases" else holes,
+        bin_size=7,
+    )
+    want = _brute_scores(sites, runs, gaps)
+    assert {r["id"]: r["score"] for r in got.collect()} == {k: v if v is None else pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
+def test_scores_far_along_a_sequence_keep_their_digits(spark):
+    track = spark.createDataFrame([("c", 0, 2_000_000, 1000.0), ("c", 2_000_000, 2_000_001, 1e-9), ("c", 2_000_003, 2_000_004, float("nan"))], "seq string, start long, end long, score double")
+    sites = spark.createDataFrame([(1, "c", 2_000_000, 2_000_002), (2, "c", 0, 2_000_000), (3, "c", 2_000_002, 2_000_009), (4, None, 0, 5)], "id long, seq string, start long, end long")
+    assert {r["id"]: r["score"] for r in V.interval_scores(sites, track).collect()} == {1: 5e-10, 2: 1000.0, 3: 0.0, 4: 0.0}
+
+
+def test_scores_list_no_bases(spark):
+    sites = spark.createDataFrame([(1, "c", 0, 10**9)], "id long, seq string, start long, end long")
+    track = spark.createDataFrame([("c", 5, 10**8 + 5, 0.5)], "seq string, start long, end long, score double")
+    gaps = spark.createDataFrame([("c", 0, 15)], "seq string, start long, end long")
+    assert V.interval_scores(sites, track, gaps).first()["score"] == pytest.approx((10**8 - 10) * 0.5 / 10**9)
+    assert V.interval_scores(sites, track.limit(0)).first()["score"] == 0.0
+    assert V.interval_scores(sites.limit(0), track).count() == 0
