@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +86,51 @@ def unordered_pairs(df: DataFrame, label: str, with_self: bool = False) -> DataF
     return out
 
 
+#: The law of W is tabulated for samples smaller than this at most: under 2,401 pairs of sizes, of at most 2,402 chances each.
+EXACT_MOST = 50
+
+
+def upper_tails(n1: int, n2: int) -> list[float]:
+    """P(W >= w) for w = 0 .. n1 * n2 when all orders of two samples without ties are equally likely.
+
+    The orders with each w are counted by the product of (1 - q^(n2+i)) / (1 - q^i) over i = 1 .. n1, in whole numbers.
+    """
+    counts = [1] + [0] * (n1 * n2)
+    for i in range(1, n1 + 1):
+        for w in range(len(counts) - 1, n2 + i - 1, -1):
+            counts[w] -= counts[w - n2 - i]
+        for w in range(i, len(counts)):
+            counts[w] += counts[w - i]
+    total, above, out = sum(counts), 0, []
+    for n in reversed(counts):
+        above += n
+        out.append(above / total)
+    return out[::-1]
+
+
+def _tail_table(sizes: DataFrame) -> DataFrame:
+    """``n1, n2, _tails`` for the distinct ``sizes(n1, n2)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist()):
+                columns = [pa.array([a], pa.int64()), pa.array([b], pa.int64()), pa.array([upper_tails(a, b)], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["n1", "n2", "_tails"])
+
+    return sizes.mapInArrow(run, "n1 bigint, n2 bigint, _tails array<double>")
+
+
+def _with_tails(stats: DataFrame, below: int) -> DataFrame:
+    """``stats`` and the chances ``_ge``, ``_le`` of a W as large, as small; null where a sample is too large or values are tied."""
+    stats = materialize(stats)
+    small = (F.col("n1") < below) & (F.col("n2") < below) & (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("_ties") == 0)
+    table = _tail_table(stats.filter(small).select("n1", "n2").distinct())
+    at = F.col("w").cast("int")
+    found = stats.join(F.broadcast(table), ["n1", "n2"], "left").withColumn("_tails", F.when(small, F.col("_tails")))  # bounded by EXACT_MOST
+    turned = (F.col("n1") * F.col("n2")).cast("int") - at  # the law is symmetric
+    return found.withColumns({"_ge": F.get("_tails", at), "_le": F.get("_tails", turned)}).drop("_tails")
+
+
 def rank_sum(
     df: DataFrame,
     category: str = "category",
@@ -92,9 +138,13 @@ def rank_sum(
     alternative: str = "greater",
     first: Sequence[str] = (),
     by: Sequence[str] = (),
+    exact_below: int = 0,
 ) -> DataFrame:
     """Wilcoxon rank-sum for every pair of categories of a value of ``by``, normal approximation.
 
+    Where both samples are smaller than ``exact_below`` and no value is tied, the p-value comes from
+    the exact law of W instead; ``z`` is that of the approximation everywhere.
+
     W counts the pairs (x, y) with x > y, ties half; tie and continuity correction as
     usual.  ``first`` lists categories that lead a pair in that order, the rest follow
     by name.  Values are counted per category before anything is ordered, and the
@@ -127,14 +177,22 @@ def rank_sum(
     n = n1 + n2
     sigma = F.sqrt(n1 * n2 / 12.0 * (n + 1.0 - safe_div(F.col("_ties"), n * (n - 1.0))))
     centred = F.col("w") - n1 * n2 / 2.0
+    if not 0 <= exact_below <= EXACT_MOST:
+        raise ValueError(f"exact_below must be from 0 to {EXACT_MOST}")
+    if exact_below:
+        stats = _with_tails(stats, exact_below)
     if alternative == "greater":
         z = safe_div(centred - 0.5, sigma)
         p = normal_sf(F.col("z"))
+        exact = F.col("_ge")
     elif alternative == "two-sided":
         z = safe_div(centred - F.signum(centred) * 0.5, sigma)
         p = F.least(2.0 * normal_sf(F.abs("z")), F.lit(1.0))
+        exact = F.least(2.0 * F.least("_ge", "_le"), F.lit(1.0))
     else:
         raise ValueError("alternative must be 'greater' or 'two-sided'")
+    if exact_below:
+        p = F.when(F.col("_ge").isNotNull(), exact).otherwise(p)
     return stats.withColumn("z", z).select(
         *by, F.substring("first", 5, 1 << 20).alias("cat1"), F.substring("second", 5, 1 << 20).alias("cat2"), "n1", "n2", "w", "z", p.alias("pvalue")
     )

@@ -56,6 +56,38 @@ def rank_sum_two_sided(t):
     return rounded(T.rank_sum(rows, alternative="two-sided"), "z", "pvalue")
 
 
+# Account balances of market segments within a nation: a dozen customers each at a small scale, so the exact law decides.
+SMALL = dict(
+    rank_sum_ctes(
+        "SELECT c_nationkey, c_mktsegment AS cat, c_acctbal AS value FROM customer",
+        "SELECT a.s AS c1, b.s AS c2 FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) a JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer) b ON a.s<b.s",
+        "c_nationkey",
+    ),
+    small="SELECT c_nationkey, c1 AS cat1, c2 AS cat2, n1, n2 FROM ag WHERE n1 BETWEEN 1 AND 49 AND n2 BETWEEN 1 AND 49 AND ties=0",
+    law="""SELECT * FROM (WITH RECURSIVE d(i, m, w, c) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE UNION ALL
+           SELECT i+1, m+z, w+z*(i-m), sum(c) FROM d, (VALUES (0),(1)) v(z)
+           WHERE i<(SELECT max(n1+n2) FROM small) AND m+z<=(SELECT max(n1) FROM small) AND i+1-(m+z)<=(SELECT max(n2) FROM small) GROUP BY 1,2,3) SELECT * FROM d) x""",
+    st1="SELECT *, (w-n1*n2/2.0-sign(w-n1*n2/2.0)*0.5)/sg AS z FROM st0",
+    st2="SELECT *, abs(z) AS az FROM st1",
+    ex="""SELECT s.c_nationkey, s.cat1, s.cat2, least(1.0::DOUBLE, 2*least(sum(c) FILTER (l.w>=s.w), sum(c) FILTER (l.w<=s.w))/sum(c)) AS p
+          FROM (SELECT st0.* FROM st0 JOIN small USING (c_nationkey, cat1, cat2)) s JOIN law l ON l.m=s.n1 AND l.i=s.n1+s.n2 GROUP BY 1,2,3""",
+)
+
+
+@query(
+    "rank_sum_exact",
+    with_(
+        "",
+        f"""SELECT st2.c_nationkey, cat1, cat2, n1, n2, w::DOUBLE AS w, round(coalesce(p, least(1.0::DOUBLE,2*{sf_sql('az')})),6) AS pvalue
+            FROM st2 LEFT JOIN ex USING (c_nationkey, cat1, cat2)""",
+        **SMALL,
+    ),
+)
+def rank_sum_exact(t):
+    tested = T.rank_sum(t.table("customer"), "c_mktsegment", "c_acctbal", "two-sided", by=["c_nationkey"], exact_below=50)
+    return rounded(tested.drop("z"), "pvalue")
+
+
 @query(
     "midrank",
     "SELECT DISTINCT l_quantity AS value, count(*) OVER (PARTITION BY l_quantity) AS n_ties, rank() OVER (ORDER BY l_quantity)+(count(*) OVER (PARTITION BY l_quantity)-1)/2.0::DOUBLE AS midrank FROM lineitem",

@@ -204,3 +204,26 @@ def test_adjustment_and_ranks_with_a_null_group(spark, mode):
     assert got == [("None", "0.01", 0.02), ("None", "0.02", 0.02), ("None", "None", None), ("a", "0.01", 0.02), ("a", "0.5", 0.5)]
     ranks = T.ecdf_rank(df.filter("pvalue IS NOT NULL"), "pvalue", ["g"]).collect()
     assert sorted((str(r["g"]), r["ecdf"]) for r in ranks) == [("None", 0.5), ("None", 1.0), ("a", 0.5), ("a", 1.0)]
+
+
+def test_the_law_of_rank_sums_like_all_orders():
+    for n1, n2 in [(1, 1), (1, 5), (3, 3), (3, 4), (4, 6), (5, 2)]:
+        every = [sum(a > b for a in x for b in set(range(n1 + n2)) - set(x)) for x in combinations(range(n1 + n2), n1)]
+        assert T.upper_tails(n1, n2) == pytest.approx([sum(e >= w for e in every) / len(every) for w in range(n1 * n2 + 1)])
+    big = T.upper_tails(49, 49)
+    assert big[0] == 1.0 and big[-1] == pytest.approx(1 / math.comb(98, 49), rel=1e-14)
+
+
+def test_rank_sums_are_exact_for_small_samples_without_ties(spark, mode):
+    rows = [("t", "x", v) for v in (3.0, 4.0, 5.0)] + [("t", "y", v) for v in (1.0, 2.0)]
+    rows += [("tied", "x", v) for v in (3.0, 4.0, 5.0)] + [("tied", "y", v) for v in (1.0, 3.0)]
+    rows += [("wide", "x", 2.0 * k) for k in range(5)] + [("wide", "y", 2.0 * k + 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "g string, category string, value double")
+    p = {r["g"]: r["pvalue"] for r in T.rank_sum(df, by=["g"], exact_below=5).collect()}
+    near = {r["g"]: r["pvalue"] for r in T.rank_sum(df, by=["g"]).collect()}
+    assert p["t"] == pytest.approx(0.1) and p["tied"] == near["tied"] and p["wide"] == near["wide"] and near["t"] != pytest.approx(0.1)
+    two = {r["g"]: r["pvalue"] for r in T.rank_sum(df, alternative="two-sided", by=["g"], exact_below=5).collect()}
+    assert two["t"] == pytest.approx(0.2)
+    assert T.rank_sum(df.limit(0), by=["g"], exact_below=5).count() == 0
+    with pytest.raises(ValueError):
+        T.rank_sum(df, exact_below=51)
