@@ -238,6 +238,27 @@ def count_sites_zero_filled(entities: DataFrame, sites: DataFrame, key: str, nam
     return entities.select(key).distinct().join(per, key, "left").na.fill({name: 0})
 
 
+#: Bits of an alignment's ``flag`` as the alignment format fixes them.
+PROPER_PAIR, UNMAPPED, REVERSE, FIRST_MATE = 2, 4, 16, 64
+
+
+def flagged_reads(reads: DataFrame, locus: DataFrame | None = None) -> DataFrame:
+    """Mapped reads of proper pairs that overlap ``locus(seq, start, end)``, with ``strand`` and ``mate`` from ``flag``.
+
+    The strand is that of the fragment: + where a first mate lies reversed or a second one
+    forward, else -.  A null flag says nothing of a pair, so such reads go.  A pair with one
+    mate outside the locus keeps the other.
+    """
+    def has(bit: int) -> Column:
+        return F.col("flag").bitwiseAND(F.lit(bit)) != 0
+
+    first = has(FIRST_MATE)
+    kept = reads.filter(has(PROPER_PAIR) & ~has(UNMAPPED)).withColumns(
+        {"strand": F.when(first == has(REVERSE), F.lit("+")).otherwise(F.lit("-")), "mate": F.when(first, 1).otherwise(2)}
+    )
+    return kept if locus is None else overlaps_any(kept, locus)
+
+
 def bridging_pairs(
     reads: DataFrame, set_j: DataFrame, set_c: DataFrame, pad: int = 1, by: Sequence[str] = ("qname",)
 ) -> DataFrame:

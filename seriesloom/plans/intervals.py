@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.operators import intervals as V
 from seriesloom.operators.scan import running
 from seriesloom.operators.statistics import conservation_summary, empirical_pvalue
-from seriesloom.plans.bindings import Tables, epoch_seconds, rounded, with_
+from seriesloom.plans.bindings import Tables, day_number, epoch_seconds, rounded, with_
 from seriesloom.plans.registry import query
 
 BIN = 100_000
@@ -237,6 +237,53 @@ def bridge_isotype_counts(t):
     return symbols(c).join(counted, "symbol", "left").na.fill({"n_pairs": 0})
 
 
+# Alignments with a bit field: lines as mates in turn, proper unless open, some unmapped; the locus is a window of days.
+LOCUS = (900, 2100)
+FLAGGED = dict(
+    aligned="""SELECT l_orderkey AS qname, 'locus' AS seq, s AS start, s + CAST(l_quantity AS BIGINT) AS "end",
+               (CASE WHEN l_returnflag<>'N' OR l_tax>0.02 THEN 2 ELSE 0 END) + (CASE WHEN l_discount=0 THEN 4 ELSE 0 END)
+               + (CASE WHEN l_linestatus='O' THEN 16 ELSE 0 END) + (CASE WHEN l_linenumber%2=1 THEN 64 ELSE 128 END) AS flag
+               FROM (SELECT *, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s FROM lineitem)""",
+    reads=f"""SELECT qname, seq, start, "end", CASE WHEN (flag & 64 <> 0) = (flag & 16 <> 0) THEN '+' ELSE '-' END AS strand
+              FROM aligned WHERE flag & 2 <> 0 AND flag & 4 = 0 AND start < "end" AND start < {LOCUS[1]} AND "end" > {LOCUS[0]}""",
+)
+
+
+def located_reads(t: Tables):
+    bit = lambda when, value: F.when(when, value).otherwise(0)
+    flag = (
+        bit((F.col("l_returnflag") != "N") | (F.col("l_tax") > 0.02), V.PROPER_PAIR)
+        + bit(F.col("l_discount") == 0, V.UNMAPPED)
+        + bit(F.col("l_linestatus") == "O", V.REVERSE)
+        + F.when(F.col("l_linenumber") % 2 == 1, V.FIRST_MATE).otherwise(128)
+    )
+    start = day_number("l_shipdate")
+    reads = t.lineitem.select(
+        F.col("l_orderkey").alias("qname"), F.lit("locus").alias("seq"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), flag.alias("flag")
+    )
+    locus = reads.agg(F.lit("locus").alias("seq"), F.lit(LOCUS[0]).cast("long").alias("start"), F.lit(LOCUS[1]).cast("long").alias("end"))
+    return V.flagged_reads(reads, locus)
+
+
+@query("read_pair_bridge_flagged", with_("seg", "SELECT qname FROM ok", **FLAGGED, **BRIDGE))
+def read_pair_bridge_flagged(t):
+    return V.bridging_pairs(located_reads(t), t.segments("ECONOMY"), t.segments("STANDARD")).select("qname").distinct()
+
+
+@query(
+    "stranded_coverage_flagged",
+    with_(
+        "",
+        """SELECT * FROM (SELECT seq, pos AS start, lead(pos) OVER w AS "end", CAST(sum(p) OVER w AS BIGINT) AS plus, CAST(-sum(m) OVER w AS BIGINT) AS minus
+           FROM st WINDOW w AS (PARTITION BY seq ORDER BY pos)) WHERE "end" IS NOT NULL""",
+        **FLAGGED,
+        **{k: v.replace("FROM iv", "FROM reads") for k, v in DEPTH.items()},
+    ),
+)
+def stranded_coverage_flagged(t):
+    return V.coverage(located_reads(t))
+
+
 def symbols(segments):
     return segments.select(F.substring_index("transcript_name", "-", 1).alias("symbol")).distinct()
 

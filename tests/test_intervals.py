@@ -201,3 +201,17 @@ def test_scores_list_no_bases(spark):
     assert V.interval_scores(sites, track, gaps).first()["score"] == pytest.approx((10**8 - 10) * 0.5 / 10**9)
     assert V.interval_scores(sites, track.limit(0)).first()["score"] == 0.0
     assert V.interval_scores(sites.limit(0), track).count() == 0
+
+
+def test_flags_tell_proper_pairs_mates_and_strands(spark, mode):
+    rows = [("p", 10, 99), ("p", 50, 147), ("q", 10, 83), ("q", 50, 163), ("improper", 10, 65), ("improper", 50, 129)]
+    rows += [("unmapped", 10, 99 + 4), ("unmapped", 50, 147), ("out", 10, 99), ("out", 900, 147), ("none", 10, None), ("none", 50, 147)]
+    reads = spark.createDataFrame([(q, "c", s, s + 3, f) for q, s, f in rows], "qname string, seq string, start long, end long, flag int")
+    one = lambda *x: spark.createDataFrame([("c", *x)], "seq string, start long, end long")
+    got = V.flagged_reads(reads, one(0, 100))
+    assert sorted((r["qname"], r["start"], r["mate"], r["strand"]) for r in got.collect()) == [
+        ("none", 50, 2, "-"), ("out", 10, 1, "-"), ("p", 10, 1, "-"), ("p", 50, 2, "-"), ("q", 10, 1, "+"), ("q", 50, 2, "+"), ("unmapped", 50, 2, "-"),
+    ]
+    bridged = V.bridging_pairs(got, one(8, 14), one(48, 60))
+    assert sorted({r["qname"] for r in bridged.collect()}) == ["p", "q"]
+    assert V.flagged_reads(reads).count() == 8
