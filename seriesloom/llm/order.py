@@ -75,7 +75,7 @@ def _counts(docs: DataFrame, tokenizer: str, length: int) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, n = encoder(tokenizer), 0
         for batch in batches:
-            n += sum(len(encode(t.as_py() or "")) + 1 for t in batch.column("text"))
+            n += sum(len(encode.ids(t.as_py() or "")) + 1 for t in batch.column("text"))
         if n:
             yield pa.record_batch([[TaskContext.get().partitionId()], pa.array([-(-n // length)], pa.int64())], ["task", "n"])
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import json
 import os
-from array import array
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import tiktoken
@@ -17,6 +18,25 @@ END_OF_TEXT = 2
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same but for its lookahead, which costs a third of the time.  It matters only where white space of
+#: two or more characters ends before other text: the last of them belongs to that text's piece.
+PLAIN_PATTERN = PATTERN.replace(r"|\s+(?!\S)", "")
+#: Latin-1 bytes with every white space as a blank.
+_BLANKED = bytes(32 if chr(b) in "\t\n\v\f\r \x85\xa0" else b for b in range(256))
+_TEXT = re.compile(rb"[^ ]")
+
+
+def _spans(blanked: bytes) -> Iterator[tuple[int, int]]:
+    """Parts of a text, cut before the last white space of every run of two or more that other text follows."""
+    start = at = 0
+    while (at := blanked.find(b"  ", at)) >= 0:
+        follows = _TEXT.search(blanked, at)
+        if follows is None:
+            break
+        yield start, follows.start() - 1
+        start = at = follows.start() - 1
+    yield start, len(blanked)
+
 
 def _byte_of_letter() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others as letters from 256 on."""
@@ -58,23 +78,27 @@ class Encoder:
         if made != sorted(made) or len(vocab) != 256 + len(made):
             return None
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
-        return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # No Latin-1 text holds the special token; without any, every place would be tried for an empty one.
+        return tiktoken.Encoding("byte_bpe", pat_str=PLAIN_PATTERN, mergeable_ranks=ranks, special_tokens={"\uffff": max(ranks.values()) + 1})
 
-    def __call__(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
+        """Little-endian 32-bit ids of a text."""
         if self.fast is not None and not any(s in text for s in self.special):
             try:
-                text.encode("latin-1")
+                blanked = text.encode("latin-1").translate(_BLANKED)
             except UnicodeEncodeError:
                 pass
             else:
-                return self.fast.encode_ordinary(text)
-        return self.exact.encode(text, add_special_tokens=False).ids
+                parts = [self.fast.encode_to_numpy(text[i:j], disallowed_special=()) for i, j in _spans(blanked)]
+                return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def __call__(self, text: str) -> list[int]:
+        return self.ids(text).tolist()
 
     def ended(self, text: str, end: int = END_OF_TEXT) -> np.ndarray:
         """Little-endian 32-bit ids of a document with its end."""
-        ids = self(text)
-        ids.append(end)
-        return np.frombuffer(array("I", ids), dtype="<u4")
+        return np.append(self.ids(text), np.uint32(end))
 
 
 @functools.lru_cache(maxsize=4)

@@ -106,6 +106,11 @@ def test_encoder_gives_the_tokenizers_ids(exact):
     texts = ["".join(rng.choice(letters[: 280 if k % 4 else None]) for _ in range(rng.randrange(60))) for k in range(1500)]
     for t in [*texts, "", "<|endoftext|>", "x<|endoftext|>y"]:
         assert encode(t) == exact.encode(t, add_special_tokens=False).ids
+    # White space of every kind and length, before, between and after other text.
+    for _ in range(3000):
+        t = "".join(rng.choice(" \t\n\v\f\r\x1c\x1f\x85\xa0aé9½'s_") for _ in range(rng.randrange(12)))
+        ids = encode.ended(t)
+        assert ids.dtype == np.dtype("<u4") and ids.tolist() == [*exact.encode(t, add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("count", [1, 2, 3, 5, 17, 1000, 4096, 70_001])
