@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.vectors import shifted_dot
 from seriesloom.operators import pairs as P
+from seriesloom.operators import warping as W
 from seriesloom.operators.expression import module_mean_profile
 from seriesloom.operators.intervals import nearest_join
 from seriesloom.operators.statistics import unordered_pairs
@@ -314,6 +315,41 @@ def adaptive_dtw(t):
     return rounded(P.pair_dtw(t.mean_l(), t.mean_g(), TIMES, k=2.0, by=BY), "distance")
 
 
+#: Vectors read as series of this length, and how far their paths may leave the diagonal.
+LONG, BAND = 64, 4
+LONG_SQL = dict(
+    xy="""SELECT a.label, a.vec_id AS a, b.vec_id AS b, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y
+          FROM embeddings a JOIN embeddings b ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id<b.vec_id""",
+    **dtw_ctes("xy", LONG, "label, a, b", BAND),
+)
+
+
+def long_series(t):
+    return t.table("embeddings").select("label", F.col("vec_id").alias("entity"), F.col("embedding").alias("series"))
+
+
+@query("warped_within", "WITH RECURSIVE " + with_("", "SELECT label, a, b, round(d,6) AS distance FROM dw WHERE d<=6.5", **LONG_SQL).removeprefix("WITH "))
+def warped_within(t):
+    """Pairs of vectors of one label at warping distance 6.5 or less."""
+    return rounded(W.warped_within(long_series(t), None, LONG, 6.5, BAND, ["label"]), "distance")
+
+
+@query(
+    "warped_nearest",
+    "WITH RECURSIVE "
+    + with_(
+        "",
+        """SELECT label, a, row_number() OVER (PARTITION BY label, a ORDER BY distance, b) AS rank, b, round(distance,6) AS distance
+           FROM both_ways QUALIFY rank<=3""",
+        **LONG_SQL,
+        both_ways="SELECT label, a, b, round(d,9) AS distance FROM dw UNION ALL SELECT label, b, a, round(d,9) FROM dw",
+    ).removeprefix("WITH "),
+)
+def warped_nearest(t):
+    """The three nearest vectors of the same label by warping distance."""
+    return rounded(W.warped_nearest(long_series(t), None, LONG, 3, BAND, ["label"]), "distance")
+
+
 @query(
     "covariance_sum_filter",
     with_(

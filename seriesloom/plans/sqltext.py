@@ -78,11 +78,13 @@ def signif_sql(x: str, digits: int) -> str:
     return f"(CASE WHEN {x}=0 THEN 0.0 ELSE round({x}*{scale})/{scale} END)"
 
 
-def dtw_ctes(src: str, n: int, keys: str = "a, b") -> dict[str, str]:
+def dtw_ctes(src: str, n: int, keys: str = "a, b", band: int | None = None) -> dict[str, str]:
     """Warping distance of the list columns ``x`` and ``y`` of ``src``: one CTE per row of the cost table.
 
-    ``dw`` holds the result as ``d``.
+    ``dw`` holds the result as ``d``; cells further than ``band`` from the diagonal have no cost.
     """
+    if band is not None:
+        return _banded_ctes(src, n, keys, band)
     out, before = {}, src
     for i in range(1, n + 1):
         cells = []
@@ -101,6 +103,22 @@ def dtw_ctes(src: str, n: int, keys: str = "a, b") -> dict[str, str]:
     return out
 
 
+def _banded_ctes(src: str, n: int, keys: str, band: int) -> dict[str, str]:
+    """By diagonals of the table, whose cells need only the two diagonals before: a step of the recursion each."""
+    cell = lambda name, i: f"coalesce({name}[{i}], 'inf'::DOUBLE)"
+    cost = "abs(x[i]-y[s-i])"
+    steps = f"least({cell('p', 'i-1')}+{cost}, {cell('p', 'i')}+{cost}, {cell('q', 'i-1')}+2*{cost})"
+    inside = f"s-i BETWEEN 1 AND {n} AND abs(s-2*i)<={band}"
+    row = f"list_transform(range(1, {n + 1}), lambda i: CASE WHEN {inside} THEN {steps} END)"
+    first = f"list_transform(range(1, {n + 1}), lambda i: CASE WHEN i=1 THEN abs(x[1]-y[1]) END)"
+    nothing = f"list_transform(range(1, {n + 1}), lambda i: NULL::DOUBLE)"
+    return dict(
+        dg=f"""SELECT {keys}, x, y, 3 AS s, {first} AS p, {nothing} AS q FROM {src}
+               UNION ALL SELECT {keys}, x, y, s+1, {row}, p FROM dg WHERE s<={2 * n}""",
+        dw=f"SELECT {keys}, p[{n}] AS d FROM dg WHERE s={2 * n + 1}",
+    )
+
+
 def f_tail_sql(f: str, df1: str, df2: str, steps: int = 4000) -> str:
     """P(F > f) by Simpson's rule on the incomplete beta integral; smooth for df1 > 2 and df2 > 2."""
     a, b, x = f"({df2}/2.0::DOUBLE)", f"({df1}/2.0::DOUBLE)", f"({df2}/({df2}+{df1}*{f}))"
