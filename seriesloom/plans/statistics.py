@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesloom.functions.numeric import safe_div
 from seriesloom.operators import annotate as N
 from seriesloom.operators import sets as S
+from seriesloom.operators import odds as O
 from seriesloom.operators import statistics as T
 from seriesloom.operators.pairs import filter_pairs, pair_corr
 from seriesloom.operators.scan import exact_quantiles
@@ -141,6 +143,43 @@ def fisher_greater(t):
     return rounded(T.fisher(flag_tables(t), "greater"), "odds", "pvalue")
 
 
+def odds_root_ctes(src: str) -> dict[str, str]:
+    """Estimate and 95 % limits of ``src(id, a, b, c, d)`` by halving over the listed chances of all counts; ``ro`` holds them."""
+    law = "list_transform(ks, lambda k: lws[k-k0+1]+k*x)"
+    p = "list_transform(l, lambda v: exp(v-list_max(l)))"
+    tail = lambda side: f"list_sum(list_transform(range(1, len(p)+1), lambda i: CASE WHEN k0+i-1{side}a THEN p[i] ELSE 0 END))/list_sum(p)"
+    mean = "list_sum(list_transform(range(1, len(p)+1), lambda i: (k0+i-1)*p[i]))/list_sum(p)"
+    low = f"CASE which WHEN 'estimate' THEN {mean}<a WHEN 'low' THEN {tail('>=')}<0.025 ELSE {tail('<=')}>0.025 END"
+    return dict(
+        mg=f"SELECT id, a, a+b AS r, a+c AS cl, a+b+c+d AS n, greatest(0, a+b+a+c-(a+b+c+d)) AS k0, least(a+b, a+c) AS k1 FROM {src}",
+        lw="""SELECT id, a, k0, k1, range(k0, k1+1) AS ks,
+              list_transform(range(k0, k1+1), lambda k: -(lgamma(k+1)+lgamma(r-k+1)+lgamma(cl-k+1)+lgamma(n-r-cl+k+1))) AS lws FROM mg WHERE k1>k0""",
+        bi=f"""SELECT id, a, k0, k1, ks, lws, which, -30.0::DOUBLE AS lo, 30.0::DOUBLE AS hi, 0 AS step FROM lw, (VALUES ('estimate'), ('low'), ('high')) w(which)
+               UNION ALL SELECT id, a, k0, k1, ks, lws, which, CASE WHEN up THEN x ELSE lo END, CASE WHEN up THEN hi ELSE x END, step+1 FROM
+               (SELECT *, {low} AS up FROM (SELECT *, {p} AS p FROM (SELECT *, {law} AS l FROM (SELECT *, (lo+hi)/2 AS x FROM bi WHERE step<60))))""",
+        ro="""SELECT id, max(CASE WHEN which='estimate' THEN CASE WHEN a=k0 THEN 0.0::DOUBLE WHEN a=k1 THEN 'inf'::DOUBLE ELSE exp(lo) END END) AS estimate,
+              max(CASE WHEN which='low' THEN CASE WHEN a=k0 THEN 0.0::DOUBLE ELSE exp(lo) END END) AS low,
+              max(CASE WHEN which='high' THEN CASE WHEN a=k1 THEN 'inf'::DOUBLE ELSE exp(lo) END END) AS high FROM bi WHERE step=60 GROUP BY 1""",
+    )
+
+
+@query(
+    "odds_interval",
+    "WITH RECURSIVE "
+    + with_(
+        "",
+        """SELECT fl.id, a, b, c, d, round(a*d/nullif(b*c::DOUBLE,0),6) AS odds, round(estimate,6) AS estimate, round(coalesce(low,0.0::DOUBLE),6) AS low,
+           round(coalesce(high,'inf'::DOUBLE),6) AS high FROM fl LEFT JOIN ro ON ro.id=fl.id""",
+        fl=FLAGS,
+        **odds_root_ctes("fl"),
+    ).removeprefix("WITH "),
+)
+def odds_interval(t):
+    """The conditional odds ratio with its 95 % limits beside the sample ratio."""
+    tables = flag_tables(t).withColumn("odds", safe_div(F.col("a").cast("double") * F.col("d"), (F.col("b") * F.col("c")).cast("double")))
+    return rounded(O.odds_interval(tables), "odds", "estimate", "low", "high")
+
+
 PVALS = f"SELECT id, {hyper_sql('a', 'a+b', 'a+c', 'a+b+c+d', True)} AS pvalue FROM ({FLAGS})"
 
 
