@@ -45,7 +45,7 @@ SAMPLE = [
     "xcorr_lag_k", "temporal_corr", "summary_se", "size_factors", "inner_enrich_expr", "shared_tokens", "nearest_feature",
     "stranded_coverage", "empirical_pvalue", "rank_sum_test", "fisher_2x2", "token_enrichment", "trend_test",
     "concordance_metrics", "scan_gtf", "scan_aligner_report", "scan_maf_blocks", "site_count_report", "annotate_pair_list",
-    "filter_abs_threshold", "agreement_clusters",
+    "filter_abs_threshold", "agreement_clusters", "odds_interval",
 ]
 
 
