@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from seriesloom.functions.numeric import safe_div
 from seriesloom.operators.pairs import block_pairs
 from seriesloom.operators.skew import salted_join
-from seriesloom.session import materialize
+from seriesloom.session import materialize, shuffle_width
+
+#: Members of a class in a list on average at most, and the lists of a class on the left that meet one copy of it on the right.
+LIST = 64
+#: Pairs that a task deals out on average.
+PAIRS_A_TASK = 4_000_000
 
 
 def concordance(df: DataFrame) -> DataFrame:
@@ -57,29 +62,60 @@ def concordance_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def co_occurrence(df: DataFrame, iterations: Sequence, min_fraction: float | None = None) -> DataFrame:
+def _label_arrays(df: DataFrame, iterations: Sequence) -> DataFrame:
+    """``entity, labels``: the labels of every entity as one short array."""
+    cells = [F.max(F.when(F.col("iteration") == it, F.col("cluster"))).alias(f"_{i}") for i, it in enumerate(iterations)]
+    return df.groupBy("entity").agg(*cells).select("entity", F.array(*[F.col(f"_{i}") for i in range(len(iterations))]).alias("labels"))
+
+
+def _needed(iterations: Sequence, min_fraction: float | None) -> int:
+    return 0 if min_fraction is None else math.ceil(min_fraction * len(iterations) - 1e-9)
+
+
+def _agreeing(labels: DataFrame, needed: int) -> tuple[DataFrame, DataFrame]:
+    """(entities that agree with themselves, their classes ``labels, representative, _n``): a class has equal labels."""
+    kept = labels.filter((F.size(F.filter("labels", lambda v: v.isNotNull())) >= needed) & F.col("entity").isNotNull())
+    return kept, materialize(kept.groupBy("labels").agg(F.min("entity").alias("representative"), F.count(F.lit(1)).alias("_n")))
+
+
+def agreement_classes(df: DataFrame, iterations: Sequence, min_fraction: float) -> DataFrame:
+    """``entity, representative``: entities of equal labels go by the smallest one of them.
+
+    An entity with too few labels to agree with itself is a class of its own.
+    """
+    labels, needed = materialize(_label_arrays(df, iterations)), _needed(iterations, min_fraction)
+    kept, classes = _agreeing(labels, needed)
+    sized = classes.select("labels", "_n")
+    found = salted_join(kept, classes.drop("_n"), "labels", key_counts=sized, nulls_meet=True).select("entity", "representative")
+    others = labels.join(kept.select("entity"), "entity", "left_anti")
+    return found.unionByName(others.select("entity", F.col("entity").alias("representative")))
+
+
+def co_occurrence(df: DataFrame, iterations: Sequence, min_fraction: float | None = None, representatives: bool = False) -> DataFrame:
     """Share of iterations in which two entities fall into one cluster (a <= b).
 
     Entities carry their labels as one short array.  Without a least share all pairs meet on a grid
     of blocks, since all of them are the result.  With one, entities may differ in so many iterations
     at most; the iterations are cut into one group more than that, and by the pigeonhole
-    principle a pair agrees throughout some group.  So entities meet by their labels in a group, on a grid
-    of their own for every such key, and a pair counts at the first group it agrees in.
+    principle a pair agrees throughout some group.  So labels meet by those of a group, on a grid
+    of their own for every such key, and a pair counts at the first group it agrees in.  Entities of equal
+    labels are compared once, by their representative, and then dealt out to pairs in lists; with
+    ``representatives`` (of ``agreement_classes``) only the pairs of these are given.
     """
-    n = len(iterations)
-    cells = [F.max(F.when(F.col("iteration") == it, F.col("cluster"))).alias(f"_{i}") for i, it in enumerate(iterations)]
-    labels = df.groupBy("entity").agg(*cells).select("entity", F.array(*[F.col(f"_{i}") for i in range(n)]).alias("labels"))
+    n, needed = len(iterations), _needed(iterations, min_fraction)
+    labels = _label_arrays(df, iterations)
     equal = [F.coalesce(F.col("a_labels")[i] == F.col("b_labels")[i], F.lit(False)) for i in range(n)]
     share = (sum((F.when(e, 1).otherwise(0) for e in equal), F.lit(0)) / F.lit(n)).alias("fraction")
     pair = [F.col("a_entity").alias("a"), F.col("b_entity").alias("b")]
-    needed = 0 if min_fraction is None else math.ceil(min_fraction * n - 1e-9)
     if needed <= 0:
         return block_pairs(labels, labels, "entity", same=True).select(*pair, share)
     if needed > n:
         return block_pairs(labels.filter("false"), labels, "entity", same=True).select(*pair, share)
+    kept, classes = _agreeing(labels if representatives else materialize(labels), needed)
     groups = [list(g) for g in np.array_split(np.arange(n), n - needed + 1)]
     keys = [F.struct(F.lit(k).alias("_group"), F.array(*[F.col("labels")[int(i)].cast("string") for i in g]).alias("_same")) for k, g in enumerate(groups)]
-    filed = labels.select("entity", "labels", F.inline(F.array(*keys))).filter(~F.exists("_same", lambda x: x.isNull()))
+    listed = classes.select(F.col("representative").alias("entity"), "labels", F.inline(F.array(*keys)))
+    filed = listed.filter(~F.exists("_same", lambda x: x.isNull()))
     met = block_pairs(filed, filed, "entity", same=True, by=["_group", "_same"])
     first = F.lit(None).cast("int")
     for k in reversed(range(len(groups))):
@@ -88,7 +124,36 @@ def co_occurrence(df: DataFrame, iterations: Sequence, min_fraction: float | Non
             agrees = agrees & equal[int(i)]
         first = F.when(agrees, k).otherwise(first)
     scored = met.filter(first == F.col("_group")).select(*pair, share)
-    return scored.filter(F.col("fraction") >= needed / n - 1e-9)
+    found = scored.filter(F.col("fraction") >= needed / n - 1e-9)
+    return found if representatives else _dealt_out(found, kept, classes)
+
+
+def _dealt_out(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b, fraction`` of all members of the classes that ``pairs`` of representatives join.
+
+    Members come in lists of bounded size.  A class on the right is repeated for every so many lists that meet it,
+    so neither a large class nor one with many partners ends up in one task.
+    """
+    pairs, sized = materialize(pairs), classes.select("labels", "_n")
+    known = salted_join(members, classes, "labels", key_counts=sized, nulls_meet=True)
+    part = F.pmod(F.xxhash64("entity"), F.ceil(F.col("_n") / LIST)).cast("int")
+    lists = known.groupBy("representative", part.alias("_part")).agg(F.collect_list("entity").alias("_list"))
+    lists = materialize(lists)
+    left = lists.select(F.col("representative").alias("a"), F.col("_part").alias("_i"), F.col("_list").alias("_x"))
+    met = salted_join(pairs, left, "a", key_counts=pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
+    met = materialize(met)
+    salts = materialize(met.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_salts")))
+    right = salted_join(lists.select(F.col("representative").alias("b"), F.col("_list").alias("_y")), salts, "b")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    met = salted_join(met, salts, "b").withColumn("_salt", F.pmod(F.xxhash64("a", "_i"), F.col("_salts")).cast("int")).drop("_salts")
+    # Lists go in and pairs come out: the tasks follow the pairs.
+    sizes = classes.select("representative", "_n")
+    count = pairs.join(sizes.toDF("a", "_a"), "a").join(sizes.toDF("b", "_b"), "b").agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 1
+    tasks, on = max(shuffle_width(pairs), count // PAIRS_A_TASK), ["b", "_salt"]
+    dealt = met.repartition(tasks, *on).join(right.repartition(tasks, *on), on)
+    rows = dealt.select((F.col("a") == F.col("b")).alias("_own"), "fraction", "_y", F.explode("_x").alias("_l")).select("_own", "fraction", "_l", F.explode("_y").alias("_r"))
+    rows = rows.filter(~F.col("_own") | (F.col("_l") <= F.col("_r")))
+    return rows.select(F.least("_l", "_r").alias("a"), F.greatest("_l", "_r").alias("b"), "fraction")
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -120,14 +185,27 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels.select(F.col("v").alias("entity"), F.col("label").alias("component"))
 
 
-def threshold_clusters(pairs: DataFrame, nodes: DataFrame, cut: float, min_size: int = 30, by: Sequence[str] = ()) -> DataFrame:
-    """Single-linkage clusters at distance ``cut``, per value of ``by``; clusters below ``min_size`` become '0'."""
+def threshold_clusters(
+    pairs: DataFrame, nodes: DataFrame, cut: float, min_size: int = 30, by: Sequence[str] = (), members: DataFrame | None = None
+) -> DataFrame:
+    """Single-linkage clusters at distance ``cut``, per value of ``by``; clusters below ``min_size`` become '0'.
+
+    With ``members`` (``entity, representative``, the smallest of a class) the pairs are those of representatives,
+    and every entity goes where its representative does.
+    """
     by = list(by)
     near = pairs.filter(F.col("distance") <= cut)
     if by:  # an entity under another value of ``by`` is another node
         node = lambda c: F.struct(*by, F.col(c).alias("entity"))
         near, nodes = near.select(node("a").alias("a"), node("b").alias("b")), nodes.select(node("entity").alias("entity"))
-    comp = connected_components(near, nodes)
+        members = members and members.select(node("entity").alias("entity"), node("representative").alias("representative"))
+    if members is None:
+        comp = connected_components(near, nodes)
+    else:
+        members = materialize(nodes.join(members, "entity"))
+        sized = members.groupBy("representative").agg(F.count(F.lit(1)).alias("_n"))
+        comp = connected_components(near, sized.select(F.col("representative").alias("entity")))
+        comp = salted_join(members, comp.withColumnRenamed("entity", "representative"), "representative", key_counts=sized).drop("representative")
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     out = salted_join(comp, sizes, "component", key_counts=sizes.withColumnRenamed("size", "_n"))
     label = F.col("component.entity") if by else F.col("component")

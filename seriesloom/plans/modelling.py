@@ -14,6 +14,7 @@ from seriesloom.plans.expression import normalised
 from seriesloom.plans.pairs import supplier_profiles
 from seriesloom.plans.registry import query
 from seriesloom.plans.sqltext import f_tail_sql, quadratic_ctes
+from seriesloom.session import materialize
 
 
 def quartile_clusters(rows, entity):
@@ -80,9 +81,10 @@ def agreement_pairs(t):
 )
 def agreement_clusters(t):
     """Clusters of suppliers by the share of years in which they do not fall into one cluster."""
-    rows = quartile_clusters(t.lineitem, F.col("l_suppkey").cast("string"))
-    near = C.co_occurrence(rows, TIMES, AGREED).withColumn("distance", 1 - F.col("fraction"))
-    return C.threshold_clusters(near, rows.select("entity").distinct(), 1 - AGREED + 1e-9, MIN_SIZE)
+    rows = materialize(quartile_clusters(t.lineitem, F.col("l_suppkey").cast("string")))
+    same = C.agreement_classes(rows, TIMES, AGREED)
+    near = C.co_occurrence(rows, TIMES, AGREED, representatives=True).withColumn("distance", 1 - F.col("fraction"))
+    return C.threshold_clusters(near, rows.select("entity").distinct(), 1 - AGREED + 1e-9, MIN_SIZE, members=same)
 
 
 CONCORDANCE = dict(

@@ -315,3 +315,26 @@ def test_agreement_equals_all_pairs(spark, monkeypatch, share):
     found = C.co_occurrence(df, range(7), share)
     got = found.collect()
     assert {(r["a"], r["b"]): pytest.approx(r["fraction"]) for r in got} == want and len(got) == len(want)
+
+
+def test_equal_labels_are_compared_once(spark, monkeypatch):
+    """Many entities share their labels: pairs come from classes, clusters from their representatives alone."""
+    monkeypatch.setattr(C, "LIST", 4)
+    kinds = [(0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 1, 1), (2, 2, 2, 2), (3, 3, 3, None), (None, 5, 5, None), (6, None, None, None)]
+    labels = {f"e{k:03d}": kinds[k % 7 if k < 90 else 0] for k in range(150)}
+    rows = [(it, e, c) for e, ls in labels.items() for it, c in enumerate(ls) if c is not None]
+    df = spark.createDataFrame([*rows, (0, None, 0)], "iteration int, entity string, cluster int")
+    names, want = sorted(labels), {}
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            n = sum(x is not None and x == y for x, y in zip(labels[a], labels[b]))
+            if n >= 3:
+                want[a, b] = n / 4
+    found = C.co_occurrence(df, range(4), 0.75).collect()
+    assert {(r.a, r.b): r.fraction for r in found} == want and len(found) == len(want) > 2000
+    near = C.co_occurrence(df, range(4), 0.75, representatives=True).withColumn("distance", 1 - F.col("fraction"))
+    assert {(r.a, r.b) for r in near.collect()} == {("e000", "e000"), ("e000", "e001"), ("e001", "e001"), ("e001", "e002"), ("e002", "e002"), ("e003", "e003"), ("e004", "e004")}
+    nodes = df.select("entity").distinct()
+    got = C.threshold_clusters(near, nodes, 0.25, 3, members=C.agreement_classes(df, range(4), 0.75)).collect()
+    plain = C.threshold_clusters(C.co_occurrence(df, range(4), 0.75).withColumn("distance", 1 - F.col("fraction")), nodes, 0.25, 3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and len(got) == 150
