@@ -4,6 +4,7 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,34 @@ def test_rank_sums_are_exact_for_small_samples_without_ties(spark, mode):
     assert T.rank_sum(df.limit(0), by=["g"], exact_below=5).count() == 0
     with pytest.raises(ValueError):
         T.rank_sum(df, exact_below=51)
+
+
+def test_draws_meet_their_values_in_parts(spark, monkeypatch):
+    """No draw is a row: sites and values meet in parts, also where a sequence has several of both."""
+    from hashlib import md5
+
+    rng = np.random.default_rng(5)
+    score = {p: [float(round(v, 3))] for p, v in zip(range(0, 60, 2), rng.normal(size=30))}
+    score[8].append(2.5)  # a base with two scores counts twice
+    track = spark.createDataFrame([("c", p, v) for p, vs in score.items() for v in vs], "seq string, pos long, score double")
+    hosts = spark.createDataFrame([("c", 0, 60), ("d", 0, 40)], "seq string, start long, end long")
+    spans = {f"s{k}": (k * 4, k * 4 + 6) for k in range(9)}
+    sites = spark.createDataFrame([(i, "c", a, b) for i, (a, b) in spans.items()] + [("t", "d", 3, 9)], "id string, seq string, start long, end long")
+    got = {}
+    for held in (1_000_000, 7):
+        monkeypatch.setattr(T, "VALUES_HELD", held)
+        monkeypatch.setattr(T, "SITES_HELD", 4)
+        monkeypatch.setattr(T, "DRAWS_AT_ONCE", 100)
+        out = T.empirical_pvalue(sites, hosts, track, 40, seed=3)
+        got[held] = {r["id"]: (r["score"], r["pvalue"]) for r in out.collect()}
+    assert got[7] == got[1_000_000] and got[7]["t"] == (0.0, 0.0)
+    for name, (a, b) in spans.items():
+        m0, above = max(a, 5), 0
+        masked = max(min(b, 56) - m0, 0)
+        for p in range(1, 41):
+            drawn = []
+            for d in range(1, 7):
+                at = 5 + int(md5(f"{name}|{p}|{d}|3".encode()).hexdigest()[:8], 16) % (60 - 9 - masked)
+                drawn += score.get(at + masked if masked and at >= m0 else at, [0.0])
+            above += round(sum(drawn) / len(drawn), 9) > round(got[7][name][0], 9)
+        assert got[7][name][1] == above / 40
