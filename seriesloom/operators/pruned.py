@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.vectors import shifted_dot
-from seriesloom.operators.skew import salted_join
+from seriesloom.operators.skew import null_safe, salted_join
 from seriesloom.session import materialize, shuffle_width
 
 #: Pivots of a value of ``by``: so many times the root of its rows, and so many at most.
@@ -37,6 +37,21 @@ def _product(pivot: Column, length: int) -> Column:
     return sum((F.col("u")[i] * pivot[i] for i in range(1, length)), F.col("u")[0] * pivot[0])
 
 
+def _beside(rows: DataFrame, counts: DataFrame, listed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the list of their value of ``by``, in parts of about ``PART_ROWS`` that tasks share evenly.
+
+    Every row is held against a whole list, so the work is far larger than the rows: the number of tasks
+    follows the parts and is not left to the size of the shuffle.
+    """
+    parts = counts.select(*by, F.monotonically_increasing_id().alias("_group"), F.ceil(F.col("_n") / PART_ROWS).cast("int").alias("_parts"))
+    parts = materialize(parts)
+    tasks = max(shuffle_width(rows), parts.agg(F.sum("_parts")).first()[0] or 1)
+    placed = salted_join(rows, parts, by, key_counts=counts, nulls_meet=True).withColumn("_part", F.pmod(F.xxhash64("entity"), "_parts").cast("int"))
+    copies = null_safe(listed, parts, by).drop(*by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    cell = ["_group", "_part"]
+    return placed.repartition(tasks, *cell).join(copies.repartition(tasks, *cell), cell).drop(*cell, "_parts")
+
+
 def pivot_blocks(rows: DataFrame, length: int, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_block``, blocks ``by, _block, _pivot, _radius, _n``), both stored.
 
@@ -52,7 +67,7 @@ def pivot_blocks(rows: DataFrame, length: int, by: Sequence[str]) -> tuple[DataF
     pivots = materialize(chosen.select(*by, F.col("u").alias("_pivot")).distinct().withColumn("_block", F.monotonically_increasing_id()))
     # About MAX_PIVOTS short series a value of ``by``.
     listed = pivots.groupBy(*by).agg(F.collect_list(F.struct("_block", "_pivot")).alias("_pivots"))
-    met = salted_join(rows, listed, by, key_counts=counts, nulls_meet=True)
+    met = _beside(rows, counts, listed, by)
     nearest = F.array_max(F.transform("_pivots", lambda p: F.struct(_product(p["_pivot"], length).alias("dot"), p["_block"].alias("block"))))
     met = met.withColumn("_near", nearest)
     placed = materialize(met.select(*rows.columns, F.col("_near.block").alias("_block"), _distance(F.col("_near.dot")).alias("_away")))
@@ -78,7 +93,7 @@ def visits(rows: DataFrame, blocks: DataFrame, length: int, by: Sequence[str], t
         return fits
 
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    met = salted_join(rows, listed, by, key_counts=counts, nulls_meet=True)
+    met = _beside(rows, counts, listed, by)
     return materialize(met.select(*rows.columns, F.explode(F.transform(F.filter("_blocks", near), lambda b: b["_block"])).alias("_block")))
 
 

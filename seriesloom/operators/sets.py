@@ -11,6 +11,9 @@ from seriesloom.functions.numeric import safe_div
 from seriesloom.operators.skew import salted_join
 from seriesloom.session import materialize
 
+#: Rows that may meet on a token for each of its rows, and rows of a token that meet in one task.
+MEETINGS, HOLDERS = 8, 100_000
+
 
 def intersect_n(df: DataFrame, sources: int, source: str = "source", key: str = "id", extra: Sequence[str] = ()) -> DataFrame:
     """Ids that occur in all ``sources`` lists.
@@ -75,9 +78,31 @@ def _per_entity(pairs: DataFrame, side: str) -> DataFrame:
 def _shared_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """One row per pair and token that both its entities have, with the other columns of both catalogs.
 
-    Only the smaller of a pair's two sets is listed; the other one is looked up by (entity,
-    token).  Catalogs are unique on those, so no pairs form within a token, however common it
-    is, and an entity with very many tokens or pairs is salted.
+    ``pairs`` and both catalogs are stored.  All holders of a token meet and those that are a listed
+    pair stay, so each catalog is read once however many pairs there are.  Crowded tokens, on which
+    many more rows would come out than go in or more than a task should hold, are listed per pair.
+    """
+    held = [c.groupBy("token").agg(F.count(F.lit(1)).alias(n)) for c, n in ((left, "_l"), (right, "_r"))]
+    rows = F.col("_l") + F.col("_r")
+    many = F.col("_l").cast("double") * F.col("_r") > MEETINGS * rows
+    crowded = materialize(held[0].join(held[1], "token").filter(many | (rows > HOLDERS)).select("token"))
+    if crowded.isEmpty():
+        return _shared_by_token(pairs, left, right)
+    few = [c.join(crowded, "token", "left_anti") for c in (left, right)]
+    rest = [materialize(c.join(crowded, "token", "left_semi").select(*c.columns)) for c in (left, right)]
+    return _shared_by_token(pairs, *few).unionByName(_shared_by_pair(pairs, *rest))
+
+
+def _shared_by_token(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    met = left.withColumnRenamed("entity", "a").join(right.withColumnRenamed("entity", "b"), "token")
+    return met.join(pairs.select("a", "b"), ["a", "b"])
+
+
+def _shared_by_pair(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Only the smaller of a pair's two sets is listed; the other one is looked up by (entity, token).
+
+    Catalogs are unique on those, so no pairs form within a token, however common it is, and an
+    entity with very many tokens or pairs is salted.
     """
     sizes = [c.groupBy(F.col("entity").alias(k)).agg(F.count(F.lit(1)).alias(f"_{k}")) for c, k in ((left, "a"), (right, "b"))]
     sized = salted_join(pairs, sizes[0], "a", key_counts=_per_entity(pairs, "a"))
@@ -96,7 +121,7 @@ def _shared_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
 
 def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Shared and unshared tokens per pair, shares of both sets and the joined list."""
-    pairs = materialize(pairs.select("a", "b").distinct())
+    pairs, left, right = materialize(pairs.select("a", "b").distinct()), materialize(left), materialize(right)
     shared = (
         _shared_rows(pairs, left, right)
         .groupBy("a", "b")
@@ -122,8 +147,8 @@ def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
 def shared_token_counts(pairs: DataFrame, left_sites: DataFrame, right_sites: DataFrame) -> DataFrame:
     """Sites of each shared token on both entities of a pair."""
     pairs = materialize(pairs.select("a", "b").distinct())
-    left = token_counts(left_sites).withColumnRenamed("n_sites", "sites_a")
-    right = token_counts(right_sites).withColumnRenamed("n_sites", "sites_b")
+    left = materialize(token_counts(left_sites).withColumnRenamed("n_sites", "sites_a"))
+    right = materialize(token_counts(right_sites).withColumnRenamed("n_sites", "sites_b"))
     return _shared_rows(pairs, left, right).select("a", "b", "token", "sites_a", "sites_b")
 
 

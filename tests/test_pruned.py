@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import pairs as P
 from seriesloom.operators import pruned
+from seriesloom.session import materialize
 
 TIMES = list(range(7))
 
@@ -54,3 +55,22 @@ def test_no_rows_and_no_matches(spark):
     df = clustered(spark, 2, 2)
     assert P.pair_corr(df.filter("false"), df, TIMES, min_value=0.9).count() == 0
     assert P.pair_corr(df.filter("false"), None, TIMES, min_abs=0.9).count() == 0
+
+
+def test_placing_rows_at_pivots_is_dealt_to_tasks(spark):
+    rng = np.random.default_rng(3)
+    units = rng.normal(size=(6000, 4))
+    units -= units.mean(axis=1, keepdims=True)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    # Nearly all rows have one condition, some have none.
+    cond = [None if i % 10 == 0 else "A" for i in range(6000)]
+    data = [(cond[i], f"e{i}", [float(x) for x in u]) for i, u in enumerate(units)]
+    rows = materialize(spark.createDataFrame(data, "condition string, entity string, u array<double>").coalesce(1))
+    placed, blocks = pruned.pivot_blocks(rows, 4, ["condition"])
+    assert len(placed.inputFiles()) > 1
+    assert sorted(r["entity"] for r in placed.select("entity").collect()) == sorted(d[1] for d in data)
+    pivots = {r["_block"]: (r["condition"], np.array(r["_pivot"])) for r in blocks.collect()}
+    every = {r["entity"]: r["_block"] for r in placed.collect()}
+    for c, e, u in data[:40]:
+        best = max(float(np.dot(p, u)) for k, p in pivots.values() if k == c)
+        assert pivots[every[e]][0] == c and float(np.dot(pivots[every[e]][1], u)) == pytest.approx(best)

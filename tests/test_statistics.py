@@ -259,3 +259,34 @@ def test_draws_meet_their_values_in_parts(spark, monkeypatch):
                 drawn += score.get(at + masked if masked and at >= m0 else at, [0.0])
             above += round(sum(drawn) / len(drawn), 9) > round(got[7][name][0], 9)
         assert got[7][name][1] == above / 40
+
+
+def _token_case(spark):
+    rng = random.Random(11)
+    left = sorted({(rng.choice(["l1", "l2", "l3", None]), rng.choice([None, *range(40)])) for _ in range(90)}, key=str)
+    right = sorted({(f"g{rng.randrange(12)}", rng.randrange(45)) for _ in range(200)} | {(f"g{i}", 7) for i in range(12)})
+    pairs = [("l1", f"g{i}") for i in range(12)] + [("l2", "g1"), ("l2", "g1"), ("l3", "none"), (None, "g2")]
+    frames = [spark.createDataFrame(c, "entity string, token int") for c in (left, right)]
+    want = {}
+    for a, b in set(pairs):
+        mine = {t for e, t in left if e == a and a is not None}
+        both = sorted(mine & {t for e, t in right if e == b})
+        want[a, b] = (len(both), len(mine) - len(both), ",".join(map(str, both)))
+    return spark.createDataFrame(pairs, "a string, b string"), *frames, want
+
+
+@pytest.mark.parametrize("meetings, holders", [(8, 100_000), (1, 100_000), (8, 5), (0, 0)])
+def test_shared_tokens_whatever_tokens_are_crowded(spark, monkeypatch, meetings, holders):
+    pairs, left, right, want = _token_case(spark)
+    monkeypatch.setattr(S, "MEETINGS", meetings)
+    monkeypatch.setattr(S, "HOLDERS", holders)
+    got = S.shared_tokens(pairs, left, right).collect()
+    assert len(got) == len(want)
+    assert {(r["a"], r["b"]): (r["n_shared"], r["n_unshared"], r["tokens"]) for r in got} == want
+
+
+def test_shared_tokens_lists_no_set_per_pair(spark, monkeypatch):
+    pairs, left, right, want = _token_case(spark)
+    monkeypatch.setattr(S, "_shared_by_pair", lambda *_: pytest.fail("sets listed per pair"))
+    got = S.shared_tokens(pairs, left, right).collect()
+    assert sum(r["n_shared"] for r in got) == sum(n for n, *_ in want.values())
