@@ -290,3 +290,26 @@ def test_shared_tokens_lists_no_set_per_pair(spark, monkeypatch):
     monkeypatch.setattr(S, "_shared_by_pair", lambda *_: pytest.fail("sets listed per pair"))
     got = S.shared_tokens(pairs, left, right).collect()
     assert sum(r["n_shared"] for r in got) == sum(n for n, *_ in want.values())
+
+
+def test_token_enrichment_tests_equal_counts_once(spark, monkeypatch):
+    conditions = ["A", "B", None]
+    pairs = [(c, f"l{i}", f"g{j}") for k, c in enumerate(conditions) for i in range(3 + k) for j in range(4) if (i + j + k) % 3]
+    left = [(f"l{i}", t) for i in range(6) for t in range(60) if (i + t) % 3 == 0]
+    right = [(f"g{j}", t) for j in range(4) for t in range(60) if (j * t) % 4 == 1]
+    tested, exact = [], T.exact_p
+    monkeypatch.setattr(T, "exact_p", lambda df, *a, **k: tested.append(df.count()) or exact(df, *a, **k))
+    frames = [spark.createDataFrame(c, "entity string, token int") for c in (left, right)]
+    listed = spark.createDataFrame([(t,) for t in range(70)], "token int")
+    got = T.token_enrichment(spark.createDataFrame(pairs, "condition string, a string, b string"), *frames, listed, ["condition"]).collect()
+    want = {}
+    for c in conditions:
+        a, b = {p[1] for p in pairs if p[0] == c}, {p[2] for p in pairs if p[0] == c}
+        for t in range(70):
+            want[c, t] = (sum((e, t) in left for e in a), sum((e, t) in right for e in b), len(a), len(b))
+    assert {(r["condition"], r["token"]): (r["n_a"], r["n_b"], r["t_a"], r["t_b"]) for r in got} == want and len(got) == len(want)
+    assert tested == [len(set(want.values()))]
+    for r in got:
+        held, lacking, chosen = r["n_a"] + r["n_b"], r["t_a"] + r["t_b"] - r["n_a"] - r["n_b"], r["t_a"]
+        p = sum(math.comb(held, k) * math.comb(lacking, chosen - k) for k in range(r["n_a"], min(held, chosen) + 1)) / math.comb(held + lacking, chosen)
+        assert r["pvalue"] == pytest.approx(p, abs=1e-9)
