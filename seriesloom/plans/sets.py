@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators import sets as S
@@ -217,10 +218,11 @@ BY_DIRECTION = dict(
 )
 
 
-def tokens_by_direction(t: Tables):
-    """Distinct tokens per condition of the pairs and direction of the partner."""
+def tokens_by_direction(t: Tables, classified: DataFrame | None = None):
+    """Distinct tokens per condition of the pairs and direction of the partner (``classified``, where it is known)."""
     listed, shared = strong_shared(t)
-    directions = classify_direction(de_table(t)).select(F.col("entity").alias("b"), "direction")
+    classified = classify_direction(de_table(t)) if classified is None else classified
+    directions = classified.select(F.col("entity").alias("b"), "direction")
     rows = listed.select(*BY, "a", "b").join(shared.filter("n_shared >= 7"), ["a", "b"]).join(directions, "b")
     return S.distinct_tokens_by_group(rows, [*BY, "direction"], "tokens")
 
