@@ -78,8 +78,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     Links of a node with itself are left out, so such a node alone does not appear.
     """
     width = shuffle_width(links)
-    # Contracted where the links are, and again where those of a root meet.
-    fewer = lambda some: materialize(contract(contract(some).repartition(width, "b")))
+    # Contracted where the links are, and again where those of a node meet.  A task has one link a node that
+    # is no root, so no node has many; a root can have very many.
+    fewer = lambda some: materialize(contract(contract(some).repartition(width, "a")))
     edges, steps = fewer(links), []
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

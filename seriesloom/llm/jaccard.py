@@ -95,14 +95,30 @@ def clusters(keyed: DataFrame) -> DataFrame:
     """``node, cluster``: nodes of ``keyed(node, keys)`` that share keys, directly or through others.
 
     Nodes that share no key do not appear.  Rows of a key are chained in order, so a key that
-    very many nodes have makes one link a node.
+    very many nodes have makes one link a node.  A node may come in several rows.
     """
     rows = keyed.select("node", F.explode("keys").alias("key"))
     chain = Window.partitionBy("key").orderBy("node")
-    links = rows.select(F.col("node").alias("a"), F.lag("node").over(chain).alias("b")).filter("b IS NOT NULL")
+    links = rows.select(F.col("node").alias("a"), F.lag("node").over(chain).alias("b")).filter("a <> b")
     return connected_components(links).withColumnRenamed("component", "cluster")
 
 
+class Filed:
+    """Which sets a task has filed keys of; forgets when it holds ``most``, and files some again."""
+
+    def __init__(self, most: int = 1 << 16):
+        self.most, self.held = most, set()
+
+    def first(self, name) -> bool:
+        """Whether the keys of the set ``name`` are still to be filed."""
+        if name in self.held:
+            return False
+        if len(self.held) >= self.most:
+            self.held.clear()
+        self.held.add(name)
+        return True
+
+
 def in_tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
     """``rows(cluster, node, n, ...)`` once for every ``tile`` of their cluster they go to, with the ``side`` they are on.
 

@@ -8,12 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.components import node_ids
-from seriesloom.llm.jaccard import Bands, clusters, in_tiles, tile_components
+from seriesloom.llm.jaccard import Bands, Filed, clusters, in_tiles, tile_components
 from seriesloom.llm.store import fresh, join_checked, materialize, shuffle_width
 from seriesloom.llm.words import Words, column_bytes, mix, shingle_sets, steps
 
@@ -74,32 +72,39 @@ def heavy_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``node, doc_id, row_key, n, summary, keys`` per row of ``docs``, stored; a set without shingles has no keys."""
+    """``node, doc_id, row_key, n, summary, keys`` per row of ``docs``, stored.
+
+    ``node`` is 64 bits of ``summary``, so equal sets are one node wherever they stand.  A task files the keys
+    with the first row of a set; a set without shingles has none.
+    """
     schema = "node bigint, doc_id bigint, row_key bigint, n bigint, summary binary, keys array<bigint>"
 
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, bands = TaskContext.get().partitionId(), 0, Bands(num, den)
+        bands, filed = Bands(num, den), Filed()
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             for a, b in steps(offsets):
-                n, summaries, keys, at = [], [], [], [0]
+                n, summaries, keys, at = [], [], [np.zeros(0, np.int64)], [0]
                 for found in shingle_sets(Words(data, offsets[a : b + 1]), words):
                     n.append(len(found))
                     summaries.append(_summary(found))
-                    keys.append(bands.keys(found, heavy.value).view(np.int64))
-                    at.append(at[-1] + len(keys[-1]))
-                filed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys)))
+                    if filed.first(summaries[-1]):
+                        keys.append(bands.keys(found, heavy.value).view(np.int64))
+                        at.append(at[-1] + len(keys[-1]))
+                    else:
+                        at.append(at[-1])
+                listed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys)))
                 part = batch.slice(a, b - a)
+                nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in summaries], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(node_ids(task, seen, b - a)), part.column("doc_id"), part.column("row_key"),
-                        pa.array(n, pa.int64()), pa.array(summaries, pa.binary()), filed,
+                        pa.array(nodes), part.column("doc_id"), part.column("row_key"),
+                        pa.array(n, pa.int64()), pa.array(summaries, pa.binary()), listed,
                     ],
                     ["node", "doc_id", "row_key", "n", "summary", "keys"],
                 )
-                seen += b - a
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(_ROW).alias("row_key"))
     return materialize(rows.mapInArrow(run, schema))
@@ -136,13 +141,14 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     table = set_table(docs, words, num, den)
     classes = materialize(
         table.filter("n > 0").groupBy("summary", "n").agg(
-            F.min("node").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")
+            F.min("node").alias("node"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")
         )
     )
-    chosen = table.join(classes.select("node"), "node")
-    cluster = clusters(chosen.select("node", "keys"))
-    wanted = materialize(table.select("node", "row_key", "n").join(cluster, "node"))
+    # Keys go from their table straight to where they meet; a join that picks one row a set would deal them out once more.
+    cluster = clusters(table.filter(F.size("keys") > 0).select("node", "keys"))
+    wanted = materialize(classes.select("node", "row_key", "n").join(cluster, "node"))
     found = tile_components(_sets_of(docs, in_tiles(wanted, num, den), words), num, den)
+    classes = classes.drop("row_key")
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return table, materialize(named)
 

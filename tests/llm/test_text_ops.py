@@ -152,6 +152,19 @@ def test_many_near_copies_over_several_tiles(spark, monkeypatch, bands):
     assert {r.doc_id: r.component_id for r in rows} == reach(range(150), links)
 
 
+def copies_of_six():
+    rng = random.Random(9)
+    base = [prose(rng, 40) for _ in range(6)]
+    return [(i, base[i % 6]) for i in range(60)]
+
+
+def test_copies_file_their_keys_once(spark):
+    """A copy in the same task sends no keys anywhere, and copies are one node."""
+    table = near.set_table(docs_of(spark, copies_of_six()).coalesce(1), 5, 80, 100).collect()
+    assert len(table) == 60 and len({r.node for r in table}) == len({r.summary for r in table}) == 6
+    assert sum(len(r["keys"]) > 0 for r in table) == 6
+
+
 def test_near_documents_of_nothing(spark):
     empty = docs_of(spark, [])
     assert near.near_documents(empty).count() == 0 and near.keep_one(empty).count() == 0
