@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.session import materialize, scratch_path, shuffle_width
 
-__all__ = ["arrow_map", "fresh", "join_checked", "materialize", "scratch_path", "shuffle_width"]
+__all__ = ["arrow_map", "fresh", "join_checked", "materialize", "scratch_path", "shuffle_width", "small_batches"]
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -23,6 +23,15 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of an Arrow batch; by default 10,000 texts make one, which tasks and their workers each hold several times.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session end at ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: A side that is counted and has at most so many rows, and so many values in its arrays, is broadcast.
 BROADCAST_ROWS, BROADCAST_VALUES = 100_000, 1_000_000
 

@@ -15,12 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.components import node_ids
-from seriesloom.llm.jaccard import cluster_components, clusters
+from seriesloom.llm.jaccard import Filed, cluster_components, clusters
 from seriesloom.llm.store import fresh, join_checked, materialize
 from seriesloom.llm.words import Words, column_bytes, mix, steps
 
@@ -65,11 +63,14 @@ def band_keys(grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bands: i
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Lines of ``docs(doc_id, node, text)`` with at least ``SHINGLE`` words, stored: ``unit, doc, node, start, words, sequence, keys``."""
+    """Lines of ``docs(doc_id, node, text)`` with at least ``SHINGLE`` words, stored: ``doc, node, start, words, sequence, keys``.
+
+    Equal lines have the same ``sequence`` and equal keys, so a task files the keys with the first one.
+    """
     bands, rows = tune_bands(SIMILARITY / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), 0
+        filed = Filed()
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
@@ -81,20 +82,20 @@ def line_table(docs: DataFrame) -> DataFrame:
                 first, size = first[size >= SHINGLE], size[size >= SHINGLE]
                 if not len(first):
                     continue
-                keys = band_keys(words.grams(SHINGLE)[0], first, size - SHINGLE + 1, bands, rows).view(np.int64)
+                sequence = words.sequences(first, first + size).view(np.int64)
+                new = np.array([filed.first(x) for x in sequence.tolist()])
+                keys = np.zeros(0, np.int64)
+                if new.any():
+                    keys = band_keys(words.grams(SHINGLE)[0], first[new], size[new] - SHINGLE + 1, bands, rows).view(np.int64)
                 row = words.row[first]
-                columns = [
-                    node_ids(task, seen, len(first)), nodes[a + row], first - words.first[row], size,
-                    words.sequences(first, first + size).view(np.int64),
-                ]
-                filed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
+                columns = [nodes[a + row], first - words.first[row], size, sequence]
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new * bands)]), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(a + row)), *[pa.array(c, pa.int64()) for c in columns], filed],
-                    ["doc", "unit", "node", "start", "words", "sequence", "keys"],
+                    [docs.take(pa.array(a + row)), *[pa.array(c, pa.int64()) for c in columns], listed],
+                    ["doc", "node", "start", "words", "sequence", "keys"],
                 )
-                seen += len(first)
 
-    return materialize(docs.mapInArrow(run, "doc bigint, unit bigint, node bigint, start bigint, words bigint, sequence bigint, keys array<bigint>"))
+    return materialize(docs.mapInArrow(run, "doc bigint, node bigint, start bigint, words bigint, sequence bigint, keys array<bigint>"))
 
 
 def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -127,15 +128,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     place, owner = F.struct("doc", "node", "start"), F.struct("doc", "node")
     classes = materialize(
         lines.groupBy("sequence", "words").agg(
-            F.min("unit").alias("unit"), F.min(place).alias("low"), F.max(owner).alias("high"),
-            F.min(F.struct("unit", "node", "start")).alias("first"), F.any_value("keys").alias("keys"),
+            F.min(place).alias("low"), F.max(owner).alias("high")
         )
     )
-    cluster = clusters(classes.select(F.col("unit").alias("node"), "keys")).withColumnRenamed("node", "unit")
-    wanted = classes.join(cluster, "unit").select("cluster", "unit", "first.node", "first.start", "words")
-    found = cluster_components(_line_sets(docs, wanted), SIMILARITY, 100).withColumnRenamed("node", "unit")
-    named = classes.select("sequence", "words", "unit", "low", "high").join(found, "unit", "left")
-    named = materialize(named.withColumn("component", F.coalesce("component", "unit")))
+    # A line's word sequence is its name among the classes too, so keys go from their table straight to where they meet.
+    cluster = clusters(lines.filter(F.size("keys") > 0).select(F.col("sequence").alias("node"), "keys")).withColumnRenamed("node", "sequence")
+    wanted = classes.join(cluster, "sequence").select("cluster", F.col("sequence").alias("unit"), "low.node", "low.start", "words")
+    found = cluster_components(_line_sets(docs, wanted), SIMILARITY, 100).withColumnRenamed("node", "sequence")
+    named = classes.join(found, "sequence", "left")
+    named = materialize(named.withColumn("component", F.coalesce("component", "sequence")))
     spread = named.groupBy("component").agg(F.min("low").alias("keep"), F.max("high").alias("_high")).filter("keep.node <> _high.node")
     gone = named.join(spread, "component").select("sequence", "words", F.col("keep.node").alias("keeper"))
     return (

@@ -165,6 +165,34 @@ def test_copies_file_their_keys_once(spark):
     assert sum(len(r["keys"]) > 0 for r in table) == 6
 
 
+def test_equal_lines_file_their_keys_once(spark):
+    docs = spark.createDataFrame([(i, i, t) for i, t in copies_of_six()], "doc_id bigint, node bigint, text string")
+    lines = substrings.line_table(docs.coalesce(1)).collect()
+    assert len(lines) == 60 and sum(len(r["keys"]) > 0 for r in lines) == 6
+    assert {r.sequence for r in lines if r["keys"]} == {r.sequence for r in lines}
+
+
+def test_stages_take_texts_in_small_batches(spark):
+    import corpus_pipeline
+    from seriesloom.llm.store import BATCH_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    texts = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 50000) AS text")
+    try:
+        corpus_pipeline.one_of_each(spark, docs_of(spark, [(1, "a b c")]), "")
+        assert max(r.n for r in texts.select("text").mapInArrow(sizes, "n bigint").collect()) <= 2 * BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_near_documents_of_nothing(spark):
     empty = docs_of(spark, [])
     assert near.near_documents(empty).count() == 0 and near.keep_one(empty).count() == 0
