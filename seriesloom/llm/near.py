@@ -71,15 +71,16 @@ def heavy_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return total > total.mean() + HEAVY * np.sqrt(total.mean()) + HEAVY
 
 
-def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``node, doc_id, row_key, n, summary, keys`` per row of ``docs``, stored.
+def set_table(docs: DataFrame, words: int, num: int, den: int, keyed: bool = True) -> DataFrame:
+    """``node, doc_id, row_key, n, summary`` and, if ``keyed``, ``keys`` per row of ``docs``.
 
     ``node`` is 64 bits of ``summary``, so equal sets are one node wherever they stand.  A task files the keys
-    with the first row of a set; a set without shingles has none.
+    with the first row of a set; a set without shingles has none.  Keys take more room than the texts, so they
+    are not stored: rows are made once to be stored and once with keys that go straight to where they meet.
     """
     schema = "node bigint, doc_id bigint, row_key bigint, n bigint, summary binary, keys array<bigint>"
 
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words)) if keyed else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, filed = Bands(num, den), Filed()
@@ -90,7 +91,7 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 for found in shingle_sets(Words(data, offsets[a : b + 1]), words):
                     n.append(len(found))
                     summaries.append(_summary(found))
-                    if filed.first(summaries[-1]):
+                    if keyed and filed.first(summaries[-1]):
                         keys.append(bands.keys(found, heavy.value).view(np.int64))
                         at.append(at[-1] + len(keys[-1]))
                     else:
@@ -106,8 +107,8 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     ["node", "doc_id", "row_key", "n", "summary", "keys"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(_ROW).alias("row_key"))
-    return materialize(rows.mapInArrow(run, schema))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(_ROW).alias("row_key")).mapInArrow(run, schema)
+    return rows if keyed else rows.drop("keys")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -138,14 +139,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(row table, classes): equal sets ``summary, n`` with their ``first`` doc_id, ``rows`` and ``component``, both stored."""
-    table = set_table(docs, words, num, den)
+    table = materialize(set_table(docs, words, num, den, keyed=False))
     classes = materialize(
         table.filter("n > 0").groupBy("summary", "n").agg(
             F.min("node").alias("node"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")
         )
     )
-    # Keys go from their table straight to where they meet; a join that picks one row a set would deal them out once more.
-    cluster = clusters(table.filter(F.size("keys") > 0).select("node", "keys"))
+    # Keys go straight to where they meet; a join that picks one row a set would deal them out once more.
+    cluster = clusters(set_table(docs, words, num, den).filter(F.size("keys") > 0).select("node", "keys"))
     wanted = materialize(classes.select("node", "row_key", "n").join(cluster, "node"))
     found = tile_components(_sets_of(docs, in_tiles(wanted, num, den), words), num, den)
     classes = classes.drop("row_key")

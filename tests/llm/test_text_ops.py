@@ -165,6 +165,31 @@ def test_copies_file_their_keys_once(spark):
     assert sum(len(r["keys"]) > 0 for r in table) == 6
 
 
+def test_keys_are_not_stored(spark, monkeypatch):
+    """Keys take more room than the texts; they go to where they meet and are in no table of the shared folder."""
+    docs, stored = docs_of(spark, copies_of_six()), []
+    monkeypatch.setattr(near, "materialize", lambda df, store=near.materialize: stored.append(df.columns) or store(df))
+    assert near.keep_one(docs).count() == 6
+    assert stored and not any("keys" in columns for columns in stored)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """They go with their job, also while its frame is held, and the setting is as before."""
+    import time
+
+    from seriesloom.session import FILE_CLEANUP, materialize
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
+    before, setting = names(), spark.conf.get(FILE_CLEANUP, None)
+    dealt = spark.range(5000).repartition(3, "id")
+    table, end = materialize(dealt), time.time() + 10
+    while (left := names() - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(FILE_CLEANUP, None) == setting
+    assert table.count() == 5000
+
+
 def test_equal_lines_file_their_keys_once(spark):
     docs = spark.createDataFrame([(i, i, t) for i, t in copies_of_six()], "doc_id bigint, node bigint, text string")
     lines = substrings.line_table(docs.coalesce(1)).collect()
